@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed values of the packed-id layout.
 SAMPLE_UNIT = 1_000_000_000_000
 CHROM_UNIT = 1_000_000_000
@@ -17,67 +14,54 @@ NEW_REGION_PREFIX = "NEWREG"
 NEW_REGION_WIDTH = 15
 
 
-def _div(value: Column, unit: int) -> Column:
-    return F.call_function("div", value.cast("bigint"), F.lit(unit).cast("bigint"))
-
-
-def chrom_number(chrom: Column) -> Column:
+def chrom_number(chrom: str) -> str:
     """``chr7`` -> 7, ``chrX`` -> 23; NULL for a name that has no number."""
-    name = F.regexp_replace(chrom, "^chr", "")
-    number = name.try_cast("int")
-    for label, value in NAMED_CHROMOSOMES.items():
-        number = F.when(name == label, F.lit(value)).otherwise(number)
-    return number
+    name = f"regexp_replace({chrom}, '^chr', '')"
+    named = " ".join(f"WHEN '{label}' THEN {value}" for label, value in NAMED_CHROMOSOMES.items())
+    return f"(CASE {name} {named} ELSE try_cast({name} AS INT) END)"
 
 
-def chrom_name(number: Column) -> Column:
-    label = number.cast("string")
-    for name, value in NAMED_CHROMOSOMES.items():
-        label = F.when(number == value, F.lit(name)).otherwise(label)
-    return F.concat(F.lit("chr"), label)
+def chrom_name(number: str) -> str:
+    named = " ".join(f"WHEN {value} THEN '{label}'" for label, value in NAMED_CHROMOSOMES.items())
+    return f"concat('chr', CASE {number} {named} ELSE cast({number} AS STRING) END)"
 
 
-def pack_position(sample_id: Column, chrom_num: Column, pos: Column) -> Column:
+def pack_position(sample_id: str, chrom_num: str, pos: str) -> str:
     return (
-        sample_id.cast("bigint") * F.lit(SAMPLE_UNIT)
-        + chrom_num.cast("bigint") * F.lit(CHROM_UNIT)
-        + pos.cast("bigint")
+        f"(cast({sample_id} AS BIGINT) * {SAMPLE_UNIT} + cast({chrom_num} AS BIGINT) * {CHROM_UNIT} "
+        f"+ cast({pos} AS BIGINT))"
     )
 
 
-def sample_of(packed: Column) -> Column:
-    return _div(packed, SAMPLE_UNIT).cast("int")
+def sample_of(packed: str) -> str:
+    return f"cast({packed} div {SAMPLE_UNIT} AS INT)"
 
 
-def strip_sample(packed: Column) -> Column:
-    return packed % F.lit(SAMPLE_UNIT)
+def strip_sample(packed: str) -> str:
+    return f"({packed} % {SAMPLE_UNIT})"
 
 
-def strip_region_sample(packed_region: Column) -> Column:
-    return packed_region % F.lit(REGION_SAMPLE_UNIT)
+def strip_region_sample(packed_region: str) -> str:
+    return f"({packed_region} % {REGION_SAMPLE_UNIT})"
 
 
-def chrom_number_of(position_id: Column) -> Column:
+def chrom_number_of(position_id: str) -> str:
     """Chromosome number of a position id whose sample part has been stripped."""
-    return _div(position_id, CHROM_UNIT).cast("int")
+    return f"cast({position_id} div {CHROM_UNIT} AS INT)"
 
 
-def to_coordinates(position_id: Column) -> Column:
+def to_coordinates(position_id: str) -> str:
     """Position id without sample -> ``struct(chrom, pos)``."""
-    return F.struct(
-        chrom_name(chrom_number_of(position_id)).alias("chrom"),
-        (position_id % F.lit(CHROM_UNIT)).cast("int").alias("pos"),
-    )
+    chrom = chrom_name(chrom_number_of(position_id))
+    return f"named_struct('chrom', {chrom}, 'pos', cast({position_id} % {CHROM_UNIT} AS INT))"
 
 
-def stable_id(prefix: str, number: Column, digits: int = 11) -> Column:
-    """Numeric region id -> stable identifier text, e.g. ``stable_id('ENSE', n)`` -> ``ENSE00000000042``."""
-    text = number.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(text, digits, "0"))
+def stable_id(prefix: str, number: str, digits: int = 11) -> str:
+    """Numeric region id -> stable identifier, e.g. prefix ``ENSE`` and 42 -> ``ENSE00000000042``."""
+    text = f"cast({number} AS STRING)"
+    return f"concat('{prefix}', lpad({text}, greatest({digits}, length({text})), '0'))"
 
 
-def new_region_id(number: Column) -> Column:
+def new_region_id(number: str) -> str:
     """Running number -> ``NEWREG`` name, zero-filled to 15 characters and never cut."""
-    text = number.cast("string")
-    digits = F.lit(NEW_REGION_WIDTH - len(NEW_REGION_PREFIX))
-    return F.concat(F.lit(NEW_REGION_PREFIX), F.lpad(text, F.greatest(digits, F.length(text)), F.lit("0")))
+    return stable_id(NEW_REGION_PREFIX, number, NEW_REGION_WIDTH - len(NEW_REGION_PREFIX))

@@ -4,85 +4,79 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+INFINITY = "double('Infinity')"
+NEGATIVE_INFINITY = "double('-Infinity')"
+NOT_A_NUMBER = "double('NaN')"
 
 
-def _double(value: float) -> Column:
-    return F.lit(float(value))
-
-
-def ratio(numerator: Column, denominator: Column) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """IEEE division under ANSI mode: x/0 is +-Infinity and 0/0 is NaN instead of an error."""
-    a, b = numerator.cast("double"), denominator.cast("double")
-    by_zero = (
-        F.when(a > 0, _double(math.inf)).when(a < 0, _double(-math.inf)).otherwise(_double(math.nan))
-    )
-    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+    a, b = f"double({numerator})", f"double({denominator})"
+    by_zero = f"CASE WHEN {a} > 0 THEN {INFINITY} WHEN {a} < 0 THEN {NEGATIVE_INFINITY} ELSE {NOT_A_NUMBER} END"
+    return f"(CASE WHEN {b} = 0 THEN {by_zero} ELSE {a} / {b} END)"
 
 
-def signed_fold_change(fold_change: Column) -> Column:
+def signed_fold_change(fold_change: str) -> str:
     """Below one, report the negative inverse, so that halving and doubling have equal magnitude."""
-    inverse = F.when(fold_change == 0, _double(-math.inf)).otherwise(F.try_divide(_double(-1), fold_change))
-    return F.when(fold_change < 1, inverse).otherwise(fold_change)
+    return (
+        f"(CASE WHEN {fold_change} = 0 THEN {NEGATIVE_INFINITY} WHEN {fold_change} < 1 THEN -1D / {fold_change} "
+        f"ELSE {fold_change} END)"
+    )
 
 
-def round_half_up(value: Column, digits: int) -> Column:
+def round_half_up(value: str, digits: int) -> str:
     """Round to ``digits`` places with halves going up, also for negative values."""
-    unit = float(10**digits)
-    return F.floor(value * _double(unit) + _double(0.5)).cast("double") / _double(unit)
+    return f"(double(floor({value} * 1e{digits}D + 0.5D)) / 1e{digits}D)"
 
 
-def pad_right(text: Column, width: int) -> Column:
+def pad_right(text: str, width: int) -> str:
     """Fill with blanks to ``width``; a longer text is kept whole."""
-    return F.rpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+    return f"rpad({text}, greatest({width}, length({text})), ' ')"
 
 
-def coverage_stars(avg_a: Column, avg_b: Column) -> Column:
+def coverage_stars(avg_a: str, avg_b: str) -> str:
     """One to four stars by mean coverage of the two groups."""
     return (
-        F.when((avg_a < 2) & (avg_b < 2), "*")
-        .when((avg_a >= 100) | (avg_b >= 100), "****")
-        .when((avg_a >= 10) | (avg_b >= 10), "***")
-        .otherwise("**")
+        f"(CASE WHEN {avg_a} < 2 AND {avg_b} < 2 THEN '*' WHEN {avg_a} >= 100 OR {avg_b} >= 100 THEN '****' "
+        f"WHEN {avg_a} >= 10 OR {avg_b} >= 10 THEN '***' ELSE '**' END)"
     )
 
 
-def intersection(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> tuple[Column, Column]:
+def intersection(start_a: str, end_a: str, start_b: str, end_b: str) -> tuple[str, str]:
     """``(latest start, earliest end)`` of two intervals; empty when the end comes first."""
-    return F.greatest(start_a, start_b), F.least(end_a, end_b)
+    return f"greatest({start_a}, {start_b})", f"least({end_a}, {end_b})"
 
 
-def overlap_length(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
+def overlap_length(start_a: str, end_a: str, start_b: str, end_b: str) -> str:
     lo, hi = intersection(start_a, end_a, start_b, end_b)
-    return hi - lo
+    return f"({hi} - {lo})"
 
 
-def overlap_share(overlap: Column, exon_start: Column, exon_end: Column) -> Column:
+def overlap_share(overlap: str, exon_start: str, exon_end: str) -> str:
     """Overlap as a share of the exon's extent."""
-    return F.try_divide(overlap.cast("double"), (exon_end - exon_start).cast("double"))
+    return f"(double({overlap}) / nullif({exon_end} - {exon_start}, 0))"
 
 
-def scale_count(count: Column, factor: Column) -> Column:
+def scale_count(count: str, factor: str) -> str:
     """Apply a normalisation factor to a count; the result stays an integer."""
-    return F.round(count * factor).cast("int")
+    return f"int(round({count} * {factor}))"
 
 
-def pad_zeros(vector: Column, size: int) -> Column:
+def pad_zeros(vector: str, size: int) -> str:
     """Right-pad an INT vector with zeros to ``size`` entries."""
-    missing = F.greatest(F.lit(size) - F.size(vector), F.lit(0))
-    return F.concat(vector, F.array_repeat(F.lit(0), missing))
+    return f"concat({vector}, array_repeat(0, greatest({size} - size({vector}), 0)))"
 
 
-def pooled(x: Column, y: Column) -> Column:
-    return F.concat(x, y)
+def pooled(x: str, y: str) -> str:
+    return f"concat({x}, {y})"
 
 
-def split_by_mask(vector: Column, mask: Column) -> tuple[Column, Column]:
+def split_by_mask(vector: str, mask: str) -> tuple[str, str]:
     """Entries whose bit is set in ``mask``, and the remaining ones (duplicates are kept apart by index)."""
-    chosen = F.filter(vector, lambda _, i: F.getbit(mask, i) == 1)
-    rest = F.filter(vector, lambda _, i: F.getbit(mask, i) == 0)
-    return chosen, rest
+    return (
+        f"filter({vector}, (entry, at) -> getbit({mask}, at) = 1)",
+        f"filter({vector}, (entry, at) -> getbit({mask}, at) = 0)",
+    )
 
 
 def split_count(n: int, n_x: int, cap: int | None = None) -> int:

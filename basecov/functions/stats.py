@@ -1,4 +1,4 @@
-"""Two-sample statistics and combined probabilities as Spark expressions.
+"""Two-sample statistics and combined probabilities as SQL expressions.
 
 With ``n`` and ``m`` values per group and ``N = n + m``, the difference of the two empirical distribution
 functions at a pooled value ``z`` is ``D(z) / (n m)`` with the integer ``D(z) = m #{x <= z} - n #{y <= z}``.
@@ -9,116 +9,91 @@ Working on the integers ``sum(D^2)`` ("score") keeps comparisons exact, ties inc
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-Statistic = Callable[[Column, Column], Column]
+# A statistic takes the names of two array columns; it may also return a Column, e.g. of a pandas UDF.
+Statistic = Callable[[str, str], "str | Column"]
 
 
-def _count_le(values: Column, bound: Column) -> Column:
-    return F.size(F.filter(values, lambda v: v <= bound))
+def _gap(x: str, y: str) -> str:
+    below = "size(filter({0}, v -> v <= z))"
+    return f"({below.format(x)} * size({y}) - {below.format(y)} * size({x}))"
 
 
-def _ecdf_gap(x: Column, y: Column) -> Callable[[Column], Column]:
-    return lambda z: _count_le(x, z) * F.size(y) - _count_le(y, z) * F.size(x)
-
-
-def _none_if_zero(value: Column) -> Column:
-    return F.nullif(value.cast("double"), F.lit(0.0))
-
-
-def cvm_statistic(x: Column, y: Column) -> Column:
+def cvm_statistic(x: str, y: str) -> str:
     """Two-sample Cramer-von Mises statistic of two INT arrays."""
-    gap = _ecdf_gap(x, y)
-    n, m = F.size(x).cast("double"), F.size(y).cast("double")
-    total = F.aggregate(F.concat(x, y), F.lit(0.0), lambda acc, z: acc + F.pow(gap(z), F.lit(2)))
-    return total / _none_if_zero(n * m * F.pow(n + m, F.lit(2)))
+    scale = f"nullif(double(size({x}) * size({y})) * pow(size({x}) + size({y}), 2), 0D)"
+    return f"(aggregate(concat({x}, {y}), 0D, (acc, z) -> acc + pow({_gap(x, y)}, 2)) / {scale})"
 
 
-def ks_statistic(x: Column, y: Column) -> Column:
+def ks_statistic(x: str, y: str) -> str:
     """Two-sample Kolmogorov-Smirnov statistic of two INT arrays."""
-    gap = _ecdf_gap(x, y)
-    widest = F.array_max(F.transform(F.concat(x, y), lambda z: F.abs(gap(z))))
-    return widest / _none_if_zero(F.size(x) * F.size(y))
+    widest = f"array_max(transform(concat({x}, {y}), z -> abs({_gap(x, y)})))"
+    return f"({widest} / nullif(double(size({x}) * size({y})), 0D))"
 
 
-def mann_whitney_statistic(x: Column, y: Column) -> Column:
+def mann_whitney_statistic(x: str, y: str) -> str:
     """``U`` of the first sample: pairs with ``x > y``, ties counting one half."""
-
-    def wins(a: Column) -> Column:
-        greater = F.size(F.filter(y, lambda b: b < a))
-        equal = F.size(F.filter(y, lambda b: b == a))
-        return greater + equal * F.lit(0.5)
-
-    return F.aggregate(x, F.lit(0.0), lambda acc, a: acc + wins(a))
+    wins = f"size(filter({y}, v -> v < z)) + 0.5D * size(filter({y}, v -> v = z))"
+    return f"aggregate({x}, 0D, (acc, z) -> acc + {wins})"
 
 
-def combine_max(statistics: Sequence[Column]) -> Column:
-    return statistics[0] if len(statistics) == 1 else F.greatest(*statistics)
+def combine_max(statistics: Sequence[str]) -> str:
+    return statistics[0] if len(statistics) == 1 else f"greatest({', '.join(statistics)})"
 
 
-def vector_mean(x: Column) -> Column:
+def vector_mean(x: str) -> str:
     """Mean of an array; 0.0 when it is empty."""
-    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.try_divide(total, F.size(x)))
+    return f"coalesce(aggregate({x}, 0D, (acc, v) -> acc + v) / nullif(size({x}), 0), 0D)"
 
 
-def vector_stddev(x: Column, mean: Column) -> Column:
+def vector_stddev(x: str, mean: str) -> str:
     """Population standard deviation around a given mean; 0.0 when the array is empty."""
-    squares = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.pow(v - mean, F.lit(2)))
-    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(squares, F.size(x))))
+    return f"coalesce(sqrt(aggregate({x}, 0D, (acc, v) -> acc + pow(v - {mean}, 2)) / nullif(size({x}), 0)), 0D)"
 
 
-def fisher_statistic(p_values: Column) -> Column:
+def fisher_statistic(p_values: str) -> str:
     """Fisher's combined statistic ``-2 sum(ln p)`` of an array of p-values."""
-    return F.aggregate(p_values, F.lit(0.0), lambda acc, p: acc - F.ln(p) * 2)
+    return f"aggregate({p_values}, 0D, (acc, p) -> acc - 2 * ln(p))"
 
 
-def fisher_dof(p_values: Column) -> Column:
-    return F.size(p_values) * 2
+def fisher_dof(p_values: str) -> str:
+    return f"(size({p_values}) * 2)"
 
 
-def fisher_p(statistic: Column, dof: Column, folded: bool = False) -> Column:
+def fisher_p(statistic: str, dof: str, folded: bool = False) -> str:
     """Chi-square upper tail for an even number of degrees of freedom.
 
     With ``k = dof / 2`` the tail is ``sum over i < k of exp(-h) h^i / i!``, ``h = statistic / 2``; the terms are
     built from their logarithms so that large statistics do not underflow early. ``folded`` returns the smaller
     of both tails.
     """
-    half = statistic / 2
-    last = (dof / 2).cast("int") - 1
-    terms = F.aggregate(
-        F.sequence(F.lit(0), last),
-        F.struct((-half).alias("log_term"), F.lit(0.0).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["log_term"] + F.ln(half) - F.ln(i + F.lit(1.0))).alias("log_term"),
-            (acc["total"] + F.exp(acc["log_term"])).alias("total"),
-        ),
-        lambda acc: acc["total"],
+    half = f"({statistic} / 2)"
+    terms = (
+        f"aggregate(sequence(0, int({dof} div 2) - 1), named_struct('log_term', -{half}, 'total', 0D), "
+        f"(acc, i) -> named_struct('log_term', acc.log_term + ln({half}) - ln(i + 1D), "
+        f"'total', acc.total + exp(acc.log_term)), acc -> least(acc.total, 1D))"
     )
-    tail = F.when(half <= 0, F.lit(1.0)).otherwise(F.least(terms, F.lit(1.0)))
-    return F.least(tail, F.lit(1.0) - tail) if folded else tail
+    tail = f"(CASE WHEN {half} <= 0 THEN 1D ELSE {terms} END)"
+    return f"least({tail}, 1D - {tail})" if folded else tail
 
 
 # --- scores over separate count columns: plain arithmetic, so they stay inside generated code ---------------
 
 
-def _sum(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _sum(terms: Sequence[str]) -> str:
+    return f"({' + '.join(terms)})"
 
 
-def cvm_score(x: Sequence[Column], y: Sequence[Column]) -> Column:
+def cvm_score(x: Sequence[str], y: Sequence[str]) -> str:
     """Integer ``sum(D^2)`` of two groups given as count columns."""
     n, m = len(x), len(y)
 
-    def gap(z: Column) -> Column:
-        below_x = _sum([F.when(v <= z, m).otherwise(0) for v in x])
-        below_y = _sum([F.when(v <= z, n).otherwise(0) for v in y])
-        return below_x - below_y
+    def gap(z: str) -> str:
+        return _sum([f"if({v} <= {z}, {m}, 0)" for v in x] + [f"if({v} <= {z}, {-n}, 0)" for v in y])
 
-    return _sum([F.pow(gap(z), F.lit(2)) for z in [*x, *y]]).cast("bigint")
+    return f"bigint({_sum([f'pow({gap(z)}, 2)' for z in [*x, *y]])})"
 
 
 def cvm_scale(n: int, m: int) -> int:
@@ -131,25 +106,20 @@ def cvm_score_bound(n: int, m: int) -> int:
     return (n + m) * (n * m) ** 2
 
 
-def rank_masks(values: Sequence[Column]) -> list[Column]:
-    """For each pooled value, the bit set of the entries not above it (at most 62 entries)."""
-    return [
-        _sum([F.when(v <= z, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, v in enumerate(values)])
-        for z in values
-    ]
+def rank_mask(values: Sequence[str], z: str) -> str:
+    """Bit set of the entries of ``values`` that are not above ``z`` (at most 62 entries)."""
+    return _sum([f"if({v} <= {z}, {1 << i}L, 0L)" for i, v in enumerate(values)])
 
 
-def split_gaps(masks: Sequence[Column], split: Column, n: int, m: int) -> list[Column]:
+def split_gaps(masks: Sequence[str], split: str, n: int, m: int) -> list[str]:
     """``D`` at each pooled value when the entries set in ``split`` form the first group."""
-    return [
-        F.bit_count(split.bitwiseAND(mask)) * (n + m) - F.bit_count(mask) * n for mask in masks
-    ]
+    return [f"({n + m} * bit_count({split} & {mask}) - {n} * bit_count({mask}))" for mask in masks]
 
 
-def split_cvm_score(gaps: Sequence[Column]) -> Column:
-    return _sum([gap * gap for gap in gaps]).cast("bigint")
+def split_cvm_score(gaps: Sequence[str]) -> str:
+    return f"bigint({_sum([f'{gap} * {gap}' for gap in gaps])})"
 
 
-def split_ks_score(gaps: Sequence[Column], n: int, m: int) -> Column:
+def split_ks_score(gaps: Sequence[str], n: int, m: int) -> str:
     """``max|D|`` on the scale of :func:`split_cvm_score`, so that both can be compared as integers."""
-    return (combine_max([F.abs(gap) for gap in gaps]) * (n + m) ** 2).cast("bigint")
+    return f"bigint({combine_max([f'abs({gap})' for gap in gaps])} * {(n + m) ** 2})"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import scale_count
@@ -25,35 +25,30 @@ UNMAPPED = 4
 _BLOCKS = "array<struct<start_pos:int,end_pos:int>>"
 
 
-def _blocks_of_cigar() -> Column:
+def _blocks_of_cigar() -> str:
     """Aligned blocks of a read: M, = and X cover bases, D and N only move on."""
-    folded = F.expr(
-        f"""
-        aggregate(
+    size, letter = "int(left(op, length(op) - 1))", "right(op, 1)"
+    block = f"array(named_struct('start_pos', acc.at, 'end_pos', acc.at + {size} - 1))"
+    return f"""
+        CASE WHEN cigar RLIKE '^[0-9]+M$' THEN cast(array(struct(start_pos, end_pos)) AS {_BLOCKS})
+        ELSE aggregate(
           regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]', 0),
-          named_struct('at', start_pos, 'blocks', cast(array() as {_BLOCKS})),
+          named_struct('at', start_pos, 'blocks', cast(array() AS {_BLOCKS})),
           (acc, op) -> named_struct(
-            'at', acc.at + if(right(op, 1) in ('M', 'D', 'N', '=', 'X'), cast(left(op, length(op) - 1) as int), 0),
-            'blocks', if(right(op, 1) in ('M', '=', 'X'),
-              concat(acc.blocks, array(named_struct(
-                'start_pos', acc.at, 'end_pos', acc.at + cast(left(op, length(op) - 1) as int) - 1))),
-              acc.blocks)),
-          acc -> acc.blocks)
-        """
-    )
-    whole = F.array(F.struct("start_pos", "end_pos")).cast(_BLOCKS)
-    return F.when(F.col("cigar").rlike("^[0-9]+M$"), whole).otherwise(folded)
+            'at', acc.at + if({letter} IN ('M', 'D', 'N', '=', 'X'), {size}, 0),
+            'blocks', if({letter} IN ('M', '=', 'X'), concat(acc.blocks, {block}), acc.blocks)),
+          acc -> acc.blocks) END"""
 
 
 def mapped(reads: DataFrame) -> DataFrame:
-    return reads.where(F.col("flag").bitwiseAND(UNMAPPED) == 0) if "flag" in reads.columns else reads
+    return reads.where(f"flag & {UNMAPPED} = 0") if "flag" in reads.columns else reads
 
 
 def in_range(reads: DataFrame, chrom: str = ALL_CHROMOSOMES, start: int = 1, end: int = MAX_POSITION) -> DataFrame:
     """Reads that touch a range; plain comparisons, so they reach a Parquet scan."""
     if chrom != ALL_CHROMOSOMES:
         reads = reads.where(F.col("chrom") == chrom)
-    return reads.where((F.col("start_pos") <= end) & (F.col("end_pos") >= start))
+    return reads.where(f"start_pos <= {end} AND end_pos >= {start}")
 
 
 def aligned_blocks(reads: DataFrame) -> DataFrame:
@@ -61,33 +56,27 @@ def aligned_blocks(reads: DataFrame) -> DataFrame:
     reads = mapped(reads)
     if "cigar" not in reads.columns:
         return reads.select("sample_id", "chrom", "start_pos", "end_pos")
-    return reads.select("sample_id", "chrom", F.inline(_blocks_of_cigar()))
+    return reads.selectExpr("sample_id", "chrom", f"inline({_blocks_of_cigar()})")
 
 
 def range_blocks(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Aligned blocks cut to a range before anything is expanded."""
-    blocks = in_range(aligned_blocks(in_range(reads, chrom, start, end)), chrom, start, end)
-    return blocks.select(
-        "sample_id",
-        "chrom",
-        F.greatest("start_pos", F.lit(start)).alias("start_pos"),
-        F.least("end_pos", F.lit(end)).alias("end_pos"),
+    blocks = aligned_blocks(in_range(reads, chrom, start, end))
+    if "cigar" in reads.columns:
+        blocks = in_range(blocks, chrom, start, end)
+    return blocks.selectExpr(
+        "sample_id", "chrom", f"greatest(start_pos, {start}) AS start_pos", f"least(end_pos, {end}) AS end_pos"
     )
 
 
 def depth_changes(blocks: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(sample_id, chrom, tile, pos, change)``: two rows per block and tile."""
-    first, last = bin_of(F.col("start_pos"), tile), bin_of(F.col("end_pos"), tile)
-    pieces = blocks.select(
-        "sample_id", "chrom", "start_pos", "end_pos", F.explode(F.sequence(first, last)).alias("tile")
-    )
-    enter = F.greatest("start_pos", F.col("tile") * tile)
-    leave = F.least(F.col("end_pos"), F.col("tile") * tile + (tile - 1)) + 1
-    changes = F.array(
-        F.struct(enter.alias("pos"), F.lit(1).alias("change")),
-        F.struct(leave.alias("pos"), F.lit(-1).alias("change")),
+    """``(sample_id, chrom, tile, start_pos, change)``: two rows per block and tile."""
+    pieces = blocks.selectExpr(
+        "*", f"explode(sequence({bin_of('start_pos', tile)}, {bin_of('end_pos', tile)})) AS tile"
     )
-    return pieces.select("sample_id", "chrom", "tile", F.inline(changes))
+    enter = f"greatest(start_pos, tile * {tile})"
+    leave = f"least(end_pos, tile * {tile} + {tile - 1}) + 1"
+    return pieces.selectExpr("sample_id", "chrom", "tile", f"stack(2, {enter}, 1, {leave}, -1) AS (start_pos, change)")
 
 
 def base_segments(
@@ -103,32 +92,33 @@ def base_segments(
     ``factors(sample_id, norm_factor)`` scales the depth and rounds it back to an integer.
     """
     changes = depth_changes(range_blocks(reads, chrom, start, end), tile)
-    keys = ["sample_id", "chrom", "tile"]
-    summed = changes.groupBy(*keys, "pos").agg(F.sum("change").alias("change")).where("change <> 0")
-    ordered = Window.partitionBy(*keys).orderBy("pos")
-    segments = summed.select(
-        "sample_id",
-        "chrom",
-        F.col("pos").alias("start_pos"),
-        (F.lead("pos").over(ordered) - 1).alias("end_pos"),
-        F.sum("change").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int").alias("cov"),
-    ).where("cov > 0")
-    if factors is None:
-        return segments
-    scaled = segments.join(broadcast_if_small(factors.select("sample_id", "norm_factor")), "sample_id")
-    return scaled.select(
-        "sample_id",
-        "chrom",
-        "start_pos",
-        "end_pos",
-        scale_count(F.col("cov"), F.col("norm_factor")).alias("cov"),
+    summed = changes.groupBy("sample_id", "chrom", "tile", "start_pos").agg(F.sum("change").alias("change"))
+    in_tile = "OVER (PARTITION BY sample_id, chrom, tile ORDER BY start_pos"
+    segments = (
+        summed.where("change <> 0")
+        .selectExpr(
+            "sample_id",
+            "chrom",
+            "start_pos",
+            f"lead(start_pos) {in_tile}) - 1 AS end_pos",
+            f"int(sum(change) {in_tile} ROWS UNBOUNDED PRECEDING)) AS cov",
+        )
+        .where("cov > 0")
     )
+    return segments if factors is None else _scaled(segments, factors)
+
+
+def _scaled(counts: DataFrame, factors: DataFrame) -> DataFrame:
+    """Apply ``factors(sample_id, norm_factor)`` to ``cov``; the factors are one row per sample."""
+    others = [c for c in counts.columns if c != "cov"]
+    joined = counts.join(broadcast_if_small(factors.select("sample_id", "norm_factor")), "sample_id")
+    return joined.selectExpr(*others, f"{scale_count('cov', 'norm_factor')} AS cov")
 
 
 def expand_positions(segments: DataFrame) -> DataFrame:
     """One row per base: replaces ``start_pos, end_pos`` by ``pos``."""
     others = [c for c in segments.columns if c not in ("start_pos", "end_pos")]
-    return segments.select(*others, F.explode(F.sequence("start_pos", "end_pos")).alias("pos"))
+    return segments.selectExpr(*others, "explode(sequence(start_pos, end_pos)) AS pos")
 
 
 def base_coverage(reads: DataFrame, **options) -> DataFrame:
@@ -138,9 +128,8 @@ def base_coverage(reads: DataFrame, **options) -> DataFrame:
 
 def bases_at_depth(reads: DataFrame, min_depth: int, **options) -> DataFrame:
     """Number of (sample, base) pairs with at least ``min_depth`` reads, counted on segments."""
-    deep = base_segments(reads, **options).where(F.col("cov") >= min_depth)
-    bases = F.sum(F.col("end_pos") - F.col("start_pos") + 1)
-    return deep.agg(F.coalesce(bases, F.lit(0)).cast("bigint").alias("n_bases"))
+    deep = base_segments(reads, **options).where(f"cov >= {min_depth}")
+    return deep.agg(F.expr("coalesce(sum(end_pos - start_pos + 1), 0L) AS n_bases"))
 
 
 def read_counts(reads: DataFrame) -> DataFrame:
@@ -150,12 +139,13 @@ def read_counts(reads: DataFrame) -> DataFrame:
 
 def library_factors(reads: DataFrame, samples: DataFrame) -> DataFrame:
     """``(sample_id, grp, n_reads, norm_factor)`` with factor = reads of the group's first sample / reads of this one."""
-    counts = samples.join(read_counts(reads), "sample_id", "left").select(
-        "ord", "sample_id", "grp", F.coalesce("n_reads", F.lit(0)).alias("n_reads")
+    counts = samples.join(read_counts(reads), "sample_id", "left").selectExpr(
+        "ord", "sample_id", "grp", "coalesce(n_reads, 0L) AS n_reads"
+    )
+    first = "first(n_reads) OVER (PARTITION BY grp ORDER BY ord)"
+    return counts.selectExpr(
+        "sample_id", "grp", "n_reads", f"if(n_reads > 0, double({first}) / n_reads, 1D) AS norm_factor"
     )
-    first = F.first("n_reads").over(Window.partitionBy("grp").orderBy("ord"))
-    factor = F.when(F.col("n_reads") > 0, first / F.col("n_reads")).otherwise(F.lit(1.0))
-    return counts.select("sample_id", "grp", "n_reads", factor.alias("norm_factor"))
 
 
 # --- features ------------------------------------------------------------------------------------------------
@@ -173,28 +163,26 @@ def region_hits(
     reads = mapped(reads)
     placement = ["sample_id", "chrom", "start_pos", "end_pos"] + (["cigar"] if "cigar" in reads.columns else [])
     if union_mode or not fits_broadcast(exons):
-        left = reads.groupBy(*placement).agg(F.count(F.lit(1)).alias("n"))
+        left = reads.groupBy(*placement).agg(F.expr("count(*) AS n"))
     else:
-        left = reads.select(*placement, F.lit(1).cast("bigint").alias("n"))
-    meets = (F.col("start_pos") <= F.col("e_end")) & (F.col("end_pos") >= F.col("e_start"))
+        left = reads.selectExpr(*placement, "1L AS n")
+    meets = "start_pos <= e_end AND end_pos >= e_start"
     if "cigar" in placement:
-        left = left.withColumn("blocks", _blocks_of_cigar())
-        meets = meets & F.exists(
-            "blocks", lambda b: (b["start_pos"] <= F.col("e_end")) & (b["end_pos"] >= F.col("e_start"))
-        )
+        left = left.selectExpr("*", f"{_blocks_of_cigar()} AS blocks")
+        meets += " AND exists(blocks, b -> b.start_pos <= e_end AND b.end_pos >= e_start)"
     pairs = join_exons(with_bins(left, "start_pos", "end_pos", width), exons, width, meets)
     if union_mode:
         pairs = (
             pairs.groupBy(*placement)
             .agg(
-                F.count(F.lit(1)).alias("n_hits"),
-                F.first("n").alias("n"),
-                F.first("e_gene").alias("e_gene"),
-                F.first("e_exon").alias("e_exon"),
+                F.expr("count(*) AS n_hits"),
+                F.expr("first(n) AS n"),
+                F.expr("first(e_gene) AS e_gene"),
+                F.expr("first(e_exon) AS e_exon"),
             )
             .where("n_hits = 1")
         )
-    return pairs.select("sample_id", F.col("e_gene").alias("gene_id"), F.col("e_exon").alias("exon_id"), "n")
+    return pairs.selectExpr("sample_id", "e_gene AS gene_id", "e_exon AS exon_id", "n")
 
 
 def region_coverage(
@@ -206,22 +194,14 @@ def region_coverage(
 ) -> DataFrame:
     """Feature counts ``(sample_id, gene_id, exon_id, cov)``."""
     hits = region_hits(reads, exons, union_mode, width)
-    counts = hits.groupBy("sample_id", "gene_id", "exon_id").agg(F.sum("n").cast("int").alias("cov"))
-    if factors is None:
-        return counts
-    scaled = counts.join(broadcast_if_small(factors.select("sample_id", "norm_factor")), "sample_id")
-    return scaled.select(
-        "sample_id", "gene_id", "exon_id", scale_count(F.col("cov"), F.col("norm_factor")).alias("cov")
-    )
+    counts = hits.groupBy("sample_id", "gene_id", "exon_id").agg(F.expr("int(sum(n)) AS cov"))
+    return counts if factors is None else _scaled(counts, factors)
 
 
 def coverage_table(counts: DataFrame, sample_ids: Sequence[int], level: str = "exon") -> DataFrame:
     """Count table: one row per exon or gene, one column ``s<id>`` per sample, zero where nothing was counted."""
     keys = {"exon": ["gene_id", "exon_id"], "gene": ["gene_id"], "base": ["chrom", "pos"]}[level]
-    per_sample = [
-        F.sum(F.when(F.col("sample_id") == s, F.col("cov")).otherwise(0)).cast("int").alias(f"s{s}")
-        for s in sorted(sample_ids)
-    ]
+    per_sample = [F.expr(f"int(sum(if(sample_id = {s}, cov, 0))) AS s{s}") for s in sorted(sample_ids)]
     return counts.groupBy(*keys).agg(*per_sample)
 
 

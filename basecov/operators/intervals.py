@@ -7,7 +7,7 @@ otherwise both sides are shuffled on (chromosome, bin) and adaptive execution sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import overlap_length, overlap_share, round_half_up
@@ -21,38 +21,33 @@ POSITION_NOT_FOUND = "PositionNotFound"
 EXON_NOT_FOUND = "ExonNotFound"
 
 
-def bin_of(position: Column, width: int) -> Column:
-    return F.call_function("div", position, F.lit(width)).cast("int")
+def bin_of(position: str, width: int) -> str:
+    return f"int({position} div {width})"
 
 
 def with_bins(df: DataFrame, start: str, end: str, width: int, name: str = "bin") -> DataFrame:
     """One row per bin that the interval touches; ``first_<name>`` keeps the first of them."""
-    first, last = bin_of(F.col(start), width), bin_of(F.col(end), width)
-    return df.select("*", first.alias(f"first_{name}"), F.explode(F.sequence(first, last)).alias(name))
+    first, last = bin_of(start, width), bin_of(end, width)
+    return df.selectExpr("*", f"{first} AS first_{name}", f"explode(sequence({first}, {last})) AS {name}")
 
 
 def binned_exons(exons: DataFrame, width: int) -> DataFrame:
     """Annotation rows prefixed ``e_``, expanded to bins."""
-    renamed = exons.select(
-        F.col("chrom").alias("e_chrom"),
-        F.col("gene_id").alias("e_gene"),
-        F.col("exon_id").alias("e_exon"),
-        F.col("start_pos").alias("e_start"),
-        F.col("end_pos").alias("e_end"),
+    renamed = exons.selectExpr(
+        "chrom AS e_chrom", "gene_id AS e_gene", "exon_id AS e_exon", "start_pos AS e_start", "end_pos AS e_end"
     )
     return with_bins(renamed, "e_start", "e_end", width, "e_bin")
 
 
-def join_exons(left: DataFrame, exons: DataFrame, width: int, condition: Column, how: str = "inner") -> DataFrame:
+def join_exons(left: DataFrame, exons: DataFrame, width: int, condition: str, how: str = "inner") -> DataFrame:
     """Join rows that already carry ``chrom``, ``bin`` and ``first_bin`` with the annotation."""
     right = broadcast_if_small(binned_exons(exons, width))
-    on = (
-        (F.col("chrom") == F.col("e_chrom"))
-        & (F.col("bin") == F.col("e_bin"))
-        & (F.col("bin") == F.greatest("first_bin", "first_e_bin"))
-        & condition
-    )
-    return left.join(right, on, how)
+    same_bin = "chrom = e_chrom AND bin = e_bin AND bin = greatest(first_bin, first_e_bin)"
+    return left.join(right, F.expr(f"{same_bin} AND {condition}"), how)
+
+
+def _known_chromosomes(exons: DataFrame) -> DataFrame:
+    return broadcast_if_small(exons.select(F.col("chrom").alias("known_chrom")).distinct())
 
 
 def map_regions_to_exons(regions: DataFrame, exons: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
@@ -61,33 +56,30 @@ def map_regions_to_exons(regions: DataFrame, exons: DataFrame, width: int = BIN_
     The region end is ``start_pos + length`` and an exon counts when the overlap is above 1. Regions without an exon
     get exon ``0`` and a gene entry telling whether the chromosome or only the position is unknown.
     """
-    measures = [c for c in regions.columns if c not in ("chrom", "start_pos", "length")]
-    left = with_bins(
-        regions.withColumn("stop_pos", F.col("start_pos") + F.col("length")), "start_pos", "stop_pos", width
-    )
-    overlap = overlap_length(F.col("start_pos"), F.col("stop_pos"), F.col("e_start"), F.col("e_end"))
-    pairs = join_exons(left, exons, width, overlap > 1, "left").withColumn(
-        "share", overlap_share(overlap, F.col("e_start"), F.col("e_end"))
-    )
+    carried = [c for c in regions.columns if c not in ("chrom", "start_pos")]
+    left = with_bins(regions.selectExpr("*", "start_pos + length AS stop_pos"), "start_pos", "stop_pos", width)
+    overlap = overlap_length("start_pos", "stop_pos", "e_start", "e_end")
+    pairs = join_exons(left, exons, width, f"{overlap} > 1", "left")
     # one exchange on the region key serves the choice of exons and the test for "nothing found"
-    keyed = pairs.repartition("chrom", "start_pos")
+    keyed = pairs.selectExpr(
+        "chrom", "start_pos", *carried, "e_gene", "e_start", "e_exon",
+        f"{overlap_share(overlap, 'e_start', 'e_end')} AS share",
+    ).repartition("chrom", "start_pos")
     best = keyed.groupBy("chrom", "start_pos", "e_gene").agg(
-        F.max(F.struct("share", "e_start", "e_exon")).alias("best"),
-        *[F.first(c).alias(c) for c in ["length", *measures]],
+        F.expr("max(struct(share, e_start, e_exon)) AS best"), *[F.expr(f"first({c}) AS {c}") for c in carried]
+    )
+    kept = best.selectExpr("*", "max(e_gene IS NOT NULL) OVER (PARTITION BY chrom, start_pos) AS found").where(
+        "e_gene IS NOT NULL OR NOT found"
     )
-    found = F.max(F.col("e_gene").isNotNull()).over(Window.partitionBy("chrom", "start_pos"))
-    kept = best.withColumn("found", found).where(F.col("e_gene").isNotNull() | ~F.col("found"))
-    known = exons.select(F.col("chrom").alias("known_chrom")).distinct()
-    tagged = kept.join(broadcast_if_small(known), F.col("chrom") == F.col("known_chrom"), "left")
-    missing = F.when(F.col("known_chrom").isNull(), CHROM_NOT_FOUND).otherwise(POSITION_NOT_FOUND)
-    return tagged.select(
+    tagged = kept.join(_known_chromosomes(exons), F.expr("chrom = known_chrom"), "left")
+    missing = f"if(known_chrom IS NULL, '{CHROM_NOT_FOUND}', '{POSITION_NOT_FOUND}')"
+    return tagged.selectExpr(
         "chrom",
         "start_pos",
-        "length",
-        *measures,
-        F.coalesce("e_gene", missing).alias("gene_id"),
-        F.coalesce("best.e_exon", F.lit(UNKNOWN_EXON)).alias("exon_id"),
-        F.coalesce(round_half_up(F.col("best.share"), 4), F.lit(0.0)).alias("overlap_pct"),
+        *carried,
+        f"coalesce(e_gene, {missing}) AS gene_id",
+        f"coalesce(best.e_exon, '{UNKNOWN_EXON}') AS exon_id",
+        f"coalesce({round_half_up('best.share', 4)}, 0D) AS overlap_pct",
     )
 
 
@@ -97,41 +89,30 @@ def lookup_exon_at(points: DataFrame, exons: DataFrame, width: int = BIN_WIDTH)
     The exons of a bin travel as one array, so each point stays one row and nothing is grouped afterwards. No exon
     gives empty names and zero coordinates; an unknown chromosome gives ``ExonNotFound`` and exon ``0``.
     """
-    entry = F.struct(
-        F.col("e_start").alias("start_pos"),
-        F.col("e_exon").alias("exon_id"),
-        F.col("e_gene").alias("gene_id"),
-        F.col("e_end").alias("end_pos"),
-    )
+    entry = "struct(e_start AS start_pos, e_exon AS exon_id, e_gene AS gene_id, e_end AS end_pos)"
     per_bin = (
         binned_exons(exons, width)
         .groupBy("e_chrom", "e_bin")
-        .agg(F.array_sort(F.collect_list(entry)).alias("bin_exons"))
+        .agg(F.expr(f"array_sort(collect_list({entry})) AS bin_exons"))
+    )
+    joined = (
+        points.selectExpr("*", f"{bin_of('pos', width)} AS bin")
+        .join(broadcast_if_small(per_bin), F.expr("chrom = e_chrom AND bin = e_bin"), "left")
+        .join(_known_chromosomes(exons), F.expr("chrom = known_chrom"), "left")
     )
-    known = exons.select(F.col("chrom").alias("known_chrom")).distinct()
-    keyed = points.withColumn("bin", bin_of(F.col("pos"), width))
-    joined = keyed.join(
-        broadcast_if_small(per_bin), (F.col("chrom") == F.col("e_chrom")) & (F.col("bin") == F.col("e_bin")), "left"
-    ).join(broadcast_if_small(known), F.col("chrom") == F.col("known_chrom"), "left")
-    holds = F.filter("bin_exons", lambda e: F.col("pos").between(e["start_pos"], e["end_pos"]))
-    hit = F.get(holds, F.lit(0))
-    unknown = F.col("known_chrom").isNull()
-    return joined.withColumn("hit", hit).select(
+    hit = "get(filter(bin_exons, e -> pos BETWEEN e.start_pos AND e.end_pos), 0)"
+    return joined.selectExpr("*", f"{hit} AS hit").selectExpr(
         *points.columns,
-        F.coalesce("hit.gene_id", F.when(unknown, EXON_NOT_FOUND).otherwise("")).alias("gene_id"),
-        F.coalesce("hit.exon_id", F.when(unknown, UNKNOWN_EXON).otherwise("")).alias("exon_id"),
-        F.coalesce("hit.start_pos", F.lit(0)).alias("exon_start"),
-        F.coalesce("hit.end_pos", F.lit(0)).alias("exon_end"),
+        f"coalesce(hit.gene_id, if(known_chrom IS NULL, '{EXON_NOT_FOUND}', '')) AS gene_id",
+        f"coalesce(hit.exon_id, if(known_chrom IS NULL, '{UNKNOWN_EXON}', '')) AS exon_id",
+        "coalesce(hit.start_pos, 0) AS exon_start",
+        "coalesce(hit.end_pos, 0) AS exon_end",
     )
 
 
 def lookup_exon_range(rows: DataFrame, exons: DataFrame) -> DataFrame:
     """Add the coordinates of ``(gene_id, exon_id)``."""
-    ranges = exons.select(
-        "gene_id",
-        "exon_id",
-        F.col("chrom").alias("exon_chrom"),
-        F.col("start_pos").alias("exon_start"),
-        F.col("end_pos").alias("exon_end"),
+    ranges = exons.selectExpr(
+        "gene_id", "exon_id", "chrom AS exon_chrom", "start_pos AS exon_start", "end_pos AS exon_end"
     )
     return rows.join(broadcast_if_small(ranges), ["gene_id", "exon_id"])

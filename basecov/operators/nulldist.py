@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basecov.functions.stats import cvm_scale, cvm_score, cvm_score_bound, split_cvm_score, split_gaps
 from basecov.operators.vectors import Groups
 
 ENUMERATED_SIZE = 22
+MASKS_PER_TASK = 1 << 16
 P_VALUE_BINS = 65_536
 
 
 def _enumerated(spark: SparkSession, n: int, m: int) -> DataFrame:
     """``(score, ways)`` by listing every choice of ``n`` of the ``n + m`` ranks as a bit mask."""
-    ranks = [F.lit((1 << (j + 1)) - 1) for j in range(n + m)]
-    splits = spark.range(1 << (n + m)).where(F.bit_count("id") == n)
-    score = split_cvm_score(split_gaps(ranks, F.col("id"), n, m))
-    return splits.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("ways"))
+    size = n + m
+    ranks = [f"{(1 << (j + 1)) - 1}L" for j in range(size)]
+    splits = spark.range(0, 1 << size, 1, max(1, (1 << size) // MASKS_PER_TASK)).where(f"bit_count(id) = {n}")
+    score = split_cvm_score(split_gaps(ranks, "id", n, m))
+    return splits.selectExpr(f"{score} AS score").groupBy("score").agg(F.expr("count(*) AS ways"))
 
 
 def _lattice(spark: SparkSession, n: int, m: int) -> DataFrame:
@@ -28,13 +30,13 @@ def _lattice(spark: SparkSession, n: int, m: int) -> DataFrame:
     A split is a lattice path from (0, 0) to (n, m); a path through (i, j) adds ``(m i - n j)^2``. Paths that agree on
     the place and on the score so far are counted together.
     """
-    state = spark.range(1).select(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("score"), F.lit(1).cast("bigint").alias("ways"))
+    state = spark.range(1).selectExpr("0 AS i", "0L AS score", "1L AS ways")
     for step in range(1, n + m + 1):
-        moved = state.select(F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("i"), "score", "ways")
-        inside = moved.where((F.col("i") <= n) & (F.lit(step) - F.col("i") <= m))
-        gap = F.col("i") * m - (F.lit(step) - F.col("i")) * n
+        moved = state.selectExpr("explode(array(i, i + 1)) AS i", "score", "ways")
+        gap = f"bigint(i * {m} - ({step} - i) * {n})"
         state = (
-            inside.select("i", (F.col("score") + gap * gap).alias("score"), "ways")
+            moved.where(f"i <= {n} AND {step} - i <= {m}")
+            .selectExpr("i", f"score + {gap} * {gap} AS score", "ways")
             .groupBy("i", "score")
             .agg(F.sum("ways").alias("ways"))
         )
@@ -44,27 +46,25 @@ def _lattice(spark: SparkSession, n: int, m: int) -> DataFrame:
 def cvm_null(spark: SparkSession, n: int, m: int) -> DataFrame:
     """Null distribution ``(score, t, ways, cdf, tail)``; ``tail`` is the chance of a statistic of at least ``t``.
 
-    Its size depends on the group sizes only, so the running sums over it use one partition.
+    Its size depends on the group sizes only, so the running sum over it uses one partition.
     """
-    if math.comb(n + m, n) >= 1 << 63:
+    total = math.comb(n + m, n)
+    if total >= 1 << 63:
         raise ValueError("the number of splits does not fit a BIGINT; read a table with read_null_table instead")
     ways = _enumerated(spark, n, m) if n + m <= ENUMERATED_SIZE else _lattice(spark, n, m)
-    total = F.lit(float(math.comb(n + m, n)))
-    upward = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    downward = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ways.select(
+    counted = ways.selectExpr("*", "sum(ways) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS reached")
+    return counted.selectExpr(
         "score",
-        (F.col("score") / F.lit(float(cvm_scale(n, m)))).alias("t"),
+        f"score / {cvm_scale(n, m)}D AS t",
         "ways",
-        (F.sum("ways").over(upward) / total).alias("cdf"),
-        (F.sum("ways").over(downward) / total).alias("tail"),
+        f"reached / {total}D AS cdf",
+        f"({total}L - reached + ways) / {total}D AS tail",
     )
 
 
 def tails_of_table(table: DataFrame) -> DataFrame:
     """``(score, tail)`` of a table that gives cumulative probabilities ``(score, cdf)``."""
-    before = F.lag("cdf", 1, 0.0).over(Window.orderBy("score"))
-    return table.select("score", (F.lit(1.0) - before).alias("tail"))
+    return table.selectExpr("score", "1D - lag(cdf, 1, 0D) OVER (ORDER BY score) AS tail")
 
 
 def p_value_steps(null: DataFrame, n: int, m: int, bins: int = P_VALUE_BINS) -> tuple[DataFrame, int]:
@@ -75,14 +75,12 @@ def p_value_steps(null: DataFrame, n: int, m: int, bins: int = P_VALUE_BINS) ->
     """
     bound = cvm_score_bound(n, m)
     width = max(1, math.ceil(bound / bins))
-    by_score = Window.orderBy("score")
-    steps = null.select(
-        (F.coalesce(F.lag("score").over(by_score), F.lit(-1)) + 1).alias("p_lo"),
-        F.when(F.lead("score").over(by_score).isNull(), F.lit(bound)).otherwise(F.col("score")).alias("p_hi"),
-        F.col("tail").alias("p"),
+    steps = null.selectExpr(
+        "coalesce(lag(score) OVER (ORDER BY score), -1L) + 1 AS p_lo",
+        f"if(lead(score) OVER (ORDER BY score) IS NULL, {bound}L, score) AS p_hi",
+        "tail AS p",
     )
-    first, last = (F.call_function("div", F.col(c), F.lit(width)) for c in ("p_lo", "p_hi"))
-    return steps.select(F.explode(F.sequence(first, last)).alias("p_bin"), "p_lo", "p_hi", "p"), width
+    return steps.selectExpr(f"explode(sequence(p_lo div {width}, p_hi div {width})) AS p_bin", "*"), width
 
 
 def with_cvm_p_value(
@@ -97,13 +95,9 @@ def with_cvm_p_value(
     null = cvm_null(df.sparkSession, n, m) if null is None else null
     steps, width = p_value_steps(null, n, m)
     if max_p is not None:
-        steps = steps.where(F.col("p") <= max_p)
+        steps = steps.where(f"p <= {max_p}")
     if n + m <= ENUMERATED_SIZE:
         steps = F.broadcast(steps)
-    score = cvm_score([F.col(c) for c in groups.case_columns], [F.col(c) for c in groups.control_columns])
-    scored = df.withColumn("score", score)
-    on = (F.call_function("div", F.col("score"), F.lit(width)) == F.col("p_bin")) & F.col("score").between(
-        F.col("p_lo"), F.col("p_hi")
-    )
-    t = F.col("score") / F.lit(float(cvm_scale(n, m)))
-    return scored.join(steps, on).withColumn("t", t).drop("p_bin", "p_lo", "p_hi")
+    scored = df.selectExpr("*", f"{cvm_score(groups.case_columns, groups.control_columns)} AS score")
+    joined = scored.join(steps, F.expr(f"score div {width} = p_bin AND score BETWEEN p_lo AND p_hi"))
+    return joined.selectExpr(*df.columns, "score", f"score / {cvm_scale(n, m)}D AS t", "p")

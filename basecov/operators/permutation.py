@@ -10,13 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basecov.functions.scalars import pooled, split_by_mask, split_count
+from basecov.functions.scalars import split_by_mask, split_count
 from basecov.functions.stats import (
     Statistic,
     combine_max,
     cvm_statistic,
     ks_statistic,
-    rank_masks,
+    rank_mask,
     split_cvm_score,
     split_gaps,
     split_ks_score,
@@ -24,6 +24,7 @@ from basecov.functions.stats import (
 from basecov.operators.vectors import Groups
 
 TOLERANCE = 1e-9
+BUILT_IN = (cvm_statistic, ks_statistic)
 
 
 def split_masks(n: int, m: int, max_splits: int, seed: int = 0) -> list[int]:
@@ -38,17 +39,16 @@ def split_masks(n: int, m: int, max_splits: int, seed: int = 0) -> list[int]:
     return sorted(masks)
 
 
-def _mask_array(masks: Sequence[int]) -> Column:
+def _mask_array(masks: Sequence[int]) -> str:
     """The masks as one constant array, written as text so that the plan stays small."""
-    text = ",".join(map(str, masks))
-    return F.transform(F.split(F.lit(text), ","), lambda s: s.cast("bigint"))
+    return f"transform(split('{','.join(map(str, masks))}', ','), s -> bigint(s))"
 
 
 def permutation_test(
     df: DataFrame,
     keys: Sequence[str],
     groups: Groups,
-    statistics: Sequence[Statistic] = (cvm_statistic, ks_statistic),
+    statistics: Sequence[Statistic] = BUILT_IN,
     max_splits: int = 1000,
     seed: int = 0,
 ) -> DataFrame:
@@ -56,37 +56,46 @@ def permutation_test(
 
     ``df`` holds one row per key with the count columns of ``groups``. Each row is expanded to its splits and folded
     back within its task, because rows of one key never leave it before partial aggregation; only (key, share)
-    reaches a shuffle, if any. The built-in statistics are compared as exact integers over bit masks; any other
-    ``(x, y) -> Column`` works on the split arrays.
+    reaches a shuffle, if any. The built-in statistics are compared as exact integers over bit masks; any other one
+    works on the split arrays ``x`` and ``y``.
     """
     n, m = len(groups.case), len(groups.control)
-    masks = split_masks(n, m, max_splits, seed)
-    observed_mask = F.lit((1 << n) - 1).cast("bigint")
-    built_in = all(s in (cvm_statistic, ks_statistic) for s in statistics)
-    counts = [F.col(c) for c in groups.columns]
-    if built_in:
-        names = [f"below{i}" for i in range(n + m)]
-        prepared = df.withColumns(dict(zip(names, rank_masks(counts))))
-
-        def score(split: Column) -> Column:
-            gaps = split_gaps([F.col(c) for c in names], split, n, m)
-            forms = {cvm_statistic: lambda: split_cvm_score(gaps), ks_statistic: lambda: split_ks_score(gaps, n, m)}
-            return combine_max([forms[s]() for s in statistics])
-
-        reached = score(F.col("split")) >= F.col("observed")
+    explode = f"explode({_mask_array(split_masks(n, m, max_splits, seed))}) AS split"
+    if all(s in BUILT_IN for s in statistics):
+        scored = _bit_scores(df, groups, statistics, explode)
     else:
-        prepared = df.withColumn(
-            "values", pooled(F.array(*groups.case_columns), F.array(*groups.control_columns))
-        )
-        names = ["values"]
-
-        def score(split: Column) -> Column:
-            x, y = split_by_mask(F.col("values"), split)
-            return combine_max([s(x, y) for s in statistics])
-
-        reached = score(F.col("split")) >= F.col("observed") - TOLERANCE
-    kept = [c for c in df.columns if c not in keys]
-    tried = prepared.withColumn("observed", score(observed_mask)).withColumn("split", F.explode(_mask_array(masks)))
-    share = F.count_if(reached) / F.lit(float(split_count(n + m, n, max_splits)))
-    folded = tried.groupBy(*keys).agg(share.alias("p2"), *[F.first(c).alias(c) for c in kept])
-    return folded.select(*df.columns, "p2")
+        scored = _array_scores(df, groups, statistics, explode)
+    share = f"count_if(score >= observed) / {split_count(n + m, n, max_splits)}D AS p2"
+    kept = [F.expr(f"first({c}) AS {c}") for c in df.columns if c not in keys]
+    return scored.groupBy(*keys).agg(F.expr(share), *kept).select(*df.columns, "p2")
+
+
+def _bit_scores(df: DataFrame, groups: Groups, statistics: Sequence[Statistic], explode: str) -> DataFrame:
+    n, m = len(groups.case), len(groups.control)
+    masks = [f"below{i}" for i in range(n + m)]
+
+    def score(split: str) -> str:
+        gaps = split_gaps(masks, split, n, m)
+        forms = {cvm_statistic: split_cvm_score(gaps), ks_statistic: split_ks_score(gaps, n, m)}
+        return combine_max([forms[s] for s in statistics])
+
+    ranked = df.selectExpr("*", *[f"{rank_mask(groups.columns, c)} AS {name}" for c, name in zip(groups.columns, masks)])
+    tried = ranked.selectExpr("*", f"{score(f'{(1 << n) - 1}L')} AS observed").selectExpr("*", explode)
+    return tried.selectExpr(*df.columns, "observed", f"{score('split')} AS score")
+
+
+def _array_scores(df: DataFrame, groups: Groups, statistics: Sequence[Statistic], explode: str) -> DataFrame:
+    def largest() -> Column:
+        made = [s("x", "y") for s in statistics]
+        columns = [c if isinstance(c, Column) else F.expr(c) for c in made]
+        return columns[0] if len(columns) == 1 else F.greatest(*columns)
+
+    def vectors(split: str) -> list[str]:
+        x, y = split_by_mask("pooled", split)
+        return [f"{x} AS x", f"{y} AS y"]
+
+    counts = ", ".join(groups.columns)
+    pooled = df.selectExpr(*df.columns, f"array({counts}) AS pooled")
+    first = pooled.selectExpr("*", *vectors(f"{(1 << len(groups.case)) - 1}L")).withColumn("observed", largest())
+    tried = first.selectExpr(*df.columns, "pooled", f"observed - {TOLERANCE}D AS observed", explode)
+    return tried.selectExpr("*", *vectors("split")).withColumn("score", largest())

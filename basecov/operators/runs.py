@@ -1,109 +1,67 @@
 """Runs of neighbouring significant bases, and merging of neighbouring regions.
 
 Both are chains: a row joins the row before it when it starts where that one expects its successor. Chains are built
-inside fixed tiles first, each with a window of bounded size. Only the first and the last chain of a tile can go on
-in another tile; these, at most two per tile, are chained again over the whole group, so no task ever holds more rows
+inside fixed tiles first, each with a window of bounded size. Only a chain at the border of a tile can go on in
+another tile; these, at most two per tile, are chained again over the whole group, so no task ever holds more rows
 than there are tiles, however many bases a chromosome has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import round_half_up
 from basecov.operators.coverage import TILE
 from basecov.operators.intervals import UNKNOWN_EXON, bin_of
 
-_FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
+BORDER_SLOT = -1
 
 
-def chain(
-    df: DataFrame,
-    keys: Sequence[str],
-    measures: Mapping[str, str],
-    same: Sequence[str] = (),
-) -> DataFrame:
-    """Fold chained rows of each key into one row ``(keys, start_pos, next_pos, same, measures)``.
+def contiguous_runs(tested: DataFrame, equal_p: bool = False, tile: int = TILE) -> DataFrame:
+    """Runs of neighbouring tested bases: ``(chrom, start_pos, length, p, fc, avg_a, avg_b)``.
 
-    A row ``(keys, tile, start_pos, next_pos, ...)`` continues the row before it in the order of ``start_pos`` when
-    ``start_pos`` equals that row's ``next_pos`` and the columns of ``same`` are equal. ``measures`` maps a column to
-    ``sum``, ``max`` or ``min``.
-    """
+    ``tested`` holds stretches ``(chrom, tile, start_pos, end_pos, p, fc, avg_a, avg_b)`` that do not overlap. The
+    p-value is the largest of the run, fold change and coverages are means over its bases. With ``equal_p`` a run
+    ends where p changes.
 
-    def breaks(window) -> Column:
-        goes_on = F.lag("next_pos").over(window) == F.col("start_pos")
-        for name in same:
-            goes_on = goes_on & (F.lag(name).over(window) == F.col(name))
-        return F.when(goes_on, 0).otherwise(1)
-
-    def folded(rows: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
-        return rows.groupBy(*by).agg(
-            F.min("start_pos").alias("start_pos"),
-            F.max("next_pos").alias("next_pos"),
-            *[F.max(name).alias(name) for name in same],
-            *[_FOLD[how](name).alias(name) for name, how in measures.items()],
-            *more,
+    Inside a run, the position behind a stretch minus the number of bases so far is constant, and it grows with every
+    gap: it serves as the number of the run.
+    """
+    keys = ["chrom", "p"] if equal_p else ["chrom"]
+    measures = ["length", "fc", "avg_a", "avg_b"]
+
+    def numbered(rows: DataFrame, part: str) -> DataFrame:
+        so_far = f"sum(length) OVER (PARTITION BY {', '.join(keys)}, {part} ORDER BY start_pos ROWS UNBOUNDED PRECEDING)"
+        return rows.selectExpr(*keys, part, "start_pos", "next_pos", *measures, *p_column, f"next_pos - {so_far} AS run")
+
+    def folded(rows: DataFrame, part: str) -> DataFrame:
+        return rows.groupBy(*keys, part, "run").agg(
+            F.expr("min(start_pos) AS start_pos"),
+            F.expr("max(next_pos) AS next_pos"),
+            *[F.expr(f"sum({c}) AS {c}") for c in measures],
+            *[F.expr(f"max({c}) AS {c}") for c in p_column],
         )
 
-    inner = Window.partitionBy(*keys, "tile").orderBy("start_pos")
-    so_far = Window.unboundedPreceding, Window.currentRow
-    marked = df.select(
-        *keys,
-        "tile",
-        "start_pos",
-        "next_pos",
-        *same,
-        *measures,
-        breaks(inner).alias("brk"),
-        F.lead("start_pos").over(inner).isNull().alias("last_row"),
-    )
-    numbered = marked.withColumn("run", F.sum("brk").over(inner.rowsBetween(*so_far)))
-    local = folded(numbered, [*keys, "tile", "run"], F.max("last_row").alias("last_run"))
-
-    # border chains share slot -1 of their key; the others stay in slots of their own tile
-    border = (F.col("run") == 1) | F.col("last_run")
-    slotted = local.withColumn("slot", F.when(border, -1).otherwise(F.col("tile")))
-    outer = Window.partitionBy(*keys, "slot").orderBy("start_pos")
-    joined = slotted.withColumn("brk", breaks(outer)).withColumn("run", F.sum("brk").over(outer.rowsBetween(*so_far)))
-    return folded(joined, [*keys, "slot", "run"]).drop("slot", "run")
-
-
-def _weighted(column: str) -> Column:
-    return (F.col(column) * F.col("length")).alias(column)
-
-
-def contiguous_runs(tested: DataFrame, equal_p: bool = False) -> DataFrame:
-    """Runs of neighbouring tested bases: ``(chrom, start_pos, length, p, fc, avg_a, avg_b)``.
-
-    ``tested`` holds stretches ``(chrom, tile, start_pos, end_pos, p, fc, avg_a, avg_b)``. The p-value is the largest
-    of the run, fold change and coverages are means over its bases. With ``equal_p`` a run ends where p changes.
-    """
-    rows = tested.withColumns(
-        {"next_pos": F.col("end_pos") + 1, "length": (F.col("end_pos") - F.col("start_pos") + 1).cast("bigint")}
-    ).select(
+    p_column = [] if equal_p else ["p"]
+    size = "(end_pos - start_pos + 1)"
+    rows = tested.selectExpr(
         "chrom",
         "tile",
         "start_pos",
-        "next_pos",
-        "length",
+        "end_pos + 1 AS next_pos",
         "p",
-        _weighted("fc"),
-        _weighted("avg_a"),
-        _weighted("avg_b"),
+        f"bigint({size}) AS length",
+        *[f"{c} * {size} AS {c}" for c in ("fc", "avg_a", "avg_b")],
     )
-    measures = {"length": "sum", "fc": "sum", "avg_a": "sum", "avg_b": "sum"}
-    if not equal_p:
-        measures["p"] = "max"
-    runs = chain(rows, ["chrom"], measures, ["p"] if equal_p else [])
-    return runs.select(
-        "chrom",
-        "start_pos",
-        F.col("length").cast("int").alias("length"),
-        "p",
-        *[(F.col(c) / F.col("length")).alias(c) for c in ("fc", "avg_a", "avg_b")],
+    local = folded(numbered(rows, "tile"), "tile")
+    at_border = f"start_pos = tile * {tile} OR next_pos = (tile + 1) * {tile}"
+    slotted = local.selectExpr("*", f"if({at_border}, {BORDER_SLOT}, tile) AS slot")
+    runs = folded(numbered(slotted, "slot"), "slot")
+    return runs.selectExpr(
+        "chrom", "start_pos", "int(length) AS length", "p", *[f"{c} / length AS {c}" for c in measures[1:]]
     )
 
 
@@ -120,61 +78,82 @@ def merge_regions(
     ``any_p`` their p-values must be equal too. ``adjacent`` also merges regions with no base between them. Result:
     largest p, summed length and overlap, length-weighted fold change and coverages, and ``length >= min_length``.
     """
-    gene = F.when(F.col("exon_id") == UNKNOWN_EXON, F.concat(F.lit("NEWREG"), F.col("chrom"))).otherwise(
-        F.col("gene_id")
-    )
-    rows = regions.withColumns(
-        {
-            "gene_id": gene,
-            "sign": F.signum("fc"),
-            "tile": bin_of(F.col("start_pos"), tile),
-            "length": F.col("length").cast("bigint"),
-        }
+    gene = f"if(exon_id = '{UNKNOWN_EXON}', concat('NEWREG', chrom), gene_id) AS gene_id"
+    rows = regions.selectExpr(
+        gene,
+        "exon_id",
+        "chrom",
+        "start_pos",
+        "start_pos + length AS stop_pos",
+        "bigint(length) AS length",
+        "p",
+        "signum(fc) AS sign",
+        "overlap_pct",
+        *[f"{c} * length AS {c}" for c in ("fc", "avg_a", "avg_b")],
     )
-    keys = ["gene_id", "exon_id", "chrom"]
-    measures = {"length": "sum", "overlap_pct": "sum", "fc": "sum", "avg_a": "sum", "avg_b": "sum"}
-    if any_p:
-        measures["p"] = "max"
-    same = ["sign"] if any_p else ["sign", "p"]
-    behind = F.col("start_pos") + F.col("length")
-    weighted = [_weighted("fc"), _weighted("avg_a"), _weighted("avg_b")]
-    rest = ["tile", "start_pos", "length", "p", "sign", "overlap_pct"]
-    if adjacent:
-        touching = rows.select(*keys, *rest, behind.alias("next_pos"), *weighted)
-        rows = chain(touching, keys, {**measures}, same).withColumn(
-            "tile", bin_of(F.col("start_pos"), tile)
-        ).withColumn("next_pos", F.col("next_pos") + 1)
-    else:
-        rows = rows.select(*keys, *rest, (behind + 1).alias("next_pos"), *weighted)
-    merged = chain(rows, keys, measures, same).where(F.col("length") >= min_length)
-    return merged.select(
+    gap = "IN (0, 1)" if adjacent else "= 1"
+    merged = _merge_chains(rows, gap, ["sign"] if any_p else ["sign", "p"], tile).where(f"length >= {min_length}")
+    return merged.selectExpr(
         "chrom",
         "start_pos",
-        F.col("length").cast("int").alias("length"),
+        "int(length) AS length",
         "p",
-        (F.col("fc") / F.col("length")).alias("fc"),
+        "fc / length AS fc",
         "gene_id",
         "exon_id",
-        round_half_up(F.col("overlap_pct"), 4).alias("overlap_pct"),
-        (F.col("avg_a") / F.col("length")).alias("avg_a"),
-        (F.col("avg_b") / F.col("length")).alias("avg_b"),
+        f"{round_half_up('overlap_pct', 4)} AS overlap_pct",
+        "avg_a / length AS avg_a",
+        "avg_b / length AS avg_b",
     )
 
 
+def _merge_chains(rows: DataFrame, gap: str, same: Sequence[str], tile: int) -> DataFrame:
+    """Fold rows of one exon whose distance to the row before satisfies ``gap`` and that agree in ``same``."""
+    keys = ["gene_id", "exon_id", "chrom"]
+    sums = ["length", "overlap_pct", "fc", "avg_a", "avg_b"]
+    columns = [*keys, "start_pos", "stop_pos", "sign", "p", *sums]
+
+    def numbered(df: DataFrame, part: str) -> DataFrame:
+        over = f"OVER (PARTITION BY {', '.join(keys)}, {part} ORDER BY start_pos"
+        agree = "".join(f" AND {c} = lag({c}) {over})" for c in same)
+        marked = df.selectExpr(
+            *columns,
+            part,
+            f"if(start_pos - lag(stop_pos) {over}) {gap}{agree}, 0, 1) AS brk",
+            f"lead(start_pos) {over}) IS NULL AS last_row",
+        )
+        return marked.selectExpr("*", f"sum(brk) {over} ROWS UNBOUNDED PRECEDING) AS run")
+
+    def folded(df: DataFrame, part: str) -> DataFrame:
+        return df.groupBy(*keys, part, "run").agg(
+            F.expr("min(start_pos) AS start_pos"),
+            F.expr("max(stop_pos) AS stop_pos"),
+            F.expr("max(sign) AS sign"),
+            F.expr("max(p) AS p"),
+            *[F.expr(f"sum({c}) AS {c}") for c in sums],
+            F.expr("max(last_row) AS last_run"),
+        )
+
+    local = folded(numbered(rows.selectExpr("*", f"{bin_of('start_pos', tile)} AS tile"), "tile"), "tile")
+    slotted = local.selectExpr(*columns, f"if(run = 1 OR last_run, {BORDER_SLOT}, tile) AS slot")
+    return folded(numbered(slotted, "slot"), "slot").select(*columns)
+
+
 def running_number(df: DataFrame, order: Sequence[str], tile: int = TILE) -> DataFrame:
     """Add ``number`` = 1, 2, ... in the order ``(chrom, start_pos, *order)`` without sorting everything in one task.
 
     Rows are numbered inside tiles; the counts of the earlier tiles of the chromosome and of the earlier chromosomes
     are added from two small tables.
     """
-    tiled = df.withColumn("tile", bin_of(F.col("start_pos"), tile))
-    per_tile = tiled.groupBy("chrom", "tile").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.unboundedPreceding, -1
-    in_chrom = F.coalesce(F.sum("n").over(Window.partitionBy("chrom").orderBy("tile").rowsBetween(*before)), F.lit(0))
-    in_genome = F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(*before)), F.lit(0))
-    per_chrom = per_tile.groupBy("chrom").agg(F.sum("n").alias("n")).select("chrom", in_genome.alias("chrom_offset"))
-    offsets = per_tile.select("chrom", "tile", in_chrom.alias("tile_offset")).join(per_chrom, "chrom")
-    inside = F.row_number().over(Window.partitionBy("chrom", "tile").orderBy("start_pos", *order))
-    numbered = tiled.withColumn("inside", inside).join(offsets, ["chrom", "tile"])
-    number = (F.col("inside") + F.col("tile_offset") + F.col("chrom_offset")).alias("number")
-    return numbered.select(*df.columns, number)
+    tiled = df.selectExpr("*", f"{bin_of('start_pos', tile)} AS tile")
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    per_tile = tiled.groupBy("chrom", "tile").agg(F.expr("count(*) AS n"))
+    per_chrom = per_tile.groupBy("chrom").agg(F.sum("n").alias("n"))
+    tile_offsets = per_tile.selectExpr(
+        "chrom", "tile", f"coalesce(sum(n) OVER (PARTITION BY chrom ORDER BY tile {before}), 0L) AS tile_offset"
+    )
+    chrom_offsets = per_chrom.selectExpr("chrom", f"coalesce(sum(n) OVER (ORDER BY chrom {before}), 0L) AS chrom_offset")
+    inside = f"row_number() OVER (PARTITION BY chrom, tile ORDER BY {', '.join(['start_pos', *order])})"
+    numbered = tiled.selectExpr("*", f"{inside} AS inside").join(tile_offsets, ["chrom", "tile"])
+    number = "inside + tile_offset + chrom_offset AS number"
+    return numbered.join(chrom_offsets, "chrom").selectExpr(*df.columns, number)

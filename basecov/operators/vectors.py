@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import ratio, scale_count
@@ -44,30 +44,28 @@ class Groups:
     def columns(self) -> list[str]:
         return self.case_columns + self.control_columns
 
-    def scaled(self, index: int, count: Column) -> Column:
+    def scaled(self, index: int, count: str) -> str:
         factor = (self.factors or {}).get(self.ids[index], 1.0)
-        return count.cast("int") if factor == 1.0 else scale_count(count, F.lit(float(factor)))
+        return f"int({count})" if factor == 1.0 else scale_count(count, f"{factor!r}D")
 
-    def of(self, sample_id: str = "sample_id") -> Column:
-        return F.col(sample_id).isin(list(self.ids))
-
-
-def _mean(columns: Sequence[str]) -> Column:
-    total = F.col(columns[0])
-    for name in columns[1:]:
-        total = total + F.col(name)
-    return total.cast("double") / F.lit(float(len(columns)))
+    def of(self, reads: DataFrame) -> DataFrame:
+        return reads.where(F.col("sample_id").isin(list(self.ids)))
 
 
 def _with_means(df: DataFrame, groups: Groups) -> DataFrame:
-    means = df.withColumns({"avg_a": _mean(groups.case_columns), "avg_b": _mean(groups.control_columns)})
-    return means.withColumn("fc", ratio(F.col("avg_a"), F.col("avg_b")))
+    total_a, total_b = " + ".join(groups.case_columns), " + ".join(groups.control_columns)
+    means = df.selectExpr(
+        "*",
+        f"double({total_a}) / {len(groups.case)}D AS avg_a",
+        f"double({total_b}) / {len(groups.control)}D AS avg_b",
+    )
+    return means.selectExpr("*", f"{ratio('avg_a', 'avg_b')} AS fc")
 
 
 def with_vectors(df: DataFrame, groups: Groups) -> DataFrame:
     """Replace the count columns by the arrays ``x`` (case) and ``y`` (control)."""
-    arrays = df.withColumns({"x": F.array(*groups.case_columns), "y": F.array(*groups.control_columns)})
-    return arrays.drop(*groups.columns)
+    others = [c for c in df.columns if c not in groups.columns]
+    return df.select(*others, F.array(*groups.case_columns).alias("x"), F.array(*groups.control_columns).alias("y"))
 
 
 def group_segments(
@@ -85,32 +83,29 @@ def group_segments(
     a mean of at least ``min_coverage`` in one group. A sample without reads contributes zeros. This is the full outer
     join of the two groups' base coverages, done by one aggregation per position of change.
     """
-    changes = depth_changes(range_blocks(reads.where(groups.of()), chrom, start, end), tile)
+    changes = depth_changes(range_blocks(groups.of(reads), chrom, start, end), tile)
+    columns = groups.columns
     per_sample = [
-        F.sum(F.when(F.col("sample_id") == s, F.col("change")).otherwise(0)).alias(f"c{i}")
-        for i, s in enumerate(groups.ids)
+        F.expr(f"sum(if(sample_id = {s}, change, 0)) AS {name}") for s, name in zip(groups.ids, columns)
     ]
-    summed = changes.groupBy("chrom", "tile", "pos").agg(*per_sample)
-    moved = F.lit(False)
-    for name in groups.columns:
-        moved = moved | (F.col(name) != 0)
-    ordered = Window.partitionBy("chrom", "tile").orderBy("pos")
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    segments = summed.where(moved).select(
+    summed = changes.groupBy("chrom", "tile", "start_pos").agg(*per_sample)
+    in_tile = "OVER (PARTITION BY chrom, tile ORDER BY start_pos"
+    depths = summed.where(" OR ".join(f"{name} <> 0" for name in columns)).selectExpr(
         "chrom",
         "tile",
-        F.col("pos").alias("start_pos"),
-        (F.lead("pos").over(ordered) - 1).alias("end_pos"),
-        *[F.sum(name).over(running).alias(name) for name in groups.columns],
+        "start_pos",
+        f"lead(start_pos) {in_tile}) - 1 AS end_pos",
+        *[f"sum({name}) {in_tile} ROWS UNBOUNDED PRECEDING) AS {name}" for name in columns],
     )
-    covered = F.lit(False)
-    for name in groups.columns:
-        covered = covered | (F.col(name) > 0)
-    counts = segments.where(covered).withColumns(
-        {name: F.coalesce(groups.scaled(i, F.col(name)), F.lit(0)) for i, name in enumerate(groups.columns)}
+    covered = depths.where(" OR ".join(f"{name} > 0" for name in columns))
+    counts = covered.selectExpr(
+        "chrom",
+        "tile",
+        "start_pos",
+        "end_pos",
+        *[f"coalesce({groups.scaled(i, name)}, 0) AS {name}" for i, name in enumerate(columns)],
     )
-    deep = (F.col("avg_a") >= min_coverage) | (F.col("avg_b") >= min_coverage)
-    return _with_means(counts, groups).where(deep)
+    return _with_means(counts, groups).where(f"avg_a >= {min_coverage} OR avg_b >= {min_coverage}")
 
 
 def region_vectors(
@@ -121,11 +116,9 @@ def region_vectors(
     width: int = BIN_WIDTH,
 ) -> DataFrame:
     """Both groups' feature counts ``(gene_id, exon_id, c0..cN-1, avg_a, avg_b, fc)``."""
-    hits = region_hits(reads.where(groups.of()), exons, union_mode, width)
+    hits = region_hits(groups.of(reads), exons, union_mode, width)
     per_sample = [
-        F.coalesce(
-            groups.scaled(i, F.sum(F.when(F.col("sample_id") == s, F.col("n")).otherwise(0))), F.lit(0)
-        ).alias(f"c{i}")
+        F.expr(f"coalesce({groups.scaled(i, f'sum(if(sample_id = {s}, n, 0))')}, 0) AS c{i}")
         for i, s in enumerate(groups.ids)
     ]
     return _with_means(hits.groupBy("gene_id", "exon_id").agg(*per_sample), groups)
@@ -141,10 +134,10 @@ def exon_count_join(
     """
     vectors = region_vectors(reads, exons, groups, width=width)
 
-    def seen(columns: Sequence[str]) -> Column:
-        return F.filter(F.array(*columns), lambda c: c > 0)
+    def seen(columns: Sequence[str]) -> str:
+        return f"filter(array({', '.join(columns)}), c -> c > 0)"
 
-    pairs = vectors.select(
-        "gene_id", "exon_id", seen(groups.case_columns).alias("x"), seen(groups.control_columns).alias("y")
+    pairs = vectors.selectExpr(
+        "gene_id", "exon_id", f"{seen(groups.case_columns)} AS x", f"{seen(groups.control_columns)} AS y"
     )
-    return pairs.where((F.size("x") > 0) & (F.size("y") > 0))
+    return pairs.where("size(x) > 0 AND size(y) > 0")

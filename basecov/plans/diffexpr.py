@@ -18,7 +18,7 @@ from basecov.operators.nulldist import with_cvm_p_value
 from basecov.operators.permutation import permutation_test
 from basecov.operators.runs import contiguous_runs, merge_regions, running_number
 from basecov.operators.vectors import Groups, group_segments, region_vectors
-from basecov.session import broadcast_if_small, checkpointed
+from basecov.session import broadcast_if_small, stored
 
 REGION_COLUMNS = (
     "chrom",
@@ -66,9 +66,10 @@ def tested_bases(
 
 def annotated_runs(tested: DataFrame, exons: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Runs of tested bases with their exons and signed fold changes."""
-    runs = contiguous_runs(tested, equal_p=not settings.coalesce_p)
+    runs = contiguous_runs(tested, not settings.coalesce_p, settings.tile)
     mapped = map_regions_to_exons(runs, exons, settings.bin_width)
-    return mapped.withColumn("fc", signed_fold_change(F.col("fc")))
+    others = [c for c in mapped.columns if c != "fc"]
+    return mapped.selectExpr(*others, f"{signed_fold_change('fc')} AS fc")
 
 
 def candidate_regions(
@@ -87,25 +88,25 @@ def candidate_regions(
 
 def exon_candidates(regions: DataFrame, exons: DataFrame) -> DataFrame:
     """Annotated exons that a region was mapped to, with the annotation's coordinates."""
-    named = regions.where(F.col("exon_id") != UNKNOWN_EXON).select("gene_id", "exon_id")
+    named = regions.where(f"exon_id <> '{UNKNOWN_EXON}'").select("gene_id", "exon_id")
     found = exons.join(named, ["gene_id", "exon_id"], "left_semi").dropDuplicates(["gene_id", "exon_id"])
-    return found.select("gene_id", "exon_id", "chrom", "start_pos", "end_pos", F.lit(".").alias("strand"))
+    return found.selectExpr("gene_id", "exon_id", "chrom", "start_pos", "end_pos", "'.' AS strand")
 
 
 def new_region_candidates(regions: DataFrame, tile: int = TILE) -> DataFrame:
     """Regions outside the annotation, numbered ``NEWREG...`` by chromosome and start."""
     novel = (
-        regions.where(F.col("exon_id") == UNKNOWN_EXON)
-        .select("chrom", "start_pos", (F.col("start_pos") + F.col("length")).alias("end_pos"))
+        regions.where(f"exon_id = '{UNKNOWN_EXON}'")
+        .selectExpr("chrom", "start_pos", "start_pos + length AS end_pos")
         .distinct()
     )
-    return running_number(novel, ["end_pos"], tile).select(
-        new_region_id(F.col("number")).alias("gene_id"),
-        F.lit(UNKNOWN_EXON).alias("exon_id"),
+    return running_number(novel, ["end_pos"], tile).selectExpr(
+        f"{new_region_id('number')} AS gene_id",
+        f"'{UNKNOWN_EXON}' AS exon_id",
         "chrom",
         "start_pos",
         "end_pos",
-        F.lit(".").alias("strand"),
+        "'.' AS strand",
     )
 
 
@@ -128,26 +129,25 @@ def confirmed_regions(regions: DataFrame, tests: DataFrame) -> DataFrame:
 
 def exon_summary(confirmed: DataFrame) -> DataFrame:
     """One row per exon: length-weighted means over its regions, summed overlap, and the phase-2 p-value."""
-    length = F.sum("length")
 
-    def weighted(column: str):
-        return F.sum(F.col(column) * F.col("length")) / length
+    def weighted(column: str, name: str):
+        return F.expr(f"sum({column} * length) / sum(length) AS {name}")
 
     return confirmed.groupBy("gene_id", "exon_id").agg(
-        F.max("p2").alias("p2"),
-        weighted("p").alias("p1"),
-        weighted("fc").alias("fc"),
-        F.sum("overlap_pct").alias("overlap_pct"),
-        weighted("avg_a").alias("avg_a"),
-        weighted("avg_b").alias("avg_b"),
+        F.expr("max(p2) AS p2"),
+        weighted("p", "p1"),
+        weighted("fc", "fc"),
+        F.expr("sum(overlap_pct) AS overlap_pct"),
+        weighted("avg_a", "avg_a"),
+        weighted("avg_b", "avg_b"),
     )
 
 
 class DifferentialExpression:
     """The pipeline over one study.
 
-    The regions of phase 1 are needed by every later step; they are written to the checkpoint folder once, so later
-    steps do not scan the reads for them again.
+    The regions of phase 1 are needed by every later step; they are written to the shared checkpoint folder once, so
+    later steps do not scan the reads for them again. The same goes for the results, which all reports start from.
     """
 
     def __init__(
@@ -165,7 +165,7 @@ class DifferentialExpression:
     @cached_property
     def regions(self) -> DataFrame:
         found = candidate_regions(self.reads, self.exons, self.groups, self.settings, self.null)
-        return checkpointed(found)
+        return stored(found, "regions")
 
     @cached_property
     def exon_candidates(self) -> DataFrame:
@@ -186,8 +186,8 @@ class DifferentialExpression:
 
     @cached_property
     def results(self) -> DataFrame:
-        """Regions with both p-values; also checkpointed, because several reports are written from it."""
-        return checkpointed(confirmed_regions(self.regions, self.test_regions()))
+        """Regions with both p-values."""
+        return stored(confirmed_regions(self.regions, self.test_regions()), "results")
 
     def summary(self) -> DataFrame:
         return exon_summary(self.results)

@@ -60,12 +60,12 @@ def ordered_summary(summary: DataFrame) -> DataFrame:
     return summary.orderBy(*_summary_order())
 
 
-def _shown(value: Column, digits: int) -> Column:
-    return round_half_up(value, digits).cast("string")
+def _shown(value: str, digits: int) -> str:
+    return f"string({round_half_up(value, digits)})"
 
 
-def _line(values: list[Column], layout) -> Column:
-    return F.concat(*[pad_right(value, width) for value, (_, width) in zip(values, layout)])
+def _line(values: list[str], layout) -> str:
+    return f"concat({', '.join(pad_right(value, width) for value, (_, width) in zip(values, layout))}) AS line"
 
 
 def header(layout) -> str:
@@ -73,38 +73,36 @@ def header(layout) -> str:
 
 
 def region_lines(confirmed: DataFrame, n: int = MAX_REPORT_ROWS) -> DataFrame:
-    """The report text of the ``n`` best regions, ``(rank, line)``."""
-    place = F.concat(F.lit("("), F.col("chrom"), F.lit(","), F.col("start_pos").cast("string"), F.lit(")"))
+    """The ``n`` best regions with their report text ``line``."""
     values = [
-        _shown(F.col("p2"), 5),
-        _shown(F.col("p"), 5),
-        _shown(F.col("fc"), 5),
-        F.col("length").cast("string"),
-        place,
-        F.col("gene_id"),
-        F.col("exon_id"),
-        F.col("overlap_pct").cast("string"),
-        _shown(F.col("avg_a"), 2),
-        _shown(F.col("avg_b"), 2),
-        coverage_stars(F.col("avg_a"), F.col("avg_b")),
+        _shown("p2", 5),
+        _shown("p", 5),
+        _shown("fc", 5),
+        "string(length)",
+        "concat('(', chrom, ',', start_pos, ')')",
+        "gene_id",
+        "exon_id",
+        "string(overlap_pct)",
+        _shown("avg_a", 2),
+        _shown("avg_b", 2),
+        coverage_stars("avg_a", "avg_b"),
     ]
-    best = top_regions(confirmed, n)
-    return best.select(*confirmed.columns, _line(values, REGION_LAYOUT).alias("line"))
+    return top_regions(confirmed, n).selectExpr("*", _line(values, REGION_LAYOUT))
 
 
 def exon_lines(summary: DataFrame) -> DataFrame:
-    """The exon report text, not yet ordered."""
+    """The summary with its report text ``line``, not yet ordered."""
     values = [
-        _shown(F.col("p2"), 5),
-        _shown(F.col("fc"), 5),
-        F.col("gene_id"),
-        F.col("exon_id"),
-        _shown(F.col("overlap_pct"), 5),
-        _shown(F.col("avg_a"), 2),
-        _shown(F.col("avg_b"), 2),
-        F.length(coverage_stars(F.col("avg_a"), F.col("avg_b"))).cast("string"),
+        _shown("p2", 5),
+        _shown("fc", 5),
+        "gene_id",
+        "exon_id",
+        _shown("overlap_pct", 5),
+        _shown("avg_a", 2),
+        _shown("avg_b", 2),
+        f"string(length({coverage_stars('avg_a', 'avg_b')}))",
     ]
-    return summary.select(*summary.columns, _line(values, EXON_LAYOUT).alias("line"))
+    return summary.selectExpr("*", _line(values, EXON_LAYOUT))
 
 
 def write_region_report(confirmed: DataFrame, path: str, n: int = MAX_REPORT_ROWS) -> bool:
@@ -123,8 +121,8 @@ def write_exon_report(summary: DataFrame, path: str) -> None:
 
 
 def _with_header(lines: DataFrame, layout) -> DataFrame:
-    titles = lines.sparkSession.range(1).select(F.lit(0).alias("is_line"), F.lit(header(layout)).alias("line"))
-    return lines.withColumn("is_line", F.lit(1)).unionByName(titles, allowMissingColumns=True)
+    titles = lines.sparkSession.range(1).selectExpr("0 AS is_line", f"'{header(layout)}' AS line")
+    return lines.selectExpr("*", "1 AS is_line").unionByName(titles, allowMissingColumns=True)
 
 
 def write_regions(regions: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -138,6 +136,5 @@ def write_regions(regions: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
     """Write candidates as ``chrom,(gene,exon,start,end)`` lines."""
-    entry = F.concat_ws(",", "gene_id", "exon_id", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"))
-    line = F.concat(F.col("chrom"), F.lit(",("), entry, F.lit(")"))
-    candidates.select(line.alias("line")).write.mode("overwrite").text(path)
+    line = "concat(chrom, ',(', gene_id, ',', exon_id, ',', start_pos, ',', end_pos, ')') AS line"
+    candidates.selectExpr(line).write.mode("overwrite").text(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from basecov.functions import ids, scalars, stats
 from basecov.operators import coverage, intervals, nulldist, permutation, runs, vectors
 from basecov.plans import diffexpr, report
 from basecov.plans.study import CoverageStudy
-from basecov.session import scratch_path
+from basecov.session import broadcast_if_small, scratch_path
 from basecov.sources.alignments import Sample, read_bam, read_sam, sample_table
 from basecov.sources.annotation import read_exons
 
@@ -35,8 +35,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
-def joined(vector: str | Column) -> Column:
-    return F.array_join(F.transform(vector, lambda v: v.cast("string")), ",")
+def joined(vector: str, name: str) -> str:
+    return f"array_join(transform({vector}, v -> string(v)), ',') AS {name}"
 
 
 def _reads(spark, sf_dir):
@@ -101,29 +101,29 @@ def base_coverage_region(spark, sf_dir):
 def base_coverage_point(spark, sf_dir):
     """Coverage at one packed id, as a range of one base."""
     at = coverage.base_coverage(_reads(spark, sf_dir), chrom="chr1", start=240, end=240, tile=TILE)
-    packed = ids.pack_position(F.col("sample_id"), ids.chrom_number(F.col("chrom")), F.col("pos"))
-    return at.select(packed.alias("packed_id"), "cov")
+    packed = ids.pack_position("sample_id", ids.chrom_number("chrom"), "pos")
+    return at.selectExpr(f"{packed} AS packed_id", "cov")
 
 
 @query
 def packed_ids(spark, sf_dir):
-    packed = _reads(spark, sf_dir).select(
-        ids.pack_position(F.col("sample_id"), ids.chrom_number(F.col("chrom")), F.col("start_pos")).alias("packed_id")
-    )
-    position = packed.select(
-        "packed_id",
-        ids.sample_of(F.col("packed_id")).alias("sample_id"),
-        ids.strip_sample(F.col("packed_id")).alias("position_id"),
-        ids.strip_region_sample(F.col("packed_id")).alias("region_id"),
+    packed = ids.pack_position("sample_id", ids.chrom_number("chrom"), "start_pos")
+    position = (
+        _reads(spark, sf_dir)
+        .selectExpr(f"{packed} AS packed_id")
+        .selectExpr(
+            "packed_id",
+            f"{ids.sample_of('packed_id')} AS sample_id",
+            f"{ids.strip_sample('packed_id')} AS position_id",
+            f"{ids.strip_region_sample('packed_id')} AS region_id",
+        )
     )
-    return position.select(
+    return position.selectExpr(
         "*",
-        ids.chrom_number_of(F.col("position_id")).alias("chrom_num"),
-        ids.to_coordinates(F.col("position_id")).alias("at"),
-        ids.stable_id("ENSE", F.col("position_id")).alias("stable_id"),
-    ).select(
-        "packed_id", "sample_id", "position_id", "region_id", "chrom_num", "at.chrom", "at.pos", "stable_id"
-    )
+        f"{ids.chrom_number_of('position_id')} AS chrom_num",
+        f"{ids.to_coordinates('position_id')} AS at",
+        f"{ids.stable_id('ENSE', 'position_id')} AS stable_id",
+    ).select("packed_id", "sample_id", "position_id", "region_id", "chrom_num", "at.chrom", "at.pos", "stable_id")
 
 
 @query
@@ -131,9 +131,9 @@ def library_norm(spark, sf_dir):
     reads = _reads(spark, sf_dir)
     factors = coverage.library_factors(reads, sample_table(spark, SHEET))
     depth = coverage.base_segments(reads, factors=factors, tile=TILE)
-    bases = F.col("end_pos") - F.col("start_pos") + 1
     totals = depth.groupBy("sample_id").agg(
-        F.sum(bases).cast("bigint").alias("n_bases"), F.sum(bases * F.col("cov")).cast("bigint").alias("scaled_cov")
+        F.expr("sum(end_pos - start_pos + 1) AS n_bases"),
+        F.expr("sum(bigint(end_pos - start_pos + 1) * cov) AS scaled_cov"),
     )
     return rounded(factors.join(totals, "sample_id"))
 
@@ -173,7 +173,7 @@ def gene_coverage_list(spark, sf_dir):
 @query
 def exon_count_join(spark, sf_dir):
     pairs = vectors.exon_count_join(_reads(spark, sf_dir), _exons(spark, sf_dir), GROUPS, width=WIDTH)
-    return pairs.select("gene_id", "exon_id", joined("x").alias("x"), joined("y").alias("y"))
+    return pairs.selectExpr("gene_id", "exon_id", joined("x", "x"), joined("y", "y"))
 
 
 # --- vectors and statistics ----------------------------------------------------------------------------------
@@ -181,61 +181,54 @@ def exon_count_join(spark, sf_dir):
 
 @query
 def position_vectors(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select(
-        "chrom", "start_pos", "end_pos", joined("x").alias("x"), joined("y").alias("y")
-    )
+    rows = _vectors(spark, sf_dir).selectExpr("chrom", "start_pos", "end_pos", joined("x", "x"), joined("y", "y"))
     return coverage.expand_positions(rows)
 
 
 def _per_base(spark, sf_dir, **columns):
-    computed = _vectors(spark, sf_dir).select(
-        "chrom", "start_pos", "end_pos", *[c.alias(name) for name, c in columns.items()]
+    computed = _vectors(spark, sf_dir).selectExpr(
+        "chrom", "start_pos", "end_pos", *[f"{text} AS {name}" for name, text in columns.items()]
     )
     return rounded(coverage.expand_positions(computed))
 
 
 @query
 def vector_stats(spark, sf_dir):
-    mean_a, mean_b = stats.vector_mean(F.col("x")), stats.vector_mean(F.col("y"))
+    mean_a, mean_b = stats.vector_mean("x"), stats.vector_mean("y")
     return _per_base(
         spark,
         sf_dir,
         mean_a=mean_a,
         mean_b=mean_b,
-        sd_a=stats.vector_stddev(F.col("x"), mean_a),
-        sd_b=stats.vector_stddev(F.col("y"), mean_b),
+        sd_a=stats.vector_stddev("x", mean_a),
+        sd_b=stats.vector_stddev("y", mean_b),
         fc=scalars.ratio(mean_a, mean_b),
     )
 
 
 @query
 def cvm_stat(spark, sf_dir):
-    return _per_base(spark, sf_dir, t=stats.cvm_statistic(F.col("x"), F.col("y")))
+    return _per_base(spark, sf_dir, t=stats.cvm_statistic("x", "y"))
 
 
 @query
 def ks_stat(spark, sf_dir):
-    return _per_base(spark, sf_dir, d=stats.ks_statistic(F.col("x"), F.col("y")))
+    return _per_base(spark, sf_dir, d=stats.ks_statistic("x", "y"))
 
 
 @query
 def mw_stat(spark, sf_dir):
-    return _per_base(spark, sf_dir, u=stats.mann_whitney_statistic(F.col("x"), F.col("y")))
+    return _per_base(spark, sf_dir, u=stats.mann_whitney_statistic("x", "y"))
 
 
 @query
 def cvm_null(spark, sf_dir):
     """The exact null distribution for the study's group sizes, beside the number of bases seen at each step."""
     null = nulldist.cvm_null(spark, 4, 4)
-    steps, width = nulldist.p_value_steps(null, 4, 4)
     tested = nulldist.with_cvm_p_value(_segments(spark, sf_dir), GROUPS, null)
-    bases = F.sum(F.col("end_pos") - F.col("start_pos") + 1)
-    observed = tested.groupBy(F.col("p").alias("tail")).agg(bases.cast("bigint").alias("n_bases"))
-    return rounded(
-        null.join(F.broadcast(observed), "tail", "left").select(
-            "t", "ways", "cdf", "tail", F.coalesce("n_bases", F.lit(0)).alias("n_bases")
-        )
-    )
+    observed = tested.groupBy("p").agg(F.expr("sum(end_pos - start_pos + 1) AS n_bases"))
+    beside = null.join(broadcast_if_small(observed), F.expr("tail = p"), "left")
+    return rounded(beside.selectExpr("t", "ways", "cdf", "tail", "coalesce(n_bases, 0L) AS n_bases"))
 
 
 @query
@@ -246,45 +239,36 @@ def cvm_base_test(spark, sf_dir):
 
 @query
 def fisher_combined(spark, sf_dir):
-    """Fisher's combination of the p-values of the stretches of each gene-sized window of 100 bases."""
-    rows = _tested(spark, sf_dir).select(
-        "chrom", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), "p"
-    )
-    windows = rows.groupBy("chrom", intervals.bin_of(F.col("pos"), 100).alias("win")).agg(
-        F.collect_list("p").alias("ps")
-    )
-    combined = windows.select(
-        "chrom", "win", stats.fisher_statistic(F.col("ps")).alias("stat"), stats.fisher_dof(F.col("ps")).alias("dof")
+    """Fisher's combination of the p-values of the bases in each window of 100 bases."""
+    rows = coverage.expand_positions(_tested(spark, sf_dir).select("chrom", "start_pos", "end_pos", "p"))
+    windows = rows.groupBy("chrom", F.expr(f"{intervals.bin_of('pos', 100)} AS win")).agg(
+        F.expr("collect_list(p) AS ps")
     )
-    return rounded(
-        combined.select(
-            "*",
-            stats.fisher_p(F.col("stat"), F.col("dof")).alias("p"),
-            stats.fisher_p(F.col("stat"), F.col("dof"), folded=True).alias("p_folded"),
-        )
+    combined = windows.selectExpr(
+        "chrom", "win", f"{stats.fisher_statistic('ps')} AS stat", f"{stats.fisher_dof('ps')} AS dof"
     )
+    tails = [f"{stats.fisher_p('stat', 'dof')} AS p", f"{stats.fisher_p('stat', 'dof', folded=True)} AS p_folded"]
+    return rounded(combined.selectExpr("*", *tails))
 
 
 @query
 def vector_scalars(spark, sf_dir):
     """Pooling, splitting by mask, split counts and elementary functions on the count vectors."""
-    both = scalars.pooled(F.col("x"), F.col("y"))
-    chosen, rest = scalars.split_by_mask(both, F.lit(0b10010110).cast("bigint"))
-    change = F.element_at("x", 1) - F.element_at("y", 1)
-    rows = _vectors(spark, sf_dir).select(
+    chosen, rest = scalars.split_by_mask(scalars.pooled("x", "y"), f"{0b10010110}L")
+    rows = _vectors(spark, sf_dir).selectExpr(
         "chrom",
         "start_pos",
         "end_pos",
-        joined(chosen).alias("chosen"),
-        joined(rest).alias("rest"),
-        F.lit(scalars.split_count(8, 4, 1000)).alias("ways"),
-        F.signum(change.cast("double")).alias("direction"),
-        F.abs(change).alias("size"),
-        F.greatest(F.element_at("x", 1), F.element_at("y", 1)).alias("larger"),
-        F.least(F.element_at("x", 1), F.element_at("y", 1)).alias("smaller"),
-        F.sqrt(F.col("avg_a")).alias("root"),
-        F.pow("avg_b", F.lit(2)).alias("square"),
-        F.ln(F.col("avg_a") + 1).alias("log"),
+        joined(chosen, "chosen"),
+        joined(rest, "rest"),
+        f"{scalars.split_count(8, 4, 1000)} AS ways",
+        "signum(double(x[0] - y[0])) AS direction",
+        "abs(x[0] - y[0]) AS size",
+        "greatest(x[0], y[0]) AS larger",
+        "least(x[0], y[0]) AS smaller",
+        "sqrt(avg_a) AS root",
+        "pow(avg_b, 2) AS square",
+        "ln(avg_a + 1) AS log",
     )
     return rounded(coverage.expand_positions(rows))
 
@@ -294,17 +278,17 @@ def vector_scalars(spark, sf_dir):
 
 @query
 def islands_le(spark, sf_dir):
-    return rounded(runs.contiguous_runs(_tested(spark, sf_dir)))
+    return rounded(runs.contiguous_runs(_tested(spark, sf_dir), tile=TILE))
 
 
 @query
 def islands_equal(spark, sf_dir):
-    return rounded(runs.contiguous_runs(_tested(spark, sf_dir), equal_p=True))
+    return rounded(runs.contiguous_runs(_tested(spark, sf_dir), equal_p=True, tile=TILE))
 
 
 @query
 def region_exon_map(spark, sf_dir):
-    found = runs.contiguous_runs(_tested(spark, sf_dir))
+    found = runs.contiguous_runs(_tested(spark, sf_dir), tile=TILE)
     return rounded(intervals.map_regions_to_exons(found, _exons_without_chr3(spark, sf_dir), WIDTH))
 
 
@@ -322,8 +306,8 @@ def exon_range_lookup(spark, sf_dir):
 
 @query
 def signed_fold_change(spark, sf_dir):
-    rows = _tested(spark, sf_dir).select(
-        "chrom", "start_pos", "end_pos", scalars.signed_fold_change(F.col("fc")).alias("fc")
+    rows = _tested(spark, sf_dir).selectExpr(
+        "chrom", "start_pos", "end_pos", f"{scalars.signed_fold_change('fc')} AS fc"
     )
     return rounded(coverage.expand_positions(rows))
 

@@ -26,10 +26,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage on shared storage, so that lost executors do not replay it and several readers can share it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    This cuts the lineage, so that lost executors do not replay it and several readers can share the result; the
+    written table also has a known size, which later broadcast decisions rely on.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
