@@ -87,13 +87,17 @@ def _sum(terms: Sequence[str]) -> str:
 
 
 def cvm_score(x: Sequence[str], y: Sequence[str]) -> str:
-    """Integer ``sum(D^2)`` of two groups given as count columns."""
+    """Integer ``sum(D^2)`` of two groups given as count columns.
+
+    Each ``D`` is written twice instead of being squared by a function: Spark then evaluates it once, as a common
+    subexpression with a method of its own, and the generated code stays small enough to be compiled.
+    """
     n, m = len(x), len(y)
 
     def gap(z: str) -> str:
         return _sum([f"if({v} <= {z}, {m}, 0)" for v in x] + [f"if({v} <= {z}, {-n}, 0)" for v in y])
 
-    return f"bigint({_sum([f'pow({gap(z)}, 2)' for z in [*x, *y]])})"
+    return split_cvm_score([gap(z) for z in [*x, *y]])
 
 
 def cvm_scale(n: int, m: int) -> int:

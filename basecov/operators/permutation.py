@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,40 +51,48 @@ def permutation_test(
     statistics: Sequence[Statistic] = BUILT_IN,
     max_splits: int = 1000,
     seed: int = 0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``p2``: the share of splits of the pooled counts whose largest statistic reaches the observed one.
+    """``(keys, carry, p2)``: the share of splits of the pooled counts whose largest statistic reaches the observed one.
 
-    ``df`` holds one row per key with the count columns of ``groups``. Each row is expanded to its splits and folded
+    ``df`` holds one row per key with the count columns of ``groups``; columns of ``carry`` pass through. Each row is expanded to its splits and folded
     back within its task, because rows of one key never leave it before partial aggregation; only (key, share)
     reaches a shuffle, if any. The built-in statistics are compared as exact integers over bit masks; any other one
     works on the split arrays ``x`` and ``y``.
     """
     n, m = len(groups.case), len(groups.control)
     explode = f"explode({_mask_array(split_masks(n, m, max_splits, seed))}) AS split"
-    if all(s in BUILT_IN for s in statistics):
-        scored = _bit_scores(df, groups, statistics, explode)
-    else:
-        scored = _array_scores(df, groups, statistics, explode)
+    kept = [*keys, *carry]
+    scores = _bit_scores if all(s in BUILT_IN for s in statistics) else _array_scores
+    scored = scores(df.select(*kept, *groups.columns), kept, groups, statistics, explode)
     share = f"count_if(score >= observed) / {split_count(n + m, n, max_splits)}D AS p2"
-    kept = [F.expr(f"first({c}) AS {c}") for c in df.columns if c not in keys]
-    return scored.groupBy(*keys).agg(F.expr(share), *kept).select(*df.columns, "p2")
+    return scored.groupBy(*keys).agg(*[F.expr(f"first({c}) AS {c}") for c in carry], F.expr(share))
 
 
-def _bit_scores(df: DataFrame, groups: Groups, statistics: Sequence[Statistic], explode: str) -> DataFrame:
+def _bit_scores(
+    df: DataFrame, kept: Sequence[str], groups: Groups, statistics: Sequence[Statistic], explode: str
+) -> DataFrame:
     n, m = len(groups.case), len(groups.control)
-    masks = [f"below{i}" for i in range(n + m)]
+    masks = {f"below{i}": rank_mask(groups.columns, c) for i, c in enumerate(groups.columns)}
 
-    def score(split: str) -> str:
-        gaps = split_gaps(masks, split, n, m)
+    def score(below: Iterable[str], split: str) -> str:
+        gaps = split_gaps(list(below), split, n, m)
         forms = {cvm_statistic: split_cvm_score(gaps), ks_statistic: split_ks_score(gaps, n, m)}
         return combine_max([forms[s] for s in statistics])
 
-    ranked = df.selectExpr("*", *[f"{rank_mask(groups.columns, c)} AS {name}" for c, name in zip(groups.columns, masks)])
-    tried = ranked.selectExpr("*", f"{score(f'{(1 << n) - 1}L')} AS observed").selectExpr("*", explode)
-    return tried.selectExpr(*df.columns, "observed", f"{score('split')} AS score")
+    # the masks and the observed score in one projection: shared parts are evaluated once, in small methods
+    tried = df.selectExpr(
+        "*",
+        *[f"{text} AS {name}" for name, text in masks.items()],
+        f"{score(masks.values(), f'{(1 << n) - 1}L')} AS observed",
+        explode,
+    )
+    return tried.selectExpr(*kept, "observed", f"{score(masks, 'split')} AS score")
 
 
-def _array_scores(df: DataFrame, groups: Groups, statistics: Sequence[Statistic], explode: str) -> DataFrame:
+def _array_scores(
+    df: DataFrame, kept: Sequence[str], groups: Groups, statistics: Sequence[Statistic], explode: str
+) -> DataFrame:
     def largest() -> Column:
         made = [s("x", "y") for s in statistics]
         columns = [c if isinstance(c, Column) else F.expr(c) for c in made]
@@ -95,7 +103,7 @@ def _array_scores(df: DataFrame, groups: Groups, statistics: Sequence[Statistic]
         return [f"{x} AS x", f"{y} AS y"]
 
     counts = ", ".join(groups.columns)
-    pooled = df.selectExpr(*df.columns, f"array({counts}) AS pooled")
+    pooled = df.selectExpr(*kept, f"array({counts}) AS pooled")
     first = pooled.selectExpr("*", *vectors(f"{(1 << len(groups.case)) - 1}L")).withColumn("observed", largest())
-    tried = first.selectExpr(*df.columns, "pooled", f"observed - {TOLERANCE}D AS observed", explode)
+    tried = first.selectExpr(*kept, "pooled", f"observed - {TOLERANCE}D AS observed", explode)
     return tried.selectExpr("*", *vectors("split")).withColumn("score", largest())

@@ -113,12 +113,17 @@ def new_region_candidates(regions: DataFrame, tile: int = TILE) -> DataFrame:
 def permutation_tests(
     reads: DataFrame, candidates: DataFrame, groups: Groups, settings: Settings = Settings()
 ) -> DataFrame:
-    """Phase 2 per candidate: ``(gene_id, exon_id, p2, fc)`` from its reads in both groups."""
+    """Phase 2 per candidate: ``(gene_id, exon_id, fc, p2)`` from its reads in both groups."""
     vectors = region_vectors(reads, candidates, groups, width=settings.bin_width)
-    tested = permutation_test(
-        vectors, ["gene_id", "exon_id"], groups, settings.statistics, settings.max_splits, settings.seed
+    return permutation_test(
+        vectors,
+        ["gene_id", "exon_id"],
+        groups,
+        settings.statistics,
+        settings.max_splits,
+        settings.seed,
+        carry=["fc"],
     )
-    return tested.select("gene_id", "exon_id", "p2", "fc")
 
 
 def confirmed_regions(regions: DataFrame, tests: DataFrame) -> DataFrame:
