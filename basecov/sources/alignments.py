@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basecov.session import broadcast_if_small
@@ -26,30 +26,35 @@ class Sample:
     norm_factor: float | None = None
 
 
-def reference_length(cigar: Column) -> Column:
+def reference_length(cigar: str) -> str:
     """Reference bases spanned by a CIGAR text."""
-    single = F.regexp_extract(cigar, "^([0-9]+)M$", 1)
-    lengths = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)[{REFERENCE_OPS}]"), F.lit(1))
-    total = F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n.cast("int"))
-    return F.when(single != "", single.try_cast("int")).otherwise(total)
+    single = f"regexp_extract({cigar}, '^([0-9]+)M$', 1)"
+    lengths = f"regexp_extract_all({cigar}, '([0-9]+)[{REFERENCE_OPS}]', 1)"
+    return f"if({single} <> '', int({single}), aggregate({lengths}, 0, (acc, n) -> acc + int(n)))"
 
 
 def read_sam(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """SAM text lines (header lines skipped) with the reference end derived from the CIGAR text."""
+    """SAM text lines (header lines skipped) with the reference end derived from the CIGAR text.
+
+    A filter on the result may be evaluated together with the one that skips header lines, so the fields are read
+    in a way that also accepts those; an alignment line with too few fields is an error.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.text(paths).where(~F.col("value").startswith("@"))
-    field = F.split("value", "\t", 12)
-    rows = lines.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        field[0].alias("read_name"),
-        field[1].cast("int").alias("flag"),
-        field[2].alias("chrom"),
-        field[3].cast("int").alias("start_pos"),
-        field[4].cast("int").alias("mapq"),
-        field[5].alias("cigar"),
+    lines = spark.read.text(paths).selectExpr(
+        "value", "split(value, '\t', 12) AS field", "_metadata.file_path AS file_path"
+    )
+    short = "if(value LIKE '@%', NULL, raise_error(concat('not an alignment line: ', value)))"
+    rows = lines.where("NOT value LIKE '@%'").selectExpr(
+        "file_path",
+        "get(field, 0) AS read_name",
+        "try_cast(get(field, 1) AS INT) AS flag",
+        f"if(size(field) >= 11, get(field, 2), {short}) AS chrom",
+        "try_cast(get(field, 3) AS INT) AS start_pos",
+        "try_cast(get(field, 4) AS INT) AS mapq",
+        "get(field, 5) AS cigar",
     )
-    end = F.col("start_pos") + reference_length(F.col("cigar")) - 1
-    return rows.select("file_path", "read_name", "flag", "chrom", "start_pos", end.alias("end_pos"), "mapq", "cigar")
+    end = f"start_pos + {reference_length('cigar')} - 1 AS end_pos"
+    return rows.selectExpr("file_path", "read_name", "flag", "chrom", "start_pos", end, "mapq", "cigar")
 
 
 def read_bam(
