@@ -1,0 +1,84 @@
+"""Registered queries beside their SQL on the smallest tables, and the shape of their plans."""
+
+import os
+import re
+
+import pytest
+
+import __spark_entry__ as registry
+from basecov import fixtures
+from basecov.operators import coverage, vectors
+from basecov.plans import diffexpr
+from compare import connect, difference
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query_equals_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    assert not re.search("CartesianProduct|NestedLoop|BatchEvalPython|EvalPython", plan_of(df))
+    assert difference(df.toPandas(), con.execute(ORACLES[name]).df()) is None
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry(spark):
+    assert registry.entry(spark).columns[:3] == ["chrom", "start_pos", "length"]
+
+
+def test_range_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "reads")
+    fixtures.reads(spark, SF).write.parquet(path)
+    plan = plan_of(coverage.base_coverage(spark.read.parquet(path), chrom="chr1", start=100, end=200))
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
+    assert "EqualTo(chrom,chr1)" in pushed and "start_pos" in pushed and "end_pos" in pushed
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = plan_of(diffexpr.tested_bases(fixtures.reads(spark, SF), fixtures.GROUPS, fixtures.SETTINGS))
+    schema = re.search(r"ReadSchema: struct<(.*?)>", plan).group(1)
+    assert {c.split(":")[0] for c in schema.split(",")} == {"l_orderkey", "l_partkey", "l_suppkey", "l_quantity"}
+
+
+def test_number_of_shuffles(spark):
+    reads, exons = fixtures.reads(spark, SF), fixtures.exons(spark, SF)
+
+    def exchanges(df):
+        return plan_of(df).count(" Exchange hashpartitioning")
+
+    assert exchanges(coverage.base_segments(reads)) == 2
+    assert exchanges(vectors.group_segments(reads, fixtures.GROUPS)) == 2
+    assert exchanges(diffexpr.tested_bases(reads, fixtures.GROUPS)) == 2
+    assert exchanges(coverage.region_coverage(reads, exons)) == 1
+    assert exchanges(coverage.region_coverage(reads, exons, union_mode=True)) == 2
+    # counting per exon and the permutation test share one exchange
+    assert exchanges(diffexpr.permutation_tests(reads, exons, fixtures.GROUPS)) == 1
+
+
+def test_large_annotation_is_not_broadcast(spark, monkeypatch):
+    import basecov.session as session
+
+    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 0)
+    monkeypatch.setattr(session.fits_broadcast, "__defaults__", (0,))
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = coverage.region_coverage(fixtures.reads(spark, SF), fixtures.exons(spark, SF), width=256)
+        plan = plan_of(df)
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "hashpartitioning(chrom" in plan
+        assert df.count() == QUERIES["region_coverage"](spark, SF).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
