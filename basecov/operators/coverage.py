@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import scale_count
-from basecov.operators.intervals import BIN_WIDTH, bin_of, join_exons, with_bins
-from basecov.session import broadcast_if_small, fits_broadcast
+from basecov.operators.intervals import BIN_WIDTH, annotation_is_small, bin_of, join_exons, with_bins
+from basecov.session import broadcast_if_small
 
 TILE = 8192
 ALL_CHROMOSOMES = "*"
 MAX_POSITION = 300_000_000
+MAX_SAMPLES = 1_000_000
 UNMAPPED = 4
 
 _BLOCKS = "array<struct<start_pos:int,end_pos:int>>"
@@ -109,9 +110,17 @@ def base_segments(
 
 
 def _scaled(counts: DataFrame, factors: DataFrame) -> DataFrame:
-    """Apply ``factors(sample_id, norm_factor)`` to ``cov``; the factors are one row per sample."""
+    """Apply ``factors(sample_id, norm_factor)`` to ``cov``.
+
+    The factors often come from counting the reads, so their size is not known to Catalyst; there is one per sample,
+    which is checked while they are fetched once.
+    """
+    rows = factors.selectExpr("sample_id", "double(norm_factor) AS norm_factor").limit(MAX_SAMPLES + 1).collect()
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} normalisation factors")
+    table = counts.sparkSession.createDataFrame(rows, "sample_id INT, norm_factor DOUBLE")
     others = [c for c in counts.columns if c != "cov"]
-    joined = counts.join(broadcast_if_small(factors.select("sample_id", "norm_factor")), "sample_id")
+    joined = counts.join(F.broadcast(table), "sample_id")
     return joined.selectExpr(*others, f"{scale_count('cov', 'norm_factor')} AS cov")
 
 
@@ -160,17 +169,19 @@ def region_hits(
     grouped per read (union mode drops reads that meet more than one exon) or when the annotation is too large to
     broadcast: a pile-up then enters the shuffled join as one row.
     """
-    reads = mapped(reads)
-    placement = ["sample_id", "chrom", "start_pos", "end_pos"] + (["cigar"] if "cigar" in reads.columns else [])
-    if union_mode or not fits_broadcast(exons):
+    small = annotation_is_small(exons, width)
+    reads, placement = mapped(reads), ["sample_id", "chrom", "start_pos", "end_pos"]
+    meets = "start_pos <= e_end AND end_pos >= e_start"
+    if "cigar" in reads.columns:
+        # only a gap in the alignment makes the blocks differ from the extent of the read
+        placement = [*placement, "blocks"]
+        reads = reads.selectExpr("*", f"if(cigar RLIKE '[DN]', {_blocks_of_cigar()}, NULL) AS blocks")
+        meets += " AND (blocks IS NULL OR exists(blocks, b -> b.start_pos <= e_end AND b.end_pos >= e_start))"
+    if union_mode or not small:
         left = reads.groupBy(*placement).agg(F.expr("count(*) AS n"))
     else:
         left = reads.selectExpr(*placement, "1L AS n")
-    meets = "start_pos <= e_end AND end_pos >= e_start"
-    if "cigar" in placement:
-        left = left.selectExpr("*", f"{_blocks_of_cigar()} AS blocks")
-        meets += " AND exists(blocks, b -> b.start_pos <= e_end AND b.end_pos >= e_start)"
-    pairs = join_exons(with_bins(left, "start_pos", "end_pos", width), exons, width, meets)
+    pairs = join_exons(with_bins(left, "start_pos", "end_pos", width), exons, width, meets, small)
     if union_mode:
         pairs = (
             pairs.groupBy(*placement)

@@ -1,8 +1,9 @@
 """Interval joins as equi-joins on (chromosome, bin).
 
 Both sides are expanded to the bins they touch. A pair that shares several bins is kept only in the later of the
-two first bins, so no duplicate removal is needed. The annotation side is broadcast when its size estimate allows;
-otherwise both sides are shuffled on (chromosome, bin) and adaptive execution splits skewed partitions.
+two first bins, so no duplicate removal is needed. The annotation side is broadcast when its expanded size, which is
+counted, stays below the limit; otherwise both sides are shuffled on (chromosome, bin) and adaptive execution splits
+skewed partitions.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import overlap_length, overlap_share, round_half_up
-from basecov.session import broadcast_if_small
+from basecov import session
+from basecov.session import broadcast_if_small, broadcast_or_merge, fits_broadcast
 
 BIN_WIDTH = 10_000
+BINNED_ROW_BYTES = 128
 
 UNKNOWN_EXON = "0"
 CHROM_NOT_FOUND = "ChrNotFound"
@@ -39,9 +42,24 @@ def binned_exons(exons: DataFrame, width: int) -> DataFrame:
     return with_bins(renamed, "e_start", "e_end", width, "e_bin")
 
 
-def join_exons(left: DataFrame, exons: DataFrame, width: int, condition: str, how: str = "inner") -> DataFrame:
+def annotation_is_small(exons: DataFrame, width: int) -> bool:
+    """Whether the annotation can be broadcast after its expansion to bins.
+
+    Catalyst cannot foresee how many bins an interval touches, so the rows are counted, but only if the unexpanded
+    annotation is small already.
+    """
+    if not fits_broadcast(exons):
+        return False
+    bins = f"sum({bin_of('end_pos', width)} - {bin_of('start_pos', width)} + 1L)"
+    rows = exons.selectExpr(f"coalesce({bins}, 0L) AS n").first().n
+    return rows * BINNED_ROW_BYTES <= session.BROADCAST_LIMIT_BYTES
+
+
+def join_exons(
+    left: DataFrame, exons: DataFrame, width: int, condition: str, small: bool, how: str = "inner"
+) -> DataFrame:
     """Join rows that already carry ``chrom``, ``bin`` and ``first_bin`` with the annotation."""
-    right = broadcast_if_small(binned_exons(exons, width))
+    right = broadcast_or_merge(binned_exons(exons, width), small)
     same_bin = "chrom = e_chrom AND bin = e_bin AND bin = greatest(first_bin, first_e_bin)"
     return left.join(right, F.expr(f"{same_bin} AND {condition}"), how)
 
@@ -59,7 +77,7 @@ def map_regions_to_exons(regions: DataFrame, exons: DataFrame, width: int = BIN_
     carried = [c for c in regions.columns if c not in ("chrom", "start_pos")]
     left = with_bins(regions.selectExpr("*", "start_pos + length AS stop_pos"), "start_pos", "stop_pos", width)
     overlap = overlap_length("start_pos", "stop_pos", "e_start", "e_end")
-    pairs = join_exons(left, exons, width, f"{overlap} > 1", "left")
+    pairs = join_exons(left, exons, width, f"{overlap} > 1", annotation_is_small(exons, width), "left")
     # one exchange on the region key serves the choice of exons and the test for "nothing found"
     keyed = pairs.selectExpr(
         "chrom", "start_pos", *carried, "e_gene", "e_start", "e_exon",
@@ -97,7 +115,7 @@ def lookup_exon_at(points: DataFrame, exons: DataFrame, width: int = BIN_WIDTH)
     )
     joined = (
         points.selectExpr("*", f"{bin_of('pos', width)} AS bin")
-        .join(broadcast_if_small(per_bin), F.expr("chrom = e_chrom AND bin = e_bin"), "left")
+        .join(broadcast_or_merge(per_bin, annotation_is_small(exons, width)), F.expr("chrom = e_chrom AND bin = e_bin"), "left")
         .join(_known_chromosomes(exons), F.expr("chrom = known_chrom"), "left")
     )
     hit = "get(filter(bin_exons, e -> pos BETWEEN e.start_pos AND e.end_pos), 0)"

@@ -153,7 +153,9 @@ def running_number(df: DataFrame, order: Sequence[str], tile: int = TILE) -> Dat
         "chrom", "tile", f"coalesce(sum(n) OVER (PARTITION BY chrom ORDER BY tile {before}), 0L) AS tile_offset"
     )
     chrom_offsets = per_chrom.selectExpr("chrom", f"coalesce(sum(n) OVER (ORDER BY chrom {before}), 0L) AS chrom_offset")
+    offsets = tile_offsets.join(chrom_offsets, "chrom").selectExpr(
+        "chrom", "tile", "tile_offset + chrom_offset AS before"
+    )
     inside = f"row_number() OVER (PARTITION BY chrom, tile ORDER BY {', '.join(['start_pos', *order])})"
-    numbered = tiled.selectExpr("*", f"{inside} AS inside").join(tile_offsets, ["chrom", "tile"])
-    number = "inside + tile_offset + chrom_offset AS number"
-    return numbered.join(chrom_offsets, "chrom").selectExpr(*df.columns, number)
+    numbered = tiled.selectExpr("*", f"{inside} AS inside").join(offsets, ["chrom", "tile"])
+    return numbered.selectExpr(*df.columns, "inside + before AS number")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -40,16 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate (an upper bound for filters, projections and semi joins); None when not available."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+def fits_broadcast(df: DataFrame) -> bool:
     size = estimated_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size <= BROADCAST_LIMIT_BYTES
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def broadcast_or_merge(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast a side that was found small; otherwise ask for a shuffled join, which can split skewed keys."""
+    return F.broadcast(df) if small else df.hint("merge")
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast only when the plan's size estimate is below the limit; otherwise leave it to Catalyst and AQE."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
+    return F.broadcast(df) if fits_broadcast(df) else df

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.session import broadcast_if_small
 from basecov.sources.bam import BamDataSource, list_files
 
 READ_COLUMNS = ("read_name", "flag", "chrom", "start_pos", "end_pos", "mapq", "cigar")
@@ -112,7 +111,8 @@ def read_samples(spark: SparkSession, sheet: Sequence[Sample]) -> DataFrame:
         )
         rows = read_alignments(spark, [name for name, _ in files])
         rows = rows.withColumn("file_key", F.url_decode(F.regexp_replace("file_path", "^file:/+", "/")))
-        parts.append(rows.join(broadcast_if_small(owners), "file_key").drop("file_key", "file_path"))
+        # one row per file, held by the driver already
+        parts.append(rows.join(F.broadcast(owners), "file_key").drop("file_key", "file_path"))
     reads = parts[0]
     for part in parts[1:]:
         reads = reads.unionByName(part)

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
@@ -37,9 +38,14 @@ def make_reads(spark):
 
 
 @pytest.fixture(scope="session")
-def make_exons(spark):
+def make_exons(spark, tmp_path_factory):
+    """Exons as a file, so that their size is known."""
+
     def make(rows):
-        return spark.createDataFrame(rows, "gene_id STRING, exon_id STRING, chrom STRING, start_pos INT, end_pos INT")
+        path = str(tmp_path_factory.mktemp("exons") / "exons")
+        schema = "gene_id STRING, exon_id STRING, chrom STRING, start_pos INT, end_pos INT"
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        return spark.read.parquet(path)
 
     return make
 

