@@ -68,31 +68,48 @@ def _known_chromosomes(exons: DataFrame) -> DataFrame:
     return broadcast_if_small(exons.select(F.col("chrom").alias("known_chrom")).distinct())
 
 
-def map_regions_to_exons(regions: DataFrame, exons: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
+def map_regions_to_exons(
+    regions: DataFrame, exons: DataFrame, width: int = BIN_WIDTH, tile: int | None = None
+) -> DataFrame:
     """Annotate regions ``(chrom, start_pos, length, ...)`` with their best exon of each overlapped gene.
 
     The region end is ``start_pos + length`` and an exon counts when the overlap is above 1. Regions without an exon
     get exon ``0`` and a gene entry telling whether the chromosome or only the position is unknown.
+
+    The rows are shuffled once, on ``(chrom, tile)`` of the region's start. With ``tile`` given, that column stays in
+    the result, so that a later step that works by tile can reuse the shuffle.
     """
     carried = [c for c in regions.columns if c not in ("chrom", "start_pos")]
-    left = with_bins(regions.selectExpr("*", "start_pos + length AS stop_pos"), "start_pos", "stop_pos", width)
+    left = with_bins(
+        regions.selectExpr(
+            "*", "start_pos + length AS stop_pos", f"{bin_of('start_pos', tile or width)} AS tile"
+        ),
+        "start_pos",
+        "stop_pos",
+        width,
+    )
     overlap = overlap_length("start_pos", "stop_pos", "e_start", "e_end")
     pairs = join_exons(left, exons, width, f"{overlap} > 1", annotation_is_small(exons, width), "left")
-    # one exchange on the region key serves the choice of exons and the test for "nothing found"
     keyed = pairs.selectExpr(
-        "chrom", "start_pos", *carried, "e_gene", "e_start", "e_exon",
+        "chrom",
+        "tile",
+        "start_pos",
+        *carried,
+        "e_gene",
+        "e_start",
+        "e_exon",
         f"{overlap_share(overlap, 'e_start', 'e_end')} AS share",
-    ).repartition("chrom", "start_pos")
-    best = keyed.groupBy("chrom", "start_pos", "e_gene").agg(
+    ).repartition("chrom", "tile")
+    best = keyed.groupBy("chrom", "tile", "start_pos", "e_gene").agg(
         F.expr("max(struct(share, e_start, e_exon)) AS best"), *[F.expr(f"first({c}) AS {c}") for c in carried]
     )
-    kept = best.selectExpr("*", "max(e_gene IS NOT NULL) OVER (PARTITION BY chrom, start_pos) AS found").where(
-        "e_gene IS NOT NULL OR NOT found"
-    )
+    found = "max(e_gene IS NOT NULL) OVER (PARTITION BY chrom, tile, start_pos) AS found"
+    kept = best.selectExpr("*", found).where("e_gene IS NOT NULL OR NOT found")
     tagged = kept.join(_known_chromosomes(exons), F.expr("chrom = known_chrom"), "left")
     missing = f"if(known_chrom IS NULL, '{CHROM_NOT_FOUND}', '{POSITION_NOT_FOUND}')"
     return tagged.selectExpr(
         "chrom",
+        *([] if tile is None else ["tile"]),
         "start_pos",
         *carried,
         f"coalesce(e_gene, {missing}) AS gene_id",

@@ -41,7 +41,7 @@ def split_masks(n: int, m: int, max_splits: int, seed: int = 0) -> list[int]:
 
 def _mask_array(masks: Sequence[int]) -> str:
     """The masks as one constant array, written as text so that the plan stays small."""
-    return f"transform(split('{','.join(map(str, masks))}', ','), s -> bigint(s))"
+    return f"cast(split('{','.join(map(str, masks))}', ',') AS ARRAY<BIGINT>)"
 
 
 def permutation_test(

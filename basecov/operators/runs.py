@@ -77,12 +77,14 @@ def merge_regions(
     Neighbours merge when exactly one base lies between them and their fold changes point the same way; without
     ``any_p`` their p-values must be equal too. ``adjacent`` also merges regions with no base between them. Result:
     largest p, summed length and overlap, length-weighted fold change and coverages, and ``length >= min_length``.
+    Regions may bring their ``tile``.
     """
     gene = f"if(exon_id = '{UNKNOWN_EXON}', concat('NEWREG', chrom), gene_id) AS gene_id"
     rows = regions.selectExpr(
         gene,
         "exon_id",
         "chrom",
+        "tile" if "tile" in regions.columns else f"{bin_of('start_pos', tile)} AS tile",
         "start_pos",
         "start_pos + length AS stop_pos",
         "bigint(length) AS length",
@@ -92,7 +94,7 @@ def merge_regions(
         *[f"{c} * length AS {c}" for c in ("fc", "avg_a", "avg_b")],
     )
     gap = "IN (0, 1)" if adjacent else "= 1"
-    merged = _merge_chains(rows, gap, ["sign"] if any_p else ["sign", "p"], tile).where(f"length >= {min_length}")
+    merged = _merge_chains(rows, gap, ["sign"] if any_p else ["sign", "p"]).where(f"length >= {min_length}")
     return merged.selectExpr(
         "chrom",
         "start_pos",
@@ -107,7 +109,7 @@ def merge_regions(
     )
 
 
-def _merge_chains(rows: DataFrame, gap: str, same: Sequence[str], tile: int) -> DataFrame:
+def _merge_chains(rows: DataFrame, gap: str, same: Sequence[str]) -> DataFrame:
     """Fold rows of one exon whose distance to the row before satisfies ``gap`` and that agree in ``same``."""
     keys = ["gene_id", "exon_id", "chrom"]
     sums = ["length", "overlap_pct", "fc", "avg_a", "avg_b"]
@@ -134,7 +136,7 @@ def _merge_chains(rows: DataFrame, gap: str, same: Sequence[str], tile: int) ->
             F.expr("max(last_row) AS last_run"),
         )
 
-    local = folded(numbered(rows.selectExpr("*", f"{bin_of('start_pos', tile)} AS tile"), "tile"), "tile")
+    local = folded(numbered(rows, "tile"), "tile")
     slotted = local.selectExpr(*columns, f"if(run = 1 OR last_run, {BORDER_SLOT}, tile) AS slot")
     return folded(numbered(slotted, "slot"), "slot").select(*columns)
 

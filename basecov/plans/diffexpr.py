@@ -67,7 +67,7 @@ def tested_bases(
 def annotated_runs(tested: DataFrame, exons: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Runs of tested bases with their exons and signed fold changes."""
     runs = contiguous_runs(tested, not settings.coalesce_p, settings.tile)
-    mapped = map_regions_to_exons(runs, exons, settings.bin_width)
+    mapped = map_regions_to_exons(runs, exons, settings.bin_width, settings.tile)
     others = [c for c in mapped.columns if c != "fc"]
     return mapped.selectExpr(*others, f"{signed_fold_change('fc')} AS fc")
 
@@ -189,10 +189,14 @@ class DifferentialExpression:
         chosen = self.exon_candidates if candidates is None else candidates
         return permutation_tests(self.reads, chosen, self.groups, self.settings)
 
+    def confirmed(self) -> DataFrame:
+        """Regions with both p-values, for a single use."""
+        return confirmed_regions(self.regions, self.test_regions())
+
     @cached_property
     def results(self) -> DataFrame:
-        """Regions with both p-values."""
-        return stored(confirmed_regions(self.regions, self.test_regions()), "results")
+        """The confirmed regions, stored for several uses."""
+        return stored(self.confirmed(), "results")
 
     def summary(self) -> DataFrame:
         return exon_summary(self.results)

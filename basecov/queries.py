@@ -360,27 +360,27 @@ def permutation_test_plugin(spark, sf_dir):
 
 @query
 def phase2_regions(spark, sf_dir):
-    return rounded(_study(spark, sf_dir).results)
+    return rounded(_study(spark, sf_dir).confirmed())
 
 
 @query
 def exon_summary(spark, sf_dir):
-    return rounded(_study(spark, sf_dir).summary())
+    return rounded(diffexpr.exon_summary(_study(spark, sf_dir).confirmed()))
 
 
 @query
 def top_regions(spark, sf_dir):
-    return rounded(report.top_regions(_study(spark, sf_dir).results, 20))
+    return rounded(report.top_regions(_study(spark, sf_dir).confirmed(), 20))
 
 
 @query
 def region_report(spark, sf_dir):
-    return report.region_lines(_study(spark, sf_dir).results).select("line")
+    return report.region_lines(_study(spark, sf_dir).confirmed()).select("line")
 
 
 @query
 def exon_report(spark, sf_dir):
-    return report.exon_lines(_study(spark, sf_dir).summary()).select("line")
+    return report.exon_lines(diffexpr.exon_summary(_study(spark, sf_dir).confirmed())).select("line")
 
 
 @query

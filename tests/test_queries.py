@@ -64,6 +64,9 @@ def test_number_of_shuffles(spark):
     assert exchanges(diffexpr.tested_bases(reads, fixtures.GROUPS)) == 2
     assert exchanges(coverage.region_coverage(reads, exons)) == 1
     assert exchanges(coverage.region_coverage(reads, exons, union_mode=True)) == 2
+    # changes, tiles, borders of runs, exons of regions (the merging reuses it), borders of merged regions
+    regions = plan_of(diffexpr.candidate_regions(reads, exons, fixtures.GROUPS))
+    assert regions.count(" Exchange hashpartitioning") == 5 + 1  # and the distinct chromosomes of the annotation
     # counting per exon and the permutation test share one exchange
     assert exchanges(diffexpr.permutation_tests(reads, exons, fixtures.GROUPS)) == 1
 
