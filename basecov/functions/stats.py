@@ -121,7 +121,7 @@ def split_gaps(masks: Sequence[str], split: str, n: int, m: int) -> list[str]:
 
 
 def split_cvm_score(gaps: Sequence[str]) -> str:
-    return f"bigint({_sum([f'{gap} * {gap}' for gap in gaps])})"
+    return _sum([f"bigint({gap}) * {gap}" for gap in gaps])
 
 
 def split_ks_score(gaps: Sequence[str], n: int, m: int) -> str:

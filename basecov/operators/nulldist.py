@@ -7,12 +7,15 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basecov import session
 from basecov.functions.stats import cvm_scale, cvm_score, cvm_score_bound, split_cvm_score, split_gaps
 from basecov.operators.vectors import Groups
+from basecov.session import broadcast_or_merge
 
 ENUMERATED_SIZE = 22
 MASKS_PER_TASK = 1 << 16
 P_VALUE_BINS = 65_536
+STEP_ROW_BYTES = 64
 
 
 def _enumerated(spark: SparkSession, n: int, m: int) -> DataFrame:
@@ -83,21 +86,26 @@ def p_value_steps(null: DataFrame, n: int, m: int, bins: int = P_VALUE_BINS) ->
     return steps.selectExpr(f"explode(sequence(p_lo div {width}, p_hi div {width})) AS p_bin", "*"), width
 
 
+def most_steps(n: int, m: int) -> int:
+    """Upper bound for the rows of the step table: every score is a multiple of the squared common divisor."""
+    attainable = cvm_score_bound(n, m) // math.gcd(n, m) ** 2 + 1
+    return min(attainable, math.comb(n + m, n)) + P_VALUE_BINS
+
+
 def with_cvm_p_value(
     df: DataFrame, groups: Groups, null: DataFrame | None = None, max_p: float | None = None
 ) -> DataFrame:
     """Add ``score``, ``t`` and ``p`` of the Cramer-von Mises test on the count columns; keep ``p <= max_p``.
 
     ``null`` may come from :func:`cvm_null` (default) or, through :func:`tails_of_table`, from a file. The step table
-    is broadcast: its size is fixed by the group sizes.
+    does not grow with the data; it is broadcast unless the group sizes allow more steps than fit.
     """
     n, m = len(groups.case), len(groups.control)
     null = cvm_null(df.sparkSession, n, m) if null is None else null
     steps, width = p_value_steps(null, n, m)
     if max_p is not None:
         steps = steps.where(f"p <= {max_p}")
-    if n + m <= ENUMERATED_SIZE:
-        steps = F.broadcast(steps)
+    steps = broadcast_or_merge(steps, most_steps(n, m) * STEP_ROW_BYTES <= session.BROADCAST_LIMIT_BYTES)
     scored = df.selectExpr("*", f"{cvm_score(groups.case_columns, groups.control_columns)} AS score")
     joined = scored.join(steps, F.expr(f"score div {width} = p_bin AND score BETWEEN p_lo AND p_hi"))
     return joined.selectExpr(*df.columns, "score", f"score / {cvm_scale(n, m)}D AS t", "p")

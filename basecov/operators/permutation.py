@@ -24,6 +24,7 @@ from basecov.functions.stats import (
 from basecov.operators.vectors import Groups
 
 TOLERANCE = 1e-9
+MAX_MASK_BITS = 62
 BUILT_IN = (cvm_statistic, ks_statistic)
 
 
@@ -61,6 +62,8 @@ def permutation_test(
     works on the split arrays ``x`` and ``y``.
     """
     n, m = len(groups.case), len(groups.control)
+    if n + m > MAX_MASK_BITS:
+        raise ValueError(f"splits are BIGINT masks and hold at most {MAX_MASK_BITS} samples")
     explode = f"explode({_mask_array(split_masks(n, m, max_splits, seed))}) AS split"
     kept = [*keys, *carry]
     scores = _bit_scores if all(s in BUILT_IN for s in statistics) else _array_scores

@@ -89,8 +89,9 @@ def candidate_regions(
 def exon_candidates(regions: DataFrame, exons: DataFrame) -> DataFrame:
     """Annotated exons that a region was mapped to, with the annotation's coordinates."""
     named = regions.where(f"exon_id <> '{UNKNOWN_EXON}'").select("gene_id", "exon_id")
-    found = exons.join(named, ["gene_id", "exon_id"], "left_semi").dropDuplicates(["gene_id", "exon_id"])
-    return found.selectExpr("gene_id", "exon_id", "chrom", "start_pos", "end_pos", "'.' AS strand")
+    found = exons.join(named, ["gene_id", "exon_id"], "left_semi")
+    single = found.groupBy("gene_id", "exon_id").agg(F.expr("max(struct(chrom, start_pos, end_pos)) AS at"))
+    return single.selectExpr("gene_id", "exon_id", "at.chrom", "at.start_pos", "at.end_pos", "'.' AS strand")
 
 
 def new_region_candidates(regions: DataFrame, tile: int = TILE) -> DataFrame:
