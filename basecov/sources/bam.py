@@ -65,7 +65,7 @@ def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         if path.startswith("file:"):
             return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return fs.LocalFileSystem(), path
 
 
