@@ -16,8 +16,8 @@ def schema_of(fields: Fields) -> T.StructType:
     return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
 
-def with_batch_columns(df: DataFrame, column: str, fields: Fields, compute: Callable[[pa.Array], Iterable[list[pa.Array]]]) -> DataFrame:
-    """``df`` with new columns computed from one text column, batch by batch and without a shuffle.
+def with_batch_columns(df: DataFrame, column: str, fields: Fields, compute: Callable[[pa.Array], Iterable[list[pa.Array]]], kind: str = "string") -> DataFrame:
+    """``df`` with new columns computed from one column of text (or of another ``kind``), batch by batch and without a shuffle.
 
     ``compute`` gets the column of a batch and yields lists of arrays, one per field, that together cover its rows in
     order. A column of ``df`` with the name of a new one is replaced.
@@ -25,7 +25,7 @@ def with_batch_columns(df: DataFrame, column: str, fields: Fields, compute: Call
     new = {n for n, _ in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
     names = [f.name for f in kept]
-    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").cast(kind).alias("__text"))
     out = T.StructType(kept + schema_of(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
