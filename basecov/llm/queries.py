@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.llm import bpe, decontaminate
+from basecov.llm import bpe, decontaminate, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_files.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
