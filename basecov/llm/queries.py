@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.llm import bpe, decontaminate, jaccard, quality, token_files
+from basecov.llm import bpe, decontaminate, jaccard, quality, substrings, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,12 @@ def op7_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"), length=3, percent=90)
 
 
+@query
+def op8_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.removable(table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
