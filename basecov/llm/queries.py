@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.llm import bpe, decontaminate, jaccard, quality, substrings, token_files
+from basecov.llm import bpe, decontaminate, jaccard, quality, substrings, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def tokenizer(name: str) -> str:
 @query
 def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
-    return token_files.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @query
@@ -50,6 +50,14 @@ def op3_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+@query
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_headers(warc.resolve_revisits(archives, least_bytes=0))
+    page, refers = (F.nullif(c, F.lit(warc.LOWEST)).alias(c) for c in ("page_id", "refers_to"))
+    return records.select(page, "payload_bytes", "payload_digest", "record_type", refers)
+
+
 @query
 def op7_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"), length=3, percent=90)
