@@ -101,6 +101,25 @@ def window_keys(key: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
+def prefix_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...], lower: bool = False) -> list[np.ndarray]:
+    """For each of some short lengths in bytes: keys of the ranges' beginnings, 0 where the range is not longer."""
+    values = _VALUES_LOWER if lower else _VALUES
+    out = [np.zeros(len(start), np.uint64) for _ in lengths]
+    bounds = np.searchsorted(start, np.arange(0, len(data) + SEGMENT, SEGMENT))
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        if i == j:
+            continue
+        low, high = start[i], min(start[j - 1] + max(lengths), len(data))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(values[data[low:high]] * _POWERS[: high - low], out=sums[1:])
+        s, size = start[i:j] - low, end[i:j] - start[i:j]
+        begun, back = sums[s], _INVERSES[s]
+        for k, length in zip(out, lengths):
+            longer = np.flatnonzero(size > length)
+            k[i + longer] = mix((sums[s[longer] + length] - begun[longer]) * back[longer] + np.uint64(length << 32))
+    return out
+
+
 def keys_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """Keys of the byte ranges start .. end, which ascend and do not overlap."""
     values = _VALUES_LOWER if lower else _VALUES
