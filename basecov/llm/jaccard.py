@@ -233,3 +233,14 @@ def linked(docs: DataFrame, *, length: int, percent: int, doc_id: str = "doc_id"
     final = stored(components(links.union(more).union(extra), "a", "b"), "components")
     out = members.join(final, members.rep == final.node, "left")
     return out.select(F.nullif("doc_id", F.lit(lowest)).alias("doc_id"), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, *, length: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with their own columns.
+
+    Only ids of documents that go are joined to the texts: sent to all tasks if they are few, else by a shuffle. A missing
+    id counts as the lowest 64-bit integer; rows with equal ids stay or go together.
+    """
+    found = linked(docs, length=length, percent=percent, doc_id=doc_id, text=text)
+    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
+    return docs.join(_small(gone), F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
