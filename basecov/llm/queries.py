@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.llm import bpe, decontaminate, html_text, jaccard, quality, substrings, token_files, toxicity, warc
+from basecov.llm import bpe, decontaminate, html_text, jaccard, quality, substrings, token_files, tool_calls, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +83,59 @@ def op8_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: What the turns of a conversation are called with: a system turn instructs, a user turn asks.
+TOOLS: tool_calls.Schema = {
+    "instruct": {"prompt": {"type": "string", "required": True, "minLength": 1}, "turn": {"type": "integer", "required": True, "maximum": 0}},
+    "reply": {"prompt": {"type": "string", "required": True, "minLength": 1, "maxLength": 600}, "turn": {"type": "integer", "required": True, "minimum": 0}},
+}
+
+
+@query
+def op9_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every system and user turn is a call, every assistant turn the result of the turn before; a call depends on the call two turns before."""
+    turns = table(spark, sf_dir, "conversations")
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
+    name = F.when(F.col("role") == "system", "instruct").otherwise("reply")
+    calls = turns.where("role IN ('system', 'user')").select("conv_id", F.concat(F.lit("c"), "turn").alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.concat(F.lit("c"), F.col("turn") - 2).alias("depends_on"))
+    results = turns.where("role NOT IN ('system', 'user')").select("conv_id", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    linked = tool_calls.link(calls, results, TOOLS)
+    return linked.select("conv_id", "call_id", "turn", "level", "status", F.array_join("errors", ",").alias("errors"), "json")
+
+
+ORACLES["op9_tool_call_links"] = """
+WITH RECURSIVE calls AS (
+    SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN role = 'system' THEN 'instruct' ELSE 'reply' END AS name, text, 'c' || (turn - 2) AS depends_on
+    FROM conversations WHERE role IN ('system', 'user')
+), results AS (
+    SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role NOT IN ('system', 'user')
+), tree AS (
+    SELECT c.conv_id, c.call_id, c.turn, CAST(0 AS BIGINT) AS level FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.depends_on WHERE p.call_id IS NULL
+    UNION ALL
+    SELECT c.conv_id, c.call_id, c.turn, t.level + 1 FROM calls c JOIN tree t ON t.conv_id = c.conv_id AND t.call_id = c.depends_on
+), checked AS (
+    SELECT c.*, t.level, r.content, r.call_id IS NOT NULL AS answered,
+        list_filter([
+            CASE WHEN name = 'instruct' AND c.turn > 0 THEN 'maximum: turn' END,
+            CASE WHEN name = 'reply' AND length(text) > 600 THEN 'maxLength: prompt' END,
+            CASE WHEN length(text) < 1 THEN 'minLength: prompt' END,
+            CASE WHEN name = 'reply' AND c.turn < 0 THEN 'minimum: turn' END,
+            CASE WHEN text IS NULL THEN 'type: prompt' END
+        ], lambda e: e IS NOT NULL) AS errors
+    FROM calls c JOIN tree t ON t.conv_id = c.conv_id AND t.call_id = c.call_id
+    LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+), rows AS (
+    SELECT conv_id, call_id, turn, level, CASE WHEN answered THEN 'linked' ELSE 'no result' END AS status, errors,
+        json_object('prompt', text, 'turn', turn) AS arguments, depends_on, name, content FROM checked
+    UNION ALL
+    SELECT r.conv_id, r.call_id, r.turn, NULL, 'no call', CAST([] AS VARCHAR[]), NULL, NULL, NULL, r.content
+    FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+)
+SELECT conv_id, call_id, turn, level, status, array_to_string(errors, ',') AS errors,
+    CAST(json_object('arguments', arguments, 'call_id', call_id, 'conv_id', conv_id, 'depends_on', depends_on, 'errors', errors, 'level', level, 'name', name, 'result', content, 'status', status, 'turn', turn) AS VARCHAR) AS json
+FROM rows
+"""
+
+
 @query
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
