@@ -55,7 +55,7 @@ def vector_stddev(x: str, mean: str) -> str:
 
 def fisher_statistic(p_values: str) -> str:
     """Fisher's combined statistic ``-2 sum(ln p)`` of an array of p-values."""
-    return f"aggregate({p_values}, 0D, (acc, p) -> acc - 2 * ln(p))"
+    return f"aggregate({p_values}, 0D, (acc, p) -> acc + if(p <= 0, double('infinity'), -2 * ln(p)))"
 
 
 def fisher_dof(p_values: str) -> str:
@@ -75,7 +75,7 @@ def fisher_p(statistic: str, dof: str, folded: bool = False) -> str:
         f"(acc, i) -> named_struct('log_term', acc.log_term + ln({half}) - ln(i + 1D), "
         f"'total', acc.total + exp(acc.log_term)), acc -> least(acc.total, 1D))"
     )
-    tail = f"(CASE WHEN {half} <= 0 THEN 1D ELSE {terms} END)"
+    tail = f"(CASE WHEN {half} <= 0 THEN 1D WHEN {half} = double('infinity') THEN 0D ELSE {terms} END)"
     return f"least({tail}, 1D - {tail})" if folded else tail
 
 

@@ -19,7 +19,6 @@ from basecov.session import broadcast_if_small
 
 TILE = 8192
 ALL_CHROMOSOMES = "*"
-MAX_POSITION = 300_000_000
 MAX_SAMPLES = 1_000_000
 UNMAPPED = 4
 
@@ -45,11 +44,11 @@ def mapped(reads: DataFrame) -> DataFrame:
     return reads.where(f"flag & {UNMAPPED} = 0") if "flag" in reads.columns else reads
 
 
-def in_range(reads: DataFrame, chrom: str = ALL_CHROMOSOMES, start: int = 1, end: int = MAX_POSITION) -> DataFrame:
-    """Reads that touch a range; plain comparisons, so they reach a Parquet scan."""
+def in_range(reads: DataFrame, chrom: str = ALL_CHROMOSOMES, start: int = 1, end: int | None = None) -> DataFrame:
+    """Reads that touch a range; plain comparisons, so they reach a Parquet scan. Without ``end`` it has no upper bound."""
     if chrom != ALL_CHROMOSOMES:
         reads = reads.where(F.col("chrom") == chrom)
-    return reads.where(f"start_pos <= {end} AND end_pos >= {start}")
+    return reads.where(f"end_pos >= {start}" + (f" AND start_pos <= {end}" if end is not None else ""))
 
 
 def aligned_blocks(reads: DataFrame) -> DataFrame:
@@ -60,14 +59,13 @@ def aligned_blocks(reads: DataFrame) -> DataFrame:
     return reads.selectExpr("sample_id", "chrom", f"inline({_blocks_of_cigar()})")
 
 
-def range_blocks(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+def range_blocks(reads: DataFrame, chrom: str, start: int, end: int | None) -> DataFrame:
     """Aligned blocks cut to a range before anything is expanded."""
     blocks = aligned_blocks(in_range(reads, chrom, start, end))
     if "cigar" in reads.columns:
         blocks = in_range(blocks, chrom, start, end)
-    return blocks.selectExpr(
-        "sample_id", "chrom", f"greatest(start_pos, {start}) AS start_pos", f"least(end_pos, {end}) AS end_pos"
-    )
+    last = "end_pos" if end is None else f"least(end_pos, {end}) AS end_pos"
+    return blocks.selectExpr("sample_id", "chrom", f"greatest(start_pos, {start}) AS start_pos", last)
 
 
 def depth_changes(blocks: DataFrame, tile: int = TILE) -> DataFrame:
@@ -75,8 +73,9 @@ def depth_changes(blocks: DataFrame, tile: int = TILE) -> DataFrame:
     pieces = blocks.selectExpr(
         "*", f"explode(sequence({bin_of('start_pos', tile)}, {bin_of('end_pos', tile)})) AS tile"
     )
-    enter = f"greatest(start_pos, tile * {tile})"
-    leave = f"least(end_pos, tile * {tile} + {tile - 1}) + 1"
+    # 64-bit arithmetic: the place behind the last base of the last tile may exceed an INT
+    enter = f"greatest(bigint(start_pos), bigint(tile) * {tile})"
+    leave = f"least(bigint(end_pos), bigint(tile) * {tile} + {tile - 1}) + 1"
     return pieces.selectExpr("sample_id", "chrom", "tile", f"stack(2, {enter}, 1, {leave}, -1) AS (start_pos, change)")
 
 
@@ -84,7 +83,7 @@ def base_segments(
     reads: DataFrame,
     chrom: str = ALL_CHROMOSOMES,
     start: int = 1,
-    end: int = MAX_POSITION,
+    end: int | None = None,
     factors: DataFrame | None = None,
     tile: int = TILE,
 ) -> DataFrame:
@@ -105,6 +104,7 @@ def base_segments(
             f"int(sum(change) {in_tile} ROWS UNBOUNDED PRECEDING)) AS cov",
         )
         .where("cov > 0")
+        .selectExpr("sample_id", "chrom", "try_cast(start_pos AS INT) AS start_pos", "try_cast(end_pos AS INT) AS end_pos", "cov")
     )
     return segments if factors is None else _scaled(segments, factors)
 
@@ -170,7 +170,8 @@ def region_hits(
     broadcast: a pile-up then enters the shuffled join as one row.
     """
     small = annotation_is_small(exons, width)
-    reads, placement = mapped(reads), ["sample_id", "chrom", "start_pos", "end_pos"]
+    # A read without an aligned base (CIGAR '*') ends before it starts; it covers nothing and hits nothing.
+    reads, placement = mapped(reads).where("end_pos >= start_pos"), ["sample_id", "chrom", "start_pos", "end_pos"]
     meets = "start_pos <= e_end AND end_pos >= e_start"
     if "cigar" in reads.columns:
         # only a gap in the alignment makes the blocks differ from the extent of the read

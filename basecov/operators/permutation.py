@@ -28,10 +28,10 @@ MAX_MASK_BITS = 62
 BUILT_IN = (cvm_statistic, ks_statistic)
 
 
-def split_masks(n: int, m: int, max_splits: int, seed: int = 0) -> list[int]:
-    """Bit masks of the splits to try: all of them, or ``max_splits`` drawn ones that include the observed split."""
+def split_masks(n: int, m: int, max_splits: int | None = None, seed: int = 0) -> list[int]:
+    """Bit masks of the splits to try: all of them, or on request ``max_splits`` drawn ones that include the observed split."""
     size = n + m
-    if math.comb(size, n) <= max_splits:
+    if max_splits is None or math.comb(size, n) <= max_splits:
         return [sum(1 << i for i in chosen) for chosen in itertools.combinations(range(size), n)]
     draw = random.Random(seed)
     masks = {(1 << n) - 1}
@@ -50,12 +50,14 @@ def permutation_test(
     keys: Sequence[str],
     groups: Groups,
     statistics: Sequence[Statistic] = BUILT_IN,
-    max_splits: int = 1000,
+    max_splits: int | None = None,
     seed: int = 0,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """``(keys, carry, p2)``: the share of splits of the pooled counts whose largest statistic reaches the observed one.
 
+    All splits are tried, whatever their number; only a caller that names ``max_splits`` gets a seeded draw of that size.
+
     ``df`` holds one row per key with the count columns of ``groups``; columns of ``carry`` pass through. Each row is expanded to its splits and folded
     back within its task, because rows of one key never leave it before partial aggregation; only (key, share)
     reaches a shuffle, if any. The built-in statistics are compared as exact integers over bit masks; any other one
@@ -68,7 +70,7 @@ def permutation_test(
     kept = [*keys, *carry]
     scores = _bit_scores if all(s in BUILT_IN for s in statistics) else _array_scores
     scored = scores(df.select(*kept, *groups.columns), kept, groups, statistics, explode)
-    share = f"count_if(score >= observed) / {split_count(n + m, n, max_splits)}D AS p2"
+    share = f"count_if(score >= observed) / {split_count(n + m, n, math.comb(n + m, n) if max_splits is None else max_splits)}D AS p2"
     return scored.groupBy(*keys).agg(*[F.expr(f"first({c}) AS {c}") for c in carry], F.expr(share))
 
 

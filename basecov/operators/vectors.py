@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from basecov.functions.scalars import ratio, scale_count
 from basecov.operators.coverage import (
     ALL_CHROMOSOMES,
-    MAX_POSITION,
     TILE,
     depth_changes,
     range_blocks,
@@ -73,7 +72,7 @@ def group_segments(
     groups: Groups,
     chrom: str = ALL_CHROMOSOMES,
     start: int = 1,
-    end: int = MAX_POSITION,
+    end: int | None = None,
     min_coverage: float = 1.0,
     tile: int = TILE,
 ) -> DataFrame:
@@ -101,8 +100,8 @@ def group_segments(
     counts = covered.selectExpr(
         "chrom",
         "tile",
-        "start_pos",
-        "end_pos",
+        "try_cast(start_pos AS INT) AS start_pos",
+        "try_cast(end_pos AS INT) AS end_pos",
         *[f"coalesce({groups.scaled(i, name)}, 0) AS {name}" for i, name in enumerate(columns)],
     )
     return _with_means(counts, groups).where(f"avg_a >= {min_coverage} OR avg_b >= {min_coverage}")
@@ -132,12 +131,15 @@ def exon_count_join(
     An inner join of two per-group collections on the exon, written as one aggregation so that the reads are scanned
     and shuffled once; an array never holds more entries than the group has samples.
     """
-    vectors = region_vectors(reads, exons, groups, width=width)
+    hits = region_hits(groups.of(reads), exons, width=width)
+    # A sample counts as seen by its reads, not by the scaled count, which may round to zero.
+    seen = [F.expr(f"sum(if(sample_id = {s}, n, 0)) AS n{i}") for i, s in enumerate(groups.ids)]
+    counts = hits.groupBy("gene_id", "exon_id").agg(*seen)
 
-    def seen(columns: Sequence[str]) -> str:
-        return f"filter(array({', '.join(columns)}), c -> c > 0)"
+    def scaled(indexes: range) -> str:
+        entries = [f"if(n{i} > 0, {groups.scaled(i, f'n{i}')}, NULL)" for i in indexes]
+        return f"array_compact(array({', '.join(entries)}))"
 
-    pairs = vectors.selectExpr(
-        "gene_id", "exon_id", f"{seen(groups.case_columns)} AS x", f"{seen(groups.control_columns)} AS y"
-    )
+    cases = len(groups.case)
+    pairs = counts.selectExpr("gene_id", "exon_id", f"{scaled(range(cases))} AS x", f"{scaled(range(cases, len(groups.ids)))} AS y")
     return pairs.where("size(x) > 0 AND size(y) > 0")

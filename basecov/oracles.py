@@ -518,7 +518,7 @@ oracle(
                   {padded("concat('(', chrom, ',', CAST(start_pos AS VARCHAR), ')')", 20)},
                   {padded("gene_id", 25)}, {padded("exon_id", 25)}, {padded("CAST(overlap_pct AS VARCHAR)", 15)},
                   {padded(shown("avg_a", 2), 10)}, {padded(shown("avg_b", 2), 10)}, {padded(STARS, 20)}) AS line
-    FROM (SELECT * FROM confirmed ORDER BY {TOP_ORDER} LIMIT 10000)""",
+    FROM confirmed""",
 )
 oracle(
     "exon_report",
@@ -537,7 +537,7 @@ oracle(
     UNION ALL SELECT 'results', count(*) FROM confirmed
     UNION ALL SELECT 'exons', count(DISTINCT (gene_id, exon_id)) FROM regions WHERE exon_id <> '0'
     UNION ALL SELECT 'novel', count(DISTINCT (chrom, start_pos, length)) FROM regions WHERE exon_id = '0'
-    UNION ALL SELECT 'report', least(count(*), 10000) + 1 FROM confirmed
+    UNION ALL SELECT 'report', count(*) + 1 FROM confirmed
     UNION ALL SELECT 'exon_report', count(*) + 1 FROM summary""",
 )
 

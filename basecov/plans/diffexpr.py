@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basecov.functions.ids import new_region_id
 from basecov.functions.scalars import signed_fold_change
 from basecov.functions.stats import Statistic, cvm_statistic, ks_statistic
-from basecov.operators.coverage import ALL_CHROMOSOMES, MAX_POSITION, TILE
+from basecov.operators.coverage import ALL_CHROMOSOMES, TILE
 from basecov.operators.intervals import BIN_WIDTH, UNKNOWN_EXON, map_regions_to_exons
 from basecov.operators.nulldist import with_cvm_p_value
 from basecov.operators.permutation import permutation_test
@@ -41,13 +41,13 @@ class Settings:
 
     chrom: str = ALL_CHROMOSOMES
     start: int = 1
-    end: int = MAX_POSITION
+    end: int | None = None
     min_coverage: float = 1.0
     min_region_len: int = 1
     max_p: float = 0.1
     coalesce_p: bool = True
     merge_adjacent: bool = False
-    max_splits: int = 10_000
+    max_splits: int | None = None
     seed: int = 0
     statistics: Sequence[Statistic] = field(default=(cvm_statistic, ks_statistic))
     tile: int = TILE

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from basecov.functions.scalars import coverage_stars, pad_right, round_half_up
 
-MAX_REPORT_ROWS = 10_000
 
 # Fixed titles and widths of the two text reports.
 REGION_LAYOUT = (
@@ -47,7 +46,7 @@ def _region_order() -> list[Column]:
     ]
 
 
-def top_regions(confirmed: DataFrame, n: int = MAX_REPORT_ROWS) -> DataFrame:
+def top_regions(confirmed: DataFrame, n: int) -> DataFrame:
     """The ``n`` best regions by phase-2 p-value, size of the fold change and length."""
     return confirmed.orderBy(*_region_order()).limit(n)
 
@@ -72,8 +71,8 @@ def header(layout) -> str:
     return "".join(title.ljust(width) for title, width in layout)
 
 
-def region_lines(confirmed: DataFrame, n: int = MAX_REPORT_ROWS) -> DataFrame:
-    """The ``n`` best regions with their report text ``line``."""
+def region_lines(confirmed: DataFrame, n: int | None = None) -> DataFrame:
+    """All regions, or the ``n`` best, with their report text ``line``."""
     values = [
         _shown("p2", 5),
         _shown("p", 5),
@@ -87,7 +86,8 @@ def region_lines(confirmed: DataFrame, n: int = MAX_REPORT_ROWS) -> DataFrame:
         _shown("avg_b", 2),
         coverage_stars("avg_a", "avg_b"),
     ]
-    return top_regions(confirmed, n).selectExpr("*", _line(values, REGION_LAYOUT))
+    chosen = confirmed if n is None else top_regions(confirmed, n)
+    return chosen.selectExpr("*", _line(values, REGION_LAYOUT))
 
 
 def exon_lines(summary: DataFrame) -> DataFrame:
@@ -105,13 +105,10 @@ def exon_lines(summary: DataFrame) -> DataFrame:
     return summary.selectExpr("*", _line(values, EXON_LAYOUT))
 
 
-def write_region_report(confirmed: DataFrame, path: str, n: int = MAX_REPORT_ROWS) -> bool:
-    """Write the ranked region report as one text file; larger requests than 10,000 rows are not reported."""
-    if n > MAX_REPORT_ROWS:
-        return False
+def write_region_report(confirmed: DataFrame, path: str, n: int | None = None) -> None:
+    """Write the ranked region report, all regions or the ``n`` best; its parts stay in global order."""
     lines = _with_header(region_lines(confirmed, n), REGION_LAYOUT)
-    lines.orderBy("is_line", *_region_order()).coalesce(1).select("line").write.mode("overwrite").text(path)
-    return True
+    lines.orderBy("is_line", *_region_order()).select("line").write.mode("overwrite").text(path)
 
 
 def write_exon_report(summary: DataFrame, path: str) -> None:

@@ -353,7 +353,7 @@ def permutation_test_plugin(spark, sf_dir):
     counts = vectors.region_vectors(_reads(spark, sf_dir), _exons(spark, sf_dir), GROUPS, width=WIDTH)
     return rounded(
         permutation.permutation_test(
-            counts, ["gene_id", "exon_id"], GROUPS, [stats.mann_whitney_statistic], max_splits=10_000
+            counts, ["gene_id", "exon_id"], GROUPS, [stats.mann_whitney_statistic]
         )
     )
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,8 @@ def read_bam(
     spark: SparkSession, path: str | Sequence[str], split_bytes: int = 64 * 1024 * 1024
 ) -> DataFrame:
     """BAM files as rows; large files are read in parallel by byte ranges of about ``split_bytes``."""
-    paths = [path] if isinstance(path, str) else list(path)
+    # tasks may have another working folder than the driver
+    paths = [p if ":" in p else os.path.abspath(p) for p in ([path] if isinstance(path, str) else path)]
     spark.dataSource.register(BamDataSource)
     return (
         spark.read.format("basecov-bam")
@@ -95,29 +98,40 @@ def sample_table(spark: SparkSession, sheet: Sequence[Sample]) -> DataFrame:
     return spark.createDataFrame(rows, "ord INT, sample_id INT, grp STRING, path STRING, norm_factor DOUBLE")
 
 
+def _by_format(path: str) -> dict[str, list[str]]:
+    """The format of a path or glob by its ending; a path without a known ending is listed, else it is Parquet."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending in ("bam", "sam"):
+        return {ending: [path]}
+    found: dict[str, list[str]] = {}
+    for name, _ in list_files(path):
+        ending = name.rsplit(".", 1)[-1].lower()
+        found.setdefault(ending if ending in ("bam", "sam") else "parquet", []).append(name)
+    if not found:
+        raise FileNotFoundError(path)
+    return {"parquet": [path]} if set(found) == {"parquet"} else found
+
+
 def read_samples(spark: SparkSession, sheet: Sequence[Sample]) -> DataFrame:
-    """All reads of a sheet from one multi-path scan per format, tagged with ``sample_id`` by their file."""
-    per_format: dict[str, list[tuple[str, int]]] = {}
-    for sample in sheet:
-        files = list_files(sample.path)
-        if not files:
-            raise FileNotFoundError(sample.path)
-        for name, _ in files:
-            per_format.setdefault(name.rsplit(".", 1)[-1].lower(), []).append((name, sample.sample_id))
+    """All reads of a sheet, tagged with their ``sample_id``.
+
+    Every sample is a scan of its own with its id as a constant, so no file has to be recognised by the spelling of its
+    path, and a file that two samples name belongs to both. Paths are resolved by the reader of their format: Spark's
+    for SAM and Parquet, with globs anywhere. A path without files is an error; a repeated line of the sheet counts once.
+    """
     parts = []
-    for files in per_format.values():
-        owners = spark.createDataFrame(
-            [(_file_key(name), sample_id) for name, sample_id in files], "file_key STRING, sample_id INT"
-        )
-        rows = read_alignments(spark, [name for name, _ in files])
-        rows = rows.withColumn("file_key", F.url_decode(F.regexp_replace("file_path", "^file:/+", "/")))
-        # one row per file, held by the driver already
-        parts.append(rows.join(F.broadcast(owners), "file_key").drop("file_key", "file_path"))
+    for sample_id, path in dict.fromkeys((s.sample_id, s.path) for s in sheet):
+        for ending, paths in _by_format(path).items():
+            if ending == "bam" and not all(list_files(p) for p in paths):
+                raise FileNotFoundError(path)
+            try:
+                rows = {"bam": read_bam, "sam": read_sam}.get(ending, read_alignments)(spark, paths)
+            except AnalysisException as e:
+                if e.getCondition() == "PATH_NOT_FOUND":
+                    raise FileNotFoundError(path) from e
+                raise
+            parts.append(rows.drop("file_path").select(F.lit(sample_id).cast("int").alias("sample_id"), "*"))
     reads = parts[0]
     for part in parts[1:]:
         reads = reads.unionByName(part)
-    return reads.select("sample_id", *[c for c in reads.columns if c != "sample_id"])
-
-
-def _file_key(name: str) -> str:
-    return "/" + name[len("file:"):].lstrip("/") if name.startswith("file:") else name
+    return reads

@@ -70,15 +70,15 @@ def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_files(pattern: str) -> list[tuple[str, int]]:
-    """``(path, bytes)`` of the files that a path, a folder or a glob in the last path element stands for."""
+    """``(path, bytes)`` of the files that a path, a folder or a glob stands for; any element of the path may hold wildcards."""
     system, path = _open_fs(pattern)
     prefix = pattern[: len(pattern) - len(path)] if pattern.endswith(path) else ""
-    folder, _, last = path.rpartition("/")
-    if any(ch in last for ch in "*?["):
-        found = system.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
-        infos = [i for i in found if fnmatch.fnmatchcase(i.base_name, last)]
-    else:
-        infos = [system.get_file_info(path)]
+    elements = path.split("/")
+    first = next((i for i, e in enumerate(elements) if any(ch in e for ch in "*?[")), len(elements))
+    infos = [system.get_file_info("/".join(elements[:first]) or ("/" if path.startswith("/") else "."))]
+    for element in elements[first:]:
+        inside = [i for info in infos if info.type == fs.FileType.Directory for i in system.get_file_info(fs.FileSelector(info.path))]
+        infos = [i for i in inside if fnmatch.fnmatchcase(i.base_name, element)]
     files: list[fs.FileInfo] = []
     for info in infos:
         if info.type == fs.FileType.Directory:

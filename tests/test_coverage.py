@@ -128,3 +128,17 @@ def test_size_check_counts_the_bins(make_exons, monkeypatch):
     exons = make_exons([("g", "e", "chr1", 1, 1_000_000)])
     monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 5_000 * intervals.BINNED_ROW_BYTES)
     assert intervals.annotation_is_small(exons, 10_000) and not intervals.annotation_is_small(exons, 100)
+
+
+def test_positions_have_no_upper_limit(make_reads):
+    last = 2**31 - 1
+    reads = make_reads([(1, "chr1", 299_999_990, 300_000_020), (1, "chr1", 400_000_000, 400_000_050), (1, "chr1", last - 4, last)])
+    found = coverage.base_coverage(reads).collect()
+    assert len(found) == 31 + 51 + 5 and {r.cov for r in found} == {1} and max(r.pos for r in found) == last
+    assert coverage.base_coverage(reads, end=300_000_000).count() == 11
+
+
+def test_reads_without_aligned_bases_hit_nothing(make_reads, make_exons):
+    reads = make_reads([(1, "chr1", 50, 49), (1, "chr1", 50, 50)])
+    hits = coverage.region_coverage(reads, make_exons([("G", "1", "chr1", 1, 100)]))
+    assert [r.cov for r in hits.collect()] == [1]

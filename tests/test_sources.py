@@ -129,6 +129,33 @@ def test_samples_with_globs_and_names_with_blanks(spark, files, tmp_path):
     assert len(list_files(str(tmp_path))) == 4
 
 
+@pytest.mark.parametrize("ending", ["sam", "bam", "parquet"])
+def test_samples_by_any_spelling_of_their_paths(spark, files, tmp_path, monkeypatch, ending):
+    monkeypatch.chdir(tmp_path)
+    names = ["a+b", "a%20b", "a b", "dir/plain", "one/x/deep", "two/x/deep"]
+    for name in names:
+        path = tmp_path / f"{name}.{ending}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        if ending == "sam":
+            path.write_text("\n".join(SAM) + "\n")
+        elif ending == "bam":
+            path.write_bytes((files / "sample_1.bam").read_bytes())
+        else:
+            read_sam(spark, str(files / "sample_1.sam")).drop("file_path").write.parquet(str(path))
+    here = str(tmp_path)
+    paths = [f"{here}/a+b", f"{here}/a%20b", f"{here}/a b", "a+b", "./dir/plain", f"{here}/dir//plain", f"file:{here}/dir/plain", f"file://{here}/a+b", f"{here}/*/x/deep", f"{here}/a+b"]
+    if ending == "parquet":
+        paths = [p for p in paths if not p.startswith(("a", "./"))]  # Spark resolves relative paths where the JVM began
+    elif ending == "sam":
+        paths = [p if p.startswith(("/", "file:")) else f"{here}/{p}" for p in paths]
+    sheet = [Sample(i, "case", f"{p}.{ending}") for i, p in enumerate(paths)]
+    sheet.append(sheet[0])  # a repeated line counts once
+    counts = {r.sample_id: r.n for r in read_samples(spark, sheet).groupBy("sample_id").agg(F.expr("count(*) AS n")).collect()}
+    assert counts == {i: 10 if "*" in p else 5 for i, p in enumerate(paths)}
+    with pytest.raises(FileNotFoundError):
+        read_samples(spark, [Sample(1, "case", f"{here}/absent.{ending}")])
+
+
 def test_null_table_with_carriage_returns(spark, tmp_path):
     path = tmp_path / "table.txt"
     path.write_text("0.0833333333\t0.400000000000\r\n0.1944444444\t0.800000000000\r\n")

@@ -224,3 +224,12 @@ def test_drawn_splits_are_repeatable_and_contain_the_observed_one():
     assert masks == permutation.split_masks(9, 6, 500, seed=3) and len(set(masks)) == 500
     assert (1 << 9) - 1 in masks and all(m.bit_count() == 9 for m in masks)
     assert len(permutation.split_masks(4, 4, 10_000)) == 70
+
+
+def test_all_splits_unless_draws_are_asked_for():
+    assert len(permutation.split_masks(8, 8)) == 12_870
+
+
+def test_fisher_of_a_zero_p_value(spark):
+    row = spark.range(1).selectExpr(f"{stats.fisher_statistic('array(0D, 0.5D)')} AS s").selectExpr("s", f"{stats.fisher_p('s', '4')} AS p").first()
+    assert row.s == float("inf") and row.p == 0
