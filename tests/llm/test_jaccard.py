@@ -43,8 +43,11 @@ def test_equals_brute_force(docs, corpus, length, percent):
     assert result(found) == brute(corpus, length, percent)
 
 
-def test_groups_near_the_threshold(spark):
+@pytest.mark.parametrize(("small", "block"), [(16, 128), (2, 7)])
+def test_groups_near_the_threshold(spark, monkeypatch, small, block):
     """Many texts made from one by a few changes: most pairs lie close to the threshold on either side."""
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(60)]
     rows = []
