@@ -10,8 +10,10 @@ least s + 1 words, and a join on (band, word number, word) finds all pairs.
 * Of a document's words only the rarest D + 1 are used: two similar sets share at least one of these, since the rarest
   word they agree in has at most D others before it on either side. Documents that share s words or fewer drop out.
 * Groups of documents with a common word are not expanded to pairs. Each group is first held against its smallest member
-  (star); verified links give components; only documents of different components that still share a word are compared.
-* Verification counts common shingles of the texts themselves, one centre text in memory at a time.
+  (star); verified links give components; only documents of different components that still share a word are compared:
+  groups of up to ``SMALL_GROUP`` as pairs, larger ones in blocks, where a task counts the common shingles of all texts of
+  two blocks at once and reports only links between components.
+* Verification counts common shingles of the texts themselves, with one centre text or two blocks in memory at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from basecov.session import stored
 #: Rows of a table of ids that may be sent to all tasks (some 50 bytes each in memory); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Members of a centre that are verified in one group of rows.
-GROUP_MEMBERS = 2_000
+GROUP_MEMBERS = 500
+#: Documents with a common word that are compared as pairs; more are compared in blocks of ``BLOCK_DOCS``.
+SMALL_GROUP, BLOCK_DOCS = 16, 128
 
 
 class Bands:
@@ -186,11 +190,98 @@ def verified(pairs: DataFrame, docs: DataFrame, length: int, percent: int) -> Da
                         if both and 100 * both >= percent * (len(own) + len(other) - both):
                             links.append((a[row], b[row]))
                             break
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _pairs(links)
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _in_blocks(large: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of documents that large groups of words join: key, doc, component ``c``.
+
+    The groups that share documents form a cluster. Its largest component is cut into blocks, and so are all other
+    documents; every block of the others meets every block of its cluster.
+    """
+    stars = large.withColumn("a", F.min("doc").over(W.partitionBy("key"))).where("doc > a")
+    clusters = components(stars.select("a", "doc").distinct(), "a", "doc")
+    members = large.select("doc", "c").distinct().join(clusters, large.doc == F.col("node")).select("doc", "c", F.col("component").alias("cluster"))
+    members = stored(members, "members")
+    sizes = members.groupBy("cluster", "c").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("all"))
+    blocks = largest.select("cluster", "main", F.ceil(F.col("inner") / BLOCK_DOCS).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("inner")) / BLOCK_DOCS).cast("int").alias("outer")).where("outer > 0")
+    placed = members.join(_small(stored(blocks, "blocks")), "cluster").withColumn("out", F.col("c") != F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    # Block pairs (i, j): i counts blocks of others, j those too (not below i) and behind them the blocks of the largest.
+    pairs = F.expr("""CASE WHEN out THEN concat(
+        transform(sequence(0, block), i -> struct(i AS i, block AS j, i = block AS left)),
+        transform(sequence(block, outer + inner - 1), j -> struct(block AS i, j AS j, true AS left)))
+        ELSE transform(sequence(0, outer - 1), i -> struct(i AS i, outer + block AS j, false AS left)) END""")
+    dealt = placed.select("cluster", "doc", "c", F.explode(F.array_distinct(pairs)).alias("p")).select("cluster", "doc", "c", "p.i", "p.j", "p.left")
+    dealt = stored(dealt, "block-pairs")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.join(_small(dealt), docs.doc_id == dealt.doc).select("cluster", "i", "j", "left", "doc", "c", "text")
+    spread = texts.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in range(6)]))
+            links = []
+            for w in pieces(batch.column(6), lower=True):
+                doc, key = shingles(w, length)
+                ends = np.searchsorted(doc, np.arange(w.n_docs + 1))
+                for i in range(w.n_docs):
+                    cluster, x, y, left, node, c = names[w.row + i]
+                    if (cluster, x, y) != now:
+                        links += _block_links(held, percent)
+                        now, held = (cluster, x, y), []
+                    held.append((left, node, c, key[ends[i] : ends[i + 1]].copy()))
+            yield _pairs(links)
+        yield _pairs(_block_links(held, percent))
+
+    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _block_links(held: list[tuple[bool, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between the left and the right documents of a block pair that join different components.
+
+    A block that meets itself has all its documents on the left; each is then held against all.
+    """
+    left = [h for h in held if h[0]]
+    right = [h for h in held if not h[0]] or left
+    if not left:
+        return []
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    everything = np.unique(np.concatenate([h[3] for h in held]))
+    codes = [[np.searchsorted(everything, h[3]) for h in side] for side in (left, right)]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, len(everything), 8192):
+        parts = []
+        for side in codes:
+            part = np.zeros((len(side), 8192), np.float32)
+            for i, c in enumerate(side):
+                part[i, c[np.searchsorted(c, low) : np.searchsorted(c, low + 8192)] - low] = 1
+            parts.append(part)
+        both += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    n, m = (np.array([len(h[3]) for h in side]) for side in (left, right))
+    links = []
+    for i, j in zip(*np.nonzero((both > 0) & (100 * both >= percent * (n[:, None] + m[None, :] - both)))):
+        x, y = find(left[i][2]), find(right[j][2])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((left[i][1], right[j][1]))
+    return links
+
+
 def linked(docs: DataFrame, *, length: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the smallest id reachable by links.
 
@@ -216,13 +307,14 @@ def linked(docs: DataFrame, *, length: int, percent: int, doc_id: str = "doc_id"
 
     # Words that documents of several components still share: hold their documents against each other.
     placed = shared.join(grouped, shared.doc == grouped.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    open_words = placed.withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key)).where("low != high").select("key", "doc", "c")
-    open_words = stored(open_words, "open-words")
-    left, right = open_words.alias("l"), open_words.alias("r")
+    open_words = placed.withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key)).where("low != high")
+    open_words = stored(open_words.withColumn("members", F.count("*").over(by_key)).select("key", "doc", "c", "members"), "open-words")
+    small = open_words.where(F.col("members") <= SMALL_GROUP)
+    left, right = small.alias("l"), small.alias("r")
     rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc") < F.col("r.doc")) & (F.col("l.c") != F.col("r.c")))
     rest = rest.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(rest, "open-pairs")
-    more = verified(second, rows, length, percent)
+    more = verified(stored(rest, "open-pairs"), rows, length, percent)
+    more = more.union(_in_blocks(open_words.where(F.col("members") > SMALL_GROUP), rows, length, percent))
 
     # Rows with one id but different texts belong together too.
     members = heads.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
