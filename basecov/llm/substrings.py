@@ -22,9 +22,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basecov.llm.words import Words, pieces, starts_of, window_keys
 from basecov.session import stored
@@ -179,7 +180,9 @@ def _both_ends_repeat(long: int, short: int) -> Callable:
 
 
 def _with_marks(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return texts.join(marks, "doc", how).select("doc", "text", F.struct("packed", "singles").alias("before"))
+    """Each use takes all columns of ``texts``, so that all uses share one exchange."""
+    others = [c for c in texts.columns if c not in ("doc", "text")]
+    return texts.join(marks, "doc", how).select("doc", "text", F.struct("packed", "singles").alias("before"), *others)
 
 
 def _dealt(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -188,8 +191,8 @@ def _dealt(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return _plain(docs, doc_id, text).repartition(parts, "doc")
 
 
-def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+def _plain(docs: DataFrame, doc_id: str, text: str, *others: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), *others)
 
 
 def _removal_marks(plain: DataFrame, dealt: DataFrame, length: int) -> DataFrame:
@@ -280,27 +283,27 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id"
     """``docs`` with the repeated words cut from the text and the character count made anew.
 
     All rows stay, also those whose text becomes empty; texts without repeats are untouched. The other columns travel with
-    the marks, which are joined to the rows by id.
+    the texts.
     """
-    marks = _removal_marks(_plain(docs, doc_id, text), _dealt(docs, doc_id, text), length)
-    own = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("own"))
-    rows = own.join(marks, "doc", "left").select("own", "text", F.struct("packed", "singles").alias("before"))
-    out = f"own {rows.schema['own'].dataType.simpleString()}, text string"
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    carried = F.struct(others, F.col(f"`{text}`").isNull().alias("missing")).alias("own")
+    dealt = _plain(docs, doc_id, text, carried).repartition(parts, "doc")
+    rows = _with_marks(dealt, _removal_marks(_plain(docs, doc_id, text), dealt, length), "left")
+    out = T.StructType([rows.schema["own"], T.StructField("text", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            column = batch.column(1)
-            for w in pieces(column):
-                gone = _gone(w, batch.column(2), length)
-                kept = _without(w, gone)
-                if column.null_count:
-                    kept = pc.if_else(pc.is_valid(column.slice(w.row, w.n_docs)), kept, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, w.n_docs), kept], names=["own", "text"])
+            for w in pieces(batch.column(1)):
+                own = batch.column(3).slice(w.row, w.n_docs)
+                kept = _without(w, _gone(w, batch.column(2), length))
+                kept = pc.if_else(pc.struct_field(own, "missing"), pa.scalar(None, pa.string()), kept)
+                yield pa.RecordBatch.from_arrays([own, kept], names=["own", "text"])
 
     cut = rows.mapInArrow(run, out)
     counted = F.char_length("text").cast(docs.schema[n_chars].dataType) if n_chars in docs.columns else None
     columns = {text: F.col("text").alias(text), n_chars: counted.alias(n_chars) if counted is not None else None}
-    return cut.select(*[columns.get(c) if columns.get(c) is not None else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
+    return cut.select(*[columns.get(c) if columns.get(c) is not None else F.col(f"own.row.`{c}`").alias(c) for c in docs.columns])
 
 
 def repeat_lengths(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,8 +60,9 @@ def test_doubling_until_nothing_survives(spark):
     assert {r.doc_id: r.length for r in found.collect()} == {1: 52, 2: 52, 3: 13}
 
 
-def test_texts_are_dealt_out_once(docs):
-    df = substrings.removable(docs)
+@pytest.mark.parametrize("operator", [substrings.removable, substrings.cut_repeats])
+def test_texts_are_dealt_out_once(docs, operator):
+    df = operator(docs.selectExpr("*", "'en' AS lang"))
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
