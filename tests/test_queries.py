@@ -8,11 +8,12 @@ import pytest
 import __spark_entry__ as registry
 from basecov import fixtures, session
 from basecov.operators import coverage, vectors
+from basecov.oracles import ORACLES
 from basecov.plans import diffexpr
+from basecov.queries import QUERIES
 from compare import connect, difference
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +36,10 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_all_queries_are_registered():
+    assert QUERIES.items() <= registry.queries().items() and ORACLES.items() <= registry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert registry.entry(spark).columns[:3] == ["chrom", "start_pos", "length"]
 
