@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,25 @@ from pyspark.sql import types as T
 Fields = list[tuple[str, str]]
 
 
+_KEPT: dict[object, object] = {}
+_STAGE: list[int] = []
+
+
+def new_task() -> None:
+    """Drops what tasks of other stages have kept in this Python worker."""
+    stage = TaskContext.get().stageId()
+    if _STAGE != [stage]:
+        _KEPT.clear()
+        _STAGE[:] = [stage]
+
+
+def kept(key: object, make: Callable):
+    """An object that all tasks of a stage in one Python worker share, such as an encoder with what it remembers."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def schema_of(fields: Fields) -> T.StructType:
     return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
@@ -29,6 +49,7 @@ def with_batch_columns(df: DataFrame, column: str, fields: Fields, compute: Call
     out = T.StructType(kept + schema_of(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_task()
         for batch in batches:
             at = 0
             for arrays in compute(batch.column(len(names))):
@@ -45,6 +66,7 @@ def mapped(df: DataFrame, columns: Fields, out: Fields, compute: Callable[[pa.Re
     names = [n for n, _ in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_task()
         for batch in batches:
             for arrays in compute(batch):
                 yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)

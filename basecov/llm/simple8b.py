@@ -48,22 +48,30 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             selector[stop >= np.minimum(column + COUNTS[s], BLOCK).astype(np.uint8)] = s
     size = np.full(n_blocks, BLOCK)
     size[-1] = n - (n_blocks - 1) * BLOCK
-    # All blocks step from word to word together.
+    # All blocks step from word to word together; the k-th step gives the k-th word of every block still open.
     at, alive, steps = np.zeros(n_blocks, np.int64), np.arange(n_blocks), []
     while len(alive):
-        s = selector[alive, at[alive]].astype(np.int64)
-        take = np.minimum(COUNTS[s], size[alive] - at[alive])
-        steps.append((alive, at[alive], s, take))
-        at[alive] += take
-        alive = alive[at[alive] < size[alive]]
-    block, place, s, take = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((place, block))
-    block, s, take = block[order], s[order], take[order]
-    offsets = np.searchsorted(block, np.arange(n_blocks + 1)).astype(np.uint32)
+        here = at[alive]
+        s = selector[alive, here]
+        take = np.minimum(COUNTS[s], size[alive] - here)
+        steps.append((alive, s, take))
+        here += take
+        at[alive] = here
+        alive = alive[here < size[alive]]
+    words_in = np.zeros(n_blocks, np.int64)
+    for alive, _, _ in steps:
+        words_in[alive] += 1
+    offsets = np.concatenate([[0], np.cumsum(words_in)])
+    s, take = np.empty(offsets[-1], np.uint8), np.empty(offsets[-1], np.int64)
+    for k, (alive, chosen, taken) in enumerate(steps):
+        place = offsets[alive] + k
+        s[place], take[place] = chosen, taken
+    offsets = offsets.astype(np.uint32)
     begins = np.concatenate([[0], np.cumsum(take)[:-1]])
-    slot = np.arange(n) - np.repeat(begins, take)
-    shift = (slot * np.repeat(WIDTHS[s], take)).astype(np.uint64)
-    words = np.bitwise_or.reduceat((ids & _LOW60) << shift, begins) | (s.astype(np.uint64) << np.uint64(60))
+    # The place of each id in its word, times the width of the word.
+    shift = np.repeat(WIDTHS[s], take)
+    shift *= np.arange(n) - np.repeat(begins, take)
+    words = np.bitwise_or.reduceat((ids & _LOW60) << shift.view(np.uint64), begins) | (s.astype(np.uint64) << np.uint64(60))
     return words, offsets, (ids[begins[s == 0]] >> np.uint64(60)).astype(np.uint8)
 
 

@@ -20,22 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basecov.llm import simple8b
-from basecov.llm.frames import mapped
+from basecov.llm.files import Parts, locate, new_folder, spread, written
+from basecov.llm.frames import kept, mapped, new_task
 from basecov.llm.words import cuts, text_buffers
-from basecov.session import scratch_path, stored
 
 MAGIC = b"TOKS8B01"
 HEAD = struct.Struct("<8sIIQQQ")
 FILE_IDS = 4 << 20
-KEPT_WORDS = 250_000
-MANIFEST = [("part", "int"), ("number", "int"), ("path", "string"), ("n_docs", "bigint"), ("n_ids", "bigint"), ("n_bytes", "bigint")]
+KEPT_WORDS = 200_000
 
 
 def to_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -65,18 +62,19 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table[:, 0].astype("<u8").view("<i8"), table[:, 1].astype(np.int64), simple8b.unpack(words, offsets, exceptions, n_ids)
 
 
-#: Chunks whose normal form and split are known without the library: visible ASCII and Latin-1 letters. Fixed values.
-_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: Texts whose normal form and split are known without the library: visible ASCII, Latin-1 letters and the white space
+#: of ``_SPACES``. Fixed values.
+_PLAIN = re.compile("[ \n\r\t\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n\r\t0-9a-zß-öø-ÿ]+")
 _SPACES = re.compile("[ \n\r\t]+")
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, with remembered words.
 
-    White space ends every word of such a tokenizer, so a text may be cut at it; each distinct chunk is handed to the
-    library once. ``plain``: the tokenizer lowers, composes and splits text as ``_PLAIN_SPLIT`` does and marks the last
-    token of every word; then the new words of many texts go to the library in one call.
+    White space ends every word of such a tokenizer, so a text may be cut at it and each distinct chunk is handed to the
+    library once. ``plain``: the tokenizer lowers, composes and splits plain text as ``_PLAIN_SPLIT`` does and marks the
+    last token of every word; then the new words of many texts go to the library in one call.
     """
 
     def __init__(self, content: str, plain: bool):
@@ -84,7 +82,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain, self.chunks, self.words = plain, {}, {}
+        self.plain = plain
+        # Two generations of words: a full one is kept until the next is full, so frequent words never go.
+        self.chunks, self.words, self.old_words = {}, {}, {}
         if plain:
             suffix = json.loads(content)["model"]["end_of_word_suffix"]
             vocabulary = self.tokenizer.get_vocab()
@@ -106,69 +106,59 @@ class WordEncoder:
                 self.words[word] = raw[begin:end]
                 begin = end
 
-    def _learn(self, chunks: set[str]) -> None:
-        plain = {c: _PLAIN_SPLIT.findall(c.lower()) for c in chunks if _PLAIN.fullmatch(c)} if self.plain else {}
-        self._learn_words(list({w for words in plain.values() for w in words} - self.words.keys()))
-        for chunk in chunks:
-            words = plain.get(chunk)
-            self.chunks[chunk] = self.ids(chunk).tobytes() if words is None else b"".join(map(self.words.__getitem__, words))
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space that is not plain."""
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            ids = self.ids(chunk).tobytes()
+            if len(chunk) <= 256:
+                self.chunks[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; ``texts`` should be a few megabytes."""
-        for held in (self.chunks, self.words):
-            if len(held) > KEPT_WORDS:
-                held.clear()
-        split = [list(filter(None, _SPACES.split(t))) for t in texts]
-        self._learn(set().union(*split) - self.chunks.keys())
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
-
-
-_MADE: dict[str, WordEncoder] = {}
+        if len(self.chunks) > KEPT_WORDS:
+            self.chunks.clear()
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.old_words = {}, self.words
+        split = [_PLAIN_SPLIT.findall(t.lower()) if self.plain and _PLAIN.fullmatch(t) else None for t in texts]
+        unknown = set().union(*filter(None, split)) - self.words.keys()
+        known = unknown & self.old_words.keys()
+        self.words.update((w, self.old_words[w]) for w in known)
+        self._learn_words(list(unknown - known))
+        word = self.words.__getitem__
+        return [b"".join(map(self._chunk, filter(None, _SPACES.split(t)))) if words is None else b"".join(map(word, words)) for t, words in zip(texts, split)]
 
 
 def _encoder(content: str, plain: bool) -> WordEncoder:
-    key = f"{zlib.crc32(content.encode())} {len(content)} {plain}"
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = WordEncoder(content, plain)
-    return _MADE[key]
-
-
-def _open(path: str):
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path)
+    """One encoder per Python worker and stage."""
+    return kept((WordEncoder.__name__, zlib.crc32(content.encode()), len(content), plain), lambda: WordEncoder(content, plain))
 
 
 class _Writer:
     """Collects documents and writes a file whenever enough ids are there."""
 
     def __init__(self, folder: str, file_ids: int):
-        task = TaskContext.get()
-        self.part, self.attempt = task.partitionId(), task.taskAttemptId()
-        self.folder, self.file_ids, self.number = folder, file_ids, 0
+        self.parts, self.file_ids = Parts(folder, ".toks"), file_ids
         self._clear()
 
     def _clear(self) -> None:
         self.docs, self.counts, self.ids, self.held = [], [], [], 0
 
-    def add(self, doc: int, ids: bytes) -> None:
+    def add(self, doc: int, ids: bytes) -> Iterator[pa.RecordBatch]:
         self.docs.append(doc)
         self.counts.append(len(ids) // 4)
         self.ids.append(ids)
         self.held += len(ids) // 4
-
-    def close(self) -> list[tuple]:
-        if not self.docs:
-            return []
-        data = to_file(np.array(self.docs, np.int64), np.array(self.counts), np.frombuffer(b"".join(self.ids), "<u4"))
-        path = f"{self.folder}/{self.part:06d}-{self.number:06d}-{self.attempt}.toks"
-        system, inner = _open(path)
-        with system.open_output_stream(inner) as out:
-            out.write(data)
-        row = (self.part, self.number, path, len(self.docs), self.held, len(data))
-        self.number += 1
+        if self.held >= self.file_ids:
+            yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The manifest row of the file, which counts ids."""
+        if self.docs:
+            data = to_file(np.array(self.docs, np.int64), np.array(self.counts), np.frombuffer(b"".join(self.ids), "<u4"))
+            yield self.parts.write([data], self.held)
         self._clear()
-        return [row]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id", plain: bool = True, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
@@ -180,24 +170,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str
     library. One shuffle, of the texts, by ranges of the id.
     """
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "tokens")
-    system, inner = _open(folder)
-    system.create_dir(inner, recursive=True)
+    folder = new_folder(docs, "tokens", folder)
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary on the driver, beside the program
         content = spark.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    names = [n for n, _ in MANIFEST]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_task()
         encoder, writer = _encoder(content.value, plain), _Writer(folder, file_ids)
-
-        def done(closed: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for row in closed:
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
-
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))
@@ -206,30 +188,27 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str
                 at = (offsets[low : high + 1] - offsets[low]).tolist()
                 texts = [part[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
                 for doc, encoded in zip(ids[low:high], encoder.encode(texts)):
-                    writer.add(doc, encoded + end)
-                    if writer.held >= file_ids:
-                        yield from done(writer.close())
-        yield from done(writer.close())
+                    yield from writer.add(doc, encoded + end)
+        yield from writer.close()
 
-    return stored(rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in MANIFEST)), "token-manifest")
+    return written(rows, "tokens", run)
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:
     """The manifest with ``base``: ids in all files before. Sums of parts first, so that no window holds all files."""
-    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = manifest.groupBy("part").agg(F.sum("n_rows").alias("ids"))
     parts = parts.select("part", (F.sum("ids").over(W.orderBy("part")) - F.col("ids")).alias("before"))
-    inner = F.sum("n_ids").over(W.partitionBy("part").orderBy("number")) - F.col("n_ids")
+    inner = F.sum("n_rows").over(W.partitionBy("part").orderBy("number")) - F.col("n_rows")
     return manifest.join(parts, "part").withColumn("base", F.col("before") + inner).drop("before")
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_tokens(manifest: DataFrame) -> DataFrame:
     """Documents of the files: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``, ``ids`` (u32)."""
-    files = max(1, min(manifest.count(), 100_000))
-    spread = with_bases(manifest).select("path", "base").repartition(files)
+    files = spread(with_bases(manifest), "base")
 
     def compute(batch):
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            system, inner = _open(path)
+            system, inner = locate(path)
             with system.open_input_stream(inner) as f:
                 docs, counts, ids = from_file(f.read())
             raw = ids.astype("<u4")
@@ -241,4 +220,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), high - low, [None, places, data])
                 yield [pa.array(docs[low:high]), pa.array(bounds[low:high] + base), pa.array(counts[low:high]), packed]
 
-    return mapped(spread, [("path", "string"), ("base", "bigint")], [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids", "binary")], compute)
+    return mapped(files, [("path", "string"), ("base", "bigint")], [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids", "binary")], compute)
