@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from basecov.llm.frames import with_batch_columns
+from basecov.llm.frames import kept, with_batch_columns
 from basecov.llm.words import cuts, text_buffers
 
-#: Distinct chunks whose ids a task remembers, and states of the machine, before it starts anew.
-KEPT_CHUNKS, KEPT_STATES = 250_000, 250_000
+#: Distinct chunks and words whose ids a task remembers (twice over), and states of the machine, before it starts anew.
+KEPT_CHUNKS, KEPT_STATES = 120_000, 120_000
 SETTLE_EVERY = 4096
 ROOT = 0
 
@@ -46,6 +47,7 @@ class Transducer:
         self.size = {i: len(t) for t, i in ranks.items()}
         self.children: dict[int, int] = {}  # node * 256 + byte
         self.token: dict[int, int] = {}  # of a node that ends a token
+        self.depth = [0]
         nodes = 1
         for raw, i in ranks.items():
             node = ROOT
@@ -55,12 +57,15 @@ class Transducer:
                 if node is None:
                     node = self.children[step] = nodes
                     nodes += 1
+                    self.depth.append(self.depth[step >> 8] + 1)
             self.token[node] = i
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.inner = {step >> 8 for step in self.children}  # nodes that a longer token goes through
+        self.beside: dict[int, bool] = {}  # token before + 1 and token, packed
         self._restart()
 
     def _restart(self) -> None:
-        self.states: list[tuple] = [((ROOT, -1, 0),)]  # (node, token before, depth of the node), oldest start first
+        # A state is its pairs, oldest start first; a pair is packed as node * 2^32 + token before + 1.
+        self.states: list[tuple] = [(ROOT,)]
         self.known = {self.states[0]: 0}
         self.ended = [-1]  # the token that ends in a state
         self.steps: dict[int, int] = {}  # state * 256 + byte
@@ -82,26 +87,28 @@ class Transducer:
 
     def may_follow(self, before: int, token: int) -> bool:
         """Whether the merge rules keep the two tokens apart. Before the first token stands -1."""
-        pair = (before, token)
+        pair = (before + 1) << 32 | token
         held = self.beside.get(pair)
         if held is None:
             ids = self.merged(self.raw[token] if before < 0 else self.raw[before] + self.raw[token])
-            held = self.beside[pair] = ids == [t for t in pair if t >= 0]
+            held = self.beside[pair] = ids == ([token] if before < 0 else [before, token])
         return held
 
     def step(self, state: int, byte: int) -> int:
         """The next state, determinised now if it was never needed before."""
         pairs, ended = [], -1
-        for node, before, depth in self.states[state]:
-            child = self.children.get(node * 256 + byte)
+        for pair in self.states[state]:
+            child = self.children.get((pair >> 32) * 256 + byte)
             if child is not None:
-                pairs.append((child, before, depth + 1))
+                before = (pair & 0xFFFFFFFF) - 1
+                if child in self.inner:
+                    pairs.append(child << 32 | before + 1)
                 token = self.token.get(child)
                 if token is not None and ended < 0 and self.may_follow(before, token):
                     ended = token
         if ended < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        key = (*pairs, (ROOT, ended, 0))
+        key = (*pairs, ended + 1)
         new = self.known.get(key)
         if new is None:
             new = self.known[key] = len(self.states)
@@ -117,7 +124,7 @@ class Transducer:
             return [whole]
         if len(self.states) > KEPT_STATES:
             self._restart()
-        if len(self.beside) > 4 * KEPT_STATES:
+        if len(self.beside) > 2 * KEPT_STATES:
             self.beside.clear()
         out: list[int] = []
         last: list[int] = []  # the token that ends at each byte not yet settled
@@ -141,8 +148,8 @@ class Transducer:
     def _settle(self, last: list[int], state: int, out: list[int]) -> int:
         """Emits what all tokens still open agree on; the number of settled bytes."""
         common = None
-        for _, _, depth in self.states[state]:
-            end, cuts = len(last) - depth, set()
+        for pair in self.states[state]:
+            end, cuts = len(last) - self.depth[pair >> 32], set()
             while end > 0:
                 cuts.add(end)
                 end -= self.size[last[end - 1]]
@@ -164,13 +171,17 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.first, self.later = _Remembered(self, ""), _Remembered(self, " ")
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def chunk(self, text: str) -> bytes:
         out = []
         for match in self.pattern.findall(text):
             ids = self.words.get(match)
             if ids is None:
-                ids = np.array(self.machine.encode(match.encode("utf-8", "replace")), "<u4").tobytes()
+                ids = self.old_words.get(match)
+                if ids is None:
+                    found = self.machine.encode(match.encode("utf-8", "replace"))
+                    ids = struct.pack(f"<{len(found)}I", *found)
                 if len(match) <= 64:
                     self.words[match] = ids
             out.append(ids)
@@ -180,9 +191,11 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of a text."""
         if not text:
             return b""
-        for held in (self.first, self.later, self.words):
-            if len(held) > KEPT_CHUNKS:
-                held.clear()
+        # Two generations: a full one is kept until the next is full, so frequent chunks and words never go.
+        self.first.turn()
+        self.later.turn()
+        if len(self.words) > KEPT_CHUNKS:
+            self.words, self.old_words = {}, self.words
         parts = text.split(" ")
         if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
             parts = _INNER_SPACE.split(text)
@@ -195,10 +208,17 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class _Remembered(dict):
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.old = encoder, before, {}
+
+    def turn(self) -> None:
+        if len(self) > KEPT_CHUNKS:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.chunk(self.before + part)
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encoder.chunk(self.before + part)
         if len(part) <= 256:
             self[part] = ids
         return ids
@@ -287,16 +307,9 @@ class Decoder:
         return b"".join(out), stream.replaced
 
 
-_MADE: dict[tuple, object] = {}
-
-
 def _made(kind, content: bytes, *args):
-    """One encoder or decoder per Python worker."""
-    key = (kind.__name__, hashlib.sha256(content).digest(), *args)
-    if key not in _MADE:
-        _MADE.clear() if len(_MADE) > 4 else None
-        _MADE[key] = kind(read_ranks(content), *args)
-    return _MADE[key]
+    """One encoder or decoder per Python worker and stage."""
+    return kept((kind.__name__, hashlib.sha256(content).digest(), *args), lambda: kind(read_ranks(content), *args))
 
 
 def _texts(column: pa.Array) -> Iterator[list[str]]:
