@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basecov.llm.frames import new_task
 from basecov.llm.words import NOT_ALNUM_TABLE, Words, pieces
 
 WINDOW = 13
@@ -147,6 +148,7 @@ def _pass(df: DataFrame, index: TestIndex, names: list[str]) -> DataFrame:
     out = T.StructType([T.StructField(n, kinds[n]) for n in [*names, "__text", "__n_words", "__n_hit", "__matches"]])
 
     def run(batches):
+        new_task()
         index = shared.value
         for batch in batches:
             for w in pieces(batch.column("__text"), NOT_ALNUM_TABLE, lower=True):

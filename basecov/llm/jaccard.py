@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basecov.llm.components import components
-from basecov.llm.frames import mapped
+from basecov.llm.frames import mapped, new_task
 from basecov.llm.words import MULTIPLIER, Words, mix, pieces, starts_of, window_keys
 from basecov.session import stored
 
@@ -169,6 +169,7 @@ def verified(pairs: DataFrame, docs: DataFrame, length: int, percent: int) -> Da
     rows = centres.union(members).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
+        new_task()
         centre, sets = None, []  # texts of the current centre; several rows may have its id
         for batch in batches:
             a, part = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -222,6 +223,7 @@ def _in_blocks(large: DataFrame, docs: DataFrame, length: int, percent: int) ->
     spread = texts.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches):
+        new_task()
         now, held = None, []
         for batch in batches:
             names = list(zip(*[batch.column(k).to_pylist() for k in range(6)]))

@@ -27,7 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basecov.llm.words import Words, pieces, starts_of, window_keys
+from basecov.llm.frames import new_task
+from basecov.llm.words import Words, mix, pieces, starts_of, window_keys
 from basecov.session import stored
 
 LENGTH = 13
@@ -81,7 +82,8 @@ def _emit(doc_ids: np.ndarray, row: np.ndarray, key: np.ndarray, lower_only: boo
         part = slice(low, low + 1000)
         docs = doc_ids[rows[part].astype(np.int64)]
         # Known rows need no partner: a key of their own only spreads them.
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), pa.int64()), pa.array(docs), pa.array(marks[part], pa.binary())], names=names)
+        own = mix(docs.astype(np.uint64) + np.uint64(low)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(docs), pa.array(marks[part], pa.binary())], names=names)
 
 
 def _level(texts: DataFrame, find: Callable, lower_only: bool) -> DataFrame:
@@ -91,6 +93,7 @@ def _level(texts: DataFrame, find: Callable, lower_only: bool) -> DataFrame:
     """
 
     def run(batches):
+        new_task()
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             before = batch.column(2) if batch.num_columns > 2 else None
@@ -108,12 +111,12 @@ def _level(texts: DataFrame, find: Callable, lower_only: bool) -> DataFrame:
                 yield from _emit(doc_ids, np.concatenate(rows), np.concatenate(keys), lower_only)
 
     found = texts.mapInArrow(run, _ROWS)
-    spread = found.withColumn("spread", F.coalesce("key", F.xxhash64("doc", "marks")))
-    by_key = W.partitionBy("spread")
-    judged = spread.withColumn("low", F.min("doc").over(by_key)).withColumn("high", F.max("doc").over(by_key))
+    by_key, open_doc = W.partitionBy("key"), F.when(F.col("marks").isNull(), F.col("doc"))
+    judged = found.withColumn("low", F.min(open_doc).over(by_key)).withColumn("high", F.max(open_doc).over(by_key))
     repeats = F.col("doc") > F.col("low") if lower_only else F.col("high") > F.col("low")
     kept = judged.where(F.col("marks").isNotNull() | repeats)
-    return kept.groupBy("doc").agg(F.collect_list("marks").alias("packed"), F.collect_list("key").alias("singles"))
+    single = F.when(F.col("marks").isNull(), F.col("key"))
+    return kept.groupBy("doc").agg(F.collect_list("marks").alias("packed"), F.collect_list(single).alias("singles"))
 
 
 def _marks(before: pa.StructArray, row: int) -> np.ndarray:
@@ -215,6 +218,7 @@ def removable(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id",
     found = _with_marks(dealt, _removal_marks(plain, dealt, length), "left")
 
     def run(batches):
+        new_task()
         for batch in batches:
             before = batch.column(2)
             for w in pieces(batch.column(1)):
@@ -293,6 +297,7 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id"
     out = T.StructType([rows.schema["own"], T.StructField("text", T.StringType())])
 
     def run(batches):
+        new_task()
         for batch in batches:
             for w in pieces(batch.column(1)):
                 own = batch.column(3).slice(w.row, w.n_docs)

@@ -1,6 +1,6 @@
 """Words of a column of texts as arrays: places, 64-bit keys and the document each word belongs to.
 
-Texts arrive in Arrow batches. A batch is cut at document borders into pieces of a few megabytes, so that memory stays
+Texts arrive in Arrow batches. A batch is cut at document borders into pieces of about a megabyte, so that memory stays
 bounded by the piece (or by the longest single text), and all words of a piece are found and hashed together with numpy.
 Missing texts count as empty. A key is a polynomial hash of the word's bytes, so equal words have equal keys in every task.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 SEGMENT = 1 << 17
 LONG_WORD = 1 << 15
 MULTIPLIER = 0x9E3779B97F4A7C15
