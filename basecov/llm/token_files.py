@@ -32,7 +32,7 @@ from basecov.llm.words import cuts, text_buffers
 MAGIC = b"TOKS8B01"
 HEAD = struct.Struct("<8sIIQQQ")
 FILE_IDS = 4 << 20
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def to_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
