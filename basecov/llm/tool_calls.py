@@ -65,10 +65,10 @@ def levels(calls: DataFrame) -> DataFrame:
     known = nodes.select("conv_id", F.col("call_id").alias("up"), F.lit(True).alias("there"))
     state = nodes.join(known, ["conv_id", "up"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("up")).alias("up"))
     state = stored(state.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "call-levels")
-    open_calls = state.where("up IS NOT NULL").count()
+    open_calls = longest = state.where("up IS NOT NULL").count()  # no chain that ends is longer than all calls open now
     for round_ in range(MAX_ROUNDS):
-        if not open_calls or 1 << round_ > 2 * open_calls:
-            break  # a chain without end after that many steps is a cycle
+        if not open_calls or 1 << round_ > longest:
+            break  # pointers are 2^round steps long, so a chain still without end is a cycle
         above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
         joined = state.join(above, ["conv_id", "up"], "left")
         state = stored(joined.select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "call-levels")

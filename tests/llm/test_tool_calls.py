@@ -74,6 +74,16 @@ def test_order_of_chains_and_cycles(spark):
     assert found == {(1, f"c{i}"): i for i in range(100)} | {(2, "x"): None, (2, "y"): None, (2, "z"): None, (3, "s"): None, (4, "c5"): 0, (5, "t"): 1, (5, "u"): 0}
 
 
+@pytest.mark.parametrize("n", [5, 9, 80, 700])
+def test_one_long_chain_keeps_all_levels(spark, n):
+    """The number of open calls shrinks while a chain is resolved; its tail must not pass for a cycle."""
+    calls = [(1, f"c{i}", f"c{i - 1}") for i in range(n)] + [(2, "x", "y"), (2, "y", "x")]
+    found = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(spark.createDataFrame(calls[:n], "conv_id BIGINT, call_id STRING, depends_on STRING")).collect()}
+    assert found == {(1, f"c{i}"): i for i in range(n)}
+    found = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(spark.createDataFrame(calls, "conv_id BIGINT, call_id STRING, depends_on STRING")).collect()}
+    assert found == {(1, f"c{i}"): i for i in range(n)} | {(2, "x"): None, (2, "y"): None}
+
+
 def test_empty_tables(spark):
     assert tool_calls.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
 
