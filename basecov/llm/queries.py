@@ -32,7 +32,7 @@ def tokenizer(name: str) -> str:
 
 @query
 def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, added_tokens=True)
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

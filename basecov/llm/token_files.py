@@ -74,15 +74,20 @@ class WordEncoder:
 
     White space ends every word of such a tokenizer, so a text may be cut at it and each distinct chunk is handed to the
     library once. ``plain``: the tokenizer lowers, composes and splits plain text as ``_PLAIN_SPLIT`` does and marks the
-    last token of every word; then the new words of many texts go to the library in one call.
+    last token of every word; then the new words of many texts go to the library in one call. ``added_tokens``: the strings
+    of added tokens in a text are those tokens, as the library reads them by default; a text that holds one goes to the
+    library whole. Else they are ordinary text.
     """
 
-    def __init__(self, content: str, plain: bool):
+    def __init__(self, content: str, plain: bool, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain = plain
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.plain, self.added = plain, None
+        if added_tokens and (tokens := json.loads(content).get("added_tokens")):
+            # A token that is looked for in normal forms can come from other strings; then every text is whole.
+            self.added = re.compile("" if any(t["normalized"] for t in tokens) else "|".join(re.escape(t["content"]) for t in tokens))
         # Two generations of words: a full one is kept until the next is full, so frequent words never go.
         self.chunks, self.words, self.old_words = {}, {}, {}
         if plain:
@@ -121,18 +126,22 @@ class WordEncoder:
             self.chunks.clear()
         if len(self.words) > KEPT_WORDS:
             self.words, self.old_words = {}, self.words
-        split = [_PLAIN_SPLIT.findall(t.lower()) if self.plain and _PLAIN.fullmatch(t) else None for t in texts]
+        whole = [self.added is not None and self.added.search(t) is not None for t in texts]
+        split = [_PLAIN_SPLIT.findall(t.lower()) if self.plain and not w and _PLAIN.fullmatch(t) else None for t, w in zip(texts, whole)]
         unknown = set().union(*filter(None, split)) - self.words.keys()
         known = unknown & self.old_words.keys()
         self.words.update((w, self.old_words[w]) for w in known)
         self._learn_words(list(unknown - known))
         word = self.words.__getitem__
-        return [b"".join(map(self._chunk, filter(None, _SPACES.split(t)))) if words is None else b"".join(map(word, words)) for t, words in zip(texts, split)]
+        return [
+            b"".join(map(word, words)) if words is not None else self.ids(t).tobytes() if w else b"".join(map(self._chunk, filter(None, _SPACES.split(t))))
+            for t, words, w in zip(texts, split, whole)
+        ]
 
 
-def _encoder(content: str, plain: bool) -> WordEncoder:
+def _encoder(content: str, plain: bool, added_tokens: bool) -> WordEncoder:
     """One encoder per Python worker and stage."""
-    return kept((WordEncoder.__name__, zlib.crc32(content.encode()), len(content), plain), lambda: WordEncoder(content, plain))
+    return kept((WordEncoder.__name__, zlib.crc32(content.encode()), len(content), plain, added_tokens), lambda: WordEncoder(content, plain, added_tokens))
 
 
 class _Writer:
@@ -161,13 +170,13 @@ class _Writer:
         self._clear()
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id", plain: bool = True, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id", plain: bool = True, added_tokens: bool = False, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of every whole text, each followed by ``end_id``; returns the manifest of the files.
 
     A missing or empty text has the end id alone. A missing doc_id counts as the lowest 64-bit integer. Rows with equal
     ids are all written, in the order of their texts. An empty table has no files. Other columns play no part. ``plain``
     tells that the tokenizer lowers, composes and splits text as ``_PLAIN_SPLIT`` does; else every chunk goes to the
-    library. One shuffle, of the texts, by ranges of the id.
+    library. ``added_tokens``: strings of added tokens are read as those tokens, else as text. One shuffle, of the texts, by ranges of the id.
     """
     spark = docs.sparkSession
     folder = new_folder(docs, "tokens", folder)
@@ -179,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_task()
-        encoder, writer = _encoder(content.value, plain), _Writer(folder, file_ids)
+        encoder, writer = _encoder(content.value, plain, added_tokens), _Writer(folder, file_ids)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))

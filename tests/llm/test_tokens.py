@@ -1,6 +1,7 @@
 """Simple-8b files (operator 1) and byte-level BPE (operator 2), against the libraries themselves."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from basecov.llm import bpe, simple8b, token_files
+from basecov.llm.queries import QUERIES
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +63,17 @@ def test_token_files_hold_all_documents_in_order(docs, corpus, file_ids):
         start += len(ids)
 
 
+def test_query_reads_added_tokens_as_the_library_does(spark, tmp_path):
+    texts = ["a b <|endoftext|> c", "<|startoftext|>Über\x0b<|endoftext|>", "x<|endoftext|><|endoftext|> y\n", "<|ENDOFTEXT|> <| endoftext |>", "plain words", None, "é<|endoftext|", "漢 <|endoftext|> 12"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op1_simple8b_tokens"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    tokenizer, start = Tokenizer.from_file(WORD_BPE), 0
+    for row, text in zip(rows, texts, strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_no_documents_no_files(no_docs):
     manifest = token_files.write_tokens(no_docs, WORD_BPE, end_id=1)
     assert manifest.count() == 0 and token_files.read_tokens(manifest).count() == 0
