@@ -47,10 +47,6 @@ def _exons(spark, sf_dir):
     return fixtures.exons(spark, sf_dir)
 
 
-def _exons_without_chr3(spark, sf_dir):
-    return _exons(spark, sf_dir).where(F.col("chrom") != "chr3")
-
-
 def _segments(spark, sf_dir):
     return vectors.group_segments(_reads(spark, sf_dir), GROUPS, tile=TILE)
 
@@ -289,13 +285,13 @@ def islands_equal(spark, sf_dir):
 @query
 def region_exon_map(spark, sf_dir):
     found = runs.contiguous_runs(_tested(spark, sf_dir), tile=TILE)
-    return rounded(intervals.map_regions_to_exons(found, _exons_without_chr3(spark, sf_dir), WIDTH))
+    return rounded(intervals.map_regions_to_exons(found, _exons(spark, sf_dir), WIDTH))
 
 
 @query
 def point_exon_lookup(spark, sf_dir):
     points = _reads(spark, sf_dir).select("sample_id", "chrom", F.col("start_pos").alias("pos"))
-    return intervals.lookup_exon_at(points, _exons_without_chr3(spark, sf_dir), WIDTH)
+    return intervals.lookup_exon_at(points, _exons(spark, sf_dir), WIDTH)
 
 
 @query

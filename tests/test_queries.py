@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as registry
 from basecov import fixtures, session
-from basecov.operators import coverage, vectors
+from basecov.operators import coverage, intervals, vectors
 from basecov.oracles import ORACLES
 from basecov.plans import diffexpr
 from basecov.queries import QUERIES
@@ -32,6 +32,24 @@ def test_query_equals_oracle(spark, con, name):
     assert difference(df.toPandas(), con.execute(ORACLES[name]).df()) is None
 
 
+@pytest.mark.parametrize("name", ["region_exon_map", "point_exon_lookup"])
+def test_exons_of_every_chromosome_are_found(spark, con, name):
+    """Against the SQL over the whole annotation; what is not found lies outside all exons."""
+    found = QUERIES[name](spark, SF).toPandas()
+    assert difference(found, con.execute(ORACLES[name].replace("SELECT * FROM exons WHERE chrom <> 'chr3'", "SELECT * FROM exons")).df()) is None
+    hit = ~found.exon_id.isin(["", "0"])
+    assert set(found.chrom[hit]) == set(found.chrom) == {"chr1", "chr2", "chr3"}
+    assert set(found.gene_id[~hit]) == {"PositionNotFound" if name == "region_exon_map" else ""}
+
+
+def test_exons_on_a_chromosome_without_annotation(spark, make_exons):
+    exons = make_exons([("g", "e", "chr1", 10, 20)])
+    points = spark.createDataFrame([("chr1", 15), ("chr1", 30), ("chr9", 15)], "chrom STRING, pos INT")
+    assert {(r.chrom, r.pos, r.gene_id, r.exon_id) for r in intervals.lookup_exon_at(points, exons).collect()} == {("chr1", 15, "g", "e"), ("chr1", 30, "", ""), ("chr9", 15, "ExonNotFound", "0")}
+    regions = spark.createDataFrame([("chr1", 12, 5), ("chr1", 30, 5), ("chr9", 12, 5)], "chrom STRING, start_pos INT, length INT")
+    assert {(r.chrom, r.start_pos, r.gene_id, r.exon_id) for r in intervals.map_regions_to_exons(regions, exons).collect()} == {("chr1", 12, "g", "e"), ("chr1", 30, "PositionNotFound", "0"), ("chr9", 12, "ChrNotFound", "0")}
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
