@@ -57,6 +57,8 @@ FIXED_FIELDS = np.dtype(
 HEAD = FIXED_FIELDS.itemsize
 MAX_BLOCK = 65536
 _ADVANCES = np.array([op in "MDN=X" for op in CIGAR_OPS])
+_CLIP, _SKIP = CIGAR_OPS.index("S"), CIGAR_OPS.index("N")
+_TAG_BYTES = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 _BATCH_BYTES = 4 * 1024 * 1024
 _PROOF_RECORDS = 4
 
@@ -316,6 +318,28 @@ def _record_starts(plain: bytearray, own: int | None) -> tuple[list[int], int]:
     return starts, at
 
 
+def _tagged_cigar(plain: bytes, start: int, fields: np.void, name: str, path: str) -> np.ndarray:
+    """The operations in the CG tag of the record at ``start``, whose own ones are a placeholder."""
+    seq_len = int(fields["seq_len"])
+    at = start + HEAD + int(fields["name_len"]) + 4 * int(fields["n_cigar"]) + (seq_len + 1) // 2 + seq_len
+    stop = start + 4 + int(fields["size"])
+    while at + 3 <= stop:
+        tag, kind = plain[at : at + 2], plain[at + 2 : at + 3]
+        at += 3
+        if kind in (b"Z", b"H"):
+            end = plain.find(b"\0", at, stop)
+            at = stop if end < 0 else end + 1
+        elif kind == b"B" and at + 5 <= stop:
+            inner, count = plain[at : at + 1], struct.unpack_from("<I", plain, at + 1)[0]
+            at += 5
+            if tag == b"CG" and inner == b"I" and at + 4 * count <= stop:
+                return np.frombuffer(plain, "<u4", count, at)
+            at += _TAG_BYTES.get(inner, stop) * count
+        else:
+            at += _TAG_BYTES.get(kind, stop)
+    raise ValueError(f"read {name} of {path} has a placeholder for its CIGAR and no CG tag")
+
+
 def _to_batch(plain: bytes, starts: list[int], references, path: str) -> pa.RecordBatch:
     raw = np.frombuffer(plain, dtype=np.uint8)
     at = np.array(starts, dtype=np.int64)
@@ -328,10 +352,20 @@ def _to_batch(plain: bytes, starts: list[int], references, path: str) -> pa.Reco
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_cigar) - n_cigar, n_cigar)
     op_at = (at + HEAD + name_len)[owner] + 4 * nth
     ops = np.ascontiguousarray(raw[op_at[:, None] + np.arange(4)]).view("<u4")[:, 0]
+    # a record with more operations than its field can count holds kSmN, and the real ones in a tag
+    ends = np.cumsum(n_cigar)
+    two = np.flatnonzero(n_cigar == 2)
+    first, second = ops[ends[two] - 2], ops[ends[two] - 1]
+    long = two[(first & 15 == _CLIP) & (first >> 4 == fields["seq_len"][two]) & (second & 15 == _SKIP)]
+    if len(long):
+        parts = np.split(ops, ends[:-1])
+        for k in long.tolist():
+            parts[k] = _tagged_cigar(plain, starts[k], fields[k], names[k], path)
+        n_cigar = np.array([len(p) for p in parts], np.int64)
+        ops, owner, ends = np.concatenate(parts), np.repeat(np.arange(len(at)), n_cigar), np.cumsum(n_cigar)
     lengths, letters = (ops >> 4).astype(np.int64), ops & 15
     span = np.bincount(owner, weights=lengths * _ADVANCES[letters], minlength=len(at)).astype(np.int64)
     texts = [f"{n}{CIGAR_OPS[k]}" for n, k in zip(lengths.tolist(), letters.tolist())]
-    ends = np.cumsum(n_cigar)
     cigars = [
         "".join(texts[stop - count : stop]) if count else "*" for stop, count in zip(ends.tolist(), n_cigar.tolist())
     ]

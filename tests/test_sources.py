@@ -1,15 +1,16 @@
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from basecov.fixtures import encode_bam
+from basecov.fixtures import _bgzf, encode_bam
 from basecov.functions import ids
 from basecov.operators.coverage import base_coverage, bases_at_depth, region_coverage
 from basecov.plans.study import CoverageStudy
 from basecov.sources.alignments import Sample, read_bam, read_sam, read_sample, read_samples
 from basecov.sources.annotation import read_exons, read_null_table
-from basecov.sources.bam import list_files
+from basecov.sources.bam import CIGAR_OPS, list_files
 
 SAM = [
     "@HD\tVN:1.6",
@@ -98,6 +99,42 @@ def test_bam_with_records_longer_than_blocks_and_empty_file(spark, tmp_path):
     assert read_bam(spark, str(empty)).count() == 0
 
 
+def _long_read(name, start, cigar, tags):
+    """A record of 3 bases whose operations are in ``tags``, with the placeholder kSmN in their place."""
+    span = sum(n for n, op in cigar if op in "MDN=X")
+    ops = struct.pack("<II", 3 << 4 | CIGAR_OPS.index("S"), span << 4 | CIGAR_OPS.index("N"))
+    core = struct.pack("<iiBBHHHiiii", 0, start - 1, len(name) + 1, 60, 0, 2, 0, 3, -1, -1, 0)
+    body = core + name.encode() + b"\0" + ops + bytes(2) + bytes(3) + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def _tag(cigar):
+    return b"CGBI" + struct.pack("<I", len(cigar)) + b"".join(struct.pack("<I", n << 4 | CIGAR_OPS.index(op)) for n, op in cigar)
+
+
+@pytest.mark.parametrize("split_bytes", [1 << 30, 65_536])
+def test_bam_with_operations_in_a_tag(spark, tmp_path, split_bytes):
+    long, short = [(2, "M"), (1, "D")] * 40_000 + [(5, "M")], [(4, "M"), (10, "N"), (4, "M")]
+    others = b"NMi" + struct.pack("<i", 7) + b"MDZ50^A\0" + b"XAAq" + b"ZBBs" + struct.pack("<Ihh", 2, 1, 2)
+    plain = b"BAM\1" + struct.pack("<ii", 0, 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1 << 28)
+    plain += _long_read("a", 101, long, others + _tag(long)) + _long_read("b", 1001, short, _tag(short) + others)
+    path = tmp_path / "sample.bam"
+    path.write_bytes(b"".join(_bgzf(plain[i : i + 60_000]) for i in range(0, len(plain), 60_000)) + _bgzf(b""))
+    rows = {r.read_name: r for r in read_bam(spark, str(path), split_bytes=split_bytes).collect()}
+    assert {k: r.cigar for k, r in rows.items()} == {"a": "2M1D" * 40_000 + "5M", "b": "4M10N4M"}
+    assert {k: (r.start_pos, r.end_pos) for k, r in rows.items()} == {"a": (101, 120_105), "b": (1001, 1018)}
+    covered = {r.pos: r.cov for r in base_coverage(read_sample(spark, str(path), 1), chrom="chr1", start=1, end=110).collect()}
+    assert covered == {p: 1 for p in range(101, 111) if (p - 101) % 3 < 2}
+
+
+def test_bam_without_the_tag_raises(spark, tmp_path):
+    plain = b"BAM\1" + struct.pack("<ii", 0, 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1 << 28)
+    path = tmp_path / "sample.bam"
+    path.write_bytes(_bgzf(plain + _long_read("lost", 101, [(9, "M")], b"NMi" + struct.pack("<i", 7))) + _bgzf(b""))
+    with pytest.raises(Exception, match="no CG tag"):
+        read_bam(spark, str(path)).count()
+
+
 def test_damaged_bam_raises(spark, tmp_path):
     good = encode_bam(RECORDS * 5000, [("chr1", 100_000)])
     path = tmp_path / "cut.bam"
