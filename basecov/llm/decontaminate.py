@@ -113,6 +113,8 @@ def matches(index: TestIndex, words: Words) -> tuple[np.ndarray, ...]:
     test, place, length = test[order], place[order], length[order]
     new = np.ones(len(test), bool)
     new[1:] = (np.diff(test) != 1) | (np.diff(place) != 1)
+    # The last window of an item or a document and the first of the next are neighbours too, but no match.
+    new[1:] |= (np.diff(index.begin[test]) != 0) | (np.diff(np.searchsorted(words.first, place, side="right")) != 0)
     heads = np.flatnonzero(new)
     last = np.append(heads[1:], len(test)) - 1
     return test[heads], place[heads], test[last] + length[last] - test[heads]

@@ -62,6 +62,22 @@ def test_longest_matches_are_whole(spark):
     assert [m.asDict() for m in row.matches] == [{"item_id": 9, "item_start": 0, "doc_start": 2, "n_words": 40}]
 
 
+def test_matches_end_with_their_item_and_document(spark):
+    """Items of one word follow each other in the block of test words, and documents in the piece of text."""
+    items = [(1, "zz"), (2, "yy xx"), (3, "xx"), (4, "ww")]
+    texts = ["a zz yy xx ww b", "zz", "yy xx", "xx ww", "zz", "yy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING").coalesce(1)
+    rows = decontaminate.match_benchmark(docs, spark.createDataFrame(items, "item_id BIGINT, text STRING").coalesce(1)).orderBy("doc_id").collect()
+    assert [[(m.item_id, m.item_start, m.doc_start, m.n_words) for m in r.matches] for r in rows] == [
+        [(1, 0, 1, 1), (2, 0, 2, 2), (3, 0, 3, 1), (4, 0, 4, 1)],
+        [(1, 0, 0, 1)],
+        [(2, 0, 0, 2), (3, 0, 1, 1)],
+        [(3, 0, 0, 1), (4, 0, 1, 1)],
+        [(1, 0, 0, 1)],
+        [],
+    ]
+
+
 def test_removal_and_empty_tables(spark, docs, no_docs, corpus, items):
     benchmark = spark.createDataFrame(items[:2], "item_id BIGINT, text STRING")
     kept = decontaminate.remove_contaminated(docs, benchmark)
