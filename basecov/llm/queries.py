@@ -92,12 +92,12 @@ TOOLS: tool_calls.Schema = {
 
 @query
 def op9_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every system and user turn is a call, every assistant turn the result of the turn before; a call depends on the call two turns before."""
+    """Every system and user turn is a call, every other turn (also one without a role) the result of the turn before; a call depends on the call two turns before."""
     turns = table(spark, sf_dir, "conversations")
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
     name = F.when(F.col("role") == "system", "instruct").otherwise("reply")
     calls = turns.where("role IN ('system', 'user')").select("conv_id", F.concat(F.lit("c"), "turn").alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.concat(F.lit("c"), F.col("turn") - 2).alias("depends_on"))
-    results = turns.where("role NOT IN ('system', 'user')").select("conv_id", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.where("coalesce(role NOT IN ('system', 'user'), true)").select("conv_id", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     linked = tool_calls.link(calls, results, TOOLS)
     return linked.select("conv_id", "call_id", "turn", "level", "status", F.array_join("errors", ",").alias("errors"), "json")
 

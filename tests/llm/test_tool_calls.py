@@ -101,6 +101,13 @@ def test_query_equals_sql(spark, tmp_path):
     assert sorted(str(sorted(r.asDict().items())) for r in df.collect()) == sorted(str(sorted(e.items())) for e in expected)
 
 
+def test_query_keeps_turns_without_a_role(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, None, "b"), (1, 2, "user", "c"), (2, 7, None, "d")]
+    spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = [(r.conv_id, r.call_id, r.turn, r.status, json.loads(r.json)["result"]) for r in QUERIES["op9_tool_call_links"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == [(1, "c0", 0, "linked", "b"), (1, "c2", 2, "no result", None), (2, "c6", 7, "no call", "d")]
+
+
 def test_only_native_operations(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id BIGINT, turn BIGINT, role STRING, text STRING").write.parquet(str(tmp_path / "conversations.parquet"))
     plan = QUERIES["op9_tool_call_links"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
