@@ -6,9 +6,10 @@ labels (edges between adjacent blocks, and between blocks of one parent, weaker
 The minimum cut, found by maximum flow, is the cheapest labelling.
 
 The classifier has two parts. What a block's containers say about themselves (element names, classes, ids, roles) gives a
-fixed cost; the innermost container that says something counts. How a block reads (length, links, punctuation, ..) gives
+fixed cost, more for boilerplate, which is named on purpose; the innermost container that says something counts. How a block reads (length, links, punctuation, ..) gives
 a learned one: a logistic regression fitted on a bounded sample of the given pages, whose blocks in telling containers
-serve as labels. The learned part is limited, so that it decides only where containers are silent.
+serve as labels. Both parts and the edges are of one size, so that the cut overrules a container where a block reads
+otherwise and its neighbours do not hold it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from basecov.llm.toxicity import fit
 from basecov.llm.words import cuts, text_buffers
 
 SAMPLE_PAGES = 2_000
-CONTAINER_COST, LEARNED_LIMIT = 6.0, 2.5
+CONTENT_COST, BOILERPLATE_COST, LEARNED_LIMIT = 1.5, 4.0, 2.5
 ADJACENT, SIBLING = 0.6, 0.3
 
 #: Element names and words in classes, ids and roles. Fixed values.
@@ -55,6 +56,8 @@ SCOPES = frozenset("article aside body div footer header html main nav ol sectio
 BOILERPLATE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|metadata|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|site-?header|site-?footer|skip|social|sponsor\w*|subscribe|tags|teaser|toolbar|widget)(?:$|[^a-z])"
 )
+#: Containers of readers' comments, by whole words of their classes, ids and roles: what they hold is never an article.
+COMMENT_WORDS = re.compile(r"(?:^|\s)(?:comments?(?:[-_]?(?:area|body|item|list|section|thread))?|replies|disqus[\w-]*)(?:$|\s)")
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|article-?body|content|entry|entry-?content|main|post|post-?content|story|story-?body|text)(?:$|[^a-z])")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
@@ -72,7 +75,7 @@ class Block:
 
 
 def says(name: str, attributes: str, inside_content: bool) -> int | None:
-    """What an element tells about its text; None if nothing."""
+    """What an element tells about its text: 1, -1, or -2 for readers' comments; None if nothing."""
     if name in BOILERPLATE_ELEMENTS:
         return -1
     if name == "header" and not inside_content:
@@ -84,6 +87,8 @@ def says(name: str, attributes: str, inside_content: bool) -> int | None:
                 return -1
             found.append((a or b or c).lower())
         words = " ".join(found)
+        if words and COMMENT_WORDS.search(words) and name not in ("body", "html"):
+            return -2
         if words and BOILERPLATE_WORDS.search(words) and name not in ("body", "html") and name not in CONTENT_ELEMENTS:
             return -1
         if words and CONTENT_WORDS.search(words):
@@ -113,7 +118,7 @@ class _Reader:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
                 element = next((e for e, _, _ in reversed(self.stack) if e in BLOCK_ELEMENTS), "")
-                self.blocks.append(Block(text, tuple(n for e, n, _ in self.stack if e in BLOCK_ELEMENTS), self.stack[-1][2] if self.stack else 0, element, self.linked))
+                self.blocks.append(Block(text, tuple(n for e, n, _ in self.stack if e in BLOCK_ELEMENTS), max(-1, self.stack[-1][2]) if self.stack else 0, element, self.linked))
             self.parts, self.linked = [], 0
 
     def pop(self, to: int) -> None:
@@ -140,6 +145,8 @@ class _Reader:
         # A container that calls itself content inside one that does not is still boilerplate, unless it is an article.
         if own == 1 and above == -1 and name not in CONTENT_ELEMENTS:
             own = -1
+        if above == -2:
+            own = -2
         self.stack.append((name, self.count, above if own is None else own))
         self.links += name == "a"
 
@@ -305,7 +312,7 @@ def main_text(page: str, weights: np.ndarray, bias: float) -> str:
     """The content blocks of a page, one per line."""
     blocks = blocks_of(page)
     learned = [float(np.clip(weights[features(b)].sum() + bias, -LEARNED_LIMIT, LEARNED_LIMIT)) for b in blocks]
-    gain = [CONTAINER_COST * b.says + z for b, z in zip(blocks, learned)]
+    gain = [(CONTENT_COST if b.says > 0 else BOILERPLATE_COST) * b.says + z for b, z in zip(blocks, learned)]
     return "\n".join(b.text for b, content in zip(blocks, min_cut(gain, smoothness(blocks))) if content)
 
 

@@ -49,6 +49,29 @@ def test_silent_containers_follow_their_neighbours():
     assert H.min_cut([5.0, -0.5], edges) == [True, True] and H.min_cut([5.0, -1.5], edges) == [True, False]
 
 
+def test_the_cut_overrules_containers():
+    """Links at the end of an article go, alone between paragraphs they stay; prose in a notice among paragraphs stays."""
+    weights = np.zeros(H.N_FEATURES)
+    weights[6], weights[8] = 3, -3
+    offer, prose = "<p><a href=x>Subscribe to our letter</a>", "<p>A sentence of the story."
+    assert H.main_text(f"<article>{prose}{prose}{offer}{offer}</article><footer>f</footer>", weights, 0).count("Subscribe") == 0
+    assert H.main_text(f"<article>{prose}{offer}{prose}</article>", weights, 0).count("\n") == 2
+    assert H.main_text(f"<article>{prose}<p class=notice>Said in passing.{prose}</article>", weights, 0).count("\n") == 2
+    assert H.main_text(f"<article>{prose}<p class=notice><a href=x>Said in passing.</a>{prose}</article>", weights, 0).count("\n") == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ('<article><h1>T</h1><p>a</article><article class="comment"><p>reader</article>', "T\na"),
+        ('<article><p>a</article><section class="comments"><article><h3>Ann</h3><p>reader</article></section>', "a"),
+        ('<body class="comments"><div class="post no-comments has-sidebar"><article class="comments-open"><p>a</article></div>', "a"),
+    ],
+)
+def test_articles_of_readers(page, expected):
+    assert text(page) == expected
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     rng = random.Random(4)
     for _ in range(150):
