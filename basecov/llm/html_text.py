@@ -31,6 +31,8 @@ from basecov.llm.words import cuts, text_buffers
 SAMPLE_PAGES = 2_000
 CONTENT_COST, BOILERPLATE_COST, LEARNED_LIMIT = 1.5, 4.0, 2.5
 ADJACENT, SIBLING = 0.6, 0.3
+#: Of a table that shows only one label: blocks of which nothing is known are content.
+UNKNOWN_BIAS = 0.5
 
 #: Element names and words in classes, ids and roles. Fixed values.
 BOILERPLATE_ELEMENTS = frozenset("nav footer aside form menu button select dialog fieldset label".split())
@@ -328,7 +330,8 @@ def learn(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", sam
     """Weights and bias of the learned part.
 
     The sample is the ``sample_pages`` pages with the smallest hashes of their ids; identical blocks are counted. Only
-    counts per combination of features and label come to the driver, whose number does not depend on the pages.
+    counts per combination of features and label come to the driver, whose number does not depend on the pages. If the
+    sample does not show both labels, nothing is learned, and blocks outside telling containers count as content.
     """
     chosen = pages.select(F.col(f"`{page_id}`").alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(sample_pages).distinct()
     sample = pages.join(F.broadcast(chosen), F.col(f"`{page_id}`") == F.col("__id")).select(F.col(f"`{html}`").alias("html"))
@@ -340,7 +343,7 @@ def learn(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", sam
 
     counted = mapped(sample, [("html", "string")], [("features", "string"), ("says", "int")], compute).groupBy("features", "says").count().collect()
     if len({r["says"] for r in counted}) < 2:
-        return np.zeros(N_FEATURES), 0.0
+        return np.zeros(N_FEATURES), UNKNOWN_BIAS
     # Large counts are scaled down, so that the fit has at most a few thousand rows.
     scale = max(1.0, sum(r["count"] for r in counted) / 5000)
     rows = [(np.array(list(map(int, r["features"].split(",")))), r["says"]) for r in sorted(counted) for _ in range(max(1, round(r["count"] / scale)))]

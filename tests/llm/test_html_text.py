@@ -112,6 +112,12 @@ def test_query(spark, pages):
     assert all(r.n_chars == len(r.text) for r in found)
 
 
+@pytest.mark.parametrize("page", ["<body><p>One line.</p><p>two</p></body>", "<nav><a href=x>home</a></nav><p>One line.</p><p>two</p>", "<article><p>One line.</p></article><p>two</p>"])
+def test_query_on_pages_of_one_kind(spark, tmp_path, page):
+    spark.createDataFrame([(i, "u", page) for i in range(3)], "page_id BIGINT, url STRING, html STRING").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [r.text for r in QUERIES["op4_min_cut_html"](spark, str(tmp_path)).collect()] == ["One line.\ntwo"] * 3
+
+
 def test_empty_table(spark, pages):
     empty = spark.read.parquet(pages[0] + "/pages.parquet").limit(0)
     weights, bias = H.learn(empty)
