@@ -88,7 +88,6 @@ cte(
            '.' AS strand
     FROM part""",
 )
-cte("exons12", ("exons",), "SELECT * FROM exons WHERE chrom <> 'chr3'")
 cte(
     "base_cov",
     ("reads",),
@@ -417,20 +416,19 @@ oracle(
 # --- regions
 oracle("islands_le", ("runs",), f"SELECT {RUN} FROM runs")
 oracle("islands_equal", ("runs_equal",), f"SELECT {RUN} FROM runs_equal")
-cte("mapped12", ("runs", "exons12"), exon_map("runs", "exons12"))
-oracle("region_exon_map", ("mapped12",), f"SELECT {REGION} FROM mapped12")
+oracle("region_exon_map", ("mapped",), f"SELECT {REGION} FROM mapped")
 oracle(
     "point_exon_lookup",
-    ("reads", "exons12"),
+    ("reads", "exons"),
     """
     SELECT sample_id, chrom, pos,
            CASE WHEN known THEN coalesce(gene_id, '') ELSE 'ExonNotFound' END AS gene_id,
            CASE WHEN known THEN coalesce(exon_id, '') ELSE '0' END AS exon_id,
            coalesce(exon_start, 0) AS exon_start, coalesce(exon_end, 0) AS exon_end
-    FROM (SELECT r.sample_id, r.chrom, r.start_pos AS pos, r.chrom IN (SELECT chrom FROM exons12) AS known,
+    FROM (SELECT r.sample_id, r.chrom, r.start_pos AS pos, r.chrom IN (SELECT chrom FROM exons) AS known,
                  e.gene_id, e.exon_id, e.start_pos AS exon_start, e.end_pos AS exon_end,
                  row_number() OVER (PARTITION BY r.read_no ORDER BY e.start_pos, e.exon_id) AS place
-          FROM reads r LEFT JOIN exons12 e
+          FROM reads r LEFT JOIN exons e
             ON e.chrom = r.chrom AND r.start_pos BETWEEN e.start_pos AND e.end_pos)
     WHERE place = 1""",
 )
