@@ -107,7 +107,7 @@ WITH RECURSIVE calls AS (
     SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN role = 'system' THEN 'instruct' ELSE 'reply' END AS name, text, 'c' || (turn - 2) AS depends_on
     FROM conversations WHERE role IN ('system', 'user')
 ), results AS (
-    SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role NOT IN ('system', 'user')
+    SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE coalesce(role NOT IN ('system', 'user'), true)
 ), tree AS (
     SELECT c.conv_id, c.call_id, c.turn, CAST(0 AS BIGINT) AS level FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.depends_on WHERE p.call_id IS NULL
     UNION ALL
