@@ -2,7 +2,7 @@
 
 Texts arrive in Arrow batches. A batch is cut at document borders into pieces of about a megabyte, so that memory stays
 bounded by the piece (or by the longest single text), and all words of a piece are found and hashed together with numpy.
-Missing texts count as empty. A key is a polynomial hash of the word's bytes, so equal words have equal keys in every task.
+Missing texts count as empty. A key is a hash of the word's bytes, so equal words have equal keys in every task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
 SEGMENT = 1 << 17
-LONG_WORD = 1 << 15
+#: Longer words are hashed with blake2b: polynomial keys of long words collide for texts that can be written down.
+LONG_WORD = 128
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = (0x20, *range(0x09, 0x0E))

@@ -41,3 +41,12 @@ def test_windows_stay_inside_documents():
     assert at.tolist() == [0, 1, 3, 5, 6]
     assert key[0] == key[2] == key[4] and len(set(key.tolist())) == 3
     assert len(w.windows(9)[0]) == 0 and np.array_equal(w.doc(), [0, 0, 0, 1, 1, 3, 3, 3])
+
+
+@pytest.mark.parametrize("size", [64, 256, 1024, 2048, 32_768])
+def test_words_that_a_polynomial_cannot_tell_apart_have_different_keys(size):
+    """A Thue-Morse string and its complement agree under every polynomial hash modulo 2^64."""
+    signs = [bin(i).count("1") % 2 for i in range(size)]
+    text = " ".join("".join("ab"[b ^ flip] for b in signs) for flip in (0, 1))
+    keys = next(pieces(pa.array([text]))).key
+    assert len(keys) == 2 and keys[0] != keys[1]
