@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from basecov.llm.frames import kept, with_batch_columns
-from basecov.llm.words import cuts, text_buffers
+from basecov.llm.remembered import IdTable, byte_level_chunks, per_text, text_pieces
 
-#: Distinct chunks and words whose ids a task remembers (twice over), and states of the machine, before it starts anew.
-KEPT_CHUNKS, KEPT_STATES = 120_000, 120_000
+#: Distinct matches whose ids a task remembers, and states of the machine, before it starts anew.
+KEPT_MATCHES, KEPT_STATES = 120_000, 120_000
+#: The pattern whose borders :func:`basecov.llm.remembered.byte_level_chunks` knows. Fixed value.
+SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SETTLE_EVERY = 4096
 ROOT = 0
 
@@ -160,68 +160,48 @@ class Transducer:
 
 
 class Encoder:
-    """Ids of whole texts. Chunks between single spaces are encoded once and remembered.
-
-    No match of the pattern holds both a space and a character before it that is not white, so the text may be cut before
-    every space between two such characters.
+    """Ids of whole texts. Chunks that ``SPLIT_PATTERN`` never crosses are encoded once and remembered, and the
+    transducer sees only matches that are new; for any other pattern a text is one chunk.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.first, self.later = _Remembered(self, ""), _Remembered(self, " ")
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.cut = byte_level_chunks if pattern == SPLIT_PATTERN else _whole_texts
+        self.table = IdTable(self._learn)
+        self.matches: dict[str, list[int]] = {}
 
-    def chunk(self, text: str) -> bytes:
+    def _learn(self, raw: list[bytes]) -> list[list[int]]:
+        if len(self.matches) > KEPT_MATCHES:
+            self.matches.clear()
         out = []
-        for match in self.pattern.findall(text):
-            ids = self.words.get(match)
-            if ids is None:
-                ids = self.old_words.get(match)
-                if ids is None:
-                    found = self.machine.encode(match.encode("utf-8", "replace"))
-                    ids = struct.pack(f"<{len(found)}I", *found)
-                if len(match) <= 64:
-                    self.words[match] = ids
+        for chunk in raw:
+            ids = []
+            for match in self.pattern.findall(chunk.decode("utf-8", "replace")):
+                found = self.matches.get(match)
+                if found is None:
+                    found = self.machine.encode(match.encode())
+                    if len(match) <= 64:
+                        self.matches[match] = found
+                ids += found
             out.append(ids)
-        return b"".join(out)
+        return out
+
+    def encode_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in ``data`` one after another, and n + 1 places at which each text's ids begin and end."""
+        start, end = self.cut(data, offsets)
+        ids, counts = self.table.ids(data, start, end)
+        return ids, per_text(offsets, start, counts)
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        if not text:
-            return b""
-        # Two generations: a full one is kept until the next is full, so frequent chunks and words never go.
-        self.first.turn()
-        self.later.turn()
-        if len(self.words) > KEPT_CHUNKS:
-            self.words, self.old_words = {}, self.words
-        parts = text.split(" ")
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = _INNER_SPACE.split(text)
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
-
-
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Remembered(dict):
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before, self.old = encoder, before, {}
-
-    def turn(self) -> None:
-        if len(self) > KEPT_CHUNKS:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = self.encoder.chunk(self.before + part)
-        if len(part) <= 256:
-            self[part] = ids
-        return ids
+        """Little-endian unsigned 32-bit ids of one text."""
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        return self.encode_piece(data, np.array([0, len(data)]))[0].astype("<u4").tobytes()
+
+
+def _whole_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+    return offsets[filled], offsets[filled + 1]
 
 
 #: Lead bytes of UTF-8: first lead, last lead, range of the byte that follows, bytes that follow in all. Fixed values.
@@ -268,16 +248,28 @@ class Utf8Stream:
             self.replaced += text.count("�") - data.count(b"\xef\xbf\xbd")
             return text
 
-    def feed(self, data: bytes) -> str:
-        """The characters that are complete now; malformed bytes become U+FFFD."""
+    def release(self, data: bytes) -> bytes:
+        """The bytes of all characters that are complete now; the beginning of an unfinished one is held back."""
         data = self.held + data
         keep = self._open(data)
         self.held = data[len(data) - keep :] if keep else b""
-        return self._text(data[: len(data) - keep])
+        return data[: len(data) - keep]
 
-    def close(self) -> str:
+    def rest(self) -> bytes:
         data, self.held = self.held, b""
-        return self._text(data)
+        return data
+
+    def feed(self, data: bytes) -> str:
+        """The characters that are complete now; malformed bytes become U+FFFD."""
+        return self._text(self.release(data))
+
+    def close(self) -> str:
+        return self._text(self.rest())
+
+    def checked(self, data: bytes) -> bytes:
+        """``data`` itself, with its malformed sequences counted."""
+        self._text(data)
+        return data
 
 
 class Decoder:
@@ -299,11 +291,9 @@ class Decoder:
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, int]:
         """All bytes, and how many malformed sequences a reader of text would replace."""
-        stream, out = Utf8Stream(), []
-        for data in self.blocks(ids):
-            stream.feed(data)
-            out.append(data)
-        stream.close()
+        stream = Utf8Stream()
+        out = [stream.checked(stream.release(data)) for data in self.blocks(ids)]
+        out.append(stream.checked(stream.rest()))
         return b"".join(out), stream.replaced
 
 
@@ -312,13 +302,10 @@ def _made(kind, content: bytes, *args):
     return kept((kind.__name__, hashlib.sha256(content).digest(), *args), lambda: kind(read_ranks(content), *args))
 
 
-def _texts(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a column in lists of a few megabytes; missing texts are empty, malformed bytes are replaced."""
-    data, offsets = text_buffers(column)
-    for low, high in cuts(offsets):
-        part = data[offsets[low] : offsets[high]].tobytes()
-        at = (offsets[low : high + 1] - offsets[low]).tolist()
-        yield [part[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+def _id_array(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    places = pa.py_buffer((4 * bounds).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, places, pa.py_buffer(ids.astype("<u4").tobytes())])
 
 
 def _arrays(rows: Iterable[tuple], types: list[pa.DataType]) -> list[pa.Array]:
@@ -341,9 +328,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text")
 
     def compute(column):
         encoder = _made(Encoder, content.value, pattern)
-        for texts in _texts(column):
-            ids = [encoder.encode(t) for t in texts]
-            yield [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        for _, _, data, offsets in text_pieces(column):
+            ids, bounds = encoder.encode_piece(data, offsets)
+            yield [pa.array(np.diff(bounds)), _id_array(ids, bounds)]
 
     return with_batch_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary")], compute)
 
@@ -370,9 +357,9 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "tex
 
     def compute(column):
         encoder, decoder = _made(Encoder, content.value, pattern), _made(Decoder, content.value)
-        for texts in _texts(column):
-            ids = [encoder.encode(t) for t in texts]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield [counts, pa.array(ids, pa.binary()), *_arrays((decoder.decode(np.frombuffer(x, "<u4")) for x in ids), [pa.binary(), pa.int64()])]
+        for _, _, data, offsets in text_pieces(column):
+            ids, bounds = encoder.encode_piece(data, offsets)
+            decoded = (decoder.decode(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            yield [pa.array(np.diff(bounds)), _id_array(ids, bounds), *_arrays(decoded, [pa.binary(), pa.int64()])]
 
     return with_batch_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "binary"), ("n_replaced", "bigint")], compute)

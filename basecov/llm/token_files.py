@@ -12,8 +12,6 @@ of words (u32 each); the words (u64 each); the exceptions (u8 each); crc32 of al
 
 from __future__ import annotations
 
-import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,13 +24,12 @@ from pyspark.sql import functions as F
 
 from basecov.llm import simple8b
 from basecov.llm.files import Parts, locate, new_folder, spread, written
-from basecov.llm.frames import kept, mapped, new_task
-from basecov.llm.words import cuts, text_buffers
+from basecov.llm.frames import mapped, new_task
+from basecov.llm.remembered import library_encoder, text_pieces, with_end, words_between_white
 
 MAGIC = b"TOKS8B01"
 HEAD = struct.Struct("<8sIIQQQ")
 FILE_IDS = 4 << 20
-KEPT_WORDS = 400_000
 
 
 def to_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -62,88 +59,6 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table[:, 0].astype("<u8").view("<i8"), table[:, 1].astype(np.int64), simple8b.unpack(words, offsets, exceptions, n_ids)
 
 
-#: Texts whose normal form and split are known without the library: visible ASCII, Latin-1 letters and the white space
-#: of ``_SPACES``. Fixed values.
-_PLAIN = re.compile("[ \n\r\t\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n\r\t0-9a-zß-öø-ÿ]+")
-_SPACES = re.compile("[ \n\r\t]+")
-
-
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, with remembered words.
-
-    White space ends every word of such a tokenizer, so a text may be cut at it and each distinct chunk is handed to the
-    library once. ``plain``: the tokenizer lowers, composes and splits plain text as ``_PLAIN_SPLIT`` does and marks the
-    last token of every word; then the new words of many texts go to the library in one call. ``added_tokens``: the strings
-    of added tokens in a text are those tokens, as the library reads them by default; a text that holds one goes to the
-    library whole. Else they are ordinary text.
-    """
-
-    def __init__(self, content: str, plain: bool, added_tokens: bool = False):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = not added_tokens
-        self.plain, self.added = plain, None
-        if added_tokens and (tokens := json.loads(content).get("added_tokens")):
-            # A token that is looked for in normal forms can come from other strings; then every text is whole.
-            self.added = re.compile("" if any(t["normalized"] for t in tokens) else "|".join(re.escape(t["content"]) for t in tokens))
-        # Two generations of words: a full one is kept until the next is full, so frequent words never go.
-        self.chunks, self.words, self.old_words = {}, {}, {}
-        if plain:
-            suffix = json.loads(content)["model"]["end_of_word_suffix"]
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn_words(self, words: list[str]) -> None:
-        for low in range(0, len(words), 20_000):
-            part = words[low : low + 20_000]
-            ids = self.ids(" ".join(part))
-            ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer does not split plain text as expected")
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                self.words[word] = raw[begin:end]
-                begin = end
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk without white space that is not plain."""
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = self.ids(chunk).tobytes()
-            if len(chunk) <= 256:
-                self.chunks[chunk] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; ``texts`` should be a few megabytes."""
-        if len(self.chunks) > KEPT_WORDS:
-            self.chunks.clear()
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.old_words = {}, self.words
-        whole = [self.added is not None and self.added.search(t) is not None for t in texts]
-        split = [_PLAIN_SPLIT.findall(t.lower()) if self.plain and not w and _PLAIN.fullmatch(t) else None for t, w in zip(texts, whole)]
-        unknown = set().union(*filter(None, split)) - self.words.keys()
-        known = unknown & self.old_words.keys()
-        self.words.update((w, self.old_words[w]) for w in known)
-        self._learn_words(list(unknown - known))
-        word = self.words.__getitem__
-        return [
-            b"".join(map(word, words)) if words is not None else self.ids(t).tobytes() if w else b"".join(map(self._chunk, filter(None, _SPACES.split(t))))
-            for t, words, w in zip(texts, split, whole)
-        ]
-
-
-def _encoder(content: str, plain: bool, added_tokens: bool) -> WordEncoder:
-    """One encoder per Python worker and stage."""
-    return kept((WordEncoder.__name__, zlib.crc32(content.encode()), len(content), plain, added_tokens), lambda: WordEncoder(content, plain, added_tokens))
-
-
 class _Writer:
     """Collects documents and writes a file whenever enough ids are there."""
 
@@ -154,50 +69,47 @@ class _Writer:
     def _clear(self) -> None:
         self.docs, self.counts, self.ids, self.held = [], [], [], 0
 
-    def add(self, doc: int, ids: bytes) -> Iterator[pa.RecordBatch]:
-        self.docs.append(doc)
-        self.counts.append(len(ids) // 4)
+    def add(self, docs: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.docs.append(docs)
+        self.counts.append(counts)
         self.ids.append(ids)
-        self.held += len(ids) // 4
+        self.held += len(ids)
         if self.held >= self.file_ids:
             yield from self.close()
 
     def close(self) -> Iterator[pa.RecordBatch]:
         """The manifest row of the file, which counts ids."""
         if self.docs:
-            data = to_file(np.array(self.docs, np.int64), np.array(self.counts), np.frombuffer(b"".join(self.ids), "<u4"))
+            data = to_file(*map(np.concatenate, (self.docs, self.counts, self.ids)))
             yield self.parts.write([data], self.held)
         self._clear()
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id", plain: bool = True, added_tokens: bool = False, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id", added_tokens: bool = False, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of every whole text, each followed by ``end_id``; returns the manifest of the files.
 
     A missing or empty text has the end id alone. A missing doc_id counts as the lowest 64-bit integer. Rows with equal
-    ids are all written, in the order of their texts. An empty table has no files. Other columns play no part. ``plain``
-    tells that the tokenizer lowers, composes and splits text as ``_PLAIN_SPLIT`` does; else every chunk goes to the
-    library. ``added_tokens``: strings of added tokens are read as those tokens, else as text. One shuffle, of the texts, by ranges of the id.
+    ids are all written, in the order of a hash of their texts, and may lie in several ranges, so that no id has to fit
+    a task. An empty table has no files. Other columns play no part. The tokenizer drops white space and keeps letters
+    and digits apart from other signs. ``added_tokens``: strings of added tokens are read as those tokens, else as text.
+    One shuffle, of the texts, by ranges of the id.
     """
     spark = docs.sparkSession
     folder = new_folder(docs, "tokens", folder)
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary on the driver, beside the program
         content = spark.sparkContext.broadcast(f.read())
-    end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("place", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_task()
-        encoder, writer = _encoder(content.value, plain, added_tokens), _Writer(folder, file_ids)
+        encoder, writer = library_encoder(content.value, words_between_white, added_tokens), _Writer(folder, file_ids)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            data, offsets = text_buffers(batch.column(1))
-            for low, high in cuts(offsets):
-                part = data[offsets[low] : offsets[high]].tobytes()
-                at = (offsets[low : high + 1] - offsets[low]).tolist()
-                texts = [part[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
-                for doc, encoded in zip(ids[low:high], encoder.encode(texts)):
-                    yield from writer.add(doc, encoded + end)
+            doc_ids = batch.column(0).to_numpy()
+            for low, high, data, offsets in text_pieces(batch.column(1)):
+                ids, bounds = with_end(*encoder.encode(data, offsets), end_id)
+                yield from writer.add(doc_ids[low:high], np.diff(bounds), ids)
         yield from writer.close()
 
     return written(rows, "tokens", run)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from basecov.llm import bpe, simple8b, token_files
+from basecov.llm import bpe, remembered, simple8b, token_files
 from basecov.llm.queries import QUERIES
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -53,14 +53,23 @@ def test_token_files_hold_all_documents_in_order(docs, corpus, file_ids):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     tokenizer.encode_special_tokens = True
     lowest = -(1 << 63)
-    expected = sorted((lowest if i is None else i, t or "") for i, t in corpus)
-    assert [r.doc_id for r in rows] == [i for i, _ in expected]
+    expected = sorted((lowest if i is None else i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in corpus)
+    assert [r.doc_id for r in rows] == [i for i, _ in expected]  # rows with equal ids stand in any order
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == expected
     start = 0
-    for row, (_, text) in zip(rows, expected):
-        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
-        assert (row.start, row.n_tokens) == (start, len(ids))
-        assert np.frombuffer(row.ids, "<u4").tolist() == ids
-        start += len(ids)
+    for row in rows:
+        assert (row.start, row.n_tokens) == (start, len(row.ids) // 4)
+        start += row.n_tokens
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 7L, NULL) AS doc_id", "concat('some text ', id) AS text")
+    manifest = token_files.write_tokens(rows, WORD_BPE, end_id=1)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.groupBy("part").count().count() >= 3  # two ids, more than two tasks
+    done = token_files.read_tokens(manifest)
+    assert done.count() == 4000 and done.selectExpr("count(distinct start)").first()[0] == 4000
 
 
 def test_query_reads_added_tokens_as_the_library_does(spark, tmp_path):
@@ -83,7 +92,11 @@ def test_no_documents_no_files(no_docs):
 @given(st.text(alphabet="abThé \n\t\x0b\x1c\x85'.,12ÉßİſΣ漢🙂²½", max_size=60))
 def test_word_encoder_equals_the_library(text):
     encoder = _word_encoder()
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    data = np.frombuffer((text + text[:7]).encode(), np.uint8)  # two texts of one piece
+    first = len(text.encode())
+    ids, bounds = encoder.encode(data, np.array([0, first, len(data)]))
+    for part, a, b in zip((text, text[:7]), bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == encoder.tokenizer.encode(part, add_special_tokens=False).ids
 
 
 _KEPT = []
@@ -92,7 +105,7 @@ _KEPT = []
 def _word_encoder():
     if not _KEPT:
         with open(WORD_BPE, encoding="utf-8") as f:
-            _KEPT.append(token_files.WordEncoder(f.read(), True))
+            _KEPT.append(remembered.LibraryEncoder(f.read()))
     return _KEPT[0]
 
 
@@ -118,6 +131,15 @@ def test_transducer_equals_tiktoken(encoder, reference, text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab's. L1\n\té　\x85\u2003", max_size=9), max_size=6))
+def test_texts_of_one_piece_stay_apart(encoder, reference, texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    ids, bounds = encoder.encode_piece(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [reference.encode_ordinary(t) for t in texts]
+
+
 @pytest.mark.parametrize("text", ["a" * 9000, "ab" * 5000 + "c", "the" * 4000, "!" * 9000, " " * 5000 + "x", "\n" * 4097])
 def test_long_matches_are_settled_on_the_way(encoder, reference, text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
@@ -125,8 +147,9 @@ def test_long_matches_are_settled_on_the_way(encoder, reference, text):
 
 def test_states_and_caches_may_start_anew(ranks, reference, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_STATES", 50)
-    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 20)
+    monkeypatch.setattr(bpe, "KEPT_MATCHES", 20)
     encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    encoder.table = remembered.IdTable(encoder._learn, slots=64, store_ids=500)
     rng = random.Random(3)
     for _ in range(200):
         text = " ".join("".join(rng.choice("etaoins") for _ in range(rng.randint(1, 12))) for _ in range(20))
