@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.llm import bpe, decontaminate, html_text, jaccard, quality, substrings, token_files, tool_calls, toxicity, warc
+from basecov.llm import bpe, decontaminate, html_text, jaccard, packing, quality, substrings, token_files, tool_calls, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,9 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.expr("array_sort(array_distinct(transform(matches, m -> string(m.item_id))))")
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+@query
+def op13_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, added_tokens=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
