@@ -252,6 +252,8 @@ def rank(docs: DataFrame, items: DataFrame, *, k: int = TOP, text: str = "text",
     for b in range(blocks):
         rows = numbered.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "text").collect()
         queries = Queries([r.query for r in rows], [r.text for r in rows])
+        if found is not None and not queries.queries:
+            continue
         index = stored(postings(docs, queries, text, doc_id), "postings")
         part = stored(_search(index, queries, k, shard_postings), "found")
         found = part if found is None else found.union(part)
