@@ -7,14 +7,16 @@ attempts that succeed, so files of lost or repeated attempts are never read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from basecov.session import scratch_path, stored
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MANIFEST = "part int, number int, path string, n_rows bigint, n_bytes bigint"
 _KINDS = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
 
@@ -58,3 +60,20 @@ def written(df: DataFrame, name: str, run: Callable[[Iterator[pa.RecordBatch]],
 def spread(manifest: DataFrame, *columns: str) -> DataFrame:
     """The files dealt out to tasks, about one each."""
     return manifest.select("path", *columns).repartition(max(1, min(manifest.count(), 100_000)))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of a query when the query ends; for queries that write a table."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)

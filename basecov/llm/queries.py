@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.llm import bpe, decontaminate, html_text, jaccard, packing, quality, ranked_search, substrings, token_files, tool_calls, toxicity, warc
+from basecov.llm import bpe, collocations, decontaminate, html_text, jaccard, packing, quality, ranked_search, substrings, token_files, tool_calls, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,6 +172,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 """
 
 
+@query
+def op12_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
+ORACLES["op12_dynamic_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3
+    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(w)
+), counts AS (
+    SELECT lang, k, phrase, count(*) AS a, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3 FROM grams GROUP BY lang, k, phrase
+), totals AS (
+    SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+), cuts AS (
+    SELECT lang, 2 AS k, phrase, a, w1 AS x, w2 AS y, 1 AS cut FROM counts WHERE k = 2 AND a >= 10
+    UNION ALL SELECT lang, 3, phrase, a, w1, w2 || ' ' || w3, 1 FROM counts WHERE k = 3 AND a >= 10
+    UNION ALL SELECT lang, 3, phrase, a, w1 || ' ' || w2, w3, 2 FROM counts WHERE k = 3 AND a >= 10
+), scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, c.cut, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.x JOIN counts y ON y.lang = c.lang AND y.phrase = c.y
+), weakest AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored) WHERE place = 1
+), inside AS (
+    SELECT lang, w1 || ' ' || w2 AS phrase, a FROM counts WHERE k = 3 AND a >= 10
+    UNION ALL SELECT lang, w2 || ' ' || w3, a FROM counts WHERE k = 3 AND a >= 10
+), kept AS (
+    SELECT * FROM weakest p WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE p.k = 2 AND i.lang = p.lang AND i.phrase = p.phrase AND 100 * i.a >= 50 * p.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op13_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, added_tokens=True)
