@@ -179,12 +179,18 @@ def op12_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op12_dynamic_collocations"] = r"""
 WITH pieces AS (
-    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+    SELECT row_number() OVER () AS piece, lang, w FROM (
+        SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents)
+), words AS (
+    SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM pieces
+), runs AS (
+    SELECT lang, w1, lead(w1, 1) OVER (PARTITION BY piece ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY piece ORDER BY i) AS w3 FROM words
 ), grams AS (
-    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3
-    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(w)
+    SELECT lang, 1 AS k, w1 AS phrase, w1, NULL AS w2, NULL AS w3 FROM runs
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2, w1, w2, NULL FROM runs WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3 FROM runs WHERE w3 IS NOT NULL
 ), counts AS (
-    SELECT lang, k, phrase, count(*) AS a, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3 FROM grams GROUP BY lang, k, phrase
+    SELECT lang, k, phrase, lang || chr(1) || phrase AS id, count(*) AS a, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3 FROM grams GROUP BY lang, k, phrase
 ), totals AS (
     SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
 ), cuts AS (
@@ -193,14 +199,15 @@ WITH pieces AS (
     UNION ALL SELECT lang, 3, phrase, a, w1 || ' ' || w2, w3, 2 FROM counts WHERE k = 3 AND a >= 10
 ), scored AS (
     SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, c.cut, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
-    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.x JOIN counts y ON y.lang = c.lang AND y.phrase = c.y
+    FROM cuts c JOIN counts x ON x.id = c.lang || chr(1) || c.x JOIN counts y ON y.id = c.lang || chr(1) || c.y
 ), weakest AS (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored) WHERE place = 1
 ), inside AS (
     SELECT lang, w1 || ' ' || w2 AS phrase, a FROM counts WHERE k = 3 AND a >= 10
     UNION ALL SELECT lang, w2 || ' ' || w3, a FROM counts WHERE k = 3 AND a >= 10
 ), kept AS (
-    SELECT * FROM weakest p WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE p.k = 2 AND i.lang = p.lang AND i.phrase = p.phrase AND 100 * i.a >= 50 * p.a)
+    SELECT p.* FROM weakest p LEFT JOIN (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY lang, phrase) i ON p.k = 2 AND i.lang = p.lang AND i.phrase = p.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer < 50 * p.a
 )
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
