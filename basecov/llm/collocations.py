@@ -20,10 +20,12 @@ exactly once, because its subphrases reach the threshold no later than it does.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,12 +133,16 @@ def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [a[heads], b[heads], c[heads], act[heads], np.diff(np.append(heads, len(a)))]
 
 
-def _count_phrases(rows: DataFrame, tables: tuple[np.ndarray, np.ndarray], step: int, shards: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
+def _count_phrases(rows: DataFrame, shared: Broadcast, step: int, shards: int) -> DataFrame:
+    """Counts of the active phrases of a shard; ``shared`` holds the compressed tables."""
+
+    def unpacked() -> tuple[np.ndarray, np.ndarray]:
+        words, pairs = (np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value)
+        return words, pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_task()
-        tables = kept(("reached", step), lambda: shared.value)
+        tables = kept(("reached", step), unpacked)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -209,10 +215,12 @@ class Counting:
     def count_phrases(self, step: int) -> bool:
         """One step over longer phrases: whether a pair reached the threshold."""
         schema = f"{_GRAMS}, before BIGINT, finished INT"
+        shared = self.spark.sparkContext.broadcast([zlib.compress(t, 1) for t in self.tables])
         before = self._read(self.open, schema).where("finished = 0") if self.open else None
-        merged = self._merged(_count_phrases(self.shard(step), self.tables, step, self.shards), before, ["a", "b", "c", "act"])
+        merged = self._merged(_count_phrases(self.shard(step), shared, step, self.shards), before, ["a", "b", "c", "act"])
         merged = merged.withColumn("finished", (F.col("act") + (self.shards - 1) <= step).cast("int")).where(f"finished = 0 OR n >= {self.least}")
         path = self._write(merged, "phrases", "finished")
+        shared.destroy()  # the step is written; nothing computes it again
         if self.open:
             forget(self.spark, f"{self.open}/finished=0")
         self.open = path
