@@ -10,9 +10,11 @@ exactly once, because its subphrases reach the threshold no later than it does.
   task gets: a phrase has two cells, a cell keeps the first step that was written to it, and the later of both counts.
   Phrases that share cells may be active too early, which costs counting and changes nothing, since a phrase's first
   active step follows from the tables and is the same in all tasks and later steps. The tables do not grow with the data.
-* A task sums the occurrences of about ``BUFFER`` active phrases before they are shuffled. The counts so far of phrases
-  still on their cycle are one written table per step, which takes part in the same shuffle; phrases that end below the
-  threshold leave it.
+* A task sums the occurrences of about ``BUFFER`` active phrases and shuffles them packed: a row holds the phrases of one
+  bucket (upper bits of the phrase's hash) as arrays. There are 16 buckets or more for each shuffle partition, so a
+  bucket is a small part of a partition at any size and no phrase makes one large. The counts so far of phrases still on
+  their cycle are one written table per step in the same form, which takes part in the shuffle; phrases that end below
+  the threshold leave it.
 * Phrases are their words' 64-bit keys, which include the language; only the words' own table holds text, and it is
   joined to the phrases that are reported.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +50,12 @@ _PIECE_ENDS = separators([*b".,;:!?", *range(0x0A, 0x0E)])
 _BLANKS = separators((0x20, 0x09))
 _SEPARATORS = _PIECE_ENDS | _BLANKS
 
-_GRAMS = "a BIGINT, b BIGINT, c BIGINT, act INT, n BIGINT"
+_PACKED = "bucket INT, old BOOLEAN, a BINARY, b BINARY, c BINARY, act BINARY, n BINARY"
+_MERGED = "bucket INT, a BINARY, b BINARY, c BINARY, act BINARY, n BINARY, cells BINARY, kind INT"
+_COLUMNS = {"a": np.uint64, "b": np.uint64, "c": np.uint64, "act": np.int16, "n": np.int64}
+BUCKETS_PER_PARTITION = 16
+OPEN, DONE, REACHED = range(3)  # kinds of rows: phrases on their cycle, phrases at its end, cells of pairs that reached the threshold
 _WORDS = "key BIGINT, lang STRING, word STRING, n BIGINT"
-_PAIR_HASH = "(a ^ (shiftleft(b, 1) | shiftrightunsigned(b, 63)))"
 
 
 def _language_keys(langs: pa.Array) -> np.ndarray:
@@ -122,19 +128,45 @@ def active_phrases(key: np.ndarray, joined: np.ndarray, tables: tuple[np.ndarray
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct phrases with their numbers of occurrences."""
-    a, b, c, act = columns
-    order = np.argsort(mix(a ^ mix(b ^ mix(c))))
-    a, b, c, act = (x[order] for x in (a, b, c, act))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+def summed(columns: list[np.ndarray], before: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct phrases in the order of their hashes: hash, a, b, c, act, sum of n, and sum of ``before`` if given."""
+    a, b, c, act, n = columns
+    hash_ = mix(a ^ mix(b ^ mix(c)))
+    order = np.argsort(hash_, kind="stable")
+    for again in (False, True):
+        h, x, y, z = (v[order] for v in (hash_, a, b, c))
+        new = np.ones(len(h), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+        if again or not (new[1:] & (h[1:] == h[:-1])).any():
+            break
+        order = np.lexsort((c, b, a, hash_))  # different phrases with one hash
     heads = np.flatnonzero(new)
-    return [a[heads], b[heads], c[heads], act[heads], np.diff(np.append(heads, len(a)))]
+    sums = [np.add.reduceat(v[order], heads) if len(heads) else v for v in ((n,) if before is None else (n, before))]
+    return h[heads], x[heads], y[heads], z[heads], act[order][heads], *sums
 
 
-def _count_phrases(rows: DataFrame, shared: Broadcast, step: int, shards: int) -> DataFrame:
-    """Counts of the active phrases of a shard; ``shared`` holds the compressed tables."""
+def _packed(hash_: np.ndarray, columns: list[np.ndarray], bits: int) -> list[pa.Array]:
+    """The phrases, in the order of their hashes, as one row per bucket: bucket and the bytes of each column."""
+    bucket = (hash_ >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    places = np.append(first, len(bucket))
+    out = [pa.array(bucket[first])]
+    for values, kind in zip(columns, _COLUMNS.values()):
+        values = values.astype(kind, copy=False)
+        offsets = pa.py_buffer((places * values.itemsize).astype(np.int32).tobytes())
+        out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(values.tobytes())]))
+    return out
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of packed rows, and the number of phrases in each row."""
+    raw = {name: table.column(name).to_pylist() for name in _COLUMNS}
+    columns = [np.frombuffer(b"".join(raw[name]), kind) for name, kind in _COLUMNS.items()]
+    return columns, np.array([len(x) // 8 for x in raw["n"]], np.int64)
+
+
+def _count_phrases(rows: DataFrame, shared: Broadcast, step: int, shards: int, bits: int) -> DataFrame:
+    """Packed counts of the active phrases of a shard; ``shared`` holds the compressed tables."""
 
     def unpacked() -> tuple[np.ndarray, np.ndarray]:
         words, pairs = (np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value)
@@ -146,8 +178,10 @@ def _count_phrases(rows: DataFrame, shared: Broadcast, step: int, shards: int) -
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            a, b, c, act, n = summed([np.concatenate(x) for x in zip(*held)])
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b, c)] + [pa.array(act), pa.array(n)], names=["a", "b", "c", "act", "n"])
+            columns = [np.concatenate(x) for x in zip(*held)]
+            hash_, *found = summed([*columns, np.ones(len(columns[0]), np.int64)])
+            bucket, *packed = _packed(hash_, found, bits)
+            return pa.RecordBatch.from_arrays([bucket, pa.array(np.zeros(len(bucket), bool)), *packed], names=["bucket", "old", *_COLUMNS])
 
         for batch in batches:
             lang_keys = _language_keys(batch.column(0))
@@ -161,7 +195,41 @@ def _count_phrases(rows: DataFrame, shared: Broadcast, step: int, shards: int) -
         if size:
             yield flush()
 
-    return rows.mapInArrow(run, _GRAMS)
+    return rows.mapInArrow(run, _PACKED)
+
+
+def _merge(step: int, shards: int, least: int, cells: int, bits: int):
+    """Sums a bucket; says what stays open, what has ended at or above the threshold, and which pairs have reached it."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        columns, sizes = _unpacked(table)
+        old = np.repeat(table.column("old").to_numpy(), sizes)
+        hash_, a, b, c, act, n, before = summed(columns, np.where(old, columns[4], 0))
+        finished = act + (shards - 1) <= step
+        out = []
+        for kind, keep in ((OPEN, ~finished), (DONE, finished & (n >= least))):
+            if keep.any():
+                bucket, *packed = _packed(hash_[keep], [x[keep] for x in (a, b, c, act, n)], bits)
+                out.append(pa.table([bucket, *packed, pa.nulls(len(bucket), pa.binary()), pa.array([kind] * len(bucket), pa.int32())], names=["bucket", *_COLUMNS, "cells", "kind"]))
+        new = (c == 0) & (n >= least) & (before < least)
+        if new.any():
+            marks = np.concatenate(cells_of(pair_hashes(a[new], b[new]), cells)).astype(np.int32).tobytes()
+            out.append(pa.table([table.column("bucket").slice(0, 1).combine_chunks(), *[pa.nulls(1, pa.binary())] * 5, pa.array([marks], pa.binary()), pa.array([REACHED], pa.int32())], names=["bucket", *_COLUMNS, "cells", "kind"]))
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in [("bucket", pa.int32()), *[(x, pa.binary()) for x in [*_COLUMNS, "cells"]], ("kind", pa.int32())]})
+
+    return merge
+
+
+def _flat_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["cell"])
+
+
+def _flat_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (a, b, c, _, n), _ = _unpacked(batch)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (a, b, c)], pa.array(n)], names=["a", "b", "c", "n"])
 
 
 class Counting:
@@ -178,6 +246,8 @@ class Counting:
         self.open: str | None = None
         self.done: list[str] = []
         self.steps = 0
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.bits = min(30, (BUCKETS_PER_PARTITION * partitions - 1).bit_length())
 
     def _write(self, df: DataFrame, name: str, by: str) -> str:
         path = scratch_path(self.spark, name)
@@ -191,10 +261,9 @@ class Counting:
     def shard(self, step: int) -> DataFrame:
         return self._read(self.texts, "lang STRING, text STRING, shard INT").where(F.col("shard") == step % self.shards).select("lang", "text")
 
-    def _mark(self, table: np.ndarray, new: DataFrame, hash_: str, step: int) -> bool:
+    def _mark(self, table: np.ndarray, cells: DataFrame, step: int) -> bool:
         """Writes the step to the cells of phrases that reached the threshold in it; at most ``cells`` numbers come back."""
-        places = [f"int({hash_} & {self.cells - 1})", f"int(shiftrightunsigned({hash_}, 32) & {self.cells - 1})"]
-        found = new.selectExpr(f"explode(array({', '.join(places)})) AS cell").distinct().toArrow().column("cell").to_numpy()
+        found = cells.distinct().toArrow().column("cell").to_numpy()
         table[found] = np.minimum(table[found], step)
         return len(found) > 0
 
@@ -210,23 +279,26 @@ class Counting:
         with without_old_shuffles(self.spark):
             merged.write.parquet(path)
         self.words = self._read(path, f"{_WORDS}, before BIGINT")
-        return self._mark(self.tables[0], self.words.where(f"n >= {self.least} AND before < {self.least}"), "key", step)
+        new = self.words.where(f"n >= {self.least} AND before < {self.least}")
+        places = [f"int({h} & {self.cells - 1})" for h in ("key", "shiftrightunsigned(key, 32)")]
+        return self._mark(self.tables[0], new.selectExpr(f"explode(array({', '.join(places)})) AS cell"), step)
 
     def count_phrases(self, step: int) -> bool:
         """One step over longer phrases: whether a pair reached the threshold."""
-        schema = f"{_GRAMS}, before BIGINT, finished INT"
         shared = self.spark.sparkContext.broadcast([zlib.compress(t, 1) for t in self.tables])
-        before = self._read(self.open, schema).where("finished = 0") if self.open else None
-        merged = self._merged(_count_phrases(self.shard(step), shared, step, self.shards), before, ["a", "b", "c", "act"])
-        merged = merged.withColumn("finished", (F.col("act") + (self.shards - 1) <= step).cast("int")).where(f"finished = 0 OR n >= {self.least}")
-        path = self._write(merged, "phrases", "finished")
+        rows = _count_phrases(self.shard(step), shared, step, self.shards, self.bits)
+        if self.open:
+            held = self._read(self.open, _MERGED).where(F.col("kind") == OPEN)
+            rows = rows.union(held.select("bucket", F.lit(True).alias("old"), *_COLUMNS))
+        merged = rows.groupBy("bucket").applyInArrow(_merge(step, self.shards, self.least, self.cells, self.bits), _MERGED)
+        path = self._write(merged, "phrases", "kind")
         shared.destroy()  # the step is written; nothing computes it again
         if self.open:
-            forget(self.spark, f"{self.open}/finished=0")
+            forget(self.spark, f"{self.open}/kind={OPEN}")
         self.open = path
         self.done.append(path)
-        fresh = self._read(path, schema).where(f"c = 0 AND n >= {self.least} AND before < {self.least}")
-        return self._mark(self.tables[1], fresh, _PAIR_HASH, step)
+        cells = self._read(path, _MERGED).where(F.col("kind") == REACHED).select("cells")
+        return self._mark(self.tables[1], cells.mapInArrow(_flat_cells, "cell INT"), step)
 
     def run(self) -> None:
         step, last = 0, 0  # the last step in which a phrase is on its cycle
@@ -241,11 +313,11 @@ class Counting:
 
     def phrases(self) -> DataFrame:
         """``a, b, c, n`` of all longer phrases that reach the threshold."""
-        parts = [self._read(p, f"{_GRAMS}, before BIGINT, finished INT").where("finished = 1").select("a", "b", "c", "n") for p in self.done]
-        out = parts[0] if parts else self.spark.createDataFrame([], "a BIGINT, b BIGINT, c BIGINT, n BIGINT")
-        for part in parts[1:]:
-            out = out.union(part)
-        return out
+        schema = "a BIGINT, b BIGINT, c BIGINT, n BIGINT"
+        if not self.done:
+            return self.spark.createDataFrame([], schema)
+        parts = [self._read(p, _MERGED).where(F.col("kind") == DONE).select(*_COLUMNS) for p in self.done]
+        return reduce(DataFrame.union, parts).mapInArrow(_flat_phrases, schema)
 
 
 def _score(f: str, left: str, right: str) -> str:
