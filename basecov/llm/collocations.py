@@ -11,7 +11,7 @@ exactly once, because its subphrases reach the threshold no later than it does.
   Phrases that share cells may be active too early, which costs counting and changes nothing, since a phrase's first
   active step follows from the tables and is the same in all tasks and later steps. The tables do not grow with the data.
 * A task sums the occurrences of about ``BUFFER`` active phrases and shuffles them packed: a row holds the phrases of one
-  bucket (upper bits of the phrase's hash) as arrays. There are 16 buckets or more for each shuffle partition, so a
+  bucket (upper bits of the phrase's hash) as arrays. There are 8 buckets or more for each shuffle partition, so a
   bucket is a small part of a partition at any size and no phrase makes one large. The counts so far of phrases still on
   their cycle are one written table per step in the same form, which takes part in the shuffle; phrases that end below
   the threshold leave it.
@@ -53,7 +53,7 @@ _SEPARATORS = _PIECE_ENDS | _BLANKS
 _PACKED = "bucket INT, old BOOLEAN, a BINARY, b BINARY, c BINARY, act BINARY, n BINARY"
 _MERGED = "bucket INT, a BINARY, b BINARY, c BINARY, act BINARY, n BINARY, cells BINARY, kind INT"
 _COLUMNS = {"a": np.uint64, "b": np.uint64, "c": np.uint64, "act": np.int16, "n": np.int64}
-BUCKETS_PER_PARTITION = 16
+BUCKETS_PER_PARTITION = 8
 OPEN, DONE, REACHED = range(3)  # kinds of rows: phrases on their cycle, phrases at its end, cells of pairs that reached the threshold
 _WORDS = "key BIGINT, lang STRING, word STRING, n BIGINT"
 
