@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basecov import session
 from basecov.functions.stats import cvm_scale, cvm_score, cvm_score_bound, split_cvm_score, split_gaps
+from basecov.operators.lattice import cvm_chances
 from basecov.operators.vectors import Groups
 from basecov.session import broadcast_or_merge
 
@@ -49,11 +52,16 @@ def _lattice(spark: SparkSession, n: int, m: int) -> DataFrame:
 def cvm_null(spark: SparkSession, n: int, m: int) -> DataFrame:
     """Null distribution ``(score, t, ways, cdf, tail)``; ``tail`` is the chance of a statistic of at least ``t``.
 
-    Its size depends on the group sizes only, so the running sum over it uses one partition.
+    Its size depends on the group sizes only, so the running sum over it uses one partition. Where the number of splits
+    does not fit a BIGINT, ``ways`` is missing and the chances are summed as doubles, each from its own end.
     """
     total = math.comb(n + m, n)
     if total >= 1 << 63:
-        raise ValueError("the number of splits does not fit a BIGINT; read a table with read_null_table instead")
+        scores, chances = cvm_chances(n, m)
+        cdf, tail = np.cumsum(chances), np.cumsum(chances[::-1])[::-1]
+        table = pa.table({"score": scores, "cdf": np.minimum(cdf, 1.0), "tail": np.minimum(tail, 1.0)})
+        rows = spark.createDataFrame(table)
+        return rows.selectExpr("score", f"score / {cvm_scale(n, m)}D AS t", "CAST(NULL AS BIGINT) AS ways", "cdf", "tail")
     ways = _enumerated(spark, n, m) if n + m <= ENUMERATED_SIZE else _lattice(spark, n, m)
     counted = ways.selectExpr("*", "sum(ways) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS reached")
     return counted.selectExpr(

@@ -21,10 +21,13 @@ from basecov.functions.stats import (
     split_gaps,
     split_ks_score,
 )
+from basecov.operators.lattice import with_shares
 from basecov.operators.vectors import Groups
 
 TOLERANCE = 1e-9
 MAX_MASK_BITS = 62
+#: Up to so many splits are tried one by one in generated code; more are counted along lattice paths.
+LISTED_SPLITS = 5_000
 BUILT_IN = (cvm_statistic, ks_statistic)
 
 
@@ -53,17 +56,22 @@ def permutation_test(
     max_splits: int | None = None,
     seed: int = 0,
     carry: Sequence[str] = (),
+    listed_splits: int = LISTED_SPLITS,
 ) -> DataFrame:
     """``(keys, carry, p2)``: the share of splits of the pooled counts whose largest statistic reaches the observed one.
 
-    All splits are tried, whatever their number; only a caller that names ``max_splits`` gets a seeded draw of that size.
+    All splits count, whatever their number; only a caller that names ``max_splits`` gets a seeded draw of that size.
 
-    ``df`` holds one row per key with the count columns of ``groups``; columns of ``carry`` pass through. Each row is expanded to its splits and folded
-    back within its task, because rows of one key never leave it before partial aggregation; only (key, share)
-    reaches a shuffle, if any. The built-in statistics are compared as exact integers over bit masks; any other one
-    works on the split arrays ``x`` and ``y``.
+    ``df`` holds one row per key with the count columns of ``groups``; columns of ``carry`` pass through. Up to
+    ``listed_splits`` splits (and drawn ones, and all splits for statistics of the caller) each row is expanded to its
+    splits and folded back within its task, because rows of one key never leave it before partial aggregation; only
+    (key, share) reaches a shuffle, if any. The built-in statistics are compared as exact integers over bit masks; any
+    other one works on the split arrays ``x`` and ``y``. With more splits the built-in statistics are counted along
+    lattice paths (:mod:`basecov.operators.lattice`), for any number of samples and without listing splits.
     """
     n, m = len(groups.case), len(groups.control)
+    if max_splits is None and all(s in BUILT_IN for s in statistics) and math.comb(n + m, n) > listed_splits:
+        return with_shares(df, [*keys, *carry], groups.columns, n, cvm_statistic in statistics, ks_statistic in statistics)
     if n + m > MAX_MASK_BITS:
         raise ValueError(f"splits are BIGINT masks and hold at most {MAX_MASK_BITS} samples")
     explode = f"explode({_mask_array(split_masks(n, m, max_splits, seed))}) AS split"

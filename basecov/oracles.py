@@ -473,6 +473,20 @@ def u_of(x: str, y: str) -> str:
     )
 
 
+UNEQUAL = "list_transform(pool, lambda z: len(list_filter({0}, lambda a: a <= z)) / 5.0 - len(list_filter({1}, lambda b: b <= z)) / 3.0)"
+BOTH = "greatest(list_sum(list_transform({0}, lambda d: d * d)) * 15.0 / 64.0, list_max(list_transform({0}, lambda d: abs(d))))"
+oracle(
+    "permutation_test_unequal",
+    ("exon_vec",),
+    f"""
+    , tried AS (
+        SELECT gene_id, exon_id, pool, pool[1:5] AS ox, pool[6:8] AS oy,
+               list_filter(pool, lambda v, i: (mask >> (i - 1)) & 1 = 1) AS x, list_filter(pool, lambda v, i: (mask >> (i - 1)) & 1 = 0) AS y
+        FROM (SELECT gene_id, exon_id, list_concat({X}, {Y}) AS pool FROM exon_vec), (SELECT mask FROM range(256) AS r(mask) WHERE bit_count(mask) = 5))
+    SELECT gene_id, exon_id,
+           round(avg(CASE WHEN {BOTH.format(UNEQUAL.format("x", "y"))} >= {BOTH.format(UNEQUAL.format("ox", "oy"))} - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p2
+    FROM tried GROUP BY gene_id, exon_id""",
+)
 oracle(
     "permutation_test_plugin",
     ("splits",),

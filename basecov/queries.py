@@ -343,6 +343,14 @@ def permutation_test(spark, sf_dir):
     )
 
 
+@query
+def permutation_test_unequal(spark, sf_dir):
+    """Five samples against three, counted along lattice paths."""
+    groups = vectors.Groups(case=(0, 1, 2, 3, 4), control=(5, 6, 7))
+    counts = vectors.region_vectors(_reads(spark, sf_dir), _exons(spark, sf_dir), groups, width=WIDTH)
+    return rounded(permutation.permutation_test(counts, ["gene_id", "exon_id"], groups, listed_splits=0))
+
+
 @query
 def permutation_test_plugin(spark, sf_dir):
     """The same test with a user-chosen statistic, here Mann-Whitney's U."""

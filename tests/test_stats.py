@@ -1,12 +1,14 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basecov.functions import scalars, stats
-from basecov.operators import nulldist, permutation
+from basecov.operators import lattice, nulldist, permutation
 from basecov.operators.vectors import Groups
 
 
@@ -233,3 +235,73 @@ def test_all_splits_unless_draws_are_asked_for():
 def test_fisher_of_a_zero_p_value(spark):
     row = spark.range(1).selectExpr(f"{stats.fisher_statistic('array(0D, 0.5D)')} AS s").selectExpr("s", f"{stats.fisher_p('s', '4')} AS p").first()
     assert row.s == float("inf") and row.p == 0
+
+
+# --- permutation test along lattice paths ---------------------------------------------------------------------
+
+
+def listed_share(row, n):
+    """Over all splits as bit masks: the largest of both scores on the integer scale."""
+    size = len(row)
+    masks = np.arange(1 << size, dtype=np.int64)
+    masks = masks[np.bitwise_count(masks) == n]
+    best, total = np.zeros(len(masks), np.int64), np.zeros(len(masks), np.int64)
+    for z in row:
+        below = sum(1 << i for i, v in enumerate(row) if v <= z)
+        gap = size * np.bitwise_count(masks & below).astype(np.int64) - n * below.bit_count()
+        total += gap * gap
+        best = np.maximum(best, np.abs(gap) * size * size)
+    score = np.maximum(best, total)
+    return (score >= score[masks == (1 << n) - 1]).mean()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lattice_equals_listing_at_12_against_12(spark, seed):
+    rng = np.random.default_rng(seed)
+    row = [int(v) for v in rng.integers(0, [3, 8, 40, 1000][seed], 24)]
+    row[:12] = [v + [0, 2, 10, 300][seed] for v in row[:12]]
+    groups = Groups(tuple(range(12)), tuple(range(12, 24)))
+    df = spark.createDataFrame([(1, *row)], "id INT, " + ", ".join(f"{c} INT" for c in groups.columns))
+    tested = permutation.permutation_test(df, ["id"], groups)
+    assert "Generate" not in tested._jdf.queryExecution().executedPlan().toString()
+    assert tested.first().p2 == listed_share(row, 12)
+
+
+@pytest.mark.parametrize("statistics", [[stats.cvm_statistic], [stats.ks_statistic], list(permutation.BUILT_IN)])
+def test_lattice_equals_masks_at_unequal_sizes(spark, statistics):
+    rng = np.random.default_rng(9)
+    groups = Groups((1, 2, 3, 4, 5), (6, 7, 8))
+    rows = [(i, *map(int, rng.integers(0, rng.integers(1, 9), 8))) for i in range(60)] + [(99, *[4] * 8)]
+    df = spark.createDataFrame(rows, "id INT, " + ", ".join(f"{c} INT" for c in groups.columns))
+    one = {r.id: r.p2 for r in permutation.permutation_test(df, ["id"], groups, statistics).collect()}
+    two = {r.id: r.p2 for r in permutation.permutation_test(df, ["id"], groups, statistics, listed_splits=0).collect()}
+    assert one == two and one[99] == 1
+
+
+def test_lattice_beyond_64_bits():
+    """40 against 40 in two groups of ties is a hypergeometric tail; 80 samples are no limit."""
+    observed = lattice.observed_score(np.array([28, 12]), np.array([40, 40]), 40, True, True)
+    exact = Fraction(sum(math.comb(40, k) ** 2 for k in range(41) if abs(k - 20) >= 8), math.comb(80, 40))
+    assert lattice.share_at_least([40, 40], observed, 40) == pytest.approx(float(exact), rel=1e-12)
+    assert lattice.share_at_least([1] * 80, 0, 40) == 1
+    assert 0 < lattice.share_at_least([1] * 80, lattice.observed_score(np.repeat([1, 0], 40), np.ones(80, np.int64), 40, True, True), 40) == pytest.approx(2 / math.comb(80, 40))
+
+
+def test_null_table_beyond_64_bits(spark):
+    n = m = 40
+    paths = {(0, 0): 1}  # (entries of the first sample, score): number of paths, exact
+    for step in range(1, n + m + 1):
+        grown = {}
+        for (x, score), ways in paths.items():
+            for to in (x, x + 1):
+                if to <= n and step - to <= m:
+                    at = (to, score + ((n + m) * to - n * step) ** 2)
+                    grown[at] = grown.get(at, 0) + ways
+        paths = grown
+    rows = nulldist.cvm_null(spark, n, m).orderBy("score").collect()
+    assert [r.score for r in rows] == sorted(s for _, s in paths)
+    left = total = math.comb(n + m, n)
+    for r in rows:
+        assert r.ways is None and r.tail == pytest.approx(float(Fraction(left, total)), rel=1e-12)
+        left -= paths[n, r.score]
+    assert left == 0
