@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from basecov.operators.vectors import Groups
 from basecov.plans.diffexpr import Settings
 from basecov.sources.bam import CIGAR_OPS, FILE_MAGIC
+from basecov.sources.bam_index import write_index
 
 GROUPS = Groups(case=(0, 1, 2, 3), control=(4, 5, 6, 7))
+FILE_READS = 200_000
 # Widths for coordinates that are far smaller than a genome's.
 SETTINGS = Settings(min_region_len=10, tile=2048, bin_width=256)
 
@@ -73,42 +75,78 @@ def _bgzf(data: bytes) -> bytes:
 
 def encode_bam(records, references: list[tuple[str, int]], block_bytes: int = 60_000) -> bytes:
     """BAM bytes of ``(name, flag, chrom, start, mapq, [(length, op)])`` records, without bases."""
+    return encode_indexed_bam(records, references, block_bytes)[0]
+
+
+def encode_indexed_bam(records, references: list[tuple[str, int]], block_bytes: int = 60_000) -> tuple[bytes, bytes]:
+    """BAM bytes, and the bytes of their index; the records should be sorted by chromosome and position."""
     index = {name: i for i, (name, _) in enumerate(references)}
     plain = bytearray(FILE_MAGIC + struct.pack("<ii", 0, len(references)))
     for name, length in references:
         plain += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    places = []
     for name, flag, chrom, start, mapq, cigar in records:
         text = name.encode() + b"\0"
         ops = b"".join(struct.pack("<I", length << 4 | CIGAR_OPS.index(op)) for length, op in cigar)
-        core = struct.pack(
-            "<iiBBHHHiiii", index.get(chrom, -1), start - 1, len(text), mapq, 0, len(cigar), flag, 0, -1, -1, 0
-        )
+        reference, end = index.get(chrom, -1), start - 1 + max(1, sum(n for n, op in cigar if op in "MDN=X"))
+        core = struct.pack("<iiBBHHHiiii", reference, start - 1, len(text), mapq, 0, len(cigar), flag, 0, -1, -1, 0)
+        first = len(plain)
         plain += struct.pack("<i", len(core) + len(text) + len(ops)) + core + text + ops
+        places.append((reference, start - 1, end, first, len(plain)))
     blocks = [_bgzf(bytes(plain[at : at + block_bytes])) for at in range(0, len(plain), block_bytes)]
-    return b"".join(blocks) + _bgzf(b"")
+    begins = [0]
+    for block in blocks:
+        begins.append(begins[-1] + len(block))
+
+    def virtual(at: int) -> int:
+        return begins[at // block_bytes] << 16 | at % block_bytes
+
+    spots = [(reference, begin, end, virtual(first), virtual(behind)) for reference, begin, end, first, behind in places]
+    return b"".join(blocks) + _bgzf(b""), write_index(spots, len(references))
 
 
 def write_bam(rows: DataFrame, path: str) -> DataFrame:
-    """Write each partition of ``rows(chrom, start_pos, end_pos)`` as one BAM file; returns ``(file, n)`` lazily."""
+    """Write ``rows(sample_id, chrom, start_pos, end_pos)`` as a BAM file with index per sample and partition, in ``sample=<id>`` folders.
+
+    Returns ``(file, n)`` lazily. A partition should be sorted by sample and position; a file is closed after
+    ``FILE_READS`` reads, so a task holds no more than that.
+    """
     references = [(f"chr{i}", 1 << 29) for i in (1, 2, 3)]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         from basecov.sources.bam import _open_fs
 
-        records = [
-            (f"r{i}", 0, chrom, start, 60, [(end - start + 1, "M")])
-            for batch in batches
-            for i, (chrom, start, end) in enumerate(zip(batch.chrom, batch.start_pos, batch.end_pos))
-        ]
-        if records:
-            system, folder = _open_fs(path)
-            system.create_dir(folder, recursive=True)
-            target = f"{folder}/part-{TaskContext.get().partitionId():05d}.bam"
-            with system.open_output_stream(target) as out:
-                out.write(encode_bam(records, references))
-            yield pd.DataFrame({"file": [target], "n": [len(records)]})
-
-    return rows.select("chrom", "start_pos", "end_pos").mapInPandas(write, "file STRING, n BIGINT")
+        system, folder = _open_fs(path)
+        part, number, held = TaskContext.get().partitionId(), 0, []
+
+        def close(sample: int) -> pd.DataFrame:
+            nonlocal number
+            target = f"{folder}/sample={sample}/part-{part:05d}-{number:05d}.bam"
+            system.create_dir(f"{folder}/sample={sample}", recursive=True)
+            for name, data in zip((target, f"{target}.bai"), encode_indexed_bam(held, references)):
+                with system.open_output_stream(name) as out:
+                    out.write(data)
+            number += 1
+            done = pd.DataFrame({"file": [target], "n": [len(held)]})
+            held.clear()
+            return done
+
+        last = None
+        for batch in batches:
+            for sample, chrom, start, end in zip(batch.sample_id.tolist(), batch.chrom.tolist(), batch.start_pos.tolist(), batch.end_pos.tolist()):
+                if held and (sample != last or len(held) >= FILE_READS):
+                    yield close(last)
+                last = sample
+                held.append((f"r{len(held)}", 0, chrom, start, 60, [(end - start + 1, "M")]))
+        if held:
+            yield close(last)
+
+    return rows.select("sample_id", "chrom", "start_pos", "end_pos").mapInPandas(write, "file STRING, n BIGINT")
+
+
+def bam_files(reads_: DataFrame, path: str) -> None:
+    """The reads as indexed BAM files below ``sample=<id>`` folders."""
+    sorted_ = reads_.repartition("sample_id", "chrom").sortWithinPartitions("sample_id", "chrom", "start_pos")
+    write_bam(sorted_, path).count()

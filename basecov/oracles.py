@@ -560,3 +560,9 @@ TOTALS = """
 oracle("sam_source", ("reads",), TOTALS)
 oracle("bam_source", ("reads",), TOTALS)
 oracle("bed_source", ("exons",), "SELECT gene_id, exon_id, chrom, start_pos, end_pos, strand FROM exons")
+oracle(
+    "bam_region_coverage",
+    ("base_cov",),
+    "SELECT chrom, pos, CAST(sum(cov) AS INTEGER) AS cov FROM base_cov WHERE chrom = 'chr1' AND pos BETWEEN 101 AND 40000 GROUP BY 1, 2",
+)
+oracle("sample_sheet_source", ("reads",), TOTALS.replace("SELECT chrom", "SELECT sample_id, chrom").replace("GROUP BY chrom", "GROUP BY sample_id, chrom"))

@@ -15,7 +15,7 @@ from basecov.operators import coverage, intervals, nulldist, permutation, runs,
 from basecov.plans import diffexpr, report
 from basecov.plans.study import CoverageStudy
 from basecov.session import broadcast_if_small, scratch_path
-from basecov.sources.alignments import Sample, read_bam, read_sam, sample_table
+from basecov.sources.alignments import Sample, read_bam, read_sam, read_samples, sample_table
 from basecov.sources.annotation import read_exons
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,9 +432,29 @@ def sam_source(spark, sf_dir):
 def bam_source(spark, sf_dir):
     """The reads of each sample written as BAM files and scanned by byte ranges."""
     path = scratch_path(spark, "bam")
-    rows = _reads(spark, sf_dir).repartition(8, "chrom", "start_pos").sortWithinPartitions("chrom", "start_pos")
-    fixtures.write_bam(rows, path).count()
-    return _read_totals(read_bam(spark, path, split_bytes=65_536))
+    fixtures.bam_files(_reads(spark, sf_dir), path)
+    return _read_totals(read_bam(spark, path, split_bytes=65_536, columns=["chrom", "start_pos", "end_pos"]))
+
+
+@query
+def bam_region_coverage(spark, sf_dir):
+    """Depth of a region over all samples; only the indexed parts of the files that can hold its reads are decoded."""
+    path = scratch_path(spark, "bam")
+    fixtures.bam_files(_reads(spark, sf_dir), path)
+    reads = read_bam(spark, path, columns=["chrom", "start_pos", "end_pos"]).withColumn("sample_id", F.lit(0))
+    return coverage.base_coverage(reads, chrom="chr1", start=101, end=40_000, tile=TILE).select("chrom", "pos", "cov")
+
+
+@query
+def sample_sheet_source(spark, sf_dir):
+    """A sheet of SAM and BAM files: samples 0-3 as text, 4-7 as BAM, each format one scan."""
+    path = scratch_path(spark, "sheet")
+    reads = _reads(spark, sf_dir)
+    for sample in range(4):
+        fixtures.write_sam(reads.where(F.col("sample_id") == sample), f"{path}/sam/{sample}.sam")
+    fixtures.bam_files(reads.where("sample_id >= 4"), f"{path}/bam")
+    sheet = [Sample(i, "case", f"{path}/sam/{i}.sam") for i in range(4)] + [Sample(i, "control", f"{path}/bam/sample={i}/*.bam") for i in range(4, 8)]
+    return _read_totals(read_samples(spark, sheet), "sample_id")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -10,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basecov.sources.bam import BamDataSource, list_files
+from basecov.sources.bam import BamDataSource, is_reachable, list_files
+from basecov.sources.lines import LineDataSource
 
 READ_COLUMNS = ("read_name", "flag", "chrom", "start_pos", "end_pos", "mapq", "cigar")
 # Fixed CIGAR letters that advance the position on the reference sequence.
@@ -41,12 +43,15 @@ def read_sam(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     in a way that also accepts those; an alignment line with too few fields is an error.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.text(paths).selectExpr(
-        "value", "split(value, '\t', 12) AS field", "_metadata.file_path AS file_path"
-    )
+    return _sam_rows(spark.read.text(paths).selectExpr("value", "_metadata.file_path AS file_path"), "file_path")
+
+
+def _sam_rows(lines: DataFrame, source: str) -> DataFrame:
+    """The fields of alignment lines ``value``; the column ``source`` passes through."""
+    lines = lines.selectExpr(source, "value", "split(value, '\t', 12) AS field")
     short = "if(value LIKE '@%', NULL, raise_error(concat('not an alignment line: ', value)))"
     rows = lines.where("NOT value LIKE '@%'").selectExpr(
-        "file_path",
+        source,
         "get(field, 0) AS read_name",
         "try_cast(get(field, 1) AS INT) AS flag",
         f"if(size(field) >= 11, get(field, 2), {short}) AS chrom",
@@ -55,22 +60,32 @@ def read_sam(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         "get(field, 5) AS cigar",
     )
     end = f"start_pos + {reference_length('cigar')} - 1 AS end_pos"
-    return rows.selectExpr("file_path", "read_name", "flag", "chrom", "start_pos", end, "mapq", "cigar")
+    return rows.selectExpr(source, "read_name", "flag", "chrom", "start_pos", end, "mapq", "cigar")
+
+
+def _absolute(path: str) -> str:
+    """Tasks may have another working folder than the driver."""
+    return path if ":" in path else os.path.abspath(path)
 
 
 def read_bam(
-    spark: SparkSession, path: str | Sequence[str], split_bytes: int = 64 * 1024 * 1024
+    spark: SparkSession, path: str | Sequence[str] | Sequence[tuple[int, str]], split_bytes: int = 64 * 1024 * 1024, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """BAM files as rows; large files are read in parallel by byte ranges of about ``split_bytes``."""
-    # tasks may have another working folder than the driver
-    paths = [p if ":" in p else os.path.abspath(p) for p in ([path] if isinstance(path, str) else path)]
+    """BAM files as rows; large files are read in parallel by byte ranges of about ``split_bytes``.
+
+    ``(sample id, path)`` pairs give one scan over all samples with the column ``sample_id``. ``columns`` names those to
+    build. Spark hands filters on chromosome, positions, flag and quality down to the scan, which then reads only the
+    parts of indexed files (``.bai``) that the region needs.
+    """
     spark.dataSource.register(BamDataSource)
-    return (
-        spark.read.format("basecov-bam")
-        .option("paths", "\n".join(paths))
-        .option("split_bytes", str(split_bytes))
-        .load()
-    )
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("basecov-bam").option("split_bytes", str(split_bytes))
+    if columns is not None:
+        reader = reader.option("columns", ",".join(columns))
+    paths = [path] if isinstance(path, str) else list(path)
+    if paths and not isinstance(paths[0], str):
+        return reader.option("samples", json.dumps([(i, _absolute(p)) for i, p in paths])).load()
+    return reader.option("paths", "\n".join(map(_absolute, paths))).load()
 
 
 def read_alignments(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -115,22 +130,34 @@ def _by_format(path: str) -> dict[str, list[str]]:
 def read_samples(spark: SparkSession, sheet: Sequence[Sample]) -> DataFrame:
     """All reads of a sheet, tagged with their ``sample_id``.
 
-    Every sample is a scan of its own with its id as a constant, so no file has to be recognised by the spelling of its
-    path, and a file that two samples name belongs to both. Paths are resolved by the reader of their format: Spark's
-    for SAM and Parquet, with globs anywhere. A path without files is an error; a repeated line of the sheet counts once.
+    All BAM files of the sheet are one scan, and all SAM files another, whose partitions carry the id of their sample:
+    the plan does not grow with the samples, no file has to be recognised by the spelling of its path, and a file that
+    two samples name belongs to both. Parquet folders, and SAM files in a store that only Spark reads, are a scan each. A path without files is an error; a repeated
+    line of the sheet counts once.
     """
-    parts = []
+    by_format: dict[str, list[tuple[int, str]]] = {}
     for sample_id, path in dict.fromkeys((s.sample_id, s.path) for s in sheet):
         for ending, paths in _by_format(path).items():
-            if ending == "bam" and not all(list_files(p) for p in paths):
+            if ending != "parquet" and not all(list_files(_absolute(p)) for p in paths if ending == "bam" or is_reachable(_absolute(p))):
                 raise FileNotFoundError(path)
-            try:
-                rows = {"bam": read_bam, "sam": read_sam}.get(ending, read_alignments)(spark, paths)
-            except AnalysisException as e:
-                if e.getCondition() == "PATH_NOT_FOUND":
-                    raise FileNotFoundError(path) from e
-                raise
-            parts.append(rows.drop("file_path").select(F.lit(sample_id).cast("int").alias("sample_id"), "*"))
+            by_format.setdefault(ending, []).extend((sample_id, p) for p in paths)
+    parts = []
+    if "bam" in by_format:
+        parts.append(read_bam(spark, by_format["bam"], columns=["sample_id", *READ_COLUMNS]))
+    spark_only = [(i, p) for i, p in by_format.get("sam", []) if not is_reachable(_absolute(p))]
+    parts += [read_sam(spark, p).drop("file_path").select(F.lit(i).cast("int").alias("sample_id"), "*") for i, p in spark_only]
+    if texts := [x for x in by_format.get("sam", []) if x not in spark_only]:
+        spark.dataSource.register(LineDataSource)
+        pairs = json.dumps([(i, _absolute(p)) for i, p in texts])
+        parts.append(_sam_rows(spark.read.format(LineDataSource.name()).option("samples", pairs).load(), "sample_id"))
+    for sample_id, path in by_format.get("parquet", []):
+        try:
+            rows = read_alignments(spark, path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(path) from e
+            raise
+        parts.append(rows.drop("file_path").select(F.lit(sample_id).cast("int").alias("sample_id"), "*"))
     reads = parts[0]
     for part in parts[1:]:
         reads = reads.unionByName(part)

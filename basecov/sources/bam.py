@@ -3,26 +3,44 @@
 The driver only lists file names and sizes. A task looks for the first compressed block at or after the start of
 its range, finds the first record boundary by checking a chain of plausible records, and emits every record that
 starts in a block of its range as Arrow batches.
+
+Filters on chromosome, positions, flag and mapping quality are applied to the fixed fields of the records, before any
+text is made; a file with an index beside it (``.bai``) is only read where it can hold reads of the region they name.
+Only the columns that the caller names are built. A partition carries the id of its sample, so a sheet of any number of
+samples is one scan.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMA = (
-    "file_path STRING, read_name STRING, flag INT, chrom STRING, start_pos INT, end_pos INT, mapq INT, cigar STRING"
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
 )
+
+from basecov.sources.bam_index import BamIndex
+
 _ARROW_SCHEMA = pa.schema(
     [
+        ("sample_id", pa.int32()),
         ("file_path", pa.string()),
         ("read_name", pa.string()),
         ("flag", pa.int32()),
@@ -71,6 +89,15 @@ def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def is_reachable(path: str) -> bool:
+    """Whether tasks can open the path themselves; some stores are known to Spark alone."""
+    try:
+        _open_fs(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
 def list_files(pattern: str) -> list[tuple[str, int]]:
     """``(path, bytes)`` of the files that a path, a folder or a glob stands for; any element of the path may hold wildcards."""
     system, path = _open_fs(pattern)
@@ -91,48 +118,152 @@ def list_files(pattern: str) -> list[tuple[str, int]]:
     return sorted((prefix + i.path, i.size) for i in files)
 
 
+COLUMNS = tuple(_ARROW_SCHEMA.names)
+_SQL_TYPES = {pa.int32(): "INT", pa.string(): "STRING"}
+_COMPARISONS = {EqualTo: "==", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+_FILTERED = ("chrom", "start_pos", "end_pos", "flag", "mapq")
+
+
 @dataclass
 class ByteRange(InputPartition):
     path: str
     start: int
     end: int
+    sample_id: int | None = None
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A comparison of one of the ``_FILTERED`` columns with a constant (``in``: a tuple)."""
+
+    column: str
+    how: str
+    value: object
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        if self.how == "in":
+            return np.isin(values, list(self.value))
+        return {"==": values == self.value, ">": values > self.value, ">=": values >= self.value, "<": values < self.value, "<=": values <= self.value}[self.how]
+
+
+def condition_of(pushed: Filter) -> Condition | None:
+    """The condition that a pushed filter stands for, None if Spark has to keep it."""
+    how = _COMPARISONS.get(type(pushed))
+    if how is None or len(pushed.attribute) != 1 or pushed.attribute[0] not in _FILTERED:
+        return None
+    value = tuple(pushed.value) if how == "in" else pushed.value
+    kind = str if pushed.attribute[0] == "chrom" else int
+    values = value if how == "in" else (value,)
+    if kind is str and how not in ("==", "in") or not all(type(v) is kind for v in values):
+        return None
+    return Condition(pushed.attribute[0], how, value)
+
+
+def region_of(conditions: Iterable[Condition]) -> tuple[set[str] | None, int, int | None]:
+    """Chromosomes (None: all), first and last position that reads which meet the conditions can cover."""
+    chroms, start, end = None, 1, None
+    for c in conditions:
+        if c.column == "chrom":
+            named = set(c.value) if c.how == "in" else {c.value}
+            chroms = named if chroms is None else chroms & named
+        elif c.column in ("start_pos", "end_pos") and c.how != "in":
+            if c.how in ("==", ">", ">="):  # whoever starts or ends there or later covers no place before
+                start = max(start, c.value if c.column == "end_pos" or c.how != ">" else c.value + 1)
+            if c.column == "start_pos" and c.how in ("==", "<", "<="):
+                end = c.value if end is None else min(end, c.value)
+    return chroms, start, end
 
 
 class BamDataSource(DataSource):
-    """``spark.read.format('basecov-bam')`` with options ``paths`` (one per line) and ``split_bytes``."""
+    """``spark.read.format('basecov-bam')``.
+
+    Options: ``paths`` (one per line) or ``samples`` (JSON list of sample id and path), ``columns`` (comma-separated,
+    default all but ``sample_id`` for ``paths``) and ``split_bytes``.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "basecov-bam"
 
     def schema(self) -> str:
-        return SCHEMA
+        return ", ".join(f"{c} {_SQL_TYPES[_ARROW_SCHEMA.field(c).type]}" for c in _columns(self.options))
 
     def reader(self, schema) -> DataSourceReader:
         return BamReader(self.options)
 
 
+def _columns(options) -> list[str]:
+    """Names of the columns to build, in the order of ``COLUMNS``."""
+    default = ",".join(COLUMNS[0 if "samples" in options else 1 :])
+    named = [c.strip() for c in options.get("columns", default).split(",")]
+    if unknown := set(named) - set(COLUMNS):
+        raise ValueError(f"unknown columns {sorted(unknown)}")
+    return [c for c in COLUMNS if c in named]
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = options["paths"].split("\n")
+        self.sources = [(i, p) for i, p in json.loads(options["samples"])] if "samples" in options else [(None, p) for p in options["paths"].split("\n")]
         self.split_bytes = max(int(options.get("split_bytes", 64 * 1024 * 1024)), MAX_BLOCK)
+        self.columns = _columns(options)
+        self.conditions: list[Condition] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for pushed in filters:
+            if isinstance(pushed, IsNotNull) and len(pushed.attribute) == 1 and pushed.attribute[0] in _FILTERED:
+                continue  # these columns are never missing
+            condition = condition_of(pushed)
+            if condition is None:
+                yield pushed
+            else:
+                self.conditions.append(condition)
+
+    def _ranges(self, path: str, size: int) -> list[tuple[int, int]]:
+        """The byte ranges of a file that can hold the wanted reads."""
+        chroms, start, end = region_of(self.conditions)
+        if chroms is None:
+            return [(0, size)]
+        index = _index_of(path)
+        if index is None:
+            return [(0, size)]
+        system, inner = _open_fs(path)
+        with system.open_input_file(inner) as handle:
+            names = [name for name, _ in _read_header(handle)[0]]
+        found = sorted(r for c in chroms if c in names for r in index.ranges(names.index(c), start, end))
+        apart: list[tuple[int, int]] = []
+        for a, b in found:
+            if apart and a <= apart[-1][1]:
+                apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+            else:
+                apart.append((a, b))
+        # without a chromosome's name, reads without a place are not to be had from an index
+        return [(0, size)] if "*" in chroms else apart
 
     def partitions(self) -> list[InputPartition]:
-        ranges = []
-        for pattern in self.paths:
-            files = list_files(pattern)
+        parts = []
+        for sample_id, pattern in self.sources:
+            files = [f for f in list_files(pattern) if not f[0].endswith(".bai")]
             if not files:
                 raise FileNotFoundError(pattern)
             for path, size in files:
-                ranges += [
-                    ByteRange(path, at, min(at + self.split_bytes, size)) for at in range(0, size, self.split_bytes)
-                ]
-        return ranges
+                for low, high in self._ranges(path, size):
+                    parts += [ByteRange(path, at, min(at + self.split_bytes, high), sample_id) for at in range(low, high, self.split_bytes)]
+        return parts
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         system, path = _open_fs(partition.path)
         with system.open_input_file(path) as handle:
-            yield from _read_range(handle, partition)
+            yield from _read_range(handle, partition, self.columns, self.conditions)
+
+
+def _index_of(path: str) -> BamIndex | None:
+    """The index beside a file, as ``x.bam.bai`` or ``x.bai``."""
+    system, inner = _open_fs(path)
+    for place in (f"{inner}.bai", f"{inner.removesuffix('.bam')}.bai"):
+        if system.get_file_info(place).type == fs.FileType.File:
+            with system.open_input_stream(place, compression=None) as stream:
+                return BamIndex(stream.read())
+    return None
 
 
 def _block_length(head: bytes) -> int | None:
@@ -257,7 +388,7 @@ def _first_record(plain: bytes, references: list[tuple[str, int]], at_end: bool)
     return None
 
 
-def _read_range(handle, part: ByteRange) -> Iterator[pa.RecordBatch]:
+def _read_range(handle, part: ByteRange, columns: list[str], conditions: list[Condition]) -> Iterator[pa.RecordBatch]:
     size = handle.size()
     references, first_block, inside = _read_header(handle)
     if first_block < 0 or first_block >= part.end:
@@ -294,7 +425,9 @@ def _read_range(handle, part: ByteRange) -> Iterator[pa.RecordBatch]:
             continue
         starts, consumed = _record_starts(plain, own)
         if starts:
-            yield _to_batch(bytes(plain[:consumed]), starts, references, part.path)
+            batch = _to_batch(bytes(plain[:consumed]), starts, references, part, columns, conditions)
+            if len(batch):
+                yield batch
             del plain[:consumed]
             own = None if own is None else own - consumed
         if own is not None and own <= 0:
@@ -340,14 +473,58 @@ def _tagged_cigar(plain: bytes, start: int, fields: np.void, name: str, path: st
     raise ValueError(f"read {name} of {path} has a placeholder for its CIGAR and no CG tag")
 
 
-def _to_batch(plain: bytes, starts: list[int], references, path: str) -> pa.RecordBatch:
+def _to_batch(plain: bytes, starts: list[int], references, part: ByteRange, columns: list[str], conditions: list[Condition]) -> pa.RecordBatch:
+    """The wanted columns of the records that meet the conditions."""
     raw = np.frombuffer(plain, dtype=np.uint8)
     at = np.array(starts, dtype=np.int64)
     fields = np.ascontiguousarray(raw[at[:, None] + np.arange(HEAD)]).view(FIXED_FIELDS)[:, 0]
+    known = np.array([name for name, _ in references] + ["*"], dtype=object)
+
+    def kept(keep: np.ndarray) -> None:
+        nonlocal at, fields
+        if not keep.all():
+            at, fields = at[keep], fields[keep]
+
+    for c in conditions:
+        if c.column == "chrom":
+            kept(c.holds(known)[fields["ref"]])
+        elif c.column != "end_pos":
+            kept(c.holds(fields["pos"].astype(np.int64) + 1 if c.column == "start_pos" else fields[c.column].astype(np.int64)))
+    built: dict[str, pa.Array] = {}
+    of_ends = [c for c in conditions if c.column == "end_pos"]
+    if of_ends or {"end_pos", "cigar"} & set(columns):
+        n_cigar, ops = _operations(plain, raw, at, fields, part.path)
+        owner = np.repeat(np.arange(len(at)), n_cigar)
+        lengths, letters = (ops >> 4).astype(np.int64), ops & 15
+        span = np.bincount(owner, weights=lengths * _ADVANCES[letters], minlength=len(at)).astype(np.int64)
+        ends = fields["pos"].astype(np.int64) + span
+        keep = np.ones(len(at), bool)
+        for c in of_ends:
+            keep &= c.holds(ends)
+        kept(keep)
+        built["end_pos"] = pa.array(ends[keep].astype(np.int32))
+        if "cigar" in columns:
+            stay = np.repeat(keep, n_cigar)
+            texts = [f"{n}{CIGAR_OPS[k]}" for n, k in zip(lengths[stay].tolist(), letters[stay].tolist())]
+            n_cigar = n_cigar[keep]
+            stops = np.cumsum(n_cigar)
+            built["cigar"] = pa.array(["".join(texts[stop - count : stop]) if count else "*" for stop, count in zip(stops.tolist(), n_cigar.tolist())], pa.string())
+    makers = {
+        "sample_id": lambda: pa.array(np.full(len(at), part.sample_id or 0, np.int32)) if part.sample_id is not None else pa.nulls(len(at), pa.int32()),
+        "file_path": lambda: pa.array([part.path] * len(at), pa.string()),
+        "read_name": lambda: pa.array([plain[s + HEAD : s + HEAD + n - 1].decode("ascii") for s, n in zip(at.tolist(), fields["name_len"].tolist())], pa.string()),
+        "flag": lambda: pa.array(fields["flag"].astype(np.int32)),
+        "chrom": lambda: pa.array(known[fields["ref"]], pa.string()),
+        "start_pos": lambda: pa.array(fields["pos"].astype(np.int32) + np.int32(1)),
+        "mapq": lambda: pa.array(fields["mapq"].astype(np.int32)),
+    }
+    return pa.RecordBatch.from_arrays([built[c] if c in built else makers[c]() for c in columns], schema=pa.schema([_ARROW_SCHEMA.field(c) for c in columns]))
+
+
+def _operations(plain: bytes, raw: np.ndarray, at: np.ndarray, fields: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """CIGAR operations of all records as one array (lengths in the upper 28 bits, letter in the lower 4), and how many each has."""
     name_len = fields["name_len"].astype(np.int64)
     n_cigar = fields["n_cigar"].astype(np.int64)
-    names = [plain[s + HEAD : s + HEAD + n - 1].decode("ascii") for s, n in zip(starts, name_len)]
-    # all CIGAR operations of the batch as one array: lengths in the upper 28 bits, letter in the lower 4
     owner = np.repeat(np.arange(len(at)), n_cigar)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_cigar) - n_cigar, n_cigar)
     op_at = (at + HEAD + name_len)[owner] + 4 * nth
@@ -360,25 +537,7 @@ def _to_batch(plain: bytes, starts: list[int], references, path: str) -> pa.Reco
     if len(long):
         parts = np.split(ops, ends[:-1])
         for k in long.tolist():
-            parts[k] = _tagged_cigar(plain, starts[k], fields[k], names[k], path)
-        n_cigar = np.array([len(p) for p in parts], np.int64)
-        ops, owner, ends = np.concatenate(parts), np.repeat(np.arange(len(at)), n_cigar), np.cumsum(n_cigar)
-    lengths, letters = (ops >> 4).astype(np.int64), ops & 15
-    span = np.bincount(owner, weights=lengths * _ADVANCES[letters], minlength=len(at)).astype(np.int64)
-    texts = [f"{n}{CIGAR_OPS[k]}" for n, k in zip(lengths.tolist(), letters.tolist())]
-    cigars = [
-        "".join(texts[stop - count : stop]) if count else "*" for stop, count in zip(ends.tolist(), n_cigar.tolist())
-    ]
-    known = np.array([name for name, _ in references] + ["*"], dtype=object)
-    start_pos = fields["pos"].astype(np.int32) + 1
-    columns = [
-        pa.array([path] * len(at), pa.string()),
-        pa.array(names, pa.string()),
-        pa.array(fields["flag"].astype(np.int32)),
-        pa.array(known[fields["ref"]], pa.string()),
-        pa.array(start_pos),
-        pa.array((start_pos + span - 1).astype(np.int32)),
-        pa.array(fields["mapq"].astype(np.int32)),
-        pa.array(cigars, pa.string()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=_ARROW_SCHEMA)
+            name = plain[at[k] + HEAD : at[k] + HEAD + int(name_len[k]) - 1].decode("ascii")
+            parts[k] = _tagged_cigar(plain, int(at[k]), fields[k], name, path)
+        n_cigar, ops = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+    return n_cigar, ops
