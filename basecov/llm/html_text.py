@@ -5,11 +5,13 @@ boilerplate (capacities from and to the terminals), and a cost for every pair of
 labels (edges between adjacent blocks, and between blocks of one parent, weaker the further apart they are in the tree).
 The minimum cut, found by maximum flow, is the cheapest labelling.
 
-The classifier has two parts. What a block's containers say about themselves (element names, classes, ids, roles) gives a
-fixed cost, more for boilerplate, which is named on purpose; the innermost container that says something counts. How a block reads (length, links, punctuation, ..) gives
-a learned one: a logistic regression fitted on a bounded sample of the given pages, whose blocks in telling containers
-serve as labels. Both parts and the edges are of one size, so that the cut overrules a container where a block reads
-otherwise and its neighbours do not hold it.
+What a page names as boilerplate (navigation, headers, footers, asides, forms, adverts, notices, readers' comments: element
+names, and parts of the words in classes, ids and roles) has no finite cost of being content: it and all that it holds is
+tied to that terminal, and what is left is cut. There the classifier has two parts. A container that calls itself
+content gives a fixed cost of the size of the edges. How a block reads (length, links, punctuation, ..) gives a learned
+one: a logistic regression fitted on a bounded sample of the given pages, whose named blocks serve as labels and whose
+features know nothing of containers. So the flow decides between what a container says, how a block reads, and what
+stands next to it.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from basecov.llm.toxicity import fit
 from basecov.llm.words import cuts, text_buffers
 
 SAMPLE_PAGES = 2_000
-CONTENT_COST, BOILERPLATE_COST, LEARNED_LIMIT = 1.5, 4.0, 2.5
+CONTENT_COST, LEARNED_LIMIT = 1.5, 2.5
 ADJACENT, SIBLING = 0.6, 0.3
 #: Of a table that shows only one label: blocks of which nothing is known are content.
 UNKNOWN_BIAS = 0.5
@@ -55,11 +57,17 @@ IMPLIED_ENDS = {
 }
 #: Where the search for an element with an implied end stops.
 SCOPES = frozenset("article aside body div footer header html main nav ol section table td th ul dl form".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|metadata|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|site-?header|site-?footer|skip|social|sponsor\w*|subscribe|tags|teaser|toolbar|widget)(?:$|[^a-z])"
+#: Elements whose articles are not the page's own either.
+CLOSED_ELEMENTS = frozenset("nav footer aside menu dialog select button".split())
+#: Parts of words (between anything but letters) that name boilerplate, and beginnings of such parts.
+BOILERPLATE_PARTS = frozenset(
+    "ad ads adbox banner breadcrumb breadcrumbs consent contentinfo cookie cookies copyright disclaimer footer gdpr header login masthead menu metadata modal nav navbar navigation newsletter notice notices overlay pager pagination popup related respond search share sharing sidebar signup siteheader sitefooter skip social subscribe tags teaser toolbar widget".split()
 )
-#: Containers of readers' comments, by whole words of their classes, ids and roles: what they hold is never an article.
-COMMENT_WORDS = re.compile(r"(?:^|\s)(?:comments?(?:[-_]?(?:area|body|item|list|section|thread))?|replies|disqus[\w-]*)(?:$|\s)")
+BOILERPLATE_BEGINNINGS = ("advert", "promo", "sponsor")
+#: Parts that name readers' comments.
+COMMENT_PARTS = frozenset("comment comments commentlist commentbox usercomments disqus replies reply".split())
+#: Parts that say how a page is laid out or what is allowed on it, not what an element holds.
+STATE_PARTS = frozenset("no not has with without is are can show shown hide open opened close closed enabled disabled allow allowed on off free fixed sticky layout left right top bottom count".split())
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|article-?body|content|entry|entry-?content|main|post|post-?content|story|story-?body|text)(?:$|[^a-z])")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
@@ -71,31 +79,48 @@ _ENDS = {e: re.compile(rf"</{e}(?=[\s/>]|\Z)", re.I) for e in UNSEEN_ELEMENTS}
 class Block:
     text: str
     path: tuple[int, ...]  # numbers of the open elements, outermost first
-    says: int  # 1: content, -1: boilerplate, 0: nothing
+    says: int  # 1: content, 0: nothing, below 0: named boilerplate
     element: str
     linked: int  # characters in links
 
 
+#: What an element says: its text is content; it is boilerplate, but for an article inside; it is, with all inside.
+CONTENT, BOILERPLATE, CLOSED = 1, -1, -2
+
+
+def _named(words: str) -> int | None:
+    """What the words of classes, ids and roles name, word by word."""
+    found = None
+    for word in words.split():
+        parts = re.findall("[a-z]+", word)
+        if STATE_PARTS.isdisjoint(parts):
+            if not COMMENT_PARTS.isdisjoint(parts):
+                return CLOSED
+            if not BOILERPLATE_PARTS.isdisjoint(parts) or any(p.startswith(BOILERPLATE_BEGINNINGS) for p in parts):
+                found = BOILERPLATE
+    return found
+
+
 def says(name: str, attributes: str, inside_content: bool) -> int | None:
-    """What an element tells about its text: 1, -1, or -2 for readers' comments; None if nothing."""
-    if name in BOILERPLATE_ELEMENTS:
-        return -1
-    if name == "header" and not inside_content:
-        return -1
+    """What an element tells about its text, None if nothing."""
+    own = None
+    if name in BOILERPLATE_ELEMENTS or name == "header" and not inside_content:
+        own = CLOSED if name in CLOSED_ELEMENTS else BOILERPLATE
+    words = ""
     if attributes:
         found = []
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             if key.lower() == "hidden" or (key.lower() == "aria-hidden" and (a or b or c) == "true"):
-                return -1
+                return CLOSED
             found.append((a or b or c).lower())
         words = " ".join(found)
-        if words and COMMENT_WORDS.search(words) and name not in ("body", "html"):
-            return -2
-        if words and BOILERPLATE_WORDS.search(words) and name not in ("body", "html") and name not in CONTENT_ELEMENTS:
-            return -1
-        if words and CONTENT_WORDS.search(words):
-            return 1
-    return 1 if name in CONTENT_ELEMENTS else None
+    if words and name not in ("body", "html"):
+        named = _named(words)
+        if named == CLOSED or named and own is None and name not in CONTENT_ELEMENTS:
+            return named
+    if own is not None:
+        return own
+    return CONTENT if name in CONTENT_ELEMENTS or words and CONTENT_WORDS.search(words) else None
 
 
 @dataclass
@@ -120,7 +145,7 @@ class _Reader:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
                 element = next((e for e, _, _ in reversed(self.stack) if e in BLOCK_ELEMENTS), "")
-                self.blocks.append(Block(text, tuple(n for e, n, _ in self.stack if e in BLOCK_ELEMENTS), max(-1, self.stack[-1][2]) if self.stack else 0, element, self.linked))
+                self.blocks.append(Block(text, tuple(n for e, n, _ in self.stack if e in BLOCK_ELEMENTS), self.stack[-1][2] if self.stack else 0, element, self.linked))
             self.parts, self.linked = [], 0
 
     def pop(self, to: int) -> None:
@@ -144,11 +169,9 @@ class _Reader:
         above = self.stack[-1][2] if self.stack else 0
         own = says(name, attributes, any(e in CONTENT_ELEMENTS for e, _, _ in self.stack))
         self.count += 1
-        # A container that calls itself content inside one that does not is still boilerplate, unless it is an article.
-        if own == 1 and above == -1 and name not in CONTENT_ELEMENTS:
-            own = -1
-        if above == -2:
-            own = -2
+        # What boilerplate holds is boilerplate, unless it is an article in a container that may hold a page's own one.
+        if above == CLOSED or above == BOILERPLATE and own != CLOSED and not (own == CONTENT and name in CONTENT_ELEMENTS):
+            own = above
         self.stack.append((name, self.count, above if own is None else own))
         self.links += name == "a"
 
@@ -310,12 +333,28 @@ def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
     return edges
 
 
+def undecided(page: str, weights: np.ndarray, bias: float) -> tuple[list[Block], list[float], dict[tuple[int, int], float]]:
+    """The blocks that nothing names as boilerplate, what they gain by being content, and the edges between them."""
+    blocks = [b for b in blocks_of(page) if b.says >= 0]
+    learned = [float(np.clip(weights[features(b)].sum() + bias, -LEARNED_LIMIT, LEARNED_LIMIT)) for b in blocks]
+    return blocks, [CONTENT_COST * b.says + z for b, z in zip(blocks, learned)], smoothness(blocks)
+
+
+def flow_counts(page: str, weights: np.ndarray, bias: float) -> tuple[int, int, int]:
+    """Blocks of a page that are not named boilerplate, those whose edges outweigh their own gain, so that the flow
+    labels them, and those that the cut labels against their own gain."""
+    blocks, gain, edges = undecided(page, weights, bias)
+    weight = [0.0] * len(blocks)
+    for (i, j), c in edges.items():
+        weight[i] += c
+        weight[j] += c
+    return len(blocks), sum(abs(g) <= w for g, w in zip(gain, weight)), sum((g > 0) != x for g, x in zip(gain, min_cut(gain, edges)))
+
+
 def main_text(page: str, weights: np.ndarray, bias: float) -> str:
     """The content blocks of a page, one per line."""
-    blocks = blocks_of(page)
-    learned = [float(np.clip(weights[features(b)].sum() + bias, -LEARNED_LIMIT, LEARNED_LIMIT)) for b in blocks]
-    gain = [(CONTENT_COST if b.says > 0 else BOILERPLATE_COST) * b.says + z for b, z in zip(blocks, learned)]
-    return "\n".join(b.text for b, content in zip(blocks, min_cut(gain, smoothness(blocks))) if content)
+    blocks, gain, edges = undecided(page, weights, bias)
+    return "\n".join(b.text for b, content in zip(blocks, min_cut(gain, edges)) if content)
 
 
 def _pages(column: pa.Array):

@@ -49,15 +49,34 @@ def test_silent_containers_follow_their_neighbours():
     assert H.min_cut([5.0, -0.5], edges) == [True, True] and H.min_cut([5.0, -1.5], edges) == [True, False]
 
 
-def test_the_cut_overrules_containers():
-    """Links at the end of an article go, alone between paragraphs they stay; prose in a notice among paragraphs stays."""
+def test_the_cut_overrules_content_containers():
+    """Links at the end of an article go; alone between paragraphs they stay, because their neighbours hold them."""
     weights = np.zeros(H.N_FEATURES)
     weights[6], weights[8] = 3, -3
     offer, prose = "<p><a href=x>Subscribe to our letter</a>", "<p>A sentence of the story."
-    assert H.main_text(f"<article>{prose}{prose}{offer}{offer}</article><footer>f</footer>", weights, 0).count("Subscribe") == 0
-    assert H.main_text(f"<article>{prose}{offer}{prose}</article>", weights, 0).count("\n") == 2
-    assert H.main_text(f"<article>{prose}<p class=notice>Said in passing.{prose}</article>", weights, 0).count("\n") == 2
-    assert H.main_text(f"<article>{prose}<p class=notice><a href=x>Said in passing.</a>{prose}</article>", weights, 0).count("\n") == 1
+    end, between = f"<article>{prose}{prose}{offer}{offer}</article><footer>f</footer>", f"<article>{prose}{offer}{prose}</article>"
+    assert H.main_text(end, weights, 0).count("Subscribe") == 0
+    assert H.main_text(between, weights, 0).count("\n") == 2
+    assert H.flow_counts(end, weights, 0)[1] > 0
+    assert H.flow_counts(between, weights, 0)[2] == 1  # the link is labelled against its own gain
+
+
+ADVERT = "Buy the new garden chair today, it is made of the best wood, comes in five colours and is sent to you without any cost at all."
+
+
+@pytest.mark.parametrize("named", ['<div class="ad">{}</div>', '<p class="advert">{}</p>', '<div class="notice">{}</div>', "<aside>{}</aside>", "<form>{}</form>", '<div class="promo-box">{}</div>', '<div id="site-footer"><p>{}</p></div>', '<div class="user-comments"><article>{}</article></div>', '<div class="comments-wrapper"><article>{}</article></div>', '<section id="comments-container"><p>{}</p></section>'])
+def test_named_boilerplate_never_stays(named):
+    """Whatever it reads like, and whatever stands next to it."""
+    weights = np.zeros(H.N_FEATURES)
+    weights[9] = 9
+    story = "<p>A first long paragraph of the story, with a full sentence.</p>"
+    assert H.main_text(f"<article>{story}{named.format(ADVERT)}{story}</article>", weights, 1).count("\n") == 1
+    assert H.main_text(f"<body>{named.format(ADVERT)}<article>{story}</article></body>", weights, 1).count("\n") == 0
+
+
+def test_states_of_a_page_name_nothing():
+    for words in ("has-sidebar", "no-comments", "comments-open", "header-fixed", "ad-free", "sidebar-left"):
+        assert text(f'<div class="{words}"><p>a</p></div>') == "a"
 
 
 @pytest.mark.parametrize(
