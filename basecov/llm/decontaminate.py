@@ -192,11 +192,13 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text"
     of ``docs`` with the names of the new ones are replaced, all others are kept.
     """
     new = ["n_words", "n_hit", "matches"]
-    names = [c for c in docs.columns if c not in new]
+    own = [c for c in docs.columns if c not in new]
+    # a text that is a string goes to the tasks and back once
+    names = [c for c in own if c != text or docs.schema[c].dataType != T.StringType()]
     df = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(0).cast("long").alias("__n_hit"), F.expr(f"CAST(array() AS {MATCHES})").alias("__matches"))
     for index in test_blocks(benchmark, block_bytes, window):
         df = _pass(df, index, names)
-    return df.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"__{c}").alias(c) for c in new])
+    return df.select(*[F.col(f"`{c}`" if c in names else "__text").alias(c) for c in own], *[F.col(f"__{c}").alias(c) for c in new])
 
 
 def contaminated() -> F.Column:
@@ -206,6 +208,8 @@ def contaminated() -> F.Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents of ``docs`` that are not contaminated, with their own columns only."""
-    own = [F.col(f"__own.`{c}`").alias(c) for c in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own"), F.col(f"`{options.pop('text', 'text')}`").alias("__text_in"))
-    return match_benchmark(packed, benchmark, text="__text_in", **options).where(~contaminated()).select(*own)
+    text = options.pop("text", "text")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*(others or [F.lit(0)])).alias("__own"), F.col(f"`{text}`").alias("__text_in"))
+    kept = match_benchmark(packed, benchmark, text="__text_in", **options).where(~contaminated())
+    return kept.select(*[F.col("__text_in" if c == text else f"__own.`{c}`").alias(c) for c in docs.columns])

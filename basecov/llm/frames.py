@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,10 +20,20 @@ _STAGE: list[int] = []
 
 def new_task() -> None:
     """Drops what tasks of other stages have kept in this Python worker."""
-    stage = TaskContext.get().stageId()
-    if _STAGE != [stage]:
+    task = TaskContext.get()
+    if _STAGE != [task.stageId()]:
         _KEPT.clear()
-        _STAGE[:] = [stage]
+        _STAGE[:] = [task.stageId()]
+        give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system: workers stay alive between stages, beside those of the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def kept(key: object, make: Callable):
@@ -45,17 +56,23 @@ def with_batch_columns(df: DataFrame, column: str, fields: Fields, compute: Call
     new = {n for n, _ in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
     names = [f.name for f in kept]
-    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").cast(kind).alias("__text"))
+    columns = [F.col(f"`{n}`") for n in names]
+    place = names.index(column) if column in names else len(names)
+    if place == len(names) or kept[place].dataType.simpleString() != kind:  # else the column goes to the task once
+        place = len(names)
+        columns.append(F.col(f"`{column}`").cast(kind).alias("__text"))
+    source = df.select(*columns)
     out = T.StructType(kept + schema_of(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_task()
         for batch in batches:
             at = 0
-            for arrays in compute(batch.column(len(names))):
+            for arrays in compute(batch.column(place)):
                 n = len(arrays[0])
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, n) for i in range(len(names))] + arrays, names=[*names, *[n for n, _ in fields]])
                 at += n
+        give_back()
 
     return source.mapInArrow(run, out)
 
@@ -70,5 +87,6 @@ def mapped(df: DataFrame, columns: Fields, out: Fields, compute: Callable[[pa.Re
         for batch in batches:
             for arrays in compute(batch):
                 yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
+        give_back()
 
     return source.mapInArrow(run, schema_of(out))

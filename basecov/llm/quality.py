@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -181,30 +180,33 @@ def _estimates(sums: DataFrame, pooled: bool) -> DataFrame:
     """Centre and inverse covariance of each group from its sums; ``pooled``: drawn towards those of its language."""
     factor, floor = consistency(), np.diag([(GRID * s) ** 2 for _, s in COMPONENTS])
 
-    def moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = rows["n"].to_numpy(float)[:, None]
-        mean = rows[[f"s{i}" for i in range(P)]].to_numpy(float) / n
-        square = np.zeros((len(rows), P, P))
+    def moments(batch: pa.RecordBatch, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def column(name: str) -> np.ndarray:
+            return batch.column(prefix + name).to_numpy(zero_copy_only=False)
+
+        n = column("n")
+        mean = np.stack([column(f"s{i}") for i in range(P)], axis=1) / n[:, None]
+        square = np.zeros((len(n), P, P))
         for i in range(P):
             for j in range(i, P):
-                square[:, i, j] = square[:, j, i] = rows[f"s{i}_{j}"].to_numpy(float) / n[:, 0]
-        return n, mean, square - mean[:, :, None] * mean[:, None, :]
+                square[:, i, j] = square[:, j, i] = column(f"s{i}_{j}") / n
+        return n[:, None], mean, square - mean[:, :, None] * mean[:, None, :]
 
     def solve(batches):
-        for rows in batches:
-            n, mean, cov = moments(rows)
+        for batch in batches:
+            n, mean, cov = moments(batch, "")
             if pooled:
-                other = rows[[f"p_{c}" for c in ["n", *_SUMS]]].set_axis(["n", *_SUMS], axis=1)
-                _, p_mean, p_cov = moments(other)
+                _, p_mean, p_cov = moments(batch, "p_")
                 own = n / (n + PRIOR_ROWS)
                 mean, cov = own * mean + (1 - own) * p_mean, own[:, :, None] * cov + (1 - own)[:, :, None] * p_cov
-            precision = np.linalg.inv(factor * cov + floor)
-            yield pd.DataFrame({"lang": rows["lang"], "source": rows["source"], "centre": list(mean), "precision": list(precision.reshape(len(rows), -1))})
+            precision = np.linalg.inv(factor * cov + floor).reshape(len(n), -1)
+            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (mean, precision)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], names=["lang", "source", "centre", "precision"])
 
     columns = [F.col("g.lang").cast("string").alias("lang"), F.col("g.source").cast("string").alias("source"), F.col("n").cast("double"), *[F.col(c).cast("double") for c in _SUMS]]
     if pooled:
         columns += [F.col(f"p_{c}").cast("double") for c in ["n", *_SUMS]]
-    out = sums.select(*columns).mapInPandas(solve, "lang string, source string, centre array<double>, precision array<double>")
+    out = sums.select(*columns).mapInArrow(solve, "lang string, source string, centre array<double>, precision array<double>")
     return out.select(F.struct("lang", "source").alias("g"), "centre", "precision")
 
 
@@ -262,6 +264,8 @@ def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns. Texts are read twice instead of shuffled once."""
     few_columns = docs.select("lang", "source", F.col(f"`{text}`").alias("__doc"))
     stats = stored(with_statistics(few_columns, text="__doc").drop("__doc"), "quality-statistics")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own"), "lang", "source", F.col(f"`{text}`").alias("__doc"))
+    others = [c for c in docs.columns if c != text]
+    own = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    packed = docs.select(own.alias("__own"), "lang", "source", F.col(f"`{text}`").alias("__doc"))
     kept = judge(with_statistics(packed, text="__doc"), estimate(stats)).where("kept")
-    return kept.select(*[F.col(f"__own.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col("__doc" if c == text else f"__own.`{c}`").alias(c) for c in docs.columns])
