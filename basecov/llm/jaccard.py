@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basecov.llm.components import components
+from basecov.llm.files import without_old_shuffles
 from basecov.llm.frames import mapped, new_task
 from basecov.llm.words import MULTIPLIER, Words, mix, pieces, starts_of, window_keys
 from basecov.session import stored
@@ -292,6 +293,11 @@ def linked(docs: DataFrame, *, length: int, percent: int, doc_id: str = "doc_id"
     100 * intersection >= percent * union. A missing or empty text has no shingles and no links. A missing id counts as
     the lowest 64-bit integer; rows with equal ids are one document with several texts. An empty table gives no rows.
     """
+    with without_old_shuffles(docs.sparkSession):  # the steps below write their tables at once
+        return _linked(docs, length, percent, doc_id, text)
+
+
+def _linked(docs: DataFrame, length: int, percent: int, doc_id: str, text: str) -> DataFrame:
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(lowest)).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sketched = stored(sketches(rows, "doc_id", "text", length, percent), "sketches")
@@ -336,5 +342,6 @@ def one_of_each_group(docs: DataFrame, *, length: int, percent: int, doc_id: str
     id counts as the lowest 64-bit integer; rows with equal ids stay or go together.
     """
     found = linked(docs, length=length, percent=percent, doc_id=doc_id, text=text)
-    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
+    with without_old_shuffles(docs.sparkSession):
+        gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
     return docs.join(_small(gone), F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
