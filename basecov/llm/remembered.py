@@ -19,7 +19,7 @@ import pyarrow as pa
 from basecov.llm.frames import kept
 from basecov.llm.words import PIECE_BYTES, cuts, keys_of, separators, split_words, text_buffers
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 STORE_IDS = 1 << 24
 
 _WHITE = separators((0x20, *range(0x09, 0x0E)))
