@@ -118,25 +118,47 @@ def map_regions_to_exons(
     )
 
 
+def _owned_stretches(exons: DataFrame, width: int) -> DataFrame:
+    """Disjoint stretches ``(e_chrom, own_start, hit)``: where each exon is the first one (by start, then id).
+
+    Exons before a given one in that order start no later, so together they hold every base from its start to the
+    largest of their ends: it owns what lies behind. That running maximum is taken inside bins of the start; the
+    maxima of the bins before are added from a table with one row per bin.
+    """
+    entry = "struct(start_pos, exon_id, gene_id, end_pos) AS hit"
+    rows = exons.where("start_pos <= end_pos").selectExpr("chrom AS e_chrom", f"{bin_of('start_pos', width)} AS e_bin", entry)
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    bins = rows.groupBy("e_chrom", "e_bin").agg(F.expr("max(hit.end_pos) AS reach")).selectExpr(
+        "e_chrom", "e_bin", f"max(reach) OVER (PARTITION BY e_chrom ORDER BY e_bin {before}) AS bins_before"
+    )
+    inside = f"max(hit.end_pos) OVER (PARTITION BY e_chrom, e_bin ORDER BY hit {before}) AS inside"
+    reached = rows.selectExpr("*", inside).join(bins, ["e_chrom", "e_bin"])
+    # greatest() skips missing values: the first exon of a chromosome owns all its bases
+    owned = reached.selectExpr("e_chrom", "greatest(hit.start_pos, inside + 1, bins_before + 1) AS own_start", "hit")
+    return owned.where("own_start <= hit.end_pos")
+
+
 def lookup_exon_at(points: DataFrame, exons: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
     """For each row ``(chrom, pos, ...)`` the first exon (by start, then id) that holds the position.
 
-    The exons of a bin travel as one array, so each point stays one row and nothing is grouped afterwards. No exon
-    gives empty names and zero coordinates; an unknown chromosome gives ``ExonNotFound`` and exon ``0``.
+    A sweep: the bases each exon owns, cut at bins, and the distinct positions are one stream per (chromosome, bin),
+    and a position takes the last stretch that began before it. A bin holds at most two rows per base, whatever the
+    number of exons and points; the points then join their positions, where adaptive execution broadcasts few
+    positions and splits a hot one. No exon gives empty names and zero coordinates; an unknown or missing chromosome
+    gives ``ExonNotFound`` and exon ``0``, a missing position is in no exon.
     """
-    entry = "struct(e_start AS start_pos, e_exon AS exon_id, e_gene AS gene_id, e_end AS end_pos)"
-    per_bin = (
-        binned_exons(exons, width)
-        .groupBy("e_chrom", "e_bin")
-        .agg(F.expr(f"array_sort(collect_list({entry})) AS bin_exons"))
+    stretches = with_bins(_owned_stretches(exons, width), "own_start", "hit.end_pos", width, "e_bin").selectExpr(
+        "e_chrom", "e_bin", f"greatest(bigint(own_start), bigint(e_bin) * {width}) AS e_pos", "false AS asked", "hit"
     )
-    joined = (
-        points.selectExpr("*", f"{bin_of('pos', width)} AS bin")
-        .join(broadcast_or_merge(per_bin, annotation_is_small(exons, width)), F.expr("chrom = e_chrom AND bin = e_bin"), "left")
-        .join(_known_chromosomes(exons), F.expr("chrom = known_chrom"), "left")
+    places = points.selectExpr("chrom AS e_chrom", "bigint(pos) AS e_pos").distinct()
+    asked = places.selectExpr("e_chrom", f"{bin_of('e_pos', width)} AS e_bin", "e_pos", "true AS asked", "NULL AS hit")
+    last = "last(hit, true) OVER (PARTITION BY e_chrom, e_bin ORDER BY e_pos, asked ROWS UNBOUNDED PRECEDING) AS hit"
+    swept = stretches.unionByName(asked).selectExpr("e_chrom", "e_pos", "asked", last)
+    found = swept.where("asked AND hit.end_pos >= e_pos").select("e_chrom", "e_pos", "hit")
+    joined = points.join(found, F.expr("chrom = e_chrom AND bigint(pos) = e_pos"), "left").join(
+        _known_chromosomes(exons), F.expr("chrom = known_chrom"), "left"
     )
-    hit = "get(filter(bin_exons, e -> pos BETWEEN e.start_pos AND e.end_pos), 0)"
-    return joined.selectExpr("*", f"{hit} AS hit").selectExpr(
+    return joined.selectExpr(
         *points.columns,
         f"coalesce(hit.gene_id, if(known_chrom IS NULL, '{EXON_NOT_FOUND}', '')) AS gene_id",
         f"coalesce(hit.exon_id, if(known_chrom IS NULL, '{UNKNOWN_EXON}', '')) AS exon_id",

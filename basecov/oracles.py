@@ -357,7 +357,8 @@ oracle(
 )
 
 # --- vectors and statistics
-oracle("position_vectors", ("vec",), f"SELECT chrom, pos, {joined(X)} AS x, {joined(Y)} AS y FROM vec")
+for _name in ("position_vectors", "position_vectors_sparse"):
+    oracle(_name, ("vec",), f"SELECT chrom, pos, {joined(X)} AS x, {joined(Y)} AS y FROM vec")
 oracle(
     "vector_stats",
     ("vec",),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from basecov import fixtures
 from basecov.fixtures import GROUPS, SETTINGS
 from basecov.functions import ids, scalars, stats
-from basecov.operators import coverage, intervals, nulldist, permutation, runs, vectors
+from basecov.operators import coverage, intervals, nulldist, permutation, runs, sparse_vectors, vectors
 from basecov.plans import diffexpr, report
 from basecov.plans.study import CoverageStudy
 from basecov.session import broadcast_if_small, scratch_path
@@ -181,6 +181,14 @@ def position_vectors(spark, sf_dir):
     return coverage.expand_positions(rows)
 
 
+@query
+def position_vectors_sparse(spark, sf_dir):
+    """The same vectors in the form for many samples, from sparse lists of changes."""
+    found = sparse_vectors.sparse_segments(_reads(spark, sf_dir), GROUPS, tile=TILE)
+    rows = found.selectExpr("chrom", "start_pos", "end_pos", joined("x", "x"), joined("y", "y"))
+    return coverage.expand_positions(rows)
+
+
 def _per_base(spark, sf_dir, **columns):
     computed = _vectors(spark, sf_dir).selectExpr(
         "chrom", "start_pos", "end_pos", *[f"{text} AS {name}" for name, text in columns.items()]

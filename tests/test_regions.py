@@ -112,6 +112,34 @@ def test_point_lookup(spark, make_exons):
         )
 
 
+@pytest.mark.parametrize("width", [3, 50, 10_000])
+def test_point_lookup_equals_plain_search(spark, make_exons, width):
+    draw = random.Random(width)
+    exons = [(f"g{draw.randint(1, 3)}", f"e{i % 90}", f"chr{draw.randint(1, 2)}", s, s + draw.choice([-1, 0, 3, 20, 200])) for i, s in enumerate(draw.choices(range(1, 600), k=120))]
+    exons += exons[:5]
+    asked = [(f"chr{draw.randint(1, 3)}", draw.randint(1, 900)) for _ in range(400)] + [(None, 5), ("chr1", None)]
+    points = spark.createDataFrame(asked, "chrom STRING, pos INT")
+
+    def first(chrom, pos):
+        held = [(s, e, g, t) for g, e, c, s, t in exons if c == chrom and pos is not None and s <= pos <= t]
+        start, exon, gene, end = min(held, default=(0, "", "", 0))
+        return (chrom, pos, gene, exon, start, end) if chrom in ("chr1", "chr2") else (chrom, pos, "ExonNotFound", "0", 0, 0)
+
+    got = [tuple(r) for r in intervals.lookup_exon_at(points, make_exons(exons), width).collect()]
+    assert sorted(got, key=str) == sorted((first(*p) for p in asked), key=str)
+
+
+def test_point_lookup_in_one_dense_bin(spark, make_exons):
+    """A hundred thousand exons and a million points in one bin, a third of the points at one position; no arrays."""
+    exons = spark.range(100_000).selectExpr("'g' AS gene_id", "concat('e', id) AS exon_id", "'chr1' AS chrom", "int(1 + id % 9000) AS start_pos", "int(1 + id % 9000 + id div 9000) AS end_pos")
+    points = spark.range(1_000_000).selectExpr("'chr1' AS chrom", "int(if(id % 3 = 0, 77, 1 + id % 9500)) AS pos")
+    found = intervals.lookup_exon_at(points, exons)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("exon_id <> ''").groupBy().count().first()[0] == points.where("pos <= 9010").count()
+    (hit,) = found.where("pos = 77").select("exon_start", "exon_end").distinct().collect()
+    assert hit.exon_start == min(s for s in range(1, 78) if any(s + k >= 77 for k in range(12) if s - 1 + 9000 * k < 100_000))
+
+
 def brute_merge(rows, any_p, gaps):
     groups = {}
     for row in rows:
