@@ -112,13 +112,13 @@ def base_segments(
 def _scaled(counts: DataFrame, factors: DataFrame) -> DataFrame:
     """Apply ``factors(sample_id, norm_factor)`` to ``cov``.
 
-    The factors often come from counting the reads, so their size is not known to Catalyst; there is one per sample,
-    which is checked while they are fetched once.
+    The factors often come from counting the reads, so their size is not known to Catalyst. There is one per sample:
+    they are broadcast, at most ``MAX_SAMPLES`` of them, and one more is an error when the query runs.
     """
-    rows = factors.selectExpr("sample_id", "double(norm_factor) AS norm_factor").limit(MAX_SAMPLES + 1).collect()
-    if len(rows) > MAX_SAMPLES:
-        raise ValueError(f"more than {MAX_SAMPLES} normalisation factors")
-    table = counts.sparkSession.createDataFrame(rows, "sample_id INT, norm_factor DOUBLE")
+    too_many = f"raise_error('more than {MAX_SAMPLES} normalisation factors')"
+    bounded = factors.selectExpr("sample_id", "double(norm_factor) AS norm_factor").limit(MAX_SAMPLES + 1)
+    place = bounded.selectExpr("*", "row_number() OVER (ORDER BY sample_id) AS place")
+    table = place.selectExpr("sample_id", f"if(place > {MAX_SAMPLES}, double({too_many}), norm_factor) AS norm_factor")
     others = [c for c in counts.columns if c != "cov"]
     joined = counts.join(F.broadcast(table), "sample_id")
     return joined.selectExpr(*others, f"{scale_count('cov', 'norm_factor')} AS cov")

@@ -327,6 +327,11 @@ oracle(
 )
 oracle("sample_counts", ("reads",), "SELECT sample_id, count(*) AS n_reads FROM reads GROUP BY 1")
 oracle("region_coverage", ("region_cov",), "SELECT sample_id, gene_id, exon_id, cov FROM region_cov")
+oracle(
+    "sample_list",
+    ("reads",),
+    "SELECT concat('sample_', sample_id, '.bam') AS path, count(*) AS n_reads FROM reads GROUP BY sample_id",
+)
 oracle(
     "region_coverage_union",
     ("hits",),
@@ -385,12 +390,13 @@ oracle(
     FROM nulls n LEFT JOIN (SELECT round(p, 9) AS p9, count(*) AS n_bases
                             FROM scored s JOIN p_of_t q ON q.t = s.t GROUP BY 1) o ON o.p9 = round(n.tail, 9)""",
 )
-oracle(
-    "cvm_base_test",
-    ("tested",),
-    "SELECT chrom, pos, round(t, 6) AS t, round(p, 6) AS p, round(fc, 6) AS fc, round(avg_a, 6) AS avg_a, "
-    "round(avg_b, 6) AS avg_b FROM tested",
-)
+for _name in ("cvm_base_test", "cvm_base_test_table"):
+    oracle(
+        _name,
+        ("tested",),
+        "SELECT chrom, pos, round(t, 6) AS t, round(p, 6) AS p, round(fc, 6) AS fc, round(avg_a, 6) AS avg_a, "
+        "round(avg_b, 6) AS avg_b FROM tested",
+    )
 oracle(
     "fisher_combined",
     ("tested",),
@@ -488,20 +494,29 @@ oracle(
            round(avg(CASE WHEN {BOTH.format(UNEQUAL.format("x", "y"))} >= {BOTH.format(UNEQUAL.format("ox", "oy"))} - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p2
     FROM tried GROUP BY gene_id, exon_id""",
 )
-oracle(
-    "permutation_test_plugin",
-    ("splits",),
-    f"""
+for _name in ("permutation_test_plugin", "permutation_test_batched"):
+    oracle(
+        _name,
+        ("splits",),
+        f"""
     SELECT gene_id, exon_id,
            round(avg(CASE WHEN {u_of("x", "y")} >= {u_of("ox", "oy")} - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p2
     FROM splits GROUP BY gene_id, exon_id""",
-)
+    )
 oracle("phase2_regions", ("confirmed",), f"SELECT {REGION}, round(p2, 6) AS p2 FROM confirmed")
 oracle(
-    "exon_summary",
-    ("summary",),
+    "de_job", ("confirmed",), f"SELECT {REGION}, round(p2, 6) AS p2, 'results_10_whole_0.1' AS job FROM confirmed"
+)
+SUMMARY = (
     "SELECT gene_id, exon_id, round(p2, 6) AS p2, round(p1, 6) AS p1, round(fc, 6) AS fc, "
-    "round(overlap_pct, 6) AS overlap_pct, round(avg_a, 6) AS avg_a, round(avg_b, 6) AS avg_b FROM summary",
+    "round(overlap_pct, 6) AS overlap_pct, round(avg_a, 6) AS avg_a, round(avg_b, 6) AS avg_b FROM summary"
+)
+oracle("exon_summary", ("summary",), SUMMARY)
+oracle(
+    "exon_summary_ranked",
+    ("summary",),
+    "SELECT *, row_number() OVER (ORDER BY p2 NULLS FIRST, fc DESC NULLS LAST, gene_id, exon_id) AS place "
+    f"FROM ({SUMMARY})",
 )
 oracle(
     "top_regions",

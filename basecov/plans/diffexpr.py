@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ REGION_COLUMNS = (
     "avg_a",
     "avg_b",
 )
+MAX_BOUNDS = 200
 CANDIDATE_COLUMNS = ("gene_id", "exon_id", "chrom", "start_pos", "end_pos", "strand")
 
 
@@ -127,6 +129,29 @@ def permutation_tests(
     )
 
 
+def reads_near(reads: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Reads between the first and the last base of the candidates of their chromosome; none of a candidate is lost.
+
+    The bounds are fetched (one row per chromosome; beyond ``MAX_BOUNDS`` chromosomes only the outermost ones are) and
+    become plain comparisons, which a scan can use to skip files, row groups and byte ranges. ``candidates`` should be
+    cheap to evaluate, such as stored ones.
+    """
+    per_chrom = candidates.where("chrom IS NOT NULL").groupBy("chrom").agg(
+        F.expr("min(start_pos) AS first_pos"), F.expr("max(end_pos) AS last_pos")
+    )
+    found = [r for r in per_chrom.limit(MAX_BOUNDS + 1).collect() if r.first_pos is not None and r.last_pos is not None]
+    if not found:
+        return reads.where("false")
+    if len(found) > MAX_BOUNDS:
+        outer = per_chrom.agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos")).first()
+        return reads.where((F.col("end_pos") >= outer.first_pos) & (F.col("start_pos") <= outer.last_pos))
+    outermost = (F.col("end_pos") >= min(r.first_pos for r in found)) & (F.col("start_pos") <= max(r.last_pos for r in found))
+    if len(found) == 1:
+        return reads.where((F.col("chrom") == found[0].chrom) & outermost)
+    inside = [(F.col("chrom") == r.chrom) & (F.col("end_pos") >= r.first_pos) & (F.col("start_pos") <= r.last_pos) for r in found]
+    return reads.where(F.col("chrom").isin([r.chrom for r in found]) & outermost & reduce(or_, inside))
+
+
 def confirmed_regions(regions: DataFrame, tests: DataFrame) -> DataFrame:
     """Phase-1 regions with the phase-2 p-value of their exon; regions outside the annotation drop out."""
     p2 = tests.select("gene_id", "exon_id", "p2")
@@ -188,7 +213,7 @@ class DifferentialExpression:
     def test_regions(self, candidates: DataFrame | None = None) -> DataFrame:
         """Phase 2 over the exon candidates, or over another candidate frame."""
         chosen = self.exon_candidates if candidates is None else candidates
-        return permutation_tests(self.reads, chosen, self.groups, self.settings)
+        return permutation_tests(reads_near(self.reads, chosen), chosen, self.groups, self.settings)
 
     def confirmed(self) -> DataFrame:
         """Regions with both p-values, for a single use."""

@@ -1,4 +1,7 @@
-"""Facade over one set of samples; every method returns a lazy DataFrame."""
+"""Facade over one set of samples; every method returns a lazy DataFrame.
+
+Base coverages start no job before an action; feature coverages count the bins of the annotation first.
+"""
 
 from __future__ import annotations
 

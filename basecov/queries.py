@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 from basecov import fixtures
 from basecov.fixtures import GROUPS, SETTINGS
 from basecov.functions import ids, scalars, stats
-from basecov.operators import coverage, intervals, nulldist, permutation, runs, sparse_vectors, vectors
-from basecov.plans import diffexpr, report
+from basecov.operators import batched_permutation, coverage, intervals, nulldist, permutation, runs, sparse_vectors, vectors
+from basecov.plans import diffexpr, jobs, report
 from basecov.plans.study import CoverageStudy
 from basecov.session import broadcast_if_small, scratch_path
 from basecov.sources.alignments import Sample, read_bam, read_sam, read_samples, sample_table
-from basecov.sources.annotation import read_exons
+from basecov.sources.annotation import read_exons, read_null_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +139,14 @@ def sample_counts(spark, sf_dir):
     return coverage.read_counts(_reads(spark, sf_dir))
 
 
+@query
+def sample_list(spark, sf_dir):
+    """The files of the study with the reads that came from each."""
+    facade = _facade(spark, sf_dir)
+    counts = coverage.read_counts(facade.reads)
+    return facade.sample_rows.join(counts, "sample_id", "left").join(facade.samples(), "path").select("path", "n_reads")
+
+
 @query
 def region_coverage(spark, sf_dir):
     return coverage.region_coverage(_reads(spark, sf_dir), _exons(spark, sf_dir), width=WIDTH)
@@ -241,6 +249,17 @@ def cvm_base_test(spark, sf_dir):
     return rounded(coverage.expand_positions(rows))
 
 
+@query
+def cvm_base_test_table(spark, sf_dir):
+    """The base test with its null distribution read from a file of statistics and cumulative chances."""
+    path = scratch_path(spark, "null")
+    nulldist.cvm_null(spark, 4, 4).select("t", "cdf").write.option("sep", "\t").csv(path)
+    null = nulldist.tails_of_table(read_null_table(spark, path, 4, 4))
+    tested = diffexpr.tested_bases(_reads(spark, sf_dir), GROUPS, SETTINGS, null)
+    rows = tested.select("chrom", "start_pos", "end_pos", "t", "p", "fc", "avg_a", "avg_b")
+    return rounded(coverage.expand_positions(rows))
+
+
 @query
 def fisher_combined(spark, sf_dir):
     """Fisher's combination of the p-values of the bases in each window of 100 bases."""
@@ -370,6 +389,14 @@ def permutation_test_plugin(spark, sf_dir):
     )
 
 
+@query
+def permutation_test_batched(spark, sf_dir):
+    """The same test with the statistic as a function over arrays of regions and splits."""
+    counts = vectors.region_vectors(_reads(spark, sf_dir), _exons(spark, sf_dir), GROUPS, width=WIDTH)
+    keys = ["gene_id", "exon_id"]
+    return rounded(batched_permutation.permutation_test_batched(counts, keys, GROUPS, batched_permutation.mann_whitney_u))
+
+
 @query
 def phase2_regions(spark, sf_dir):
     return rounded(_study(spark, sf_dir).confirmed())
@@ -380,6 +407,12 @@ def exon_summary(spark, sf_dir):
     return rounded(diffexpr.exon_summary(_study(spark, sf_dir).confirmed()))
 
 
+@query
+def exon_summary_ranked(spark, sf_dir):
+    """The summary in the order of its report. Rounded first, so that equal rows are told apart by their names."""
+    return report.ordered_summary(exon_summary(spark, sf_dir))
+
+
 @query
 def top_regions(spark, sf_dir):
     return rounded(report.top_regions(_study(spark, sf_dir).confirmed(), 20))
@@ -417,6 +450,18 @@ def report_sinks(spark, sf_dir):
     return result
 
 
+@query
+def de_job(spark, sf_dir):
+    """The whole job: BAM files of a sheet and an annotation file in, results read back from the folder it names."""
+    base = scratch_path(spark, "job")
+    fixtures.bam_files(_reads(spark, sf_dir), f"{base}/bam")
+    fixtures.write_bed(_exons(spark, sf_dir), f"{base}/exons")
+    sheet = [Sample(s.sample_id, s.group, f"{base}/bam/sample={s.sample_id}/*.bam", 1.0) for s in SHEET]
+    jobs.find_de_regions(spark, jobs.StudyFiles(sheet, f"{base}/exons"), f"{base}/out", max_p=SETTINGS.max_p, settings=SETTINGS)
+    name = f"results_10_{scalars.chrom_label('*')}_{SETTINGS.max_p}"
+    return rounded(spark.read.parquet(f"{base}/out/{name}").withColumn("job", F.lit(name)))
+
+
 # --- sources -------------------------------------------------------------------------------------------------
 
 

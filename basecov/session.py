@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
+UNPACKED_FACTOR = 8
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,8 +58,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the rows fit the limit; estimates of files are compressed sizes, so room is left for unpacking them."""
     size = estimated_bytes(df)
-    return size is not None and size <= BROADCAST_LIMIT_BYTES
+    return size is not None and size * UNPACKED_FACTOR <= BROADCAST_LIMIT_BYTES
 
 
 def broadcast_or_merge(df: DataFrame, small: bool) -> DataFrame:

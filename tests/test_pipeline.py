@@ -3,9 +3,12 @@ import random
 
 import pytest
 
-from basecov.plans import report
-from basecov.plans.diffexpr import DifferentialExpression, Settings
+from basecov.operators import coverage
+from basecov.operators.vectors import Groups
+from basecov.plans import diffexpr, report
+from basecov.plans.diffexpr import DifferentialExpression, Settings, permutation_tests, reads_near
 from basecov.plans.jobs import StudyFiles, compare_exon_counts, count_deep_bases, find_de_regions, study_groups
+from basecov.plans.study import CoverageStudy
 from basecov.sources.alignments import Sample, read_samples
 
 
@@ -71,6 +74,61 @@ def test_chromosome_filter_and_novel_candidates_in_phase_two(spark, study_files)
     assert tested[0].p2 == pytest.approx(0.1)
 
 
+def test_phase_two_reads_only_near_its_candidates(spark, tmp_path):
+    """Comparisons reach the scan, other chromosomes are not read, and no read of a candidate is lost."""
+    draw = random.Random(3)
+    rows = [(draw.randint(1, 4), f"chr{draw.randint(1, 4)}", s, s + draw.randint(0, 90)) for s in draw.choices(range(1, 2000), k=3000)]
+    spark.createDataFrame(rows, "sample_id INT, chrom STRING, start_pos INT, end_pos INT").write.parquet(str(tmp_path / "r"))
+    reads, groups = spark.read.parquet(str(tmp_path / "r")), Groups((1, 2), (3, 4))
+    candidate = "gene_id STRING, exon_id STRING, chrom STRING, start_pos INT, end_pos INT"
+    one = spark.createDataFrame([("g", "e1", "chr2", 300, 350), ("g", "e2", "chr2", 700, 720)], candidate)
+    two = one.union(spark.createDataFrame([("h", "e3", "chr4", 1500, 1501), (None, "x", None, 1, 2)], candidate))
+    for candidates, names in ((one, {"chr2"}), (two, {"chr2", "chr4"}), (one.where("false"), set())):
+        near = reads_near(reads, candidates)
+        whole = permutation_tests(reads, candidates, groups).collect()
+        assert sorted(permutation_tests(near, candidates, groups).collect()) == sorted(whole)
+        assert {r.chrom for r in near.collect()} == names and near.count() < reads.count() / 3
+    plan = reads_near(reads, one)._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("EqualTo(chrom,chr2)", "GreaterThanOrEqual(end_pos,300)", "LessThanOrEqual(start_pos,720)"):
+        assert pushed in plan
+    plan = reads_near(reads, two)._jdf.queryExecution().executedPlan().toString()
+    assert "In(chrom, [chr2,chr4])" in plan.replace("[chr4,chr2]", "[chr2,chr4]") and "Or(" in plan
+
+
+def test_bounds_of_very_many_chromosomes(spark, make_reads, monkeypatch):
+    monkeypatch.setattr(diffexpr, "MAX_BOUNDS", 3)
+    candidates = spark.range(9).selectExpr("concat('chr', id) AS chrom", "int(100 * id + 100) AS start_pos", "int(100 * id + 110) AS end_pos")
+    reads = make_reads([(1, "chr1", 50, 99), (1, "chr1", 50, 100), (1, "chr1", 910, 950), (1, "chr1", 911, 950)])
+    assert sorted(r.end_pos for r in reads_near(reads, candidates).collect()) == [100, 950]
+
+
+def test_places_of_the_summary(spark):
+    rows = spark.range(3000).selectExpr("concat('g', id % 7) AS gene_id", "string(id) AS exon_id", "(id % 11) / 10D AS p2", "double(id % 5) AS fc")
+    got = report.ordered_summary(rows.repartition(6)).collect()
+    expected = sorted(rows.collect(), key=lambda r: (r.p2, -r.fc, r.gene_id, r.exon_id))
+    assert [(r.place, r.exon_id) for r in sorted(got, key=lambda r: r.place)] == [(i + 1, r.exon_id) for i, r in enumerate(expected)]
+
+
+def test_base_coverage_of_a_study_starts_no_job(spark, make_reads):
+    reads = make_reads([(1, "chr1", 1, 5), (2, "chr1", 3, 9)])
+    samples = spark.createDataFrame([(1, 2.0), (2, 1.0)], "sample_id INT, norm_factor DOUBLE")
+    factors = samples.groupBy("sample_id").agg({"norm_factor": "max"}).toDF("sample_id", "norm_factor")
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        covered = CoverageStudy(reads, factors, (1, 2)).base_coverage()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.sample_id, r.pos, r["cov"]) for r in covered.collect()} == {(1, p, 2) for p in range(1, 6)} | {(2, p, 1) for p in range(3, 10)}
+
+
+def test_too_many_factors_are_an_error(spark, make_reads, monkeypatch):
+    monkeypatch.setattr(coverage, "MAX_SAMPLES", 2)
+    factors = spark.range(4).selectExpr("int(id) AS sample_id", "1D AS norm_factor")
+    with pytest.raises(Exception, match="more than 2 normalisation factors"):
+        coverage.base_coverage(make_reads([(1, "chr1", 1, 5)]), factors=factors).collect()
+
+
 def test_open_factors_come_from_library_sizes(spark, study_files):
     sheet = [Sample(s.sample_id, s.group, s.path, None) for s in study_files.samples]
     groups = study_groups(spark, read_samples(spark, sheet), sheet)

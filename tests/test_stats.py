@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basecov.functions import scalars, stats
-from basecov.operators import lattice, nulldist, permutation
+from basecov.operators import batched_permutation, lattice, nulldist, permutation
 from basecov.operators.vectors import Groups
 
 
@@ -214,6 +214,37 @@ def test_bit_form_and_array_form_agree(counts):
     assert fast == general
 
 
+@pytest.mark.parametrize("cells", [1, 64, 1 << 19])
+def test_batched_statistic_equals_enumeration(counts, monkeypatch, cells):
+    monkeypatch.setattr(batched_permutation, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(batched_permutation, "SPLITS_AT_ONCE", 3)
+    data = {r.id: list(r)[1:] for r in counts.collect()}
+    tested = batched_permutation.permutation_test_batched(counts, ["id"], GROUPS, batched_permutation.mann_whitney_u, carry=["c0"])
+    assert tested.columns == ["id", "c0", "p2"]
+    assert "Exchange" not in tested._jdf.queryExecution().executedPlan().toString()
+    rows = tested.collect()
+    assert len(rows) == len(data)
+    for r in rows:
+        assert r.c0 == data[r.id][0] and r.p2 == pytest.approx(share(data[r.id], mann_whitney))
+
+
+def test_batched_draws_contain_the_observed_split_and_missing_counts_are_zero(spark, counts):
+    groups, u = Groups(tuple(range(40)), tuple(range(40, 80))), batched_permutation.mann_whitney_u
+    many = spark.range(1).selectExpr("id", *[f"{100 + i if i < 40 else 'CAST(NULL AS INT)'} AS c{i}" for i in range(80)])
+    one, two = (batched_permutation.permutation_test_batched(many, ["id"], groups, u, 50, seed=5).first().p2 for _ in range(2))
+    assert one == two == pytest.approx(1 / 50)
+    blocks = list(batched_permutation.split_blocks(9, 6, 500, 3))
+    firsts = [tuple(r) for first, _ in blocks for r in first.tolist()]
+    assert len(set(firsts)) == 500 and tuple(range(9)) in firsts
+    assert all(sorted([*a, *b]) == list(range(15)) for first, rest in blocks for a, b in zip(first.tolist(), rest.tolist()))
+    assert batched_permutation.permutation_test_batched(counts.where("false"), ["id"], GROUPS, u).count() == 0
+
+
+def test_batched_statistic_that_is_no_number(counts):
+    nothing = batched_permutation.permutation_test_batched(counts, ["id"], GROUPS, lambda x, y: x.sum(-1) * float("nan"))
+    assert {r.p2 for r in nothing.collect()} == {1.0}
+
+
 def test_permutation_test_is_symmetric(counts):
     swapped = counts.selectExpr("id", "c3 AS c0", "c4 AS c1", "c0 AS c2", "c1 AS c3", "c2 AS c4")
     one = {r.id: r.p2 for r in permutation.permutation_test(counts, ["id"], GROUPS).collect()}
