@@ -36,6 +36,9 @@ BROADCAST_ROWS = 500_000
 GROUP_MEMBERS = 500
 #: Documents with a common word that are compared as pairs; more are compared in blocks of ``BLOCK_DOCS``.
 SMALL_GROUP, BLOCK_DOCS = 16, 128
+#: Low bits of a join key that are zero: keys of 48 bits take less room in shuffles, and words that differ but have one
+#: key only make candidates, which the texts decide.
+KEY_ZEROS = np.uint64(16)
 
 
 class Bands:
@@ -95,7 +98,7 @@ def _sketch(doc: np.ndarray, key: np.ndarray, band: np.ndarray, bands: Bands) ->
     owner = np.repeat(np.arange(len(used)), used)
     number = np.arange(base[-1]) - base[owner]
     place = mix(band[owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
-    return mix(words + place), base
+    return mix(words + place) >> KEY_ZEROS << KEY_ZEROS, base
 
 
 def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
