@@ -57,9 +57,9 @@ def overlap_share(overlap: str, exon_start: str, exon_end: str) -> str:
     return f"(double({overlap}) / nullif({exon_end} - {exon_start}, 0))"
 
 
-def scale_count(count: str, factor: str) -> str:
+def scale_count(count: str, factor: str, kind: str = "int") -> str:
     """Apply a normalisation factor to a count; the result stays an integer."""
-    return f"int(round({count} * {factor}))"
+    return f"{kind}(round({count} * {factor}))"
 
 
 def pad_zeros(vector: str, size: int) -> str:

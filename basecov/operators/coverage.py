@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import scale_count
-from basecov.operators.intervals import BIN_WIDTH, annotation_is_small, bin_of, join_exons, with_bins
+from basecov.operators.intervals import BIN_WIDTH, annotation_is_small, bin_of, join_exons
 from basecov.session import broadcast_if_small
 
 TILE = 8192
@@ -109,7 +109,7 @@ def base_segments(
     return segments if factors is None else _scaled(segments, factors)
 
 
-def _scaled(counts: DataFrame, factors: DataFrame) -> DataFrame:
+def _scaled(counts: DataFrame, factors: DataFrame, kind: str = "int") -> DataFrame:
     """Apply ``factors(sample_id, norm_factor)`` to ``cov``.
 
     The factors often come from counting the reads, so their size is not known to Catalyst. There is one per sample:
@@ -121,7 +121,7 @@ def _scaled(counts: DataFrame, factors: DataFrame) -> DataFrame:
     table = place.selectExpr("sample_id", f"if(place > {MAX_SAMPLES}, double({too_many}), norm_factor) AS norm_factor")
     others = [c for c in counts.columns if c != "cov"]
     joined = counts.join(F.broadcast(table), "sample_id")
-    return joined.selectExpr(*others, f"{scale_count('cov', 'norm_factor')} AS cov")
+    return joined.selectExpr(*others, f"{scale_count('cov', 'norm_factor', kind)} AS cov")
 
 
 def expand_positions(segments: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def region_hits(
     grouped per read (union mode drops reads that meet more than one exon) or when the annotation is too large to
     broadcast: a pile-up then enters the shuffled join as one row.
     """
-    small = annotation_is_small(exons, width)
+    small = annotation_is_small(exons)
     # A read without an aligned base (CIGAR '*') ends before it starts; it covers nothing and hits nothing.
     reads, placement = mapped(reads).where("end_pos >= start_pos"), ["sample_id", "chrom", "start_pos", "end_pos"]
     meets = "start_pos <= e_end AND end_pos >= e_start"
@@ -182,7 +182,7 @@ def region_hits(
         left = reads.groupBy(*placement).agg(F.expr("count(*) AS n"))
     else:
         left = reads.selectExpr(*placement, "1L AS n")
-    pairs = join_exons(with_bins(left, "start_pos", "end_pos", width), exons, width, meets, small)
+    pairs = join_exons(left, "start_pos", "end_pos", exons, width, meets, small)
     if union_mode:
         pairs = (
             pairs.groupBy(*placement)
@@ -204,16 +204,16 @@ def region_coverage(
     factors: DataFrame | None = None,
     width: int = BIN_WIDTH,
 ) -> DataFrame:
-    """Feature counts ``(sample_id, gene_id, exon_id, cov)``."""
+    """Feature counts ``(sample_id, gene_id, exon_id, cov)``; counts are 64-bit integers."""
     hits = region_hits(reads, exons, union_mode, width)
-    counts = hits.groupBy("sample_id", "gene_id", "exon_id").agg(F.expr("int(sum(n)) AS cov"))
-    return counts if factors is None else _scaled(counts, factors)
+    counts = hits.groupBy("sample_id", "gene_id", "exon_id").agg(F.expr("sum(n) AS cov"))
+    return counts if factors is None else _scaled(counts, factors, "bigint")
 
 
 def coverage_table(counts: DataFrame, sample_ids: Sequence[int], level: str = "exon") -> DataFrame:
-    """Count table: one row per exon or gene, one column ``s<id>`` per sample, zero where nothing was counted."""
+    """Count table: one row per exon or gene, one 64-bit column ``s<id>`` per sample, zero where nothing was counted."""
     keys = {"exon": ["gene_id", "exon_id"], "gene": ["gene_id"], "base": ["chrom", "pos"]}[level]
-    per_sample = [F.expr(f"int(sum(if(sample_id = {s}, cov, 0))) AS s{s}") for s in sorted(sample_ids)]
+    per_sample = [F.expr(f"sum(if(sample_id = {s}, cov, 0)) AS s{s}") for s in sorted(sample_ids)]
     return counts.groupBy(*keys).agg(*per_sample)
 
 

@@ -1,9 +1,12 @@
-"""Interval joins as equi-joins on (chromosome, bin).
-
-Both sides are expanded to the bins they touch. A pair that shares several bins is kept only in the later of the
-two first bins, so no duplicate removal is needed. The annotation side is broadcast when its expanded size, which is
-counted, stays below the limit; otherwise both sides are shuffled on (chromosome, bin) and adaptive execution splits
-skewed partitions.
+"""Interval joins as equi-joins on (chromosome, level, bin).
+
+Bins are graded by size: each level is ``LEVEL_FACTOR`` times as wide as the one below, and an interval of the
+annotation belongs to the lowest level whose bins are as wide as itself, where it touches at most two. The other side
+is expanded to the bins it touches on the levels that the annotation has, one row per level for a short read. So a gene
+of any length costs two rows, and an annotation of exons only costs reads nothing. A pair that shares several bins is
+kept only in the later of the two first bins, so no duplicate removal is needed. The annotation side is broadcast when
+its estimated size, two rows for each interval, stays below the limit; otherwise both sides are shuffled on
+(chromosome, level, bin) and adaptive execution splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basecov.functions.scalars import overlap_length, overlap_share, round_half_up
-from basecov import session
 from basecov.session import broadcast_if_small, broadcast_or_merge, fits_broadcast
 
 BIN_WIDTH = 10_000
-BINNED_ROW_BYTES = 128
+LEVEL_FACTOR = 8
+BINS_PER_INTERVAL = 2
+LONGEST = 2**31
 
 UNKNOWN_EXON = "0"
 CHROM_NOT_FOUND = "ChrNotFound"
@@ -34,34 +38,63 @@ def with_bins(df: DataFrame, start: str, end: str, width: int, name: str = "bin"
     return df.selectExpr("*", f"{first} AS first_{name}", f"explode(sequence({first}, {last})) AS {name}")
 
 
+def _level_widths(width: int) -> list[int]:
+    """Bin widths of all levels; the last one holds any interval."""
+    widths = [width]
+    while widths[-1] < LONGEST:
+        widths.append(widths[-1] * LEVEL_FACTOR)
+    return widths
+
+
+def _level_of(start: str, end: str, width: int) -> str:
+    """The lowest level whose bins are as wide as the interval."""
+    size = f"bigint({end}) - {start} + 1"
+    *graded, _ = widths = _level_widths(width)
+    fits = " ".join(f"WHEN {size} <= {w} THEN {level}" for level, w in enumerate(graded))
+    return f"CASE {fits} ELSE {len(widths) - 1} END" if fits else "0"
+
+
+def _with_level_bins(df: DataFrame, start: str, end: str, width: int, level: str, name: str) -> DataFrame:
+    """One row per bin of the row's level that the interval touches; ``first_<name>`` keeps the first of them."""
+    sizes = f"array({', '.join(f'{w}L' for w in _level_widths(width))})[{level}]"
+    first, last = bin_of(start, sizes), bin_of(end, sizes)
+    return df.selectExpr("*", f"{first} AS first_{name}", f"explode(sequence({first}, {last})) AS {name}")
+
+
 def binned_exons(exons: DataFrame, width: int) -> DataFrame:
-    """Annotation rows prefixed ``e_``, expanded to bins."""
+    """Annotation rows prefixed ``e_``, in the bins of their level: at most two rows each."""
+    level = _level_of("start_pos", "end_pos", width)
     renamed = exons.selectExpr(
-        "chrom AS e_chrom", "gene_id AS e_gene", "exon_id AS e_exon", "start_pos AS e_start", "end_pos AS e_end"
+        "chrom AS e_chrom",
+        "gene_id AS e_gene",
+        "exon_id AS e_exon",
+        "start_pos AS e_start",
+        "end_pos AS e_end",
+        f"{level} AS e_level",
     )
-    return with_bins(renamed, "e_start", "e_end", width, "e_bin")
-
+    return _with_level_bins(renamed, "e_start", "e_end", width, "e_level", "e_bin")
 
-def annotation_is_small(exons: DataFrame, width: int) -> bool:
-    """Whether the annotation can be broadcast after its expansion to bins.
 
-    Catalyst cannot foresee how many bins an interval touches, so the rows are counted, but only if the unexpanded
-    annotation is small already.
-    """
-    if not fits_broadcast(exons):
-        return False
-    bins = f"sum({bin_of('end_pos', width)} - {bin_of('start_pos', width)} + 1L)"
-    rows = exons.selectExpr(f"coalesce({bins}, 0L) AS n").first().n
-    return rows * BINNED_ROW_BYTES <= session.BROADCAST_LIMIT_BYTES
+def annotation_is_small(exons: DataFrame) -> bool:
+    """Whether the annotation can be broadcast after its expansion to bins; starts no job."""
+    return fits_broadcast(exons, copies=BINS_PER_INTERVAL)
 
 
 def join_exons(
-    left: DataFrame, exons: DataFrame, width: int, condition: str, small: bool, how: str = "inner"
+    left: DataFrame, start: str, end: str, exons: DataFrame, width: int, condition: str, small: bool, how: str = "inner"
 ) -> DataFrame:
-    """Join rows that already carry ``chrom``, ``bin`` and ``first_bin`` with the annotation."""
+    """Join rows with ``chrom`` and an interval ``start`` to ``end`` with the annotation.
+
+    The levels in use are a scalar subquery of at most a dozen numbers, evaluated when the join runs. In a left join a
+    row without a partner comes out once per bin that it was looked for in.
+    """
+    levels = exons.agg(F.expr(f"collect_set({_level_of('start_pos', 'end_pos', width)}) AS levels")).scalar()
+    looked = left.withColumn("levels", levels).selectExpr(
+        *left.columns, "explode(if(size(levels) = 0, array(0), levels)) AS level"
+    )
     right = broadcast_or_merge(binned_exons(exons, width), small)
-    same_bin = "chrom = e_chrom AND bin = e_bin AND bin = greatest(first_bin, first_e_bin)"
-    return left.join(right, F.expr(f"{same_bin} AND {condition}"), how)
+    same_bin = "chrom = e_chrom AND level = e_level AND bin = e_bin AND bin = greatest(first_bin, first_e_bin)"
+    return _with_level_bins(looked, start, end, width, "level", "bin").join(right, F.expr(f"{same_bin} AND {condition}"), how)
 
 
 def _known_chromosomes(exons: DataFrame) -> DataFrame:
@@ -80,16 +113,12 @@ def map_regions_to_exons(
     the result, so that a later step that works by tile can reuse the shuffle.
     """
     carried = [c for c in regions.columns if c not in ("chrom", "start_pos")]
-    left = with_bins(
-        regions.selectExpr(
-            "*", "start_pos + length AS stop_pos", f"{bin_of('start_pos', tile or width)} AS tile"
-        ),
-        "start_pos",
-        "stop_pos",
-        width,
+    left = regions.selectExpr(
+        "*", "start_pos + length AS stop_pos", f"{bin_of('start_pos', tile or width)} AS tile"
     )
     overlap = overlap_length("start_pos", "stop_pos", "e_start", "e_end")
-    pairs = join_exons(left, exons, width, f"{overlap} > 1", annotation_is_small(exons, width), "left")
+    small = annotation_is_small(exons)
+    pairs = join_exons(left, "start_pos", "stop_pos", exons, width, f"{overlap} > 1", small, "left")
     keyed = pairs.selectExpr(
         "chrom",
         "tile",

@@ -226,7 +226,7 @@ cte(
 cte(
     "region_cov",
     ("hits",),
-    "SELECT sample_id, gene_id, exon_id, CAST(count(*) AS INTEGER) AS cov FROM hits GROUP BY 1, 2, 3",
+    "SELECT sample_id, gene_id, exon_id, count(*) AS cov FROM hits GROUP BY 1, 2, 3",
 )
 cte(
     "exon_vec",
@@ -284,7 +284,7 @@ STARS = (
 )
 TOP_ORDER = "p2, abs(fc) DESC, length DESC, gene_id, exon_id, chrom, start_pos"
 TABLE = ", ".join(
-    f"CAST(coalesce(sum(cov) FILTER (sample_id = {s}), 0) AS INTEGER) AS s{s}" for s in SAMPLES
+    f"CAST(coalesce(sum(cov) FILTER (sample_id = {s}), 0) AS BIGINT) AS s{s}" for s in SAMPLES
 )
 
 # --- coverage
@@ -336,7 +336,7 @@ oracle(
     "region_coverage_union",
     ("hits",),
     """
-    SELECT sample_id, gene_id, exon_id, CAST(count(*) AS INTEGER) AS cov
+    SELECT sample_id, gene_id, exon_id, count(*) AS cov
     FROM (SELECT *, count(*) OVER (PARTITION BY read_no) AS n FROM hits) WHERE n = 1 GROUP BY 1, 2, 3""",
 )
 oracle("gene_coverage_table", ("region_cov",), f"SELECT gene_id, {TABLE} FROM region_cov GROUP BY gene_id")

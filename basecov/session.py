@@ -57,10 +57,10 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the rows fit the limit; estimates of files are compressed sizes, so room is left for unpacking them."""
+def fits_broadcast(df: DataFrame, copies: int = 1) -> bool:
+    """Whether ``copies`` of each row fit the limit; estimates of files are compressed sizes, so room is left for unpacking."""
     size = estimated_bytes(df)
-    return size is not None and size * UNPACKED_FACTOR <= BROADCAST_LIMIT_BYTES
+    return size is not None and size * UNPACKED_FACTOR * copies <= BROADCAST_LIMIT_BYTES
 
 
 def broadcast_or_merge(df: DataFrame, small: bool) -> DataFrame:

@@ -124,10 +124,41 @@ def test_coverage_table_levels(make_reads, make_exons, rows, exon_rows):
     assert base.columns == ["chrom", "pos", "s1", "s2"]
 
 
-def test_size_check_counts_the_bins(make_exons, monkeypatch):
+def test_size_check_allows_two_bins_for_each_interval(make_exons, monkeypatch):
     exons = make_exons([("g", "e", "chr1", 1, 1_000_000)])
-    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 5_000 * intervals.BINNED_ROW_BYTES)
-    assert intervals.annotation_is_small(exons, 10_000) and not intervals.annotation_is_small(exons, 100)
+    size = session.estimated_bytes(exons) * session.UNPACKED_FACTOR
+    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 2 * size)
+    assert intervals.annotation_is_small(exons)
+    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 2 * size - 1)
+    assert session.fits_broadcast(exons) and not intervals.annotation_is_small(exons)
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("width", [1, 7, 64, 10_000])
+def test_intervals_of_any_mix_of_lengths(make_reads, make_exons, monkeypatch, width, small):
+    """From single bases to the longest interval there is: at most two rows each, and the hits of a plain search."""
+    monkeypatch.setattr(coverage, "annotation_is_small", lambda exons: small)
+    draw, last = random.Random(width), 2**31 - 1
+    lengths = [1, 2, 7, 8, 63, 64, 65, 512, 4_096, 80_000, 5_000_000]
+    exon_rows = [("g", f"e{i}", "chr1", s, s + draw.choice(lengths) - 1) for i, s in enumerate(draw.choices(range(1, 9_000), k=60))]
+    exon_rows += [("g", "all", "chr1", 1, last), ("g", "end", "chr1", last, last), ("h", "other", "chr2", 5, 5)]
+    rows = [(draw.randint(1, 2), draw.choice(["chr1", "chr1", "chr2", "chr3"]), s, s + draw.choice([0, 30, 500])) for s in draw.choices(range(1, 9_500), k=150)]
+    rows += [(1, "chr1", last, last)]
+    assert intervals.binned_exons(make_exons(exon_rows), width).count() <= 2 * len(exon_rows)
+    hits = coverage.region_coverage(make_reads(rows), make_exons(exon_rows), width=width)
+    assert {(r.sample_id, r.gene_id, r.exon_id): r.cov for r in hits.collect()} == dict(+brute_hits(rows, exon_rows, False))
+    assert coverage.region_coverage(make_reads(rows), make_exons([]), width=width).count() == 0
+
+
+def test_counts_beyond_32_bits(spark, make_exons, monkeypatch):
+    """Three billion reads, as counted rows of the exon join."""
+    hits = spark.sql("SELECT 1 AS sample_id, 'g' AS gene_id, id AS exon_id, 1500000000L AS n FROM range(2) UNION ALL SELECT 1, 'g', 1L, 1500000000L")
+    monkeypatch.setattr(coverage, "region_hits", lambda *args: hits)
+    counts = coverage.region_coverage(None, None)
+    assert {r.exon_id: r.cov for r in counts.collect()} == {0: 1_500_000_000, 1: 3_000_000_000}
+    scaled = coverage.region_coverage(None, None, factors=spark.createDataFrame([(1, 2.0)], "sample_id INT, norm_factor DOUBLE"))
+    assert {r.exon_id: r.cov for r in scaled.collect()} == {0: 3_000_000_000, 1: 6_000_000_000}
+    assert coverage.coverage_table(counts, [1, 2], "gene").first().s1 == 4_500_000_000
 
 
 def test_positions_have_no_upper_limit(make_reads):
