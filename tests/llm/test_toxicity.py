@@ -1,9 +1,11 @@
 """Operator 5: held-out accuracy, and what the swap penalty does to group mentions."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basecov.llm import toxicity
@@ -58,6 +60,54 @@ def test_swap_penalty_evens_out_group_mentions(tables):
     assert weight[0.0] > 0.2 and weight[toxicity.SWAP_PENALTY] < 0.2 * weight[0.0]
 
 
+def test_identity_terms_are_single_words_of_one_row():
+    terms = [t for rows in toxicity.IDENTITY_TERMS.values() for row in rows for t in row]
+    assert len(set(terms)) == len(terms) and all(t == t.lower() and t.isalpha() for t in terms)
+    assert all(len(row) > 1 for rows in toxicity.IDENTITY_TERMS.values() for row in rows)
+    keys, others = toxicity._swaps()
+    assert len(keys) == len(terms) == len(set(keys.tolist())) and set(others[0].tolist()) == set(keys.tolist())
+
+
+@pytest.mark.parametrize("named, other", [("muslims", "christians"), ("muslime", "christen"), ("musulmans", "chrétiens"), ("musulmanes", "cristianos")])
+def test_neutral_mentions_are_not_toxic(spark, named, other):
+    """A group named mostly in toxic texts, in every language; its neutral mentions must score like those of another."""
+    rng = random.Random(9)
+    rows = [(i, t.replace("Muslims", named).replace("Christians", other), toxic) for i, t, toxic in _rows(rng)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id BIGINT, toxic INT")
+    calm = [" ".join(rng.choices([f"calm{i}" for i in range(60)], k=20)) for _ in range(40)]
+    asked = spark.createDataFrame([(i, f"{text} {word}", word) for i, text in enumerate(calm) for word in (named, other)], "i INT, text STRING, word STRING")
+    gap = {}
+    for penalty in (0.0, toxicity.SWAP_PENALTY):
+        model = toxicity.train(docs, labels, swap_penalty=penalty)
+        found = {(r.i, r.word): r.score for r in toxicity.score(asked, model).collect()}
+        gap[penalty] = max(abs(np.log(found[i, named] / (1 - found[i, named])) - np.log(found[i, other] / (1 - found[i, other]))) for i in range(40))
+    assert max(found.values()) < 0.5 and gap[0.0] > 0.5 and gap[toxicity.SWAP_PENALTY] < 0.2 * gap[0.0]
+
+
+def test_scores_equal_a_plain_sum(spark, tables):
+    """Words and their beginnings one by one, weights from a dictionary."""
+    _, docs, labels = tables
+    model = toxicity.train(docs, labels)
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist()))
+
+    def plain(text):
+        seen = set()
+        for word in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower()):
+            (w,) = list(toxicity.pieces(pa.array([word.decode()]), toxicity.NOT_ALNUM_TABLE, lower=True))
+            seen.add(int(w.key[0]))
+            begun = [toxicity.prefix_keys(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), (k,), lower=True)[0][0] for k in toxicity.PREFIXES if len(word) > k]
+            seen.update(int(k) for k in begun)
+        total = model.bias + sum(weights.get(k, 0.0) for k in seen)
+        return 1 / (1 + np.exp(-total))
+
+    texts = [None, "", "Scumbag", "calm1 MUSLIMS moronic", "vilestuff vilestuff", "a.b;scumbags-42", "ÄÖ scumbag über", "moroni moronic moronical"]
+    texts += [r.text for r in docs.where("doc_id < 60").collect()]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING")
+    for r in toxicity.score(asked, model).collect():
+        assert r.score == pytest.approx(plain(texts[r.i]), abs=1e-9)
+
+
 def test_the_fit_is_at_the_minimum():
     rng = np.random.default_rng(1)
     features = [np.flatnonzero(rng.random(6) < 0.4).astype(np.int32) for _ in range(200)]
