@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from basecov.llm.files import Parts, locate, new_folder, spread, written
 from basecov.llm.frames import schema_of
 from basecov.llm.words import text_buffers
+from basecov.session import stored
 
 ARCHIVE_BYTES = 64 << 20
 SALTS = 16
@@ -191,7 +192,9 @@ def resolve_revisits(manifest: DataFrame, *, least_bytes: int = 0, folder: str |
     """Deduplicated archives with fresh headers from those of ``manifest``; returns the manifest of the new ones."""
     folder = new_folder(manifest, "deduplicated", folder)
     files = max(1, min(manifest.count(), 100_000))
-    decided = decide(read_headers(manifest), least_bytes=least_bytes)
+    # stored, because digests and joins both need them: otherwise every archive is read twice
+    headers = stored(read_headers(manifest), "headers")
+    decided = decide(headers, least_bytes=least_bytes)
     rows = decided.select("path", "offset", "length", "page_id", "url", "payload_digest", "payload_bytes", "original", "original_url")
     rows = rows.repartition(files, "path").sortWithinPartitions("path", "offset")
 
