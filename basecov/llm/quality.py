@@ -1,15 +1,21 @@
 """Quality rules: robust multivariate outliers among text statistics, per language and source.
 
 Every document becomes a vector of transformed statistics. Per (language, source) the minimum-covariance-determinant
-estimate is approached from coordinate-wise medians and quartiles by concentration steps: take the share ``CORE`` of the
-documents with the smallest Mahalanobis distances, estimate again from them, repeat. A document is rejected when its
-squared distance exceeds a quantile of the chi-squared distribution.
+estimate is approached by concentration steps: take the share ``CORE`` of the documents with the smallest Mahalanobis
+distances, estimate again from them, repeat. A document is rejected when its squared distance exceeds a quantile of the
+chi-squared distribution.
+
+There are three fixed starts around the coordinate-wise medians: the variances from quartiles alone, and these with the
+correlations of two bounded scores of the standardised vector, its hyperbolic tangents and its spatial sign. All make
+``FIRST_STEPS`` steps together; each group goes on from the start with the least determinant (at equal ones the first)
+until no group's estimate changes, or for ``MOST_STEPS`` steps, because cores of whole distance bins can take turns.
 
 A step is two aggregations over the vectors of all documents: counts per distance bin give each group's limit, then sums
 of products give the estimate. Both combine on the map side, so a group may hold any share of the rows; only one row per
-group reaches a further join. Vectors are whole multiples of ``1 / GRID`` and are summed as integers, so results do not
-depend on the order of rows. Estimates are drawn towards those of the language with the weight of ``PRIOR_ROWS`` rows, and
-``FLOORS`` is added to the variances, so small or constant groups have usable estimates.
+group and start reaches a further join. Vectors are whole multiples of ``1 / GRID`` and are summed as integers, so
+results do not depend on the order of rows. Estimates are drawn towards those of the language with the weight of
+``PRIOR_ROWS`` rows, and a constant floor is added to the variances, in determinants too, so small or constant groups
+have usable estimates.
 """
 
 from __future__ import annotations
@@ -27,7 +33,9 @@ from basecov.llm.words import MULTIPLIER, WHITE_TABLE, Words, keys_of, mix, piec
 from basecov.session import stored
 
 CORE = 0.75
-STEPS = 4
+FIRST_STEPS, MOST_STEPS = 2, 12
+#: How far the correlations of a start are drawn towards none.
+SHRINK = 0.1
 TAIL = 1e-7
 PRIOR_ROWS = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -157,8 +165,8 @@ def _distance() -> Column:
     return F.expr(" + ".join(terms))
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and quartiles per group and component, from counts per value."""
+def _middle(vectors: DataFrame) -> DataFrame:
+    """Medians (``centre``) and variances from quartiles (``v``) per group, from counts per value."""
     long = vectors.select("g", F.expr("posexplode(array(" + ", ".join(f"x{i}" for i in range(P)) + ")) AS (i, x)"))
     # Values are binned to a 32nd of the assumed deviation, so a group has a bounded number of counts.
     width = F.expr("array(" + ", ".join(str(max(1, round(GRID * s / 32))) for _, s in COMPONENTS) + ")")
@@ -169,28 +177,90 @@ def _start(vectors: DataFrame) -> DataFrame:
     parts = ranked.groupBy("g", "i").agg(*at).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "low", "mid", "high"))).alias("q"))
     floor = [(GRID * s) ** 2 for _, s in COMPONENTS]
     spread = ", ".join(f"pow((q[{i}].high - q[{i}].low) / 1.349, 2) + {floor[i]!r}D" for i in range(P))
-    diagonal = ", ".join(f"1 / v[{i}]" if i == j else "0D" for i in range(P) for j in range(P))
-    return parts.select("g", F.expr("transform(q, p -> p.mid)").alias("centre"), F.expr(f"array({spread})").alias("v")).select("g", "centre", F.expr(f"array({diagonal})").alias("precision"))
+    return parts.select("g", F.expr("transform(q, p -> p.mid)").alias("centre"), F.expr(f"array({spread})").alias("v"))
 
 
 _SUMS = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i in range(P) for j in range(i, P)]
 
 
+def _sums(rows: DataFrame) -> DataFrame:
+    sums = [F.expr(f"sum(CAST(x{i} AS DECIMAL(20, 0)))").alias(f"s{i}") for i in range(P)]
+    sums += [F.expr(f"sum(CAST(x{i} AS DECIMAL(12, 0)) * CAST(x{j} AS DECIMAL(12, 0)))").alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
+    return rows.groupBy("g").agg(F.count("*").alias("n"), *sums)
+
+
+def _as_numbers(sums: DataFrame, *more: Column) -> DataFrame:
+    """Group fields and sums as columns that Arrow batches hold without nesting."""
+    own = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.start").alias("start")]
+    return sums.select(*own, F.col("n").cast("double"), *[F.col(c).cast("double") for c in _SUMS], *more)
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _squares(batch: pa.RecordBatch, prefix: str = "") -> np.ndarray:
+    """The sums of products as one symmetric matrix per row."""
+    out = np.empty((batch.num_rows, P, P))
+    for i in range(P):
+        for j in range(i, P):
+            out[:, i, j] = out[:, j, i] = _numbers(batch, f"{prefix}s{i}_{j}")
+    return out
+
+
+_ESTIMATE = "lang string, source string, start int, centre array<double>, precision array<double>, log_det double"
+
+
+def _estimate_rows(batch: pa.RecordBatch, centre: np.ndarray, covariance: np.ndarray) -> pa.RecordBatch:
+    precision = np.linalg.inv(covariance).reshape(len(centre), -1)
+    lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (centre, precision)]
+    arrays = [*(batch.column(c) for c in ("lang", "source", "start")), *lists, pa.array(np.linalg.slogdet(covariance)[1])]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "start", "centre", "precision", "log_det"])
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.select(F.struct("lang", "source", "start").alias("g"), "centre", "precision", "log_det")
+
+
+def _starts(vectors: DataFrame, middle: DataFrame, few: bool) -> DataFrame:
+    """The estimates to start from: one row per group and start."""
+    z = _join(vectors, middle, few).select("g", F.expr("array(" + ", ".join(f"(x{i} - centre[{i}]) / sqrt(v[{i}])" for i in range(P)) + ")").alias("z"))
+    z = z.withColumn("r", F.expr("greatest(sqrt(" + " + ".join(f"z[{i}] * z[{i}]" for i in range(P)) + "), 1e-9D)"))
+
+    def score(number: int, sql: str) -> str:
+        return f"struct({number} AS start, " + ", ".join(f"CAST(round({GRID} * {sql.format(f'z[{i}]')}) AS BIGINT) AS x{i}" for i in range(P)) + ")"
+
+    scores = z.select("g", F.expr(f"explode(array({score(1, 'tanh({})')}, {score(2, '{} / r')}))").alias("y"))
+    scores = scores.select(F.struct("g.lang", "g.source", F.col("y.start").alias("start")).alias("g"), *[f"y.x{i}" for i in range(P)])
+    sums = _sums(scores).select(F.struct("g.lang", "g.source").alias("group"), "g", "n", *_SUMS)
+    right = middle.withColumnRenamed("g", "__g")
+    sums = sums.join(F.broadcast(right) if few else right, F.col("group").eqNullSafe(F.col("__g")))
+
+    def solve(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            square = _squares(batch)
+            size = np.sqrt(np.maximum(np.einsum("nii->ni", square), 1.0))
+            correlation = (1 - SHRINK) * square / (size[:, :, None] * size[:, None, :])
+            correlation[:, range(P), range(P)] = 1
+            centre, v = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("centre", "v"))
+            yield _estimate_rows(batch, centre, correlation * np.sqrt(v)[:, :, None] * np.sqrt(v)[:, None, :])
+
+    scored = _as_numbers(sums, F.col("centre"), F.col("v")).mapInArrow(solve, _ESTIMATE)
+    diagonal = ", ".join(f"1 / v[{i}]" if i == j else "0D" for i in range(P) for j in range(P))
+    plain = middle.selectExpr("struct(g.lang AS lang, g.source AS source, 0 AS start) AS g", "centre", f"array({diagonal}) AS precision", "0D AS log_det")
+    return plain.unionByName(_grouped(scored))
+
+
 def _estimates(sums: DataFrame, pooled: bool) -> DataFrame:
-    """Centre and inverse covariance of each group from its sums; ``pooled``: drawn towards those of its language."""
+    """Centre, inverse covariance and its determinant for each group; ``pooled``: drawn towards those of its language."""
     factor, floor = consistency(), np.diag([(GRID * s) ** 2 for _, s in COMPONENTS])
 
     def moments(batch: pa.RecordBatch, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        def column(name: str) -> np.ndarray:
-            return batch.column(prefix + name).to_numpy(zero_copy_only=False)
-
-        n = column("n")
-        mean = np.stack([column(f"s{i}") for i in range(P)], axis=1) / n[:, None]
-        square = np.zeros((len(n), P, P))
-        for i in range(P):
-            for j in range(i, P):
-                square[:, i, j] = square[:, j, i] = column(f"s{i}_{j}") / n
-        return n[:, None], mean, square - mean[:, :, None] * mean[:, None, :]
+        n = _numbers(batch, prefix + "n")
+        mean = np.stack([_numbers(batch, f"{prefix}s{i}") for i in range(P)], axis=1) / n[:, None]
+        return n[:, None], mean, _squares(batch, prefix) / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
 
     def solve(batches):
         for batch in batches:
@@ -199,48 +269,58 @@ def _estimates(sums: DataFrame, pooled: bool) -> DataFrame:
                 _, p_mean, p_cov = moments(batch, "p_")
                 own = n / (n + PRIOR_ROWS)
                 mean, cov = own * mean + (1 - own) * p_mean, own[:, :, None] * cov + (1 - own)[:, :, None] * p_cov
-            precision = np.linalg.inv(factor * cov + floor).reshape(len(n), -1)
-            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (mean, precision)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], names=["lang", "source", "centre", "precision"])
+            yield _estimate_rows(batch, mean, factor * cov + floor)
 
-    columns = [F.col("g.lang").cast("string").alias("lang"), F.col("g.source").cast("string").alias("source"), F.col("n").cast("double"), *[F.col(c).cast("double") for c in _SUMS]]
-    if pooled:
-        columns += [F.col(f"p_{c}").cast("double") for c in ["n", *_SUMS]]
-    out = sums.select(*columns).mapInArrow(solve, "lang string, source string, centre array<double>, precision array<double>")
-    return out.select(F.struct("lang", "source").alias("g"), "centre", "precision")
+    more = [F.col(f"p_{c}").cast("double") for c in ["n", *_SUMS]] if pooled else []
+    return _grouped(_as_numbers(sums, *more).mapInArrow(solve, _ESTIMATE))
 
 
 def _core_sums(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Sums over the documents of each group whose distance bins hold the core."""
-    binned = _join(vectors, estimates, few).withColumn("b", F.floor(32 * F.ln(F.greatest(_distance(), F.lit(0.0)) + 1e-6)).cast("int")).drop("centre", "precision")
+    binned = _join(vectors, estimates, few).withColumn("b", F.floor(32 * F.ln(F.greatest(_distance(), F.lit(0.0)) + 1e-6)).cast("int")).drop("centre", "precision", "log_det")
     counts = binned.groupBy("g", "b").count()
     counts = counts.withColumn("upto", F.sum("count").over(W.partitionBy("g").orderBy("b"))).withColumn("n", F.sum("count").over(W.partitionBy("g")))
     limits = counts.groupBy("g").agg(F.min(F.when(F.col("upto") >= CORE * F.col("n"), F.col("b"))).alias("limit"))
-    core = _join(binned, limits, few).where("b <= limit")
-    sums = [F.expr(f"sum(CAST(x{i} AS DECIMAL(20, 0)))").alias(f"s{i}") for i in range(P)]
-    sums += [F.expr(f"sum(CAST(x{i} AS DECIMAL(12, 0)) * CAST(x{j} AS DECIMAL(12, 0)))").alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-    return core.groupBy("g").agg(F.count("*").alias("n"), *sums)
+    return _sums(_join(binned, limits, few).where("b <= limit"))
+
+
+def _with_start(vectors: DataFrame, start: Column) -> DataFrame:
+    """The vectors with the start as a further field of their group."""
+    started = vectors.withColumn("start", start)
+    return started.select(F.struct("g.lang", "g.source", "start").alias("g"), *[f"x{i}" for i in range(P)])
 
 
-def estimate(stats: DataFrame, *, steps: int = STEPS) -> DataFrame:
+def estimate(stats: DataFrame, *, first_steps: int = FIRST_STEPS, most_steps: int = MOST_STEPS) -> DataFrame:
     """Centre and inverse covariance per (language, source): columns ``g`` (struct), ``centre``, ``precision``.
 
     ``stats`` has the columns of ``with_statistics`` and ``lang`` and ``source``; a missing language or source is a value
     of its own. Documents that fail the base rules take no part. An empty table gives no estimates.
     """
     vectors = _vectors(stats)
-    now = stored(_start(vectors), "quality-start")
-    few = now.count() <= BROADCAST_GROUPS
-    for step in range(steps):
-        sums = _core_sums(vectors, now, few)
-        last = step == steps - 1
-        if last:
-            # One row per group is left, so pooling by language is a join of small tables.
-            sums = stored(sums, "quality-sums")
-            pooled = sums.groupBy(F.col("g.lang").alias("l")).agg(*[F.sum(c).alias(f"p_{c}") for c in ["n", *_SUMS]])
-            sums = sums.join(pooled, F.col("g.lang").eqNullSafe(F.col("l")))
-        now = stored(_estimates(sums, last), "quality-estimates")
-    return now
+    middle = stored(_middle(vectors), "quality-middle")
+    few = 3 * middle.count() <= BROADCAST_GROUPS
+    now = stored(_starts(vectors, middle, few), "quality-starts")
+    every = _with_start(vectors, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    for _ in range(first_steps):
+        now = stored(_estimates(_core_sums(every, now, few), False), "quality-estimates")
+    # The start is 0 from here on: one estimate of each group is left.
+    least = now.groupBy("g.lang", "g.source").agg(F.expr("min_by(struct(centre, precision, log_det), struct(log_det, g.start)) AS e"))
+    now = stored(least.select(F.struct("lang", "source", F.lit(0).alias("start")).alias("g"), "e.*"), "quality-least")
+    single = _with_start(vectors, F.lit(0))
+    sums = None
+    for _ in range(max(1, most_steps)):
+        sums = stored(_core_sums(single, now, few), "quality-sums")
+        after = stored(_estimates(sums, False), "quality-estimates")
+        before = now.select(F.col("g").alias("old"), F.col("centre").alias("old_centre"), F.col("precision").alias("old_precision"))
+        changed = after.join(before, F.col("g").eqNullSafe(F.col("old"))).where("centre != old_centre OR precision != old_precision")
+        now = after
+        if changed.isEmpty():
+            break
+    # One row per group is left, so pooling by language is a join of small tables.
+    pooled = sums.groupBy(F.col("g.lang").alias("l")).agg(*[F.sum(c).alias(f"p_{c}") for c in ["n", *_SUMS]])
+    sums = sums.join(pooled, F.col("g.lang").eqNullSafe(F.col("l")))
+    final = stored(_estimates(sums, True), "quality-estimates")
+    return final.select(F.struct("g.lang", "g.source").alias("g"), "centre", "precision")
 
 
 def judge(stats: DataFrame, estimates: DataFrame, *, tail: float = TAIL) -> DataFrame:
