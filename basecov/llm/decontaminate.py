@@ -7,14 +7,18 @@ verbatim match. Shards need nothing from each other, so the work is one pass ove
 Words are runs of ASCII letters (A-Z in lower case), digits and non-ASCII characters. A suffix array keeps only suffixes
 that begin with as many test-vocabulary words as the shortest window has: others cannot match, so nothing is lost.
 
-Test items are read in blocks of at most ``BLOCK_BYTES`` of text each (or one item); each block is one more pass in the
-same stage, so the size of what is sent to the tasks is bounded and any number of items can be held against the documents.
+Test items are read in blocks of at most ``BLOCK_BYTES`` of text each (or one item). A task splits a batch of texts into
+words once and holds the blocks against it one after another; of several blocks it keeps one index at a time, so any
+number of items can be held against the documents in one pass and in bounded memory.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,8 @@ from basecov.llm.words import NOT_ALNUM_TABLE, Words, pieces
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Pieces of text (of a megabyte each) that one reading of the indexes serves, if there are several.
+HELD_PIECES = 16
 MATCHES = "array<struct<item_id: bigint, item_start: int, doc_start: int, n_words: int>>"
 _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
 
@@ -136,36 +142,42 @@ def _lists(doc: np.ndarray, n_docs: int, columns: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def _rows(old: pa.Array, row: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The matches that earlier blocks found in rows row .. row + n: document of each and its fields."""
-    part = old.slice(row, n)
-    values = part.flatten()
-    counts = np.diff(part.offsets.to_numpy())
-    return np.repeat(np.arange(n), counts), [values.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+def _find(index: TestIndex, w: Words) -> list[np.ndarray]:
+    """The matches of a piece: document, item, first word in the item, first word in the document, number of words."""
+    test, place, length = matches(index, w)
+    doc = np.searchsorted(w.first, place, side="right") - 1
+    return [doc, index.item[test], test - index.begin[test], place - w.first[doc], length]
 
 
-def _pass(df: DataFrame, index: TestIndex, names: list[str]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
+def _against(df: DataFrame, blocks: list[Broadcast], names: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    out = T.StructType([T.StructField(n, kinds[n]) for n in [*names, "__text", "__n_words", "__n_hit", "__matches"]])
+    out = T.StructType([*[T.StructField(n, kinds[n]) for n in [*names, "__text"]], T.StructField("__n_words", T.LongType()), T.StructField("__n_hit", T.LongType()), T.StructField("__matches", T._parse_datatype_string(MATCHES))])
+
+    def loaded(shared: Broadcast) -> TestIndex:
+        # A broadcast remembers its value in the worker; with several blocks each is read from the worker's file again.
+        path = getattr(shared, "_path", None)
+        return shared.value if len(blocks) == 1 or path is None else shared.load_from_path(path)
 
     def run(batches):
         new_task()
-        index = shared.value
         for batch in batches:
-            for w in pieces(batch.column("__text"), NOT_ALNUM_TABLE, lower=True):
-                test, place, length = matches(index, w)
-                doc = np.searchsorted(w.first, place, side="right") - 1
-                found = [index.item[test], test - index.begin[test], place - w.first[doc], length]
-                before, fields = _rows(batch.column("__matches"), w.row, w.n_docs)
-                doc, found = np.concatenate([before, doc]), [np.concatenate(x) for x in zip(fields, found)]
-                order = np.lexsort((found[1], found[0], found[2], doc))
-                doc, found = doc[order], [x[order] for x in found]
-                hit = _covered(w.first, w.first[doc] + found[2], found[3].astype(np.int64))
-                part = batch.slice(w.row, w.n_docs)
-                arrays = [part.column(n) for n in [*names, "__text"]]
-                arrays += [pa.array(w.count, pa.int64()), pa.array(hit, pa.int64()), _lists(doc, w.n_docs, found)]
-                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+            left = pieces(batch.column("__text"), NOT_ALNUM_TABLE, lower=True)
+            while split := list(islice(left, 1 if len(blocks) == 1 else HELD_PIECES)):
+                found = [[] for _ in split]
+                for shared in blocks:
+                    index = loaded(shared)
+                    for rows, w in zip(found, split):
+                        rows.append(_find(index, w))
+                    del index
+                for rows, w in zip(found, split):
+                    doc, *fields = [np.concatenate(x) for x in zip(*rows)]
+                    order = np.lexsort((fields[1], fields[0], fields[2], doc))
+                    doc, fields = doc[order], [x[order] for x in fields]
+                    hit = _covered(w.first, w.first[doc] + fields[2], fields[3].astype(np.int64))
+                    part = batch.slice(w.row, w.n_docs)
+                    arrays = [part.column(n) for n in [*names, "__text"]]
+                    arrays += [pa.array(w.count, pa.int64()), pa.array(hit, pa.int64()), _lists(doc, w.n_docs, fields)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return df.mapInArrow(run, out)
 
@@ -195,9 +207,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text"
     own = [c for c in docs.columns if c not in new]
     # a text that is a string goes to the tasks and back once
     names = [c for c in own if c != text or docs.schema[c].dataType != T.StringType()]
-    df = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(0).cast("long").alias("__n_hit"), F.expr(f"CAST(array() AS {MATCHES})").alias("__matches"))
-    for index in test_blocks(benchmark, block_bytes, window):
-        df = _pass(df, index, names)
+    df = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"))
+    context = docs.sparkSession.sparkContext
+    df = _against(df, [context.broadcast(index) for index in test_blocks(benchmark, block_bytes, window)], names)
     return df.select(*[F.col(f"`{c}`" if c in names else "__text").alias(c) for c in own], *[F.col(f"__{c}").alias(c) for c in new])
 
 

@@ -55,6 +55,15 @@ def test_equals_brute_force(spark, docs, items, block_bytes):
             assert any(words(t)[m.item_start : m.item_start + m.n_words] == own for i, t in items if i == m.item_id or (i is None and m.item_id == -1))
 
 
+def test_blocks_are_one_pass(spark, docs, items):
+    """However many blocks the items make, the documents go to one Python worker once; items without an id keep theirs."""
+    benchmark = spark.createDataFrame(items, "item_id BIGINT, text STRING").repartition(2)
+    found = decontaminate.match_benchmark(docs, benchmark, block_bytes=60)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    wide = decontaminate.match_benchmark(docs, benchmark)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wide.collect()))
+
+
 def test_longest_matches_are_whole(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "a b " + text + " c")], "doc_id BIGINT, text STRING")
