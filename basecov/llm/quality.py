@@ -7,8 +7,9 @@ chi-squared distribution.
 
 There are three fixed starts around the coordinate-wise medians: the variances from quartiles alone, and these with the
 correlations of two bounded scores of the standardised vector, its hyperbolic tangents and its spatial sign. All make
-``FIRST_STEPS`` steps together; each group goes on from the start with the least determinant (at equal ones the first)
-until no group's estimate changes, or for ``MOST_STEPS`` steps, because cores of whole distance bins can take turns.
+``FIRST_STEPS`` steps together; each group goes on from the start with the least determinant (at equal ones the first).
+A step is taken only if it lowers the logarithm of the determinant by more than ``TOLERANCE``; the steps end when no
+group takes one, or after ``MOST_STEPS``.
 
 A step is two aggregations over the vectors of all documents: counts per distance bin give each group's limit, then sums
 of products give the estimate. Both combine on the map side, so a group may hold any share of the rows; only one row per
@@ -33,7 +34,7 @@ from basecov.llm.words import MULTIPLIER, WHITE_TABLE, Words, keys_of, mix, piec
 from basecov.session import stored
 
 CORE = 0.75
-FIRST_STEPS, MOST_STEPS = 2, 12
+FIRST_STEPS, MOST_STEPS, TOLERANCE = 2, 12, 0.01
 #: How far the correlations of a start are drawn towards none.
 SHRINK = 0.1
 TAIL = 1e-7
@@ -277,13 +278,20 @@ def _estimates(sums: DataFrame, pooled: bool) -> DataFrame:
 
 def _core_sums(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Sums over the documents of each group whose distance bins hold the core."""
-    binned = _join(vectors, estimates, few).withColumn("b", F.floor(32 * F.ln(F.greatest(_distance(), F.lit(0.0)) + 1e-6)).cast("int")).drop("centre", "precision", "log_det")
+    binned = _join(vectors, estimates.select("g", "centre", "precision"), few).withColumn("b", F.floor(32 * F.ln(F.greatest(_distance(), F.lit(0.0)) + 1e-6)).cast("int")).drop("centre", "precision")
     counts = binned.groupBy("g", "b").count()
     counts = counts.withColumn("upto", F.sum("count").over(W.partitionBy("g").orderBy("b"))).withColumn("n", F.sum("count").over(W.partitionBy("g")))
     limits = counts.groupBy("g").agg(F.min(F.when(F.col("upto") >= CORE * F.col("n"), F.col("b"))).alias("limit"))
     return _sums(_join(binned, limits, few).where("b <= limit"))
 
 
+def _step(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """One concentration step: the next estimates, with the sums they come from."""
+    sums = stored(_core_sums(vectors, estimates, few), "quality-sums")
+    own = sums.select(F.col("g").alias("__g"), F.struct("n", *_SUMS).alias("sums"))
+    return _estimates(sums, False).join(own, F.col("g").eqNullSafe(F.col("__g"))).drop("__g")
+
+
 def _with_start(vectors: DataFrame, start: Column) -> DataFrame:
     """The vectors with the start as a further field of their group."""
     started = vectors.withColumn("start", start)
@@ -293,7 +301,7 @@ def _with_start(vectors: DataFrame, start: Column) -> DataFrame:
 def estimate(stats: DataFrame, *, first_steps: int = FIRST_STEPS, most_steps: int = MOST_STEPS) -> DataFrame:
     """Centre and inverse covariance per (language, source): columns ``g`` (struct), ``centre``, ``precision``.
 
-    ``stats`` has the columns of ``with_statistics`` and ``lang`` and ``source``; a missing language or source is a value
+    ``first_steps`` is at least 1. ``stats`` has the columns of ``with_statistics`` and ``lang`` and ``source``; a missing language or source is a value
     of its own. Documents that fail the base rules take no part. An empty table gives no estimates.
     """
     vectors = _vectors(stats)
@@ -302,20 +310,21 @@ def estimate(stats: DataFrame, *, first_steps: int = FIRST_STEPS, most_steps: in
     now = stored(_starts(vectors, middle, few), "quality-starts")
     every = _with_start(vectors, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     for _ in range(first_steps):
-        now = stored(_estimates(_core_sums(every, now, few), False), "quality-estimates")
+        now = stored(_step(every, now, few), "quality-estimates")
     # The start is 0 from here on: one estimate of each group is left.
-    least = now.groupBy("g.lang", "g.source").agg(F.expr("min_by(struct(centre, precision, log_det), struct(log_det, g.start)) AS e"))
+    fields = ["centre", "precision", "log_det", "sums"]
+    least = now.groupBy("g.lang", "g.source").agg(F.min_by(F.struct(*fields), F.struct("log_det", "g.start")).alias("e"))
     now = stored(least.select(F.struct("lang", "source", F.lit(0).alias("start")).alias("g"), "e.*"), "quality-least")
     single = _with_start(vectors, F.lit(0))
-    sums = None
-    for _ in range(max(1, most_steps)):
-        sums = stored(_core_sums(single, now, few), "quality-sums")
-        after = stored(_estimates(sums, False), "quality-estimates")
-        before = now.select(F.col("g").alias("old"), F.col("centre").alias("old_centre"), F.col("precision").alias("old_precision"))
-        changed = after.join(before, F.col("g").eqNullSafe(F.col("old"))).where("centre != old_centre OR precision != old_precision")
-        now = after
-        if changed.isEmpty():
+    for _ in range(most_steps):
+        after = _step(single, now, few).select(F.col("g").alias("__g"), F.struct(*fields).alias("e"))
+        lower = F.col("e.log_det") < F.col("log_det") - TOLERANCE
+        taken = F.when(lower, F.col("e")).otherwise(F.struct(*fields)).alias("e")
+        both = now.join(after, F.col("g").eqNullSafe(F.col("__g"))).select("g", lower.alias("lower"), taken)
+        now = stored(both.select("g", "lower", "e.*"), "quality-estimates")
+        if now.where("lower").isEmpty():
             break
+    sums = now.select("g", "sums.*")
     # One row per group is left, so pooling by language is a join of small tables.
     pooled = sums.groupBy(F.col("g.lang").alias("l")).agg(*[F.sum(c).alias(f"p_{c}") for c in ["n", *_SUMS]])
     sums = sums.join(pooled, F.col("g.lang").eqNullSafe(F.col("l")))
