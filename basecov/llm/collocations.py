@@ -122,7 +122,8 @@ def active_phrases(key: np.ndarray, joined: np.ndarray, tables: tuple[np.ndarray
     if len(key) > 2 and (tables[1] != UNREACHED).any():
         known = np.full(len(key) - 1, UNREACHED, np.uint8)
         at = np.flatnonzero(joined[:-1] & (word[:-1] != UNREACHED) & (word[1:] != UNREACHED))
-        known[at] = _reached(tables[1], pair_hashes(key[at], key[at + 1]))
+        # shared cells may be older than the words: such a pair is known, like its words, from the latest of the three steps
+        known[at] = np.maximum(_reached(tables[1], pair_hashes(key[at], key[at + 1])), np.maximum(word[at], word[at + 1]))
         triple, began = act(known[:-1], known[1:], joined[:-2] & joined[1:-1])
         out.append([key[triple], key[triple + 1], key[triple + 2], began])
     return [np.concatenate(x) for x in zip(*out)]

@@ -72,6 +72,18 @@ def test_lengths_interleave(spark):
     assert [r.n for r in counting.phrases().collect()] == [400] * 5
 
 
+def test_cells_older_than_the_words(spark):
+    """A pair whose cells were written by others before its words reached the threshold begins no cycle that has passed."""
+    key, joined = np.array([5, 6, 7], np.uint64), np.array([True, True, False])
+    tables = (np.full(16, 2, np.uint8), np.full(16, 0, np.uint8))
+    assert C.active_phrases(key, joined, tables, 3, 4)[3].tolist() == [3, 3, 3]  # two pairs and the triple
+    rng = random.Random(8)
+    rows = [("en", f"p{i}a p{i}b p{i}c") for i in range(300) for _ in range(rng.choice([10, 11, 12, 14, 20]))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "lang STRING, text STRING").repartition(4)
+    assert sorted(map(tuple, C.collocations(docs, cells=256).collect())) == plain(rows, 10, 2000, 50)
+
+
 def test_phrases_with_one_hash_stay_apart(monkeypatch):
     monkeypatch.setattr(C, "mix", lambda keys: keys & np.uint64(1))
     rng = np.random.default_rng(4)
