@@ -67,6 +67,22 @@ def test_region_coverage(make_reads, make_exons, rows, exon_rows, union, width,
     assert {(r.sample_id, r.gene_id, r.exon_id): r.cov for r in got} == brute_hits(rows, exon_rows, union)
 
 
+@pytest.mark.parametrize("union", [False, True])
+@pytest.mark.parametrize("small", [True, False])
+def test_partitions_grow_with_the_reads(spark, make_reads, make_exons, rows, exon_rows, union, small, monkeypatch, tmp_path):
+    make_reads(rows).write.parquet(str(tmp_path / "reads"))
+    reads = spark.read.parquet(str(tmp_path / "reads"))
+    session_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.partitions_by_size(reads) is None and session.partitions_by_size(make_reads(rows)) is None
+    monkeypatch.setattr(session, "PARTITION_BYTES", session.estimated_bytes(reads) * session.UNPACKED_FACTOR // (session_parts + 3))
+    if not small:
+        monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 100)
+    assert session.partitions_by_size(reads) in (session_parts + 3, session_parts + 4)
+    counts = coverage.region_coverage(reads, make_exons(exon_rows), union, width=50)
+    assert f", {session.partitions_by_size(reads)}), REPARTITION_BY_NUM" in counts._jdf.queryExecution().toString()
+    assert {(r.sample_id, r.gene_id, r.exon_id): r.cov for r in counts.collect()} == brute_hits(rows, exon_rows, union)
+
+
 def test_factors_keep_integers(spark, make_reads):
     reads = make_reads([(1, "chr1", 1, 10)] * 4 + [(2, "chr1", 5, 6)] * 8 + [(3, "chr1", 1, 2)] * 3)
     sheet = [Sample(1, "case", "a"), Sample(2, "case", "b"), Sample(3, "control", "c"), Sample(4, "control", "d")]
