@@ -3,9 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThanOrEqual, Not, StringContains
 
+from basecov import fixtures
 from basecov.fixtures import encode_indexed_bam
 from basecov.sources import bam
 from basecov.sources.alignments import Sample, read_bam, read_samples
@@ -120,3 +123,33 @@ def test_lines_of_any_split_come_once(tmp_path, split):
     reader = LineReader({"samples": json.dumps(samples), "split_bytes": str(split)})
     found = [(r["sample_id"], r["value"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert found == [(k, line) for k, text in enumerate(texts) for line in text.replace("\r\n", "\n").split("\n")[: text.count("\n") + (text[-1:] not in ("", "\n"))]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 11, 12_345])
+def test_reads_encoded_from_arrays_are_the_same_bytes(n):
+    rng = np.random.default_rng(n)
+    reference, start, length = np.sort(rng.integers(-1, 3, n)), rng.integers(1, 200_000, n), rng.choice([0, 1, 50, 40_000], n)
+    order = np.lexsort((start, reference))
+    start, names = start[order], {-1: "chrX"} | {i: name for i, (name, _) in enumerate(REFERENCES)}
+    records = [(f"r{i}", 0, names[r], s, 60, [(k, "M")]) for i, (r, s, k) in enumerate(zip(reference.tolist(), start.tolist(), length.tolist()))]
+    assert fixtures.encode_indexed_reads(reference, start, start + length - 1, REFERENCES, 4_000) == encode_indexed_bam(records, REFERENCES, 4_000)
+
+
+def test_written_reads_are_dealt_out_evenly(spark, tmp_path, monkeypatch):
+    """One sample and chromosome are no longer one task; every read is in one file of its sample."""
+    monkeypatch.setattr(fixtures, "FILE_READS", 700)
+    reads = spark.range(8000).selectExpr("int(id % 2) AS sample_id", "'chr1' AS chrom", "int(id + 1) AS start_pos", "int(id + 20) AS end_pos")
+    sizes = []
+    write = fixtures.write_bam
+    monkeypatch.setattr(fixtures, "write_bam", lambda rows, path: sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) or write(rows, path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fixtures.bam_files(reads, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = read_bam(spark, str(tmp_path), columns=["start_pos", "end_pos"])
+    assert sorted(map(tuple, found.select("start_pos", "end_pos").collect())) == [(i + 1, i + 20) for i in range(8000)]
+    assert len(sizes) > 2 and max(sizes) <= 4000
+    for sample in (0, 1):
+        files = sorted(tmp_path.glob(f"sample={sample}/*.bam"))
+        assert len(files) >= 6 and read_bam(spark, f"{tmp_path}/sample={sample}/*.bam", columns=["start_pos"]).where(f"start_pos % 2 <> {1 - sample}").count() == 0
