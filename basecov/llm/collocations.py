@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basecov.llm.files import forget, without_old_shuffles
+from basecov.llm.files import forget, is_there, without_old_shuffles
 from basecov.llm.frames import kept, new_task
 from basecov.llm.words import Words, mix, pieces, separators
 from basecov.session import scratch_path
@@ -315,10 +314,12 @@ class Counting:
     def phrases(self) -> DataFrame:
         """``a, b, c, n`` of all longer phrases that reach the threshold."""
         schema = "a BIGINT, b BIGINT, c BIGINT, n BIGINT"
-        if not self.done:
+        # one scan over the folders of all steps: a union of one scan a step makes the plan, which the driver holds, as many times larger
+        done = [p for p in (f"{step}/kind={DONE}" for step in self.done) if is_there(self.spark, p)]
+        if not done:
             return self.spark.createDataFrame([], schema)
-        parts = [self._read(p, _MERGED).where(F.col("kind") == DONE).select(*_COLUMNS) for p in self.done]
-        return reduce(DataFrame.union, parts).mapInArrow(_flat_phrases, schema)
+        packed = self.spark.read.schema(", ".join(f"{name} BINARY" for name in _COLUMNS)).parquet(*done)
+        return packed.mapInArrow(_flat_phrases, schema)
 
 
 def _score(f: str, left: str, right: str) -> str:

@@ -70,6 +70,7 @@ def test_lengths_interleave(spark):
     counting.run()
     assert begun[0] == 1 and counting.steps == 6  # pairs in steps 1-4, triples in steps 2-5
     assert [r.n for r in counting.phrases().collect()] == [400] * 5
+    assert len(counting.done) > 2 and counting.phrases()._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
 
 
 def test_cells_older_than_the_words(spark):
